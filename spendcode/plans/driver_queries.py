@@ -9,8 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendcode.functions import parsers as P
+from spendcode.functions import text as T
 from spendcode.operators import catalog as C
+from spendcode.operators import metrics as M
+from spendcode.operators.gates import gate
 from spendcode.sources import fixtures as X
+from spendcode.sources.tables import table
 
 
 # --- catalogue (C1, C2, A1, A2, T1, R3, E1, E2) ---------------------------------------
@@ -46,6 +51,101 @@ def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.embedding_records(X.raw_catalogue(spark, sf_dir))
 
 
+# --- text scalars (F3, F4, F5, R5, R6, F8) ---------------------------------------------
+
+def is_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", "lang", T.is_english("text").alias("is_english"))
+
+
+def lang_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (is_english(spark, sf_dir).groupBy("lang", "is_english")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def account_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    acct = F.expr(X.spark_sql(X.RAW_ACCOUNT_SQL))
+    return c.select("c_custkey", acct.alias("account"), T.strip_digits(acct).alias("account_text"))
+
+
+def input_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", T.combined_text(F.col("text"), T.strip_digits("source")).alias("input_text"))
+
+
+def validate_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    cand = F.expr(X.spark_sql(X.CODE_CANDIDATE_SQL))
+    blank = T.is_blank(cand)
+    valid = T.valid_naics_code(cand)
+    return (p.select("p_type", blank.alias("blank"), valid.alias("valid"))
+            .groupBy("p_type")
+            .agg(F.count_if(F.col("valid")).alias("n_valid"),
+                 F.count_if(~F.col("valid") & ~F.col("blank")).alias("n_invalid"),
+                 F.count_if(F.col("blank")).alias("n_blank")))
+
+
+def elapsed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return M.elapsed_by_group(e, ["user_id", "event_type"])
+
+
+# --- answer parsers (N1, N2, U1, U2, U3, U4) and gates (G1, G2) ------------------------
+
+def _parsed(spark, sf_dir, column, parser) -> DataFrame:
+    a = X.answers(spark, sf_dir)
+    return a.select("p_partkey", parser(column).alias("r")).select("p_partkey", "r.*")
+
+
+def naics_parse(spark, sf_dir):
+    return _parsed(spark, sf_dir, "naics_answer", P.naics_p1)
+
+
+def naics_parse_strict(spark, sf_dir):
+    return _parsed(spark, sf_dir, "naics_answer", P.naics_p2)
+
+
+def unspsc_parse(spark, sf_dir):
+    return _parsed(spark, sf_dir, "unspsc_answer", P.unspsc_p1)
+
+
+def unspsc_parse_strict(spark, sf_dir):
+    return _parsed(spark, sf_dir, "unspsc_answer", P.unspsc_p2)
+
+
+def unspsc_parse_generic(spark, sf_dir):
+    return _parsed(spark, sf_dir, "unspsc_answer", P.unspsc_generic)
+
+
+def unspsc_describe_parse(spark, sf_dir):
+    a = X.answers(spark, sf_dir)
+    return a.select("p_partkey", P.unspsc_describe("unspsc_answer").alias("description"))
+
+
+def threshold_gate(spark, sf_dir):
+    a = X.answers(spark, sf_dir)
+    parsed = a.select("p_partkey", P.naics_p1("naics_answer").alias("n"),
+                      P.unspsc_p1("unspsc_answer").alias("u"))
+    cols = []
+    for t in (0, 85):
+        cols += gate(F.col("n"), t, f"naics_t{t}") + gate(F.col("u"), t, f"unspsc_t{t}")
+    return parsed.select("p_partkey", *cols)
+
+
+def confidence_histogram(spark, sf_dir):
+    a = X.answers(spark, sf_dir)
+    parsed = a.select(P.naics_p1("naics_answer")["confidence"].alias("naics_confidence"),
+                      P.unspsc_p1("unspsc_answer")["confidence"].alias("unspsc_confidence"))
+    n = M.confidence_histogram(parsed, "naics_confidence").withColumn("column_name", F.lit("naics"))
+    u = M.confidence_histogram(parsed, "unspsc_confidence").withColumn("column_name", F.lit("unspsc"))
+    return n.unionByName(u)
+
+
+def hierarchy_rollup(spark, sf_dir):
+    return M.hierarchy_rollup(unspsc_parse(spark, sf_dir))
+
+
 QUERIES = {
     "catalog_code": catalog_code,
     "clean_description": clean_description,
@@ -53,4 +153,19 @@ QUERIES = {
     "catalog_stats": catalog_stats,
     "catalog_preview": catalog_preview,
     "embed_text": embed_text,
+    "is_english": is_english,
+    "lang_confusion": lang_confusion,
+    "account_strip": account_strip,
+    "input_text": input_text,
+    "validate_code": validate_code,
+    "elapsed_text": elapsed_text,
+    "naics_parse": naics_parse,
+    "naics_parse_strict": naics_parse_strict,
+    "unspsc_parse": unspsc_parse,
+    "unspsc_parse_strict": unspsc_parse_strict,
+    "unspsc_parse_generic": unspsc_parse_generic,
+    "unspsc_describe_parse": unspsc_describe_parse,
+    "threshold_gate": threshold_gate,
+    "confidence_histogram": confidence_histogram,
+    "hierarchy_rollup": hierarchy_rollup,
 }

@@ -70,3 +70,145 @@ SELECT ordinal, replace(code, '.0', '') AS code, description,
        replace(code, '.0', '') || ' - ' || description AS text
 FROM raw WHERE code IS NOT NULL AND description IS NOT NULL""",
 }
+
+
+# --- text scalars -------------------------------------------------------------------------
+
+def is_english_sql(e: str) -> str:
+    return f"coalesce(NOT regexp_matches(lower({e}), '[{NON_ENGLISH_LETTERS}]'), false)"
+
+
+def strip_digits_sql(e: str) -> str:
+    return collapse_sql(f"regexp_replace({e}, '[{DIGIT}]+', '', 'g')")
+
+
+def valid_code_sql(e: str) -> str:
+    return f"coalesce(regexp_matches({e}, '\\A[0-9]{{2,6}}\\n?\\z'), false)"
+
+
+def blank_sql(e: str) -> str:
+    return f"({e} IS NULL OR NOT regexp_matches({e}, '[^{WS}]'))"
+
+
+def elapsed_sql(e: str) -> str:
+    s = f"CAST(trunc({e}) AS BIGINT)"
+    days = f"CAST(floor({s} / 86400.0) AS BIGINT)"
+    rem = f"({s} - {days} * 86400)"
+    hms = f"printf('%d:%02d:%02d', {rem} // 3600, ({rem} % 3600) // 60, {rem} % 60)"
+    return (f"CASE WHEN {days} = 0 THEN {hms} ELSE CAST({days} AS VARCHAR) || "
+            f"CASE WHEN abs({days}) = 1 THEN ' day, ' ELSE ' days, ' END || {hms} END")
+
+
+# --- parsers --------------------------------------------------------------------------------
+
+def _re(p: str) -> str:
+    return p.replace("(?d)", "")
+
+
+def extract_sql(e: str, pat: str) -> str:
+    pat = q(_re(pat))
+    return f"(CASE WHEN regexp_matches({e}, {pat}) THEN regexp_extract({e}, {pat}, 1) END)"
+
+
+def _lab(p: str, label: str) -> str:
+    return p.replace("{L}", label)
+
+
+def parse_p1_sql(e: str, label: str, validate: bool, six: bool = False) -> dict:
+    from spendcode.functions import parsers as P
+    t = strip_sql(e)
+    code = extract_sql(t, _lab(P.P1_CODE_6 if six else P.P1_CODE_ANY, label))
+    desc = strip_sql(extract_sql(t, _lab(P.P1_DESCRIPTION, label)))
+    conf = f"coalesce(try_cast({extract_sql(t, P.P1_CONFIDENCE)} AS INTEGER), 0)"
+    ok = valid_code_sql(code) if validate else f"({t} IS NOT NULL)"
+    return {"code": f"CASE WHEN {ok} THEN {code} END",
+            "description": f"CASE WHEN {ok} THEN {desc} END",
+            "confidence": f"CASE WHEN {ok} THEN {conf} ELSE 0 END"}
+
+
+def parse_p2_sql(e: str, label: str) -> dict:
+    from spendcode.functions import parsers as P
+    t = strip_sql(e)
+    code = extract_sql(t, P.P2_NAICS_CODE if label == "NAICS" else P.P2_UNSPSC_CODE)
+    desc = extract_sql(t, P.P2_DESCRIPTION)
+    conf = extract_sql(t, P.P2_CONFIDENCE)
+    ok = f"({code} IS NOT NULL AND {desc} IS NOT NULL AND {conf} IS NOT NULL)"
+    if label == "NAICS":
+        ok = f"({ok} AND {valid_code_sql(code)})"
+    return {"code": f"CASE WHEN {ok} THEN {code} END",
+            "description": f"CASE WHEN {ok} THEN {strip_sql(desc)} END",
+            "confidence": f"CASE WHEN {ok} THEN coalesce(try_cast({conf} AS INTEGER), 0) ELSE 0 END"}
+
+
+def generic_sql(e: str) -> dict:
+    from spendcode.functions import parsers as P
+    return {"code": extract_sql(e, _lab(P.P1_CODE_ANY, "UNSPSC")),
+            "description": strip_sql(extract_sql(e, _lab(P.P1_DESCRIPTION, "UNSPSC"))),
+            "confidence": extract_sql(e, P.P1_CONFIDENCE)}
+
+
+def describe_sql(e: str) -> str:
+    from spendcode.functions import parsers as P
+    return extract_sql(strip_sql(e), P.DESCRIBE_ONLY)
+
+
+def cols(d: dict, prefix: str = "") -> str:
+    return ", ".join(f"{v} AS {prefix}{k}" for k, v in d.items())
+
+
+def gate_sql(d: dict, t: int, prefix: str) -> str:
+    ok = f"({d['confidence']}) >= {t}"
+    return (f"CASE WHEN {ok} THEN {d['code']} ELSE '' END AS {prefix}_code, "
+            f"CASE WHEN {ok} THEN {d['description']} ELSE '' END AS {prefix}_description, "
+            f"CASE WHEN {ok} THEN {d['confidence']} ELSE 0 END AS {prefix}_confidence")
+
+
+def _init_text_queries():
+    from spendcode.sources.fixtures import (CODE_CANDIDATE_SQL, NAICS_ANSWER_SQL, RAW_ACCOUNT_SQL,
+                                            UNSPSC_ANSWER_SQL)
+    answers = f"answers AS (SELECT p_partkey, p_type, {NAICS_ANSWER_SQL} AS na, {UNSPSC_ANSWER_SQL} AS ua FROM part)"
+    n1 = parse_p1_sql("na", "NAICS", True)
+    u1 = parse_p1_sql("ua", "UNSPSC", False, six=True)
+    acct = f"({RAW_ACCOUNT_SQL})"
+    cand = f"({CODE_CANDIDATE_SQL})"
+    span = "(epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0"
+    ORACLE.update({
+        "is_english": f"SELECT doc_id, lang, {is_english_sql('text')} AS is_english FROM documents",
+        "lang_confusion": f"""SELECT lang, {is_english_sql('text')} AS is_english, count(*) AS n
+            FROM documents GROUP BY ALL""",
+        "account_strip": f"SELECT c_custkey, {acct} AS account, {strip_digits_sql(acct)} AS account_text FROM customer",
+        "input_text": f"SELECT doc_id, text || ' ' || {strip_digits_sql('source')} AS input_text FROM documents",
+        "validate_code": f"""SELECT p_type,
+            count(*) FILTER (WHERE {valid_code_sql(cand)}) AS n_valid,
+            count(*) FILTER (WHERE NOT {valid_code_sql(cand)} AND NOT {blank_sql(cand)}) AS n_invalid,
+            count(*) FILTER (WHERE {blank_sql(cand)}) AS n_blank
+            FROM part GROUP BY p_type""",
+        "elapsed_text": f"""SELECT user_id, event_type, seconds, {elapsed_sql('seconds')} AS elapsed,
+            {elapsed_sql('-seconds')} AS elapsed_reversed
+            FROM (SELECT user_id, event_type, {span} AS seconds FROM events GROUP BY ALL)""",
+        "naics_parse": f"WITH {answers} SELECT p_partkey, {cols(n1)} FROM answers",
+        "naics_parse_strict": f"WITH {answers} SELECT p_partkey, {cols(parse_p2_sql('na', 'NAICS'))} FROM answers",
+        "unspsc_parse": f"WITH {answers} SELECT p_partkey, {cols(u1)} FROM answers",
+        "unspsc_parse_strict": f"WITH {answers} SELECT p_partkey, {cols(parse_p2_sql('ua', 'UNSPSC'))} FROM answers",
+        "unspsc_parse_generic": f"WITH {answers} SELECT p_partkey, {cols(generic_sql('ua'))} FROM answers",
+        "unspsc_describe_parse": f"WITH {answers} SELECT p_partkey, {describe_sql('ua')} AS description FROM answers",
+        "threshold_gate": f"""WITH {answers} SELECT p_partkey,
+            {gate_sql(n1, 0, 'naics_t0')}, {gate_sql(u1, 0, 'unspsc_t0')},
+            {gate_sql(n1, 85, 'naics_t85')}, {gate_sql(u1, 85, 'unspsc_t85')} FROM answers""",
+        "confidence_histogram": f"""WITH {answers},
+            conf AS (SELECT {n1['confidence']} AS nc, {u1['confidence']} AS uc FROM answers),
+            bins AS (SELECT CAST(range AS INTEGER) AS bin FROM range(20)),
+            h AS (SELECT 'naics' AS column_name, least(floor(nc / 5), 19) AS bin, count(*) AS n FROM conf GROUP BY ALL
+                  UNION ALL
+                  SELECT 'unspsc', least(floor(uc / 5), 19), count(*) FROM conf GROUP BY ALL),
+            names AS (SELECT * FROM (VALUES ('naics'), ('unspsc')) v(column_name))
+            SELECT b.bin, b.bin * 5 AS lo, (b.bin + 1) * 5 AS hi, coalesce(h.n, 0) AS n, names.column_name
+            FROM names JOIN bins b ON true LEFT JOIN h ON h.bin = b.bin AND h.column_name = names.column_name""",
+        "hierarchy_rollup": f"""WITH {answers}, u AS (SELECT {u1['code']} AS code FROM answers)
+            SELECT substr(code, 1, 2) AS segment, substr(code, 1, 4) AS family, substr(code, 1, 6) AS class_code,
+                   count(*) AS n
+            FROM u WHERE code IS NOT NULL GROUP BY ROLLUP (segment, family, class_code)""",
+    })
+
+
+_init_text_queries()

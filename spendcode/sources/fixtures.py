@@ -42,3 +42,65 @@ def raw_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         na_to_null(F.expr(RAW_CODE_SQL.replace("VARCHAR", "STRING"))).alias("code"),
         F.expr(RAW_DESCRIPTION_SQL).alias("description"),
     )
+
+
+def _answer_sql(label: str, code: str, short_code: str) -> str:
+    """Answer text for one ``part`` row; ``p_partkey % 11`` picks one of the edge shapes
+    (exact format, no percent, decimal percent, long code, short code, two-line
+    description, no description, no confidence, refusal/empty/null, no space after the
+    colon, confidence over 100)."""
+    nl = "chr(10)"
+    conf = "CAST(50 + p_partkey % 51 AS VARCHAR)"
+    desc = "p_name"
+    head = f"'{label} Code: ' || {code}"
+
+    def body(c=head, d=f"'{label} Description: ' || {desc}", f=f"'Confidence: ' || {conf} || '%'"):
+        parts = [p for p in (c, d, f) if p]
+        return f" || {nl} || ".join(parts)
+
+    return f"""CASE p_partkey % 11
+    WHEN 0 THEN CASE WHEN p_partkey % 2 = 0 THEN {nl} || '  ' || {body()} || ' ' || chr(9) ELSE {body()} END
+    WHEN 1 THEN {body(f=f"'Confidence: ' || {conf}")}
+    WHEN 2 THEN {body(f=f"'Confidence: ' || {conf} || '.5%'")}
+    WHEN 3 THEN {body(c=f"'{label} Code: ' || {short_code}")}
+    WHEN 4 THEN {body(c=f"'{label} Code: 7'")}
+    WHEN 5 THEN {body(d=f"'{label} Description: ' || replace({desc}, ' ', {nl})")}
+    WHEN 6 THEN {body(d=None)}
+    WHEN 7 THEN {body(f=None)}
+    WHEN 8 THEN CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'I cannot classify this.' END
+    WHEN 9 THEN {body(c=f"'{label} Code:' || {code}")}
+    ELSE {body(f="'Confidence: 250%'")} END"""
+
+
+NAICS_CODE_SQL = "CAST(100000 + (p_partkey * 7919) % 900000 AS VARCHAR)"
+UNSPSC_CODE_SQL = "CAST(10000000 + (p_partkey * 7919) % 90000000 AS VARCHAR)"
+NAICS_ANSWER_SQL = _answer_sql("NAICS", NAICS_CODE_SQL, f"{NAICS_CODE_SQL} || '78'")
+UNSPSC_ANSWER_SQL = _answer_sql("UNSPSC", UNSPSC_CODE_SQL, f"substr({UNSPSC_CODE_SQL}, 1, 6)")
+
+
+def spark_sql(sql: str) -> str:
+    return sql.replace("VARCHAR", "STRING")
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p_partkey, p_type, naics_answer, unspsc_answer: recorded answers of both stages."""
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", "p_type",
+        F.expr(spark_sql(NAICS_ANSWER_SQL)).alias("naics_answer"),
+        F.expr(spark_sql(UNSPSC_ANSWER_SQL)).alias("unspsc_answer"),
+    )
+
+
+RAW_ACCOUNT_SQL = """CASE c_custkey % 4
+    WHEN 0 THEN c_name
+    WHEN 1 THEN '2345 ' || c_mktsegment
+    WHEN 2 THEN CAST(c_custkey AS VARCHAR) || '  ' || c_mktsegment || ' 34 ' || chr(9) || ' B'
+    ELSE CAST(c_custkey AS VARCHAR) END"""
+
+CODE_CANDIDATE_SQL = """CASE p_partkey % 8
+    WHEN 0 THEN ''
+    WHEN 1 THEN NULL
+    WHEN 2 THEN 'x' || CAST(p_partkey AS VARCHAR)
+    WHEN 3 THEN CAST(p_partkey AS VARCHAR) || chr(10)
+    WHEN 4 THEN ' ' || CAST(p_partkey AS VARCHAR)
+    ELSE substr(CAST(p_partkey * 7919 AS VARCHAR), 1, CAST(p_partkey % 9 AS INTEGER)) END"""
