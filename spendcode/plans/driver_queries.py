@@ -146,6 +146,60 @@ def hierarchy_rollup(spark, sf_dir):
     return M.hierarchy_rollup(unspsc_parse(spark, sf_dir))
 
 
+# --- model stages and pipelines (J3, L1-L5, G3, G4, G6, G7) ----------------------------
+
+def _lines_p1(spark, sf_dir):
+    from spendcode.sources.tables import lines_from_documents
+    return lines_from_documents(spark, sf_dir)
+
+
+def _lines_p2(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("ordinal"), F.col("text").alias("description"),
+                    F.col("source").alias("account"))
+
+
+def enrich(spark, sf_dir):
+    from spendcode.plans.enrich import enrich as run
+    return run(_lines_p1(spark, sf_dir)).result()
+
+
+def process(spark, sf_dir):
+    from spendcode.plans.enrich import process as run
+    return run(_lines_p2(spark, sf_dir)).result()
+
+
+def translate_gate(spark, sf_dir):
+    from spendcode.plans.enrich import enrich as run
+    r = run(_lines_p1(spark, sf_dir))
+    return r.lines.select("ordinal", "procurement_description_en", "account_en")
+
+
+def quarantine(spark, sf_dir):
+    from spendcode.plans.enrich import enrich as run, quarantine as q
+    return q(run(_lines_p1(spark, sf_dir)))
+
+
+def stage_metrics(spark, sf_dir):
+    from spendcode.plans.enrich import enrich as run, stage_metrics as m
+    return m(run(_lines_p1(spark, sf_dir)))
+
+
+def request_plan(spark, sf_dir):
+    """Distinct requests of the first stages and how many line slots each one serves."""
+    from spendcode.functions.prompts import DEFAULT_MODEL, MISSING_TEXT
+    from spendcode.operators.responses import request_columns
+    lines = _lines_p1(spark, sf_dir)
+    slots = []
+    for stage, col in (("detect", "procurement_description"), ("detect", "account"),
+                       ("describe", "procurement_description")):
+        text = F.coalesce(F.col(col), F.lit(MISSING_TEXT))
+        rc = request_columns("p1", stage, DEFAULT_MODEL, text=text)
+        slots.append(lines.select(rc[0], rc[1]))
+    u = slots[0].unionByName(slots[1]).unionByName(slots[2])
+    return u.groupBy("stage", "request_key").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 QUERIES = {
     "catalog_code": catalog_code,
     "clean_description": clean_description,
@@ -168,4 +222,10 @@ QUERIES = {
     "threshold_gate": threshold_gate,
     "confidence_histogram": confidence_histogram,
     "hierarchy_rollup": hierarchy_rollup,
+    "request_plan": request_plan,
+    "translate_gate": translate_gate,
+    "enrich": enrich,
+    "process": process,
+    "quarantine": quarantine,
+    "stage_metrics": stage_metrics,
 }

@@ -212,3 +212,119 @@ def _init_text_queries():
 
 
 _init_text_queries()
+
+
+# --- model stages -------------------------------------------------------------------------
+
+def _pipeline_sql(dialect: str) -> dict:
+    """CTE chain of the application (p1) or modular (p2) pipeline over ``documents``."""
+    from spendcode.functions import prompts as PR
+    from spendcode.operators.replay import FAILURE_TEXT, answer_sql, failed_sql
+
+    m = PR.DEFAULT_MODEL
+
+    def key(stage, **slots):
+        frame = PR.USER[(dialect, stage)]
+        pieces = [slots[p[1:-1]] if p.startswith("{") and p.endswith("}") else q(p)
+                  for p in PR.split_frame(frame)]
+        user = " || ".join(pieces)
+        name = f"{stage}_{dialect}"
+        return (f"sha256(concat_ws(chr(1), '{name}', '{m}', '{PR.TEMPERATURE[(dialect, stage)]}', "
+                f"{q(PR.SYSTEM[(dialect, stage)])}, {user}))")
+
+    def answer(stage, k, payload="NULL"):
+        name = f"{stage}_{dialect}"
+        a = answer_sql(name, "duckdb", key=k, payload=payload)
+        f = failed_sql("duckdb", key=k)
+        return (f"CASE WHEN {f} THEN NULL ELSE {a} END", f"CASE WHEN {f} THEN '{FAILURE_TEXT}' END")
+
+    yes = PR.P1_ENGLISH_ANSWER if dialect == "p1" else PR.P2_ENGLISH_ANSWER
+    c1, c2 = ("procurement_description", "account") if dialect == "p1" else ("description", "account")
+    o1, o2 = (f"{c1}_en", "account_en") if dialect == "p1" else ("description_en", "account_en")
+    dr, de = answer("detect", "dk", "t")
+    tr_r, tr_e = answer("translate", "tk", "t")
+    nl = "chr(10)"
+    ctes = [
+        f"lines AS (SELECT doc_id AS ordinal, text AS {c1}, source AS account FROM documents)",
+        f"""texts AS (SELECT DISTINCT t FROM (SELECT coalesce({c1}, 'nan') AS t FROM lines
+                UNION ALL SELECT coalesce(account, 'nan') FROM lines))""",
+        f"det AS (SELECT t, dk, {dr} AS response, {de} AS error FROM (SELECT t, {key('detect', text='t')} AS dk FROM texts))",
+        f"""det2 AS (SELECT dk, t, coalesce(lower({strip_sql('response')}) = '{yes}', false) AS is_english,
+                response IS NULL AS detect_failed, error AS detect_error FROM det)""",
+        f"""tr AS (SELECT dk, tk, {tr_r} AS response, {tr_e} AS error FROM (
+                SELECT dk, t, {key('translate', text='t')} AS tk FROM det2 WHERE NOT detect_failed AND NOT is_english))""",
+        f"""trans AS (SELECT det2.dk, CASE WHEN detect_failed OR is_english THEN det2.t
+                WHEN tr.response IS NULL THEN det2.t ELSE {strip_sql('tr.response')} END AS text_en,
+                detect_error, tr.error AS translate_error
+                FROM det2 LEFT JOIN tr ON tr.dk = det2.dk)""",
+        f"""l1 AS (SELECT lines.*, a.text_en AS {o1}, b.text_en AS {o2},
+                a.detect_error AS e1, a.translate_error AS e2, b.detect_error AS e3, b.translate_error AS e4
+                FROM lines
+                LEFT JOIN trans a ON a.dk = {key('detect', text=f"coalesce({c1}, 'nan')")}
+                LEFT JOIN trans b ON b.dk = {key('detect', text="coalesce(account, 'nan')")})""",
+    ]
+    if dialect == "p1":
+        ctes.append(f"l2 AS (SELECT *, {o1} || ' ' || {strip_digits_sql(o2)} AS input_text FROM l1)")
+        ctes.append(f"""l3 AS (SELECT *, CASE WHEN NOT {blank_sql('input_text')} THEN {key('naics', text='input_text')} END AS nk
+                FROM l2)""")
+        nr, ne = answer("naics", "nk")
+        ctes.append(f"l4 AS (SELECT *, CASE WHEN nk IS NOT NULL THEN {nr} END AS nresp, CASE WHEN nk IS NOT NULL THEN {ne} END AS e5 FROM l3)")
+        n1 = parse_p1_sql("nresp", "NAICS", True)
+        ctes.append(f"l5 AS (SELECT *, {gate_sql(n1, PR.DEFAULT_THRESHOLD, 'naics')} FROM l4)")
+        uk = key("unspsc", description="input_text", naics="coalesce(naics_description, 'None')")
+        ctes.append(f"l6 AS (SELECT *, CASE WHEN NOT {blank_sql('input_text')} THEN {uk} END AS uk FROM l5)")
+        ur, ue = answer("unspsc", "uk")
+        ctes.append(f"l7 AS (SELECT *, CASE WHEN uk IS NOT NULL THEN {ur} END AS uresp, CASE WHEN uk IS NOT NULL THEN {ue} END AS e6 FROM l6)")
+        u1 = parse_p1_sql("uresp", "UNSPSC", False, six=True)
+        ctes.append(f"final AS (SELECT *, {gate_sql(u1, PR.DEFAULT_THRESHOLD, 'unspsc')} FROM l7)")
+        out = (f"ordinal, {c1}, account, {o1}, {o2}, input_text, naics_code, naics_description, naics_confidence, "
+               "unspsc_code, unspsc_description, unspsc_confidence")
+    else:
+        ctes.append(f"l3 AS (SELECT *, {key('naics', text=o1)} AS nk FROM l1)")
+        nr, ne = answer("naics", "nk")
+        ctes.append(f"l4 AS (SELECT *, {nr} AS nresp, {ne} AS e5 FROM l3)")
+        ctes.append(f"l5 AS (SELECT *, {cols(parse_p2_sql('nresp', 'NAICS'), 'naics_')} FROM l4)")
+        uk = key("unspsc", description=o1, naics="coalesce(naics_description, 'None')")
+        ctes.append(f"l6 AS (SELECT *, {uk} AS uk FROM l5)")
+        ur, ue = answer("unspsc", "uk")
+        ctes.append(f"l7 AS (SELECT *, {ur} AS uresp, {ue} AS e6 FROM l6)")
+        ctes.append(f"final AS (SELECT *, {cols(parse_p2_sql('uresp', 'UNSPSC'), 'unspsc_')} FROM l7)")
+        out = (f"ordinal, {c1}, account, {o1}, {o2}, naics_code, naics_description, naics_confidence, "
+               "unspsc_code, unspsc_description, unspsc_confidence")
+    return {"ctes": "WITH " + ",\n".join(ctes), "out": out, "o1": o1, "o2": o2,
+            "key": key}
+
+
+def _init_pipeline_queries():
+    from spendcode.functions import prompts as PR
+
+    p1 = _pipeline_sql("p1")
+    p2 = _pipeline_sql("p2")
+    o1, o2 = p1["o1"], p1["o2"]
+    err_cols = [(f"detect_p1:{o1}", "e1"), (f"translate_p1:{o1}", "e2"), (f"detect_p1:{o2}", "e3"),
+                (f"translate_p1:{o2}", "e4"), ("naics_p1", "e5"), ("unspsc_p1", "e6")]
+    quarantine = " UNION ALL ".join(
+        f"SELECT ordinal, '{s}' AS stage, {c} AS error FROM final WHERE {c} IS NOT NULL" for s, c in err_cols)
+    metrics = f"""
+        SELECT 'detect_p1' AS stage, count(*) AS requests, count(response) AS answered, count(error) AS failed FROM det
+        UNION ALL SELECT 'translate_p1', count(*), count(response), count(error) FROM tr
+        UNION ALL SELECT 'naics_p1', count(*), count(nresp), count(e5) FROM (SELECT DISTINCT nk, nresp, e5 FROM final WHERE nk IS NOT NULL)
+        UNION ALL SELECT 'unspsc_p1', count(*), count(uresp), count(e6) FROM (SELECT DISTINCT uk, uresp, e6 FROM final WHERE uk IS NOT NULL)"""
+    key = p1["key"]
+    plan = f"""SELECT stage, request_key, count(*) AS n_lines FROM (
+        SELECT 'detect_p1' AS stage, {key('detect', text="coalesce(text, 'nan')")} AS request_key FROM documents
+        UNION ALL SELECT 'detect_p1', {key('detect', text="coalesce(source, 'nan')")} FROM documents
+        UNION ALL SELECT 'describe_p1', {key('describe', text="coalesce(text, 'nan')")} FROM documents)
+        GROUP BY stage, request_key"""
+    ORACLE.update({
+        "enrich": f"{p1['ctes']}\nSELECT {p1['out']} FROM final",
+        "process": f"{p2['ctes']}\nSELECT {p2['out']} FROM final",
+        "translate_gate": f"{p1['ctes']}\nSELECT ordinal, {o1}, {o2} FROM l1",
+        "quarantine": f"{p1['ctes']}\n{quarantine}",
+        "stage_metrics": f"{p1['ctes']}\n{metrics}",
+        "request_plan": plan,
+    })
+    del PR
+
+
+_init_pipeline_queries()
