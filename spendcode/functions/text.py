@@ -34,6 +34,23 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 LEADING_ARTICLES = ("the", "a", "an")
 TRAILING_COMPANY = ("inc", "ltd", "llc", "co", "corp", "corporation")
 
+
+
+def char_class(chars: str) -> str:
+    """Regex class for a set of letters, with runs of consecutive code points written as
+    ranges (Java tests a range in one step, a list of singletons one by one)."""
+    cps = sorted({ord(c) for c in chars})
+    out, i = [], 0
+    while i < len(cps):
+        j = i
+        while j + 1 < len(cps) and cps[j + 1] == cps[j] + 1:
+            j += 1
+        out.append(chr(cps[i]) if j == i else f"{chr(cps[i])}-{chr(cps[j])}")
+        i = j + 1
+    return "[" + "".join(out) + "]"
+
+
+NON_ENGLISH_CLASS = char_class(NON_ENGLISH_LETTERS)
 WS_RUN = f"[{WS}]+"
 STRIP_PATTERN = rf"\A[{WS}]+|[{WS}]+\z"
 
@@ -106,7 +123,7 @@ def is_english(c) -> Column:
     """Letter heuristic: true unless the lower-cased text has one of the non-English
     letters; a missing text is false."""
     c = _c(c)
-    return F.coalesce(~F.lower(c).rlike(f"[{NON_ENGLISH_LETTERS}]"), F.lit(False))
+    return F.coalesce(~F.lower(c).rlike(NON_ENGLISH_CLASS), F.lit(False))
 
 
 def valid_naics_code(c) -> Column:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendcode.functions.text import NON_ENGLISH_LETTERS
+from spendcode.functions.text import NON_ENGLISH_CLASS
 
 # ---------------------------------------------------------------------------------------
 # Fixed values of the stand-in (our own, not the reference's).
@@ -70,7 +70,7 @@ def answer_sql(stage: str, engine: str, key: str = "request_key", payload: str =
     v = e.v(key)
     nl = "chr(10)"
     kind, dialect = stage.rsplit("_", 1)
-    english = f"coalesce(NOT {e.matches(f'lower({payload})', f'[{NON_ENGLISH_LETTERS}]')}, false)"
+    english = f"coalesce(NOT {e.matches(f'lower({payload})', NON_ENGLISH_CLASS)}, false)"
     conf = f"CAST(40 + ({v} // 7) % 61 AS VARCHAR)" if engine == "duckdb" else \
         f"CAST(40 + floor({v} / 7) % 61 AS STRING)"
     shape = f"(({v} // 3) % 6)" if engine == "duckdb" else f"(floor({v} / 3) % 6)"
@@ -80,7 +80,7 @@ def answer_sql(stage: str, engine: str, key: str = "request_key", payload: str =
                 f"WHEN 1 THEN ' ' || lower({_lit(yes)}) || {nl} ELSE upper({_lit(yes)}) END) "
                 f"ELSE {_lit(no)} END")
     if kind == "translate":
-        return e.delete(f"lower({payload})", f"[{NON_ENGLISH_LETTERS}]")
+        return e.delete(f"lower({payload})", NON_ENGLISH_CLASS)
     if kind == "describe":
         return f"'UNSPSC Description: ' || {_pick(PRODUCTS, v)}"
     label = "NAICS" if kind == "naics" else "UNSPSC"

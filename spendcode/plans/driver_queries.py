@@ -200,6 +200,59 @@ def request_plan(spark, sf_dir):
     return u.groupBy("stage", "request_key").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+# --- fuzzy scores and best match (F1, F2, J1, J2, R7, T2, T3, G5) -----------------------
+
+def _pairs(spark, sf_dir):
+    """Each part name paired with the decorated name of the next part (equi-join on key)."""
+    p = table(spark, sf_dir, "part")
+    nxt = p.select((F.col("p_partkey") - 1).alias("p_partkey"),
+                   F.expr(X.PROBE_SQL).alias("b_raw"))
+    return p.join(nxt, "p_partkey").select("p_partkey", F.lower("p_name").alias("a"),
+                                            F.lower("b_raw").alias("b"))
+
+
+def fuzzy_ratio(spark, sf_dir):
+    from spendcode.functions.fuzzy import with_ratio
+    return with_ratio(_pairs(spark, sf_dir), "a", "b", "score").select("p_partkey", "score")
+
+
+def fuzzy_token_sort(spark, sf_dir):
+    from spendcode.functions.fuzzy import with_ratio
+    return with_ratio(_pairs(spark, sf_dir), "a", "b", "score", token_sort=True).select("p_partkey", "score")
+
+
+def _probes(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.expr(X.PROBE_SQL).alias("probe"))
+
+
+def fuzzy_best(spark, sf_dir):
+    from spendcode.operators.match import attach_best_match
+    from spendcode.sources.tables import catalogue_from_part
+    return attach_best_match(_probes(spark, sf_dir), "probe", catalogue_from_part(spark, sf_dir),
+                             scorer="token_sort").drop("probe")
+
+
+def fuzzy_best_cutoff(spark, sf_dir):
+    from spendcode.operators.match import attach_best_match
+    from spendcode.sources.tables import catalogue_from_part
+    return attach_best_match(_probes(spark, sf_dir), "probe", catalogue_from_part(spark, sf_dir),
+                             scorer="ratio", cutoff=70).drop("probe")
+
+
+def fuzzy_best_documents(spark, sf_dir):
+    """Whole document texts against the part catalogue (token-sort scorer)."""
+    from spendcode.operators.match import attach_best_match
+    from spendcode.sources.tables import catalogue_from_part
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return attach_best_match(d, "text", catalogue_from_part(spark, sf_dir)).drop("text")
+
+
+def fuzzy_enrich(spark, sf_dir):
+    from spendcode.plans.fuzzy_enrich import fuzzy_enrich as run
+    from spendcode.sources.tables import catalogue_from_part
+    return run(_lines_p1(spark, sf_dir), catalogue_from_part(spark, sf_dir))
+
+
 QUERIES = {
     "catalog_code": catalog_code,
     "clean_description": clean_description,
@@ -228,4 +281,10 @@ QUERIES = {
     "process": process,
     "quarantine": quarantine,
     "stage_metrics": stage_metrics,
+    "fuzzy_ratio": fuzzy_ratio,
+    "fuzzy_token_sort": fuzzy_token_sort,
+    "fuzzy_best": fuzzy_best,
+    "fuzzy_best_cutoff": fuzzy_best_cutoff,
+    "fuzzy_best_documents": fuzzy_best_documents,
+    "fuzzy_enrich": fuzzy_enrich,
 }

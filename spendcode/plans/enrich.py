@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +42,25 @@ class EnrichRun:
     stages: dict[str, DataFrame] = field(default_factory=dict)
     error_columns: dict[str, str] = field(default_factory=dict)
     output_columns: list[str] = field(default_factory=list)
+    persisted: list[DataFrame] = field(default_factory=list)
 
     def result(self) -> DataFrame:
         return self.lines.select(*self.output_columns)
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Stage boundary.  The next stage both derives its requests from ``df`` and joins
+        the answers back to it; persisting makes the two branches share one computation
+        instead of doubling the lineage at every stage.  Lost blocks are recomputed from
+        lineage, so an executor loss costs time, not correctness."""
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self.persisted.append(df)
+        return df
+
+    def release(self) -> None:
+        for df in self.persisted:
+            df.unpersist()
+        self.persisted.clear()
+
 
 def _key(dialect: str, stage: str, model: str, **slots: Column) -> Column:
     return request_columns(dialect, stage, model, **slots)[1]
@@ -73,11 +89,12 @@ def translation_table(texts: DataFrame, dialect: str, model: str, store: Respons
     tr = store.resolve(tr_req, responder, stage_name(dialect, "translate"), carry=("payload", "dk"))
     run.stages[stage_name(dialect, "translate")] = tr
     tr2 = tr.select("dk", F.col("response").alias("tr_response"), F.col("error").alias("translate_error"))
+    det2 = run.keep(det2)
     joined = det2.join(tr2, "dk", "left")
     text_en = (F.when(F.col("detect_failed") | F.col("is_english"), F.col("t"))
                .when(F.col("tr_response").isNull(), F.col("t"))
                .otherwise(T.py_strip("tr_response")))
-    return joined.select("dk", text_en.alias("text_en"), "detect_error", "translate_error")
+    return run.keep(joined.select("dk", text_en.alias("text_en"), "detect_error", "translate_error"))
 
 
 def _attach_translation(lines: DataFrame, trans: DataFrame, key: str, out: str) -> DataFrame:
@@ -104,7 +121,7 @@ def _translate_columns(lines: DataFrame, columns: dict[str, str], dialect: str,
         lines = _attach_translation(lines, trans, k, out).drop(k)
         run.error_columns[f"detect_{dialect}:{out}"] = f"{out}_detect_error"
         run.error_columns[f"translate_{dialect}:{out}"] = f"{out}_translate_error"
-    return lines
+    return run.keep(lines)
 
 
 def _classify(lines: DataFrame, dialect: str, stage: str, model: str, guard: Column | None,
@@ -114,7 +131,7 @@ def _classify(lines: DataFrame, dialect: str, stage: str, model: str, guard: Col
     key = _key(dialect, stage, model, **slots)
     if guard is not None:
         key = F.when(guard, key)
-    lines = lines.withColumn(k, key)
+    lines = run.keep(lines.withColumn(k, key))
     req = lines.where(F.col(k).isNotNull()).select(*request_columns(dialect, stage, model, **slots))
     ans = store.resolve(req, responder, stage_name(dialect, stage))
     run.stages[stage_name(dialect, stage)] = ans

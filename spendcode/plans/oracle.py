@@ -6,7 +6,7 @@ the same way Java does.  Views for the driver tables are registered by the calle
 
 from __future__ import annotations
 
-from spendcode.functions.text import (DIGIT, LEADING_ARTICLES, NA_TOKENS, NON_ENGLISH_LETTERS,
+from spendcode.functions.text import (DIGIT, LEADING_ARTICLES, NA_TOKENS, NON_ENGLISH_CLASS,
                                       TRAILING_COMPANY, WORD, WS)
 from spendcode.sources.fixtures import RAW_CODE_SQL, RAW_DESCRIPTION_SQL
 
@@ -75,7 +75,7 @@ FROM raw WHERE code IS NOT NULL AND description IS NOT NULL""",
 # --- text scalars -------------------------------------------------------------------------
 
 def is_english_sql(e: str) -> str:
-    return f"coalesce(NOT regexp_matches(lower({e}), '[{NON_ENGLISH_LETTERS}]'), false)"
+    return f"coalesce(NOT regexp_matches(lower({e}), {q(NON_ENGLISH_CLASS)}), false)"
 
 
 def strip_digits_sql(e: str) -> str:
@@ -328,3 +328,91 @@ def _init_pipeline_queries():
 
 
 _init_pipeline_queries()
+
+
+# --- fuzzy ----------------------------------------------------------------------------------
+
+def _dp_lcs(a: str, b: str) -> str:
+    """LCS length by dynamic programming: one DP row per character of ``b``; each new row
+    is the prefix maximum of max(prev[j], prev[j-1] + match)."""
+    return (f"list_reduce(str_split({b}, ''), lambda lcs_prev, lcs_ch: [0] || list_transform("
+            f"range(1, length({a}) + 1), lambda lcs_j: list_max(list_transform(range(1, lcs_j + 1), "
+            f"lambda lcs_i: greatest(lcs_prev[lcs_i + 1], "
+            f"lcs_prev[lcs_i] + CASE WHEN {a}[lcs_i] = lcs_ch THEN 1 ELSE 0 END)))), "
+            f"list_transform(range(0, length({a}) + 1), lambda lcs_z: 0))[length({a}) + 1]")
+
+
+def ratio_sql(a: str, b: str) -> str:
+    lcs = f"(CASE WHEN length({a}) <= length({b}) THEN {_dp_lcs(a, b)} ELSE {_dp_lcs(b, a)} END)"
+    tot = f"(length({a}) + length({b}))"
+    r = f"(CAST({tot} - ({tot} - 2 * {lcs}) AS DOUBLE) / {tot})"
+    return (f"(CASE WHEN {a} = {b} THEN 100 WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 "
+            f"ELSE CAST(round_even(CAST(100 AS DOUBLE) * {r}, 0) AS INTEGER) END)")
+
+
+def token_key_sql(e: str) -> str:
+    t = f"regexp_replace({e}, '[\\x{{80}}-\\x{{FF}}]', '', 'g')"
+    t = f"lower(regexp_replace({t}, '[^{WORD}]', ' ', 'g'))"
+    return f"array_to_string(list_sort(list_filter(string_split_regex({t}, ' +'), lambda tok: tok <> '')), ' ')"
+
+
+def best_match_sql(texts: str, text_col: str, id_col: str, scorer: str, floor: int,
+                   catalogue: str = "SELECT p_partkey AS ordinal, CAST(p_partkey AS VARCHAR) AS code, "
+                                    "p_name AS description FROM part") -> str:
+    """CTEs ``mk`` (id, k) and ``best`` (k, code, description, score) for a text table."""
+    key = (lambda e: token_key_sql(f"lower({e})")) if scorer == "token_sort" else (lambda e: f"lower({e})")
+    return f"""mk AS (SELECT {id_col}, CASE WHEN NOT {blank_sql(text_col)} THEN {key(text_col)} END AS k FROM ({texts})),
+    mkeys AS (SELECT DISTINCT k FROM mk WHERE k IS NOT NULL),
+    cat0 AS (SELECT {key('description')} AS ck, ordinal, code, description FROM ({catalogue}) WHERE description IS NOT NULL),
+    cat1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ck ORDER BY ordinal) AS rn FROM cat0) WHERE rn = 1),
+    scored AS (SELECT k, ordinal, code, description, {ratio_sql('k', 'ck')} AS score FROM mkeys CROSS JOIN cat1),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, ordinal) AS rn
+             FROM scored WHERE score >= {floor}) WHERE rn = 1)"""
+
+
+def _init_fuzzy_queries():
+    from spendcode.functions import prompts as PR
+    from spendcode.sources.fixtures import PROBE_SQL
+
+    pairs = f"""pairs AS (SELECT p.p_partkey, lower(p.p_name) AS a, lower(n.b_raw) AS b FROM part p
+        JOIN (SELECT p_partkey - 1 AS p_partkey, {PROBE_SQL} AS b_raw FROM part) n ON n.p_partkey = p.p_partkey)"""
+    probes = f"SELECT p_partkey, {PROBE_SQL} AS probe FROM part"
+    out = """SELECT mk.p_partkey, best.code AS match_code, best.description AS match_description,
+        coalesce(best.score, 0) AS match_score FROM mk LEFT JOIN best ON best.k = mk.k"""
+    ORACLE.update({
+        "fuzzy_ratio": f"WITH {pairs} SELECT p_partkey, {ratio_sql('a', 'b')} AS score FROM pairs",
+        "fuzzy_token_sort": f"""WITH {pairs}, keyed AS (SELECT p_partkey, {token_key_sql('a')} AS ka,
+            {token_key_sql('b')} AS kb FROM pairs) SELECT p_partkey, {ratio_sql('ka', 'kb')} AS score FROM keyed""",
+        "fuzzy_best": f"WITH {best_match_sql(probes, 'probe', 'p_partkey', 'token_sort', 1)} {out}",
+        "fuzzy_best_cutoff": f"WITH {best_match_sql(probes, 'probe', 'p_partkey', 'ratio', 70)} {out}",
+    })
+
+    # Catalogue-matching enrich: industry from the model (gated), product = best catalogue
+    # match of the model's product description, filled only when the industry passes.
+    p1 = _pipeline_sql("p1")
+    key = p1["key"]
+    from spendcode.operators.replay import FAILURE_TEXT, answer_sql, failed_sql
+
+    def ans(stage, k):
+        a = answer_sql(f"{stage}_p1", "duckdb", key=k, payload="NULL")
+        f = failed_sql("duckdb", key=k)
+        return f"CASE WHEN {k} IS NULL OR {f} THEN NULL ELSE {a} END"
+
+    txt = "coalesce(text, 'nan')"
+    n1 = parse_p1_sql("nresp", "NAICS", True)
+    lines = f"""f1 AS (SELECT doc_id AS ordinal, text,
+            CASE WHEN NOT {blank_sql('text')} THEN {key('naics', text=txt)} END AS nk,
+            CASE WHEN NOT {blank_sql('text')} THEN {key('describe', text=txt)} END AS dk FROM documents),
+        f2 AS (SELECT *, {ans('naics', 'nk')} AS nresp, {ans('describe', 'dk')} AS dresp FROM f1),
+        f3 AS (SELECT ordinal, {gate_sql(n1, PR.DEFAULT_THRESHOLD, 'naics')}, {describe_sql('dresp')} AS product_text FROM f2)"""
+    ORACLE["fuzzy_enrich"] = f"""WITH {lines},
+        {best_match_sql('SELECT ordinal, product_text FROM f3', 'product_text', 'ordinal', 'token_sort', 1)}
+        SELECT f3.ordinal, naics_code, naics_description, naics_confidence,
+            CASE WHEN naics_confidence >= {PR.DEFAULT_THRESHOLD} THEN best.code ELSE '' END AS unspsc_code,
+            CASE WHEN naics_confidence >= {PR.DEFAULT_THRESHOLD} THEN best.description ELSE '' END AS unspsc_description,
+            CASE WHEN naics_confidence >= {PR.DEFAULT_THRESHOLD} THEN coalesce(best.score, 0) ELSE 0 END AS unspsc_confidence
+        FROM f3 JOIN mk ON mk.ordinal = f3.ordinal LEFT JOIN best ON best.k = mk.k"""
+    del FAILURE_TEXT
+
+
+_init_fuzzy_queries()

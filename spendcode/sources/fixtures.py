@@ -104,3 +104,15 @@ CODE_CANDIDATE_SQL = """CASE p_partkey % 8
     WHEN 3 THEN CAST(p_partkey AS VARCHAR) || chr(10)
     WHEN 4 THEN ' ' || CAST(p_partkey AS VARCHAR)
     ELSE substr(CAST(p_partkey * 7919 AS VARCHAR), 1, CAST(p_partkey % 9 AS INTEGER)) END"""
+
+# Texts to match against the part catalogue: names with swapped tokens, changed case,
+# punctuation, plural and article, a cut first letter, and texts that are blank or that
+# normalise to nothing.
+PROBE_SQL = """CASE WHEN p_partkey % 101 = 3 THEN '?!'
+    WHEN p_partkey % 103 = 4 THEN '   '
+    ELSE CASE p_partkey % 5
+    WHEN 0 THEN p_name
+    WHEN 1 THEN split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1)
+    WHEN 2 THEN upper(p_name) || '!'
+    WHEN 3 THEN 'the ' || p_name || 's'
+    ELSE substr(p_name, 2) END END"""
