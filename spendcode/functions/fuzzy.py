@@ -20,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendcode.functions.text import WORD
+from spendcode.functions.text import WORD, let
 
 NATIVE_MAX = 62
 # Characters the token-sort scorer deletes before scoring (Latin-1 supplement).
@@ -46,24 +46,29 @@ def _bit(i: Column) -> Column:
 
 def _lcs_native(a: Column, b: Column) -> Column:
     """LCS length when ``length(a) <= NATIVE_MAX`` (bits over ``a``, iterate over ``b``)."""
-    chars_a = F.regexp_extract_all(a, F.lit("(?s)."), 0)
-    chars_b = F.regexp_extract_all(b, F.lit("(?s)."), 0)
-    m = F.size(chars_a)
-    full = _bit(m) - F.lit(1)
-    positions = F.sequence(F.lit(0), m - F.lit(1))
-
-    def mask_of(ch):
-        return F.aggregate(positions, F.lit(0).cast("long"),
-                           lambda acc, i: acc.bitwiseOR(
-                               F.when(F.get(chars_a, i) == ch, _bit(i))
-                               .otherwise(F.lit(0).cast("long"))))
-
-    def step(v, mask):
-        u = v.bitwiseAND(mask)
-        return (v + u).bitwiseOR(v - u).bitwiseAND(full)
-
-    v = F.aggregate(F.transform(chars_b, mask_of), full, step)
-    return m - F.bit_count(v)
+
+    def with_chars(chars_a):
+        m = F.size(chars_a)
+        positions = F.sequence(F.lit(0), m - F.lit(1))
+
+        def mask_of(ch):
+            return F.aggregate(positions, F.lit(0).cast("long"),
+                               lambda acc, i: acc.bitwiseOR(
+                                   F.when(F.get(chars_a, i) == ch, _bit(i))
+                                   .otherwise(F.lit(0).cast("long"))))
+
+        def with_full(full):
+            def step(v, mask):
+                u = v.bitwiseAND(mask)
+                return (v + u).bitwiseOR(v - u).bitwiseAND(full)
+
+            chars_b = F.regexp_extract_all(b, F.lit("(?s)."), 0)
+            v = F.aggregate(F.transform(chars_b, mask_of), full, step)
+            return m - F.bit_count(v)
+
+        return let(_bit(m) - F.lit(1), with_full)
+
+    return let(F.regexp_extract_all(a, F.lit("(?s)."), 0), with_chars)
 
 
 def _ratio_from_lcs(la: Column, lb: Column, lcs: Column) -> Column:

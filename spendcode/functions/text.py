@@ -142,3 +142,11 @@ def format_elapsed(seconds) -> Column:
     prefix = F.concat(days.cast("string"),
                       F.when(F.abs(days) == 1, F.lit(" day, ")).otherwise(F.lit(" days, ")))
     return F.when(days == 0, hms).otherwise(F.concat(prefix, hms))
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    Spark inlines expressions into higher-order-function lambdas, so an array used inside
+    ``transform``/``aggregate`` would otherwise be recomputed for every element."""
+    return F.get(F.transform(F.array(value), body), 0)

@@ -253,6 +253,50 @@ def fuzzy_enrich(spark, sf_dir):
     return run(_lines_p1(spark, sf_dir), catalogue_from_part(spark, sf_dir))
 
 
+# --- vectors (E3, E5, E6, R4, S8, S9) ----------------------------------------------------
+
+def hash_embed(spark, sf_dir):
+    from spendcode.operators.vectors import embed
+    recs = embed(C.embedding_records(X.raw_catalogue(spark, sf_dir)), "text")
+    return (recs.select("ordinal", F.posexplode("vector").alias("bucket", "w"))
+            .where(F.col("w") > 0)
+            .select("ordinal", "bucket", F.round(F.col("w").cast("double"), 6).alias("weight")))
+
+
+def cosine_similarity(spark, sf_dir):
+    from spendcode.functions.vectors import cosine
+    e = table(spark, sf_dir, "embeddings")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next_embedding"))
+    return e.join(nxt, "vec_id").select("vec_id", F.round(cosine("embedding", "next_embedding"), 6)
+                                        .alias("similarity"))
+
+
+def cosine_topk(spark, sf_dir):
+    from spendcode.operators.vectors import nearest
+    e = table(spark, sf_dir, "embeddings")
+    probes = e.select(F.col("vec_id").alias("probe_id"), F.col("embedding").alias("vector"))
+    index = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return nearest(probes, index, k=5).select("probe_id", "rank", "id",
+                                              F.round("similarity", 6).alias("similarity"))
+
+
+def vector_upsert(spark, sf_dir):
+    """Rows with label 0 form the existing index, the others are upserted into it; ids
+    repeat (vec_id % 200) so later writes replace earlier ones."""
+    from spendcode.operators.vectors import upsert, vector_records
+    e = table(spark, sf_dir, "embeddings").select(
+        (F.col("vec_id") % 200).alias("id"), "vec_id", "embedding", "label",
+        F.concat(F.lit("label "), F.col("label").cast("string")).alias("description"))
+    recs = vector_records(e, "id", "embedding", "description", "vec_id").withColumn(
+        "label", F.col("metadata")["description"])
+    existing = recs.where(F.col("label") == "label 0").drop("label")
+    batch = recs.where(F.col("label") != "label 0").drop("label")
+    merged = upsert(existing, batch)
+    vsum = F.aggregate(F.transform("vector", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return merged.select("id", F.col("seq"), F.size("vector").alias("dim"),
+                         F.round(vsum, 6).alias("vsum"), F.col("metadata")["description"].alias("description"))
+
+
 QUERIES = {
     "catalog_code": catalog_code,
     "clean_description": clean_description,
@@ -287,4 +331,8 @@ QUERIES = {
     "fuzzy_best_cutoff": fuzzy_best_cutoff,
     "fuzzy_best_documents": fuzzy_best_documents,
     "fuzzy_enrich": fuzzy_enrich,
+    "hash_embed": hash_embed,
+    "cosine_similarity": cosine_similarity,
+    "cosine_topk": cosine_topk,
+    "vector_upsert": vector_upsert,
 }

@@ -416,3 +416,39 @@ def _init_fuzzy_queries():
 
 
 _init_fuzzy_queries()
+
+
+# --- vectors --------------------------------------------------------------------------------
+
+def _init_vector_queries():
+    from spendcode.functions.vectors import DIMENSION, TOKEN_PATTERN
+    ORACLE.update({
+        "hash_embed": f"""WITH {RAW_CATALOGUE},
+            rec AS (SELECT ordinal, replace(code, '.0', '') || ' - ' || description AS text FROM raw
+                    WHERE code IS NOT NULL AND description IS NOT NULL),
+            tok AS (SELECT ordinal, unnest(regexp_extract_all(lower(text), '{TOKEN_PATTERN}')) AS t FROM rec),
+            cnt AS (SELECT ordinal, CAST(('0x' || substr(md5(t), 1, 7)) AS BIGINT) % {DIMENSION} AS bucket,
+                    CAST(count(*) AS DOUBLE) AS c FROM tok GROUP BY ALL)
+            SELECT ordinal, CAST(bucket AS INTEGER) AS bucket,
+                   round(c / sqrt(sum(c * c) OVER (PARTITION BY ordinal)), 6) AS weight FROM cnt""",
+        "cosine_similarity": """SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]),
+                CAST(b.embedding AS DOUBLE[])), 6) AS similarity
+            FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
+        "cosine_topk": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+            s AS (SELECT a.vec_id AS probe_id, b.vec_id AS id, list_cosine_similarity(a.v, b.v) AS sim
+                  FROM e a CROSS JOIN e b),
+            r AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY sim DESC, id) AS rank FROM s)
+            SELECT probe_id, CAST(rank AS INTEGER) AS rank, id, round(sim, 6) AS similarity FROM r WHERE rank <= 5""",
+        "vector_upsert": """WITH rec AS (SELECT CAST(vec_id % 200 AS VARCHAR) AS id, vec_id AS seq, embedding, label
+                FROM embeddings),
+            old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn
+                    FROM rec WHERE label = 0) WHERE rn = 1),
+            new AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn
+                    FROM rec WHERE label <> 0) WHERE rn = 1),
+            m AS (SELECT * FROM old WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT * FROM new)
+            SELECT id, seq, len(embedding) AS dim, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS vsum,
+                   'label ' || CAST(label AS VARCHAR) AS description FROM m""",
+    })
+
+
+_init_vector_queries()
