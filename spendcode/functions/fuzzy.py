@@ -102,6 +102,8 @@ def with_ratio(df: DataFrame, a: str, b: str, out: str, token_sort: bool = False
     Rows whose shorter side fits the BIGINT state are scored by the native expression; the
     rest (both sides longer than 62 code points) by the Arrow UDF, so Python only sees the
     rows that need it."""
+    from spendcode.session import ship_package
+    ship_package(df.sparkSession)
     ka, kb = (token_sort_key(a), token_sort_key(b)) if token_sort else (F.col(a), F.col(b))
     keyed = df.withColumn("_ka", ka).withColumn("_kb", kb)
     wide = (F.length("_ka") > NATIVE_MAX) & (F.length("_kb") > NATIVE_MAX)

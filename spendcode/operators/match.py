@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from spendcode.functions import fuzzy as FZ
 from spendcode.functions.text import is_blank
+from spendcode.session import ship_package
 
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -119,6 +120,7 @@ def best_matches(keys: DataFrame, catalogue: DataFrame, scorer: str = "token_sor
     """For distinct match keys ``k``: ``k, m_ordinal, m_code, m_description, m_score``
     (keys without a match are absent)."""
     spark = keys.sparkSession
+    ship_package(spark)
     cat = prepare_catalogue(catalogue, scorer).persist()
     size = cat.agg(F.count(F.lit(1)).alias("n"),
                    F.coalesce(F.sum(F.length("k") * 2 + F.length("description") + 32), F.lit(0))

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendcode.functions.prompts import SYSTEM, TEMPERATURE, USER, split_frame
+from spendcode.session import ship_package
 
 KEY_SEPARATOR = "\u0001"
 REQUEST_COLUMNS = ["stage", "request_key", "model", "temperature", "system", "user"]
@@ -147,6 +148,7 @@ def pandas_responder(call: Callable, partitions: int | None = None) -> Responder
             yield base.assign(response=list(resp), error=list(err))
 
     def responder(misses: DataFrame, stage: str) -> DataFrame:
+        ship_package(misses.sparkSession)
         df = misses.repartition(partitions) if partitions else misses
         return df.mapInPandas(run, out_schema)
 

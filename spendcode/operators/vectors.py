@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendcode.functions.vectors import DIMENSION, hash_embedding
+from spendcode.session import ship_package
 
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
@@ -92,6 +93,7 @@ def embed(df: DataFrame, text_col: str, out: str = "vector",
     ``mapInPandas`` and is built once per task."""
     if encoder is None:
         return df.withColumn(out, hash_embedding(text_col, dimension).cast("array<float>"))
+    ship_package(df.sparkSession)
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(batches):
@@ -151,6 +153,7 @@ def nearest(probes: DataFrame, index: DataFrame, k: int = 5, max_rows: int = MAX
     import numpy as np
 
     spark = probes.sparkSession
+    ship_package(spark)
     idx = index.select(F.col("id").cast("long").alias("id"), "vector").persist()
     size = idx.agg(F.count(F.lit(1)).alias("n"),
                    F.coalesce(F.sum(F.size("vector") * 8 + 16), F.lit(0)).alias("b")).first()

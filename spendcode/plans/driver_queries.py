@@ -297,6 +297,21 @@ def vector_upsert(spark, sf_dir):
                          F.round(vsum, 6).alias("vsum"), F.col("metadata")["description"].alias("description"))
 
 
+# --- CSV sink and source (S6, S7, S1, S2, R1) -------------------------------------------
+
+def csv_roundtrip(spark, sf_dir):
+    """The enriched lines written as CSV (multi-line quoted texts, header spelt the
+    misspelt way) and read back; every field comes back as text, '' as null."""
+    import uuid
+    from spendcode.session import shared_dir
+    from spendcode.sources.csv_io import read_purchase_lines, write_csv
+    path = shared_dir(spark, f"csv-roundtrip-{uuid.uuid4().hex[:12]}")
+    enriched = (enrich(spark, sf_dir).withColumnRenamed("ordinal", "line_no")
+                .withColumnRenamed("procurement_description", "procurment_description"))
+    write_csv(enriched, path)
+    return read_purchase_lines(spark, path).drop("ordinal")
+
+
 QUERIES = {
     "catalog_code": catalog_code,
     "clean_description": clean_description,
@@ -335,4 +350,5 @@ QUERIES = {
     "cosine_similarity": cosine_similarity,
     "cosine_topk": cosine_topk,
     "vector_upsert": vector_upsert,
+    "csv_roundtrip": csv_roundtrip,
 }

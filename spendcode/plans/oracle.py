@@ -452,3 +452,18 @@ def _init_vector_queries():
 
 
 _init_vector_queries()
+
+
+def _init_csv_queries():
+    p1 = _pipeline_sql("p1")
+    cols = [("ordinal", "line_no")] + [(c.strip(), c.strip()) for c in p1["out"].split(",")[1:]]
+
+    def txt(e):
+        v = f"CAST({e} AS VARCHAR)"
+        return f"CASE WHEN {v} IN ({NA_LIST}) THEN NULL ELSE {v} END"
+
+    sel = ", ".join(f"{txt(src)} AS {dst}" for src, dst in cols)
+    ORACLE["csv_roundtrip"] = f"{p1['ctes']}\nSELECT {sel} FROM final"
+
+
+_init_csv_queries()
