@@ -46,15 +46,31 @@ def token_bucket(token) -> Column:
     return F.conv(F.substring(F.md5(_c(token)), 1, 7), 16, 10).cast("long") % F.lit(DIMENSION)
 
 
-def hash_embedding(text, dimension: int = DIMENSION) -> Column:
-    """Dense L2-normalised token-count vector (array<double>) of the lower-cased text."""
+def hash_embedding_sparse(text) -> Column:
+    """Non-zero entries of the hashed vector: ``array<struct<bucket int, weight double>>``
+    sorted by bucket; weights are token counts divided by the vector's L2 norm."""
     tokens = F.regexp_extract_all(F.lower(_c(text)), F.lit(TOKEN_PATTERN), 0)
-    buckets = F.transform(tokens, token_bucket)
-    counts = F.aggregate(buckets, F.array_repeat(F.lit(0.0), dimension),
-                         lambda acc, b: F.transform(acc, lambda x, i: F.when(i == b, x + 1).otherwise(x)))
 
-    def normalise(c):
-        n = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-        return let(n, lambda nv: F.when(nv > 0, F.transform(c, lambda x: x / nv)).otherwise(c))
+    def counted(buckets):
+        entries = F.transform(F.array_sort(F.array_distinct(buckets)),
+                              lambda b: F.struct(b.cast("int").alias("bucket"),
+                                                 F.size(F.filter(buckets, lambda x: x == b))
+                                                 .cast("double").alias("weight")))
+        return let(entries, normalise)
+
+    def normalise(entries):
+        n = F.sqrt(F.aggregate(entries, F.lit(0.0), lambda s, e: s + e["weight"] * e["weight"]))
+        return let(n, lambda nv: F.transform(
+            entries, lambda e: F.struct(e["bucket"].alias("bucket"), (e["weight"] / nv).alias("weight"))))
+
+    return let(F.transform(tokens, token_bucket), counted)
+
+
+def hash_embedding(text, dimension: int = DIMENSION) -> Column:
+    """Dense L2-normalised token-count vector (array<double>) of the lower-cased text."""
+    def dense(entries):
+        m = F.map_from_entries(entries)
+        return let(m, lambda mv: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)),
+                                             lambda i: F.coalesce(F.try_element_at(mv, i), F.lit(0.0))))
 
-    return let(counts, normalise)
+    return let(hash_embedding_sparse(text), dense)

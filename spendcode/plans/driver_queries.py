@@ -256,11 +256,11 @@ def fuzzy_enrich(spark, sf_dir):
 # --- vectors (E3, E5, E6, R4, S8, S9) ----------------------------------------------------
 
 def hash_embed(spark, sf_dir):
-    from spendcode.operators.vectors import embed
-    recs = embed(C.embedding_records(X.raw_catalogue(spark, sf_dir)), "text")
-    return (recs.select("ordinal", F.posexplode("vector").alias("bucket", "w"))
-            .where(F.col("w") > 0)
-            .select("ordinal", "bucket", F.round(F.col("w").cast("double"), 6).alias("weight")))
+    from spendcode.functions.vectors import hash_embedding_sparse
+    recs = C.embedding_records(X.raw_catalogue(spark, sf_dir))
+    return (recs.select("ordinal", F.explode(hash_embedding_sparse("text")).alias("e"))
+            .select("ordinal", F.col("e.bucket").alias("bucket"),
+                    F.round("e.weight", 6).alias("weight")))
 
 
 def cosine_similarity(spark, sf_dir):

@@ -75,3 +75,12 @@ def test_char_class_is_the_same_set():
     for cp in range(0x20, 0x500):
         ch = chr(cp)
         assert bool(cls.fullmatch(ch)) == (ch in TX.NON_ENGLISH_LETTERS), hex(cp)
+
+
+def test_whitespace_set_matches_python():
+    import re
+    ws_class = re.compile(f"[{TX.WS.replace('\\p{Z}', '')}]")
+    for cp in range(0x110000):
+        ch = chr(cp)
+        assert (ch in TX.WS_CHARS) == ch.isspace(), hex(cp)
+    assert ws_class  # the regex class is also used in Spark/DuckDB patterns
