@@ -120,9 +120,24 @@ def unspsc_describe(response) -> Column:
 
 
 def parse_status(response, parsed: Column) -> Column:
-    """ok / no_answer / rejected / incomplete -- per-row outcome of a parse."""
+    """Per-answer outcome: ``no_answer`` (failed or not asked), ``no_code``, ``incomplete``
+    (code without description or confidence), ``ok``."""
     r = F.col(response) if isinstance(response, str) else response
     return (F.when(r.isNull(), F.lit("no_answer"))
-            .when(parsed["code"].isNull(), F.lit("rejected"))
+            .when(parsed["code"].isNull(), F.lit("no_code"))
             .when(parsed["description"].isNull() | (parsed["confidence"] == 0), F.lit("incomplete"))
             .otherwise(F.lit("ok")))
+
+
+PARSERS = {"naics_p1": naics_p1, "naics_p2": naics_p2, "unspsc_p1": unspsc_p1, "unspsc_p2": unspsc_p2}
+
+
+def parse_responses(responses, column: str, parser: str):
+    """Parse a response table: adds ``code``, ``description``, ``confidence`` and
+    ``parse_status`` columns; returns ``(parsed, counts per status)``."""
+    parsed = responses.withColumn("_r", PARSERS[parser](column)).select(
+        "*", F.col("_r.code").alias("code"), F.col("_r.description").alias("description"),
+        F.col("_r.confidence").alias("confidence")).drop("_r")
+    parsed = parsed.withColumn("parse_status", parse_status(column, F.struct("code", "description", "confidence")))
+    counts = parsed.groupBy("parse_status").agg(F.count(F.lit(1)).alias("n"))
+    return parsed, counts

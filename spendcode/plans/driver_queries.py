@@ -123,6 +123,20 @@ def unspsc_describe_parse(spark, sf_dir):
     return a.select("p_partkey", P.unspsc_describe("unspsc_answer").alias("description"))
 
 
+def parse_report(spark, sf_dir):
+    """Answers per parser and parse status."""
+    a = X.answers(spark, sf_dir)
+    frames = []
+    for parser, col in (("naics_p1", "naics_answer"), ("naics_p2", "naics_answer"),
+                        ("unspsc_p1", "unspsc_answer"), ("unspsc_p2", "unspsc_answer")):
+        _, counts = P.parse_responses(a, col, parser)
+        frames.append(counts.select(F.lit(parser).alias("parser"), "parse_status", "n"))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def threshold_gate(spark, sf_dir):
     a = X.answers(spark, sf_dir)
     parsed = a.select("p_partkey", P.naics_p1("naics_answer").alias("n"),
@@ -332,6 +346,7 @@ QUERIES = {
     "unspsc_parse_generic": unspsc_parse_generic,
     "unspsc_describe_parse": unspsc_describe_parse,
     "threshold_gate": threshold_gate,
+    "parse_report": parse_report,
     "confidence_histogram": confidence_histogram,
     "hierarchy_rollup": hierarchy_rollup,
     "request_plan": request_plan,

@@ -41,6 +41,8 @@ class EnrichRun:
     lines: DataFrame
     stages: dict[str, DataFrame] = field(default_factory=dict)
     error_columns: dict[str, str] = field(default_factory=dict)
+    # stage -> (line slots that asked the stage, line slots whose answer passed the gate)
+    line_metrics: dict[str, tuple] = field(default_factory=dict)
     output_columns: list[str] = field(default_factory=list)
     persisted: list[DataFrame] = field(default_factory=list)
 
@@ -94,13 +96,16 @@ def translation_table(texts: DataFrame, dialect: str, model: str, store: Respons
     text_en = (F.when(F.col("detect_failed") | F.col("is_english"), F.col("t"))
                .when(F.col("tr_response").isNull(), F.col("t"))
                .otherwise(T.py_strip("tr_response")))
-    return run.keep(joined.select("dk", text_en.alias("text_en"), "detect_error", "translate_error"))
+    asked = ~F.col("detect_failed") & ~F.col("is_english")
+    return run.keep(joined.select("dk", text_en.alias("text_en"), "detect_error", "translate_error",
+                                  asked.alias("translate_asked")))
 
 
 def _attach_translation(lines: DataFrame, trans: DataFrame, key: str, out: str) -> DataFrame:
     t = trans.select(F.col("dk").alias(key), F.col("text_en").alias(out),
                      F.col("detect_error").alias(f"{out}_detect_error"),
-                     F.col("translate_error").alias(f"{out}_translate_error"))
+                     F.col("translate_error").alias(f"{out}_translate_error"),
+                     F.col("translate_asked").alias(f"{out}_translate_asked"))
     return lines.join(t, key, "left")
 
 
@@ -121,6 +126,10 @@ def _translate_columns(lines: DataFrame, columns: dict[str, str], dialect: str,
         lines = _attach_translation(lines, trans, k, out).drop(k)
         run.error_columns[f"detect_{dialect}:{out}"] = f"{out}_detect_error"
         run.error_columns[f"translate_{dialect}:{out}"] = f"{out}_translate_error"
+    detect = stage_name(dialect, "detect")
+    translate = stage_name(dialect, "translate")
+    run.line_metrics[detect] = (F.lit(len(columns)), None)
+    run.line_metrics[translate] = (sum(F.col(f"{o}_translate_asked").cast("int") for o in columns.values()), None)
     return run.keep(lines)
 
 
@@ -138,7 +147,8 @@ def _classify(lines: DataFrame, dialect: str, stage: str, model: str, guard: Col
     ans2 = ans.select(F.col("request_key").alias(k), F.col("response").alias(f"{stage}_response"),
                       F.col("error").alias(f"{stage}_error"))
     run.error_columns[stage_name(dialect, stage)] = f"{stage}_error"
-    return lines.join(ans2, k, "left").drop(k)
+    run.line_metrics[stage_name(dialect, stage)] = (F.col(k).isNotNull().cast("int"), None)
+    return lines.join(ans2, k, "left").withColumn(f"{stage}_asked", F.col(k).isNotNull()).drop(k)
 
 
 def enrich(lines: DataFrame, settings: Settings = Settings(), store: ResponseStore | None = None,
@@ -159,11 +169,15 @@ def enrich(lines: DataFrame, settings: Settings = Settings(), store: ResponseSto
     df = _classify(df, "p1", "naics", settings.classification_model, guard, store, responder, run,
                    text=F.col("input_text"))
     df = df.select("*", *gate(P.naics_p1("naics_response"), settings.confidence_threshold, "naics"))
+    run.line_metrics["naics_p1"] = (F.col("naics_asked").cast("int"),
+                                    (F.col("naics_confidence") >= settings.confidence_threshold).cast("int"))
     naics_context = F.coalesce(F.col("naics_description"), F.lit(PR.MISSING_OBJECT))
     df = _classify(df, "p1", "unspsc", settings.unspsc_model, guard, store, responder, run,
                    description=F.col("input_text"), naics=naics_context)
     df = df.select("*", *gate(P.unspsc_p1("unspsc_response"), settings.unspsc_confidence_threshold,
                               "unspsc"))
+    run.line_metrics["unspsc_p1"] = (F.col("unspsc_asked").cast("int"),
+                                     (F.col("unspsc_confidence") >= settings.unspsc_confidence_threshold).cast("int"))
     run.lines = df
     run.output_columns = passthrough + [
         "procurement_description_en", "account_en", "input_text",
@@ -212,14 +226,27 @@ def quarantine(run: EnrichRun, key: str = "ordinal") -> DataFrame:
 
 
 def stage_metrics(run: EnrichRun) -> DataFrame:
-    """Per stage: distinct requests, answered, failed (from the resolved requests)."""
+    """Per stage: line slots that asked it, distinct requests, answered, failed, and line
+    slots whose answer passed the gate (gated stages only)."""
     frames = []
     for stage, df in run.stages.items():
         frames.append(df.agg(F.count(F.lit(1)).alias("requests"),
                              F.count("response").alias("answered"),
                              F.count("error").alias("failed"))
                       .select(F.lit(stage).alias("stage"), "*"))
-    out = frames[0]
+    per_request = frames[0]
     for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+        per_request = per_request.unionByName(f)
+    # One pass over the lines for every stage's line counts, then one row per stage.
+    aggs = []
+    for stage, (rows_in, accepted) in run.line_metrics.items():
+        aggs.append(F.sum(rows_in).cast("long").alias(f"{stage}__in"))
+        aggs.append((F.sum(accepted).cast("long") if accepted is not None else F.lit(None).cast("long"))
+                    .alias(f"{stage}__acc"))
+    wide = run.lines.agg(*aggs)
+    per_line = wide.select(F.explode(F.array(*[
+        F.struct(F.lit(stage).alias("stage"), F.col(f"{stage}__in").alias("rows_in"),
+                 F.col(f"{stage}__acc").alias("accepted")) for stage in run.line_metrics])).alias("m")
+    ).select("m.*")
+    return per_line.join(per_request, "stage", "inner").select(
+        "stage", "rows_in", "requests", "answered", "failed", "accepted")

@@ -214,6 +214,23 @@ def _init_text_queries():
 _init_text_queries()
 
 
+def _init_parse_report():
+    from spendcode.sources.fixtures import NAICS_ANSWER_SQL, UNSPSC_ANSWER_SQL
+    answers = f"answers AS (SELECT {NAICS_ANSWER_SQL} AS na, {UNSPSC_ANSWER_SQL} AS ua FROM part)"
+    parts = []
+    for parser, col, d in (("naics_p1", "na", parse_p1_sql("na", "NAICS", True)),
+                           ("naics_p2", "na", parse_p2_sql("na", "NAICS")),
+                           ("unspsc_p1", "ua", parse_p1_sql("ua", "UNSPSC", False, six=True)),
+                           ("unspsc_p2", "ua", parse_p2_sql("ua", "UNSPSC"))):
+        status = (f"CASE WHEN {col} IS NULL THEN 'no_answer' WHEN ({d['code']}) IS NULL THEN 'no_code' "
+                  f"WHEN ({d['description']}) IS NULL OR ({d['confidence']}) = 0 THEN 'incomplete' ELSE 'ok' END")
+        parts.append(f"SELECT '{parser}' AS parser, {status} AS parse_status, count(*) AS n FROM answers GROUP BY ALL")
+    ORACLE["parse_report"] = f"WITH {answers} " + " UNION ALL ".join(parts)
+
+
+_init_parse_report()
+
+
 # --- model stages -------------------------------------------------------------------------
 
 def _pipeline_sql(dialect: str) -> dict:
@@ -257,7 +274,7 @@ def _pipeline_sql(dialect: str) -> dict:
                 WHEN tr.response IS NULL THEN det2.t ELSE {strip_sql('tr.response')} END AS text_en,
                 detect_error, tr.error AS translate_error
                 FROM det2 LEFT JOIN tr ON tr.dk = det2.dk)""",
-        f"""l1 AS (SELECT lines.*, a.text_en AS {o1}, b.text_en AS {o2},
+        f"""l1 AS (SELECT lines.*, a.dk AS k1, b.dk AS k2, a.text_en AS {o1}, b.text_en AS {o2},
                 a.detect_error AS e1, a.translate_error AS e2, b.detect_error AS e3, b.translate_error AS e4
                 FROM lines
                 LEFT JOIN trans a ON a.dk = {key('detect', text=f"coalesce({c1}, 'nan')")}
@@ -305,11 +322,19 @@ def _init_pipeline_queries():
                 (f"translate_p1:{o2}", "e4"), ("naics_p1", "e5"), ("unspsc_p1", "e6")]
     quarantine = " UNION ALL ".join(
         f"SELECT ordinal, '{s}' AS stage, {c} AS error FROM final WHERE {c} IS NOT NULL" for s, c in err_cols)
+    n_in = "(SELECT count(*) FROM final)"
+    tr_in = ("(SELECT count(*) FILTER (WHERE ta) + count(*) FILTER (WHERE tb) FROM (SELECT a.dk IN (SELECT dk FROM tr) AS ta, "
+             "b.dk IN (SELECT dk FROM tr) AS tb FROM final f JOIN trans a ON a.dk = f.k1 JOIN trans b ON b.dk = f.k2))")
     metrics = f"""
-        SELECT 'detect_p1' AS stage, count(*) AS requests, count(response) AS answered, count(error) AS failed FROM det
-        UNION ALL SELECT 'translate_p1', count(*), count(response), count(error) FROM tr
-        UNION ALL SELECT 'naics_p1', count(*), count(nresp), count(e5) FROM (SELECT DISTINCT nk, nresp, e5 FROM final WHERE nk IS NOT NULL)
-        UNION ALL SELECT 'unspsc_p1', count(*), count(uresp), count(e6) FROM (SELECT DISTINCT uk, uresp, e6 FROM final WHERE uk IS NOT NULL)"""
+        SELECT 'detect_p1' AS stage, 2 * {n_in} AS rows_in, count(*) AS requests, count(response) AS answered,
+               count(error) AS failed, CAST(NULL AS BIGINT) AS accepted FROM det
+        UNION ALL SELECT 'translate_p1', {tr_in}, count(*), count(response), count(error), NULL FROM tr
+        UNION ALL SELECT 'naics_p1', (SELECT count(nk) FROM final), count(*), count(nresp), count(e5),
+               (SELECT count(*) FILTER (WHERE naics_confidence >= {PR.DEFAULT_THRESHOLD}) FROM final)
+               FROM (SELECT DISTINCT nk, nresp, e5 FROM final WHERE nk IS NOT NULL)
+        UNION ALL SELECT 'unspsc_p1', (SELECT count(uk) FROM final), count(*), count(uresp), count(e6),
+               (SELECT count(*) FILTER (WHERE unspsc_confidence >= {PR.DEFAULT_THRESHOLD}) FROM final)
+               FROM (SELECT DISTINCT uk, uresp, e6 FROM final WHERE uk IS NOT NULL)"""
     key = p1["key"]
     plan = f"""SELECT stage, request_key, count(*) AS n_lines FROM (
         SELECT 'detect_p1' AS stage, {key('detect', text="coalesce(text, 'nan')")} AS request_key FROM documents
