@@ -471,7 +471,7 @@ def _init_vector_queries():
             new AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn
                     FROM rec WHERE label <> 0) WHERE rn = 1),
             m AS (SELECT * FROM old WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT * FROM new)
-            SELECT id, seq, len(embedding) AS dim, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS vsum,
+            SELECT id, seq, CAST(len(embedding) AS INTEGER) AS dim, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS vsum,
                    'label ' || CAST(label AS VARCHAR) AS description FROM m""",
     })
 
