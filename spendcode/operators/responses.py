@@ -106,6 +106,9 @@ class ResponseStore:
                 carry: tuple[str, ...] = ()) -> DataFrame:
         """One row per distinct request: request columns, ``carry`` columns, ``response``,
         ``error``.  Only requests missing from the store reach the responder."""
+        if getattr(responder, "needs_store", False) and not self.path:
+            raise ValueError("a model client needs a ResponseStore with a path: answers must be "
+                             "stored before they are joined back, or retries would ask again")
         distinct = requests.select(*REQUEST_COLUMNS, *carry).dropDuplicates(["request_key"])
         stored = self._exists()
         if stored:
@@ -152,4 +155,5 @@ def pandas_responder(call: Callable, partitions: int | None = None) -> Responder
         df = misses.repartition(partitions) if partitions else misses
         return df.mapInPandas(run, out_schema)
 
+    responder.needs_store = True
     return responder

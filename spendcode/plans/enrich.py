@@ -115,10 +115,8 @@ def _translate_columns(lines: DataFrame, columns: dict[str, str], dialect: str,
     (a missing value is sent as ``'nan'``, like ``str(NaN)``)."""
     model = settings.translation_model
     rendered = {src: F.coalesce(F.col(src), F.lit(PR.MISSING_TEXT)) for src in columns}
-    texts = None
-    for src in columns:
-        part = lines.select(rendered[src].alias("t"))
-        texts = part if texts is None else texts.unionByName(part)
+    # one pass over the lines for all text columns
+    texts = lines.select(F.explode(F.array(*[rendered[src] for src in columns])).alias("t"))
     trans = translation_table(texts, dialect, model, store, responder, run)
     for src, out in columns.items():
         k = f"_dk_{out}"

@@ -64,20 +64,33 @@ _SHIPPED: set[int] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``spendcode`` importable in Python workers (``addPyFile`` of a zip built
-    once per SparkContext), as ``--py-files`` would on a cluster."""
+    """Make ``spendcode`` importable in Python workers, as ``--py-files`` would.
+
+    The package is zipped in memory and written to the shared checkpoint folder through
+    the Hadoop file system API, then added with ``addPyFile`` (once per SparkContext)."""
+    import io
+    import uuid
     import zipfile
 
     sc = spark.sparkContext
     if id(sc) in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    out = os.path.join(tempfile.mkdtemp(prefix="spendcode-pyfiles-"), "spendcode.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _, files in os.walk(pkg_dir):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
-    sc.addPyFile(out)
+    target = shared_dir(spark, f"pyfiles/{uuid.uuid4().hex[:8]}/spendcode.zip")
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(str(fs.makeQualified(path).toString()))
     _SHIPPED.add(id(sc))

@@ -40,8 +40,8 @@ def test_distinct_and_exactly_once(spark, tmp_shared):
     assert store.load("detect_p1").count() == 3
 
 
-def test_failures_are_rows_not_job_failures(spark):
-    store = ResponseStore(spark)
+def test_failures_are_rows_not_job_failures(spark, tmp_shared):
+    store = ResponseStore(spark, tmp_shared + "/store")
     responder, _ = counting_responder(spark, fail_on="boom")
     got = store.resolve(requests(spark, ["boom"]), responder, "detect_p1").collect()
     assert got[0]["response"] is None and "model unavailable" in got[0]["error"]
@@ -61,3 +61,9 @@ def test_prompt_rendering(spark):
     df = spark.createDataFrame([("lamp", "Lighting")], "d string, n string")
     got = df.select(render(PR.P1_UNSPSC_USER, description=F.col("d"), naics=F.col("n"))).first()[0]
     assert got == PR.P1_UNSPSC_USER.format(description="lamp", naics="Lighting")
+
+
+def test_model_client_requires_a_store_path(spark):
+    responder, _ = counting_responder(spark)
+    with pytest.raises(ValueError, match="ResponseStore with a path"):
+        ResponseStore(spark).resolve(requests(spark, ["a"]), responder, "detect_p1")
