@@ -122,13 +122,19 @@ def _translate_columns(lines: DataFrame, columns: dict[str, str], dialect: str,
         k = f"_dk_{out}"
         lines = lines.withColumn(k, _key(dialect, "detect", model, text=rendered[src]))
         lines = _attach_translation(lines, trans, k, out).drop(k)
+        if dialect == "p2":
+            # the modular code returns the original value unless a translation came back,
+            # so a missing text stays missing (the application casts to text first)
+            translated = F.col(f"{out}_translate_asked") & F.col(f"{out}_translate_error").isNull()
+            lines = lines.withColumn(out, F.when(F.col(src).isNull() & ~translated, F.lit(None))
+                                     .otherwise(F.col(out)))
         run.error_columns[f"detect_{dialect}:{out}"] = f"{out}_detect_error"
         run.error_columns[f"translate_{dialect}:{out}"] = f"{out}_translate_error"
     detect = stage_name(dialect, "detect")
     translate = stage_name(dialect, "translate")
     run.line_metrics[detect] = (F.lit(len(columns)), None)
     run.line_metrics[translate] = (sum(F.col(f"{o}_translate_asked").cast("int") for o in columns.values()), None)
-    return run.keep(lines)
+    return lines  # the next stage persists it together with its request key
 
 
 def _classify(lines: DataFrame, dialect: str, stage: str, model: str, guard: Column | None,

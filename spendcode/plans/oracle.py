@@ -280,6 +280,12 @@ def _pipeline_sql(dialect: str) -> dict:
                 LEFT JOIN trans a ON a.dk = {key('detect', text=f"coalesce({c1}, 'nan')")}
                 LEFT JOIN trans b ON b.dk = {key('detect', text="coalesce(account, 'nan')")})""",
     ]
+    if dialect == "p2":
+        ctes[-1] = ctes[-1].replace(
+            f"a.text_en AS {o1}, b.text_en AS {o2},",
+            f"CASE WHEN {c1} IS NULL AND NOT (a.dk IN (SELECT dk FROM tr WHERE response IS NOT NULL)) THEN NULL "
+            f"ELSE a.text_en END AS {o1}, CASE WHEN account IS NULL AND NOT (b.dk IN (SELECT dk FROM tr "
+            f"WHERE response IS NOT NULL)) THEN NULL ELSE b.text_en END AS {o2},")
     if dialect == "p1":
         ctes.append(f"l2 AS (SELECT *, {o1} || ' ' || {strip_digits_sql(o2)} AS input_text FROM l1)")
         ctes.append(f"""l3 AS (SELECT *, CASE WHEN NOT {blank_sql('input_text')} THEN {key('naics', text='input_text')} END AS nk

@@ -89,3 +89,13 @@ def test_entry_smoke(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
     assert df.count() >= 0 and "naics_code" in df.columns
+
+
+def test_process_keeps_missing_text_missing(spark):
+    from spendcode.plans.enrich import process
+    df = spark.createDataFrame([(0, None, "Office"), (1, "Paper", None)],
+                               "ordinal long, description string, account string")
+    got = {r["ordinal"]: r for r in process(df).result().collect()}
+    # 'nan' is English to the stand-in detector, so nothing is translated and null stays null
+    assert got[0]["description_en"] is None and got[1]["account_en"] is None
+    assert got[1]["description_en"] == "Paper"
