@@ -35,8 +35,9 @@ def hierarchy_rollup(df: DataFrame, code: str = "code") -> DataFrame:
 
 def elapsed_by_group(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """Span of ``ts`` per group in seconds and as ``timedelta`` text (forward and reversed)."""
-    t = F.col(ts).cast("timestamp")  # wall-clock NTZ values read in the session zone (UTC)
-    span = (F.unix_micros(F.max(t)) - F.unix_micros(F.min(t))) / F.lit(1_000_000)
+    # timestamp_diff works on wall-clock (NTZ) values without a time-zone conversion, so the
+    # span does not depend on the session zone or its daylight-saving changes
+    span = F.timestamp_diff("MICROSECOND", F.min(ts), F.max(ts)) / F.lit(1_000_000)
     return (df.groupBy(*keys).agg(span.alias("seconds"))
             .select(*keys, "seconds", format_elapsed("seconds").alias("elapsed"),
                     format_elapsed(-F.col("seconds")).alias("elapsed_reversed")))
