@@ -35,7 +35,7 @@ from spendcode.functions.text import is_blank
 from spendcode.session import ship_package
 
 MAX_BROADCAST_ROWS = 500_000
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 
 _MATCH_SCHEMA = T.StructType([
     T.StructField("k", T.StringType()),
@@ -71,6 +71,7 @@ def _scan_fn(bc, cutoff: int):
             return m
 
         index = {id(e): i for i, e in enumerate(entries)}
+        alphabet = sorted({ch for e in entries for ch in e[0]})
         for pdf in batches:
             out = []
             for k in pdf["k"]:
@@ -91,7 +92,8 @@ def _scan_fn(bc, cutoff: int):
                             s = 0
                         elif lp >= L:
                             if pmasks is None:
-                                pmasks = FZ.char_masks(k)
+                                pmasks = (FZ.char_masks(k) if lp <= 64
+                                          else FZ.char_masks_np(k, alphabet))
                             s = FZ.score_from_lcs(lp, L, FZ.lcs_with_masks(pmasks, lp, e[0]))
                         else:
                             lcs = FZ.lcs_with_masks(cand_masks(index[id(e)], e[0]), L, k)

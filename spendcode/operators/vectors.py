@@ -19,7 +19,8 @@ from spendcode.functions.vectors import DIMENSION, hash_embedding
 from spendcode.session import ship_package
 
 MAX_BROADCAST_ROWS = 200_000
-MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+MAX_BROADCAST_BYTES = 128 * 1024 * 1024
+BLOCK_CELLS = 4_000_000  # similarity cells per block inside a task (32 MB of doubles)
 
 RECORD_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
@@ -115,26 +116,31 @@ def _topk_fn(bc, k: int):
         unit = np.zeros_like(mat)
         unit[ok] = mat[ok] / norms[ok, None]
         order_ids = np.asarray(ids)
+        # probes are scored in blocks so the similarity block stays near BLOCK_CELLS doubles
+        block = max(1, BLOCK_CELLS // max(1, len(order_ids)))
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            q = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["vector"]])
-            qn = np.linalg.norm(q, axis=1)
-            sims = (q @ unit.T) / np.where(qn > 0, qn, 1.0)[:, None]
-            sims[:, ~ok] = np.nan
-            sims[qn == 0, :] = np.nan
+            q_all = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["vector"]])
+            pids = pdf["probe_id"].to_numpy()
             rows = []
-            for r, pid in enumerate(pdf["probe_id"]):
-                s = sims[r]
-                valid = np.flatnonzero(~np.isnan(s))
-                if valid.size == 0:
-                    continue
-                kk = min(k, valid.size)
-                kth = np.partition(s[valid], valid.size - kk)[valid.size - kk]
-                cand = valid[s[valid] >= kth]
-                cand = cand[np.lexsort((order_ids[cand], -s[cand]))][:kk]
-                for rank, j in enumerate(cand, 1):
-                    rows.append((pid, rank, order_ids[j], float(s[j])))
+            for lo in range(0, len(pdf), block):
+                q = q_all[lo:lo + block]
+                qn = np.linalg.norm(q, axis=1)
+                sims = (q @ unit.T) / np.where(qn > 0, qn, 1.0)[:, None]
+                sims[:, ~ok] = np.nan
+                sims[qn == 0, :] = np.nan
+                for r in range(len(q)):
+                    s = sims[r]
+                    valid = np.flatnonzero(~np.isnan(s))
+                    if valid.size == 0:
+                        continue
+                    kk = min(k, valid.size)
+                    kth = np.partition(s[valid], valid.size - kk)[valid.size - kk]
+                    cand = valid[s[valid] >= kth]
+                    cand = cand[np.lexsort((order_ids[cand], -s[cand]))][:kk]
+                    for rank, j in enumerate(cand, 1):
+                        rows.append((pids[lo + r], rank, order_ids[j], float(s[j])))
             yield pd.DataFrame(rows, columns=["probe_id", "rank", "id", "similarity"])
 
     return run

@@ -125,3 +125,13 @@ def test_documents_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()
     for doc_id, text in docs:
         assert got[doc_id] == brute_best(text, cat, "token_sort", None), doc_id
+
+
+def test_numpy_masks_equal_python_masks():
+    rnd = random.Random(11)
+    for _ in range(50):
+        s = "".join(rnd.choice("abcé Ł") for _ in range(rnd.randint(0, 300)))
+        full = FZ.char_masks(s)
+        assert FZ.char_masks_np(s, "abcé Łz") == full
+        other = "".join(rnd.choice("abcé Łz") for _ in range(rnd.randint(1, 20)))
+        assert FZ.lcs_with_masks(FZ.char_masks_np(s, set(other)), len(s), other) == dp_lcs(s, other)
