@@ -35,6 +35,7 @@ from spendcode.functions.text import is_blank
 from spendcode.session import ship_package
 
 MAX_BROADCAST_ROWS = 500_000
+VECTOR_MAX_TEXT = 256
 MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 
 _MATCH_SCHEMA = T.StructType([
@@ -51,57 +52,143 @@ def match_key(c, scorer: str):
     return FZ.token_sort_key(low) if scorer == "token_sort" else low
 
 
+class _Catalogue:
+    """A broadcast catalogue chunk prepared once per task: lengths, per-entry character
+    counts over the chunk's alphabet, and bit masks of each character's positions for
+    entries of at most 63 characters (one uint64 per entry)."""
+
+    def __init__(self, entries):
+        import numpy as np
+
+        self.entries = entries  # (key, ordinal, code, description), earliest first
+        self.keys = [e[0] for e in entries]
+        self.ordinals = np.array([e[1] for e in entries], dtype=np.int64)
+        self.lens = np.array([len(k) for k in self.keys], dtype=np.int64)
+        alphabet = sorted({ch for k in self.keys for ch in k})
+        self.alpha = {ch: i for i, ch in enumerate(alphabet)}
+        n, a = len(entries), len(alphabet)
+        self.counts = np.zeros((n, max(a, 1)), dtype=np.int32)
+        self.masks = np.zeros((max(a, 1), n), dtype=np.uint64)
+        self.short = self.lens <= 63
+        for j, key in enumerate(self.keys):
+            for pos, ch in enumerate(key):
+                i = self.alpha[ch]
+                self.counts[j, i] += 1
+                if self.short[j]:
+                    self.masks[i, j] |= np.uint64(1) << np.uint64(pos)
+        self.full = np.where(self.short, (np.uint64(1) << self.lens.clip(0, 63).astype(np.uint64)) - np.uint64(1),
+                             np.uint64(0)).astype(np.uint64)
+        self._masks_py: dict[int, dict] = {}
+
+    def score(self, lp: int, lcs, idx=None):
+        """Vectorised ratio from LCS lengths (same float steps as the scalar helper)."""
+        import numpy as np
+        total = (self.lens if idx is None else self.lens[idx]) + lp
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = (total - (total - 2 * lcs)) / total
+        return np.round(100 * r)
+
+    def lcs_vector(self, text: str, idx):
+        """Exact LCS of ``text`` with the (short) entries ``idx``, all at once."""
+        import numpy as np
+        v = self.full[idx].copy()
+        full = self.full[idx]
+        for ch in text:
+            i = self.alpha.get(ch)
+            if i is None:
+                continue
+            u = v & self.masks[i, idx]
+            v = ((v + u) | (v - u)) & full
+        return self.lens[idx] - np.bitwise_count(v).astype(np.int64)
+
+    def lcs_one(self, text: str, j: int, text_masks) -> int:
+        key = self.keys[j]
+        if len(text) >= len(key):
+            return FZ.lcs_with_masks(text_masks(), len(text), key)
+        m = self._masks_py.get(j)
+        if m is None:
+            m = self._masks_py[j] = FZ.char_masks(key)
+        return FZ.lcs_with_masks(m, len(key), text)
+
+
+def best_in_chunk(cat: "_Catalogue", text: str, floor: int, eager: int = 16):
+    """(index, score) of the best entry scoring at least ``floor`` (ties: earliest row),
+    or None.  Exact: candidates are visited by decreasing upper bound (length and
+    character-bag bounds) and skipped only when the bound proves they cannot win."""
+    import numpy as np
+
+    lp = len(text)
+    if lp == 0:  # only an empty entry can score (100); others score 0
+        hits = np.flatnonzero(cat.lens == 0)
+        return (int(hits[np.argmin(cat.ordinals[hits])]), 100) if hits.size and floor <= 100 else None
+    from collections import Counter
+
+    tc = np.zeros(cat.counts.shape[1], dtype=np.int32)
+    for ch, c in Counter(text).items():
+        i = cat.alpha.get(ch)
+        if i is not None:
+            tc[i] = c
+    bag = np.minimum(cat.counts, tc).sum(axis=1)
+    ub = cat.score(lp, np.minimum(bag, np.minimum(cat.lens, lp)))
+    ub = np.where(cat.lens == 0, 0, ub)
+    cand = np.flatnonzero(ub >= floor)
+    if cand.size == 0:
+        return None
+    cand = cand[np.lexsort((cat.ordinals[cand], -ub[cand]))]
+    best, best_j = floor - 1, -1
+    masks_box = []
+
+    def text_masks():
+        if not masks_box:
+            masks_box.append(FZ.char_masks(text) if lp <= 64 else FZ.char_masks_np(text, cat.alpha))
+        return masks_box[0]
+
+    def better(sc, j):
+        return sc > best or (sc == best and best_j >= 0 and cat.ordinals[j] < cat.ordinals[best_j])
+
+    for step, j in enumerate(cand):
+        if ub[j] < best or (ub[j] == best and best_j >= 0 and cat.ordinals[j] > cat.ordinals[best_j]):
+            if ub[j] < best:
+                break
+            continue
+        if step >= eager and lp <= VECTOR_MAX_TEXT:
+            # many live candidates and a short text: score the rest exactly in one
+            # vectorised pass (its cost grows with the text, not with the candidates)
+            rest = cand[step:]
+            rest = rest[(ub[rest] > best) | ((ub[rest] == best) & (cat.ordinals[rest] < (
+                cat.ordinals[best_j] if best_j >= 0 else np.iinfo(np.int64).max)))]
+            short = rest[cat.short[rest]]
+            if short.size:
+                sc = cat.score(lp, cat.lcs_vector(text, short), short)
+                sc = np.where(np.array([cat.keys[x] == text for x in short]), 100, sc)
+                for x, s_ in zip(short, sc):
+                    if better(int(s_), x):
+                        best, best_j = int(s_), int(x)
+            for x in rest[~cat.short[rest]]:
+                s_ = 100 if cat.keys[x] == text else FZ.score_from_lcs(lp, int(cat.lens[x]), cat.lcs_one(text, x, text_masks))
+                if better(s_, x):
+                    best, best_j = s_, int(x)
+            break
+        s_ = 100 if cat.keys[j] == text else FZ.score_from_lcs(lp, int(cat.lens[j]), cat.lcs_one(text, j, text_masks))
+        if better(s_, j):
+            best, best_j = s_, int(j)
+    return (best_j, best) if best_j >= 0 else None
+
+
 def _scan_fn(bc, cutoff: int):
     """Per-partition scorer over one broadcast catalogue chunk."""
 
     def run(batches):
         import pandas as pd
 
-        entries = bc.value  # list of (key, ordinal, code, description), earliest first
-        by_len: dict[int, list[tuple]] = {}
-        for e in entries:
-            by_len.setdefault(len(e[0]), []).append(e)
-        lengths = sorted(by_len)
-        masks_cache: dict[int, dict] = {}
-
-        def cand_masks(i, key):
-            m = masks_cache.get(i)
-            if m is None:
-                m = masks_cache[i] = FZ.char_masks(key)
-            return m
-
-        index = {id(e): i for i, e in enumerate(entries)}
-        alphabet = sorted({ch for e in entries for ch in e[0]})
+        cat = _Catalogue(bc.value)
         for pdf in batches:
             out = []
             for k in pdf["k"]:
-                lp = len(k)
-                pmasks = None
-                best, best_ord, best_e = cutoff - 1, None, None
-                order = sorted(lengths, key=lambda L: -FZ.upper_bound(lp, L))
-                for L in order:
-                    ub = FZ.upper_bound(lp, L)
-                    if ub < best or ub < cutoff or ub <= 0:
-                        break
-                    for e in by_len[L]:
-                        if ub == best and best_ord is not None and e[1] > best_ord:
-                            break  # rows are in file order: no later row can win the tie
-                        if e[0] == k:
-                            s = 100
-                        elif lp == 0 or L == 0:
-                            s = 0
-                        elif lp >= L:
-                            if pmasks is None:
-                                pmasks = (FZ.char_masks(k) if lp <= 64
-                                          else FZ.char_masks_np(k, alphabet))
-                            s = FZ.score_from_lcs(lp, L, FZ.lcs_with_masks(pmasks, lp, e[0]))
-                        else:
-                            lcs = FZ.lcs_with_masks(cand_masks(index[id(e)], e[0]), L, k)
-                            s = FZ.score_from_lcs(lp, L, lcs)
-                        if s > best or (s == best and best_ord is not None and e[1] < best_ord):
-                            best, best_ord, best_e = s, e[1], e
-                if best_e is not None:
-                    out.append((k, best_e[1], best_e[2], best_e[3], best))
+                hit = best_in_chunk(cat, k, cutoff) if cat.entries else None
+                if hit is not None:
+                    e = cat.entries[hit[0]]
+                    out.append((k, e[1], e[2], e[3], hit[1]))
             yield pd.DataFrame(out, columns=["k", "m_ordinal", "m_code", "m_description", "m_score"])
 
     return run

@@ -135,3 +135,29 @@ def test_numpy_masks_equal_python_masks():
         assert FZ.char_masks_np(s, "abcé Łz") == full
         other = "".join(rnd.choice("abcé Łz") for _ in range(rnd.randint(1, 20)))
         assert FZ.lcs_with_masks(FZ.char_masks_np(s, set(other)), len(s), other) == dp_lcs(s, other)
+
+
+def test_chunk_scan_equals_brute_force_random():
+    """The per-task scan (bounds, early exit, vectorised LCS) against brute force."""
+    from spendcode.operators.match import _Catalogue, best_in_chunk
+    rnd = random.Random(21)
+    alphabet = "abcdeé f"
+    for trial in range(30):
+        n = rnd.randint(1, 120)
+        entries = []
+        for i in range(n):
+            L = rnd.choice([0, rnd.randint(1, 12), rnd.randint(1, 40), rnd.randint(60, 90)])
+            entries.append(("".join(rnd.choice(alphabet) for _ in range(L)), i * 3 + rnd.randint(0, 2), f"c{i}", "d"))
+        entries.sort(key=lambda e: e[1])
+        cat = _Catalogue(entries)
+        for _ in range(15):
+            t = "".join(rnd.choice(alphabet + "xyz") for _ in range(rnd.choice([0, 3, 10, 35, 70, 200])))
+            for floor in (1, 70):
+                best, best_o = floor - 1, None
+                for key, o, _, _ in entries:
+                    s = FZ.py_ratio(t, key)
+                    if s > best or (s == best and best_o is not None and o < best_o):
+                        best, best_o = s, o
+                got = best_in_chunk(cat, t, floor)
+                want = None if best_o is None else (best_o, best)
+                assert (None if got is None else (entries[got[0]][1], got[1])) == want, (trial, t, floor)
