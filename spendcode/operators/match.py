@@ -34,8 +34,10 @@ from spendcode.functions import fuzzy as FZ
 from spendcode.functions.text import is_blank
 from spendcode.session import ship_package
 
-MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_ROWS = 100_000
 VECTOR_MAX_TEXT = 256
+BAG_CHARS = 63      # characters with their own column in the bag bound (+1 "other")
+MASK_CHARS = 96     # largest chunk alphabet for which uint64 position masks are built
 MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 
 _MATCH_SCHEMA = T.StructType([
@@ -64,18 +66,33 @@ class _Catalogue:
         self.keys = [e[0] for e in entries]
         self.ordinals = np.array([e[1] for e in entries], dtype=np.int64)
         self.lens = np.array([len(k) for k in self.keys], dtype=np.int64)
-        alphabet = sorted({ch for k in self.keys for ch in k})
-        self.alpha = {ch: i for i, ch in enumerate(alphabet)}
-        n, a = len(entries), len(alphabet)
-        self.counts = np.zeros((n, max(a, 1)), dtype=np.int32)
-        self.masks = np.zeros((max(a, 1), n), dtype=np.uint64)
+        n = len(entries)
+        flat = np.frombuffer("".join(self.keys).encode("utf-32-le"), dtype=np.uint32)
+        codes, freq = np.unique(flat, return_counts=True)
+        owner = np.repeat(np.arange(n), self.lens)
+        starts = np.repeat(np.cumsum(self.lens) - self.lens, self.lens)
+        pos = np.arange(flat.size) - starts
+        ci = np.searchsorted(codes, flat)
+        # Character-bag bound over the most frequent characters plus one "other" bucket:
+        # merging characters only loosens the bound, so it stays an upper bound.
+        top = np.argsort(-freq, kind="stable")[:BAG_CHARS]
+        bucket = np.full(max(len(codes), 1), len(top), dtype=np.int64)
+        bucket[top] = np.arange(len(top))
+        self.bag_index = {chr(int(codes[i])): int(bucket[i]) for i in range(len(codes))}
+        count_type = np.uint16 if (self.lens.max(initial=0) < 65536) else np.int32
+        self.counts = np.zeros((n, len(top) + 1), dtype=count_type)
+        np.add.at(self.counts, (owner, bucket[ci] if len(codes) else ci), 1)
+        # Bit masks for the vectorised LCS need every character; built for small alphabets.
         self.short = self.lens <= 63
-        for j, key in enumerate(self.keys):
-            for pos, ch in enumerate(key):
-                i = self.alpha[ch]
-                self.counts[j, i] += 1
-                if self.short[j]:
-                    self.masks[i, j] |= np.uint64(1) << np.uint64(pos)
+        self.vector_ok = len(codes) <= MASK_CHARS
+        self.alpha = {chr(int(c)): i for i, c in enumerate(codes.tolist())}
+        if self.vector_ok:
+            self.masks = np.zeros((max(len(codes), 1), n), dtype=np.uint64)
+            sel = self.short[owner]
+            np.bitwise_or.at(self.masks, (ci[sel], owner[sel]),
+                             np.left_shift(np.uint64(1), pos[sel].astype(np.uint64)))
+        else:
+            self.short = np.zeros(n, dtype=bool)  # every candidate takes the exact scalar path
         self.full = np.where(self.short, (np.uint64(1) << self.lens.clip(0, 63).astype(np.uint64)) - np.uint64(1),
                              np.uint64(0)).astype(np.uint64)
         self._masks_py: dict[int, dict] = {}
@@ -123,11 +140,11 @@ def best_in_chunk(cat: "_Catalogue", text: str, floor: int, eager: int = 16):
         return (int(hits[np.argmin(cat.ordinals[hits])]), 100) if hits.size and floor <= 100 else None
     from collections import Counter
 
-    tc = np.zeros(cat.counts.shape[1], dtype=np.int32)
+    tc = np.zeros(cat.counts.shape[1], dtype=np.int64)
     for ch, c in Counter(text).items():
-        i = cat.alpha.get(ch)
+        i = cat.bag_index.get(ch)
         if i is not None:
-            tc[i] = c
+            tc[i] += c
     bag = np.minimum(cat.counts, tc).sum(axis=1)
     ub = cat.score(lp, np.minimum(bag, np.minimum(cat.lens, lp)))
     ub = np.where(cat.lens == 0, 0, ub)
@@ -151,7 +168,7 @@ def best_in_chunk(cat: "_Catalogue", text: str, floor: int, eager: int = 16):
             if ub[j] < best:
                 break
             continue
-        if step >= eager and lp <= VECTOR_MAX_TEXT:
+        if step >= eager and lp <= VECTOR_MAX_TEXT and cat.vector_ok:
             # many live candidates and a short text: score the rest exactly in one
             # vectorised pass (its cost grows with the text, not with the candidates)
             rest = cand[step:]

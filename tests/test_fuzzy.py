@@ -161,3 +161,25 @@ def test_chunk_scan_equals_brute_force_random():
                 got = best_in_chunk(cat, t, floor)
                 want = None if best_o is None else (best_o, best)
                 assert (None if got is None else (entries[got[0]][1], got[1])) == want, (trial, t, floor)
+
+
+def test_chunk_scan_large_alphabet(monkeypatch):
+    """Bag bound with an 'other' bucket and no masks (large alphabet) stays exact."""
+    import spendcode.operators.match as M
+    monkeypatch.setattr(M, "BAG_CHARS", 3)
+    monkeypatch.setattr(M, "MASK_CHARS", 4)
+    rnd = random.Random(5)
+    alphabet = "abcdefghij "
+    entries = sorted((("".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 30))), i, f"c{i}", "d")
+                      for i in range(80)), key=lambda e: e[1])
+    cat = M._Catalogue(entries)
+    assert not cat.vector_ok
+    for _ in range(60):
+        t = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40)))
+        best, best_o = 0, None
+        for key, o, _, _ in entries:
+            s = FZ.py_ratio(t, key)
+            if s > best or (s == best and best_o is not None and o < best_o):
+                best, best_o = s, o
+        got = M.best_in_chunk(cat, t, 1)
+        assert (None if got is None else (entries[got[0]][1], got[1])) == (None if best_o is None else (best_o, best))
