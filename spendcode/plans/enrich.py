@@ -45,6 +45,10 @@ class EnrichRun:
     line_metrics: dict[str, tuple] = field(default_factory=dict)
     output_columns: list[str] = field(default_factory=list)
     persisted: list[DataFrame] = field(default_factory=list)
+    # "persist": cache at stage boundaries (executor memory and local disk; lost blocks are
+    # recomputed from lineage).  "checkpoint": write each boundary to the shared
+    # spark.checkpoint.dir, cutting lineage -- the choice for very large runs.
+    materialize: str = "persist"
 
     def result(self) -> DataFrame:
         return self.lines.select(*self.output_columns)
@@ -54,6 +58,10 @@ class EnrichRun:
         the answers back to it; persisting makes the two branches share one computation
         instead of doubling the lineage at every stage.  Lost blocks are recomputed from
         lineage, so an executor loss costs time, not correctness."""
+        if self.materialize == "checkpoint":
+            from spendcode.session import ensure_checkpoint_dir
+            ensure_checkpoint_dir(df.sparkSession)
+            return df.checkpoint(eager=True)
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
         self.persisted.append(df)
         return df
@@ -156,14 +164,14 @@ def _classify(lines: DataFrame, dialect: str, stage: str, model: str, guard: Col
 
 
 def enrich(lines: DataFrame, settings: Settings = Settings(), store: ResponseStore | None = None,
-           responder: Responder | None = None) -> EnrichRun:
+           responder: Responder | None = None, materialize: str = "persist") -> EnrichRun:
     """Application pipeline over ``procurement_description`` and ``account`` (plus any
     pass-through columns)."""
     from spendcode.operators.replay import replay_responder
 
     store = store or ResponseStore(lines.sparkSession)
     responder = responder or replay_responder
-    run = EnrichRun(lines)
+    run = EnrichRun(lines, materialize=materialize)
     passthrough = lines.columns
     df = _translate_columns(lines, {"procurement_description": "procurement_description_en",
                                     "account": "account_en"}, "p1", settings, store, responder, run)
@@ -191,14 +199,14 @@ def enrich(lines: DataFrame, settings: Settings = Settings(), store: ResponseSto
 
 
 def process(lines: DataFrame, settings: Settings = Settings(), store: ResponseStore | None = None,
-            responder: Responder | None = None) -> EnrichRun:
+            responder: Responder | None = None, materialize: str = "persist") -> EnrichRun:
     """Modular pipeline over ``description`` and ``account``: no blank guard, strict
     parsers, 8-digit product codes, no gates."""
     from spendcode.operators.replay import replay_responder
 
     store = store or ResponseStore(lines.sparkSession)
     responder = responder or replay_responder
-    run = EnrichRun(lines)
+    run = EnrichRun(lines, materialize=materialize)
     passthrough = lines.columns
     df = _translate_columns(lines, {"description": "description_en", "account": "account_en"},
                             "p2", settings, store, responder, run)

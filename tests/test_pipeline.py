@@ -99,3 +99,9 @@ def test_process_keeps_missing_text_missing(spark):
     # 'nan' is English to the stand-in detector, so nothing is translated and null stays null
     assert got[0]["description_en"] is None and got[1]["account_en"] is None
     assert got[1]["description_en"] == "Paper"
+
+
+def test_checkpoint_boundaries_give_same_lines(spark):
+    a = sorted(map(tuple, enrich(lines(spark)).result().collect()))
+    b = sorted(map(tuple, enrich(lines(spark), materialize="checkpoint").result().collect()))
+    assert a == b
