@@ -148,19 +148,32 @@ def _translate_columns(lines: DataFrame, columns: dict[str, str], dialect: str,
 def _classify(lines: DataFrame, dialect: str, stage: str, model: str, guard: Column | None,
               store: ResponseStore, responder: Responder, run: EnrichRun, **slots: Column) -> DataFrame:
     """Attach ``{stage}_response`` / ``{stage}_error`` for the stage's request of each line."""
-    k = f"_{stage}_key"
-    key = _key(dialect, stage, model, **slots)
-    if guard is not None:
-        key = F.when(guard, key)
-    lines = run.keep(lines.withColumn(k, key))
-    req = lines.where(F.col(k).isNotNull()).select(*request_columns(dialect, stage, model, **slots))
-    ans = store.resolve(req, responder, stage_name(dialect, stage))
-    run.stages[stage_name(dialect, stage)] = ans
-    ans2 = ans.select(F.col("request_key").alias(k), F.col("response").alias(f"{stage}_response"),
-                      F.col("error").alias(f"{stage}_error"))
-    run.error_columns[stage_name(dialect, stage)] = f"{stage}_error"
-    run.line_metrics[stage_name(dialect, stage)] = (F.col(k).isNotNull().cast("int"), None)
-    return lines.join(ans2, k, "left").withColumn(f"{stage}_asked", F.col(k).isNotNull()).drop(k)
+    return _classify_stages(lines, [(dialect, stage, model, guard, slots)], store, responder, run)
+
+
+def _classify_stages(lines: DataFrame, specs: list, store: ResponseStore, responder: Responder,
+                     run: EnrichRun) -> DataFrame:
+    """Several independent stages over one stage boundary: every request key is computed
+    on one persisted frame, each stage is resolved, and the answers are joined back."""
+    cols = []
+    for dialect, stage, model, guard, slots in specs:
+        key = _key(dialect, stage, model, **slots)
+        cols.append((F.when(guard, key) if guard is not None else key).alias(f"_{stage}_key"))
+    lines = run.keep(lines.select("*", *cols))
+    answers = []
+    for dialect, stage, model, guard, slots in specs:
+        k = f"_{stage}_key"
+        req = lines.where(F.col(k).isNotNull()).select(*request_columns(dialect, stage, model, **slots))
+        ans = store.resolve(req, responder, stage_name(dialect, stage))
+        run.stages[stage_name(dialect, stage)] = ans
+        run.error_columns[stage_name(dialect, stage)] = f"{stage}_error"
+        run.line_metrics[stage_name(dialect, stage)] = (F.col(k).isNotNull().cast("int"), None)
+        answers.append((k, stage, ans.select(F.col("request_key").alias(k),
+                                             F.col("response").alias(f"{stage}_response"),
+                                             F.col("error").alias(f"{stage}_error"))))
+    for k, stage, ans in answers:
+        lines = lines.join(ans, k, "left").withColumn(f"{stage}_asked", F.col(k).isNotNull()).drop(k)
+    return lines
 
 
 def enrich(lines: DataFrame, settings: Settings = Settings(), store: ResponseStore | None = None,

@@ -17,7 +17,7 @@ from spendcode.functions.text import is_blank
 from spendcode.operators.gates import gate
 from spendcode.operators.match import attach_best_match
 from spendcode.operators.responses import ResponseStore, Responder
-from spendcode.plans.enrich import EnrichRun, Settings, _classify
+from spendcode.plans.enrich import EnrichRun, Settings, _classify_stages
 
 
 def fuzzy_enrich(lines: DataFrame, catalogue: DataFrame, settings: Settings = Settings(),
@@ -29,10 +29,11 @@ def fuzzy_enrich(lines: DataFrame, catalogue: DataFrame, settings: Settings = Se
     run = EnrichRun(lines)
     text = F.coalesce(F.col("procurement_description"), F.lit(PR.MISSING_TEXT))
     guard = ~is_blank("procurement_description")
-    df = _classify(lines, "p1", "naics", settings.classification_model, guard, store, responder, run,
-                   text=text)
+    # both requests depend only on the line text: one stage boundary for the two stages
+    df = _classify_stages(lines, [("p1", "naics", settings.classification_model, guard, {"text": text}),
+                                  ("p1", "describe", settings.unspsc_model, guard, {"text": text})],
+                          store, responder, run)
     df = df.select("*", *gate(P.naics_p1("naics_response"), settings.confidence_threshold, "naics"))
-    df = _classify(df, "p1", "describe", settings.unspsc_model, guard, store, responder, run, text=text)
     df = df.withColumn("product_text", P.unspsc_describe("describe_response"))
     df = attach_best_match(df, "product_text", catalogue, scorer="token_sort", prefix="m")
     filled = F.col("naics_confidence") >= F.lit(settings.confidence_threshold)
