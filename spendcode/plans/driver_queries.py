@@ -209,8 +209,9 @@ def request_plan(spark, sf_dir):
                        ("describe", "procurement_description")):
         text = F.coalesce(F.col(col), F.lit(MISSING_TEXT))
         rc = request_columns("p1", stage, DEFAULT_MODEL, text=text)
-        slots.append(lines.select(rc[0], rc[1]))
-    u = slots[0].unionByName(slots[1]).unionByName(slots[2])
+        slots.append(F.struct(rc[0], rc[1]))
+    # one scan of the lines, three request slots per line
+    u = lines.select(F.explode(F.array(*slots)).alias("r")).select("r.*")
     return u.groupBy("stage", "request_key").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
