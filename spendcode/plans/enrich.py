@@ -49,19 +49,25 @@ class EnrichRun:
     # recomputed from lineage).  "checkpoint": write each boundary to the shared
     # spark.checkpoint.dir, cutting lineage -- the choice for very large runs.
     materialize: str = "persist"
+    # (boundary, seconds) of each eager boundary ("checkpoint" mode): the phase stopwatch
+    timings: list = field(default_factory=list)
 
     def result(self) -> DataFrame:
         return self.lines.select(*self.output_columns)
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, name: str = "boundary") -> DataFrame:
         """Stage boundary.  The next stage both derives its requests from ``df`` and joins
         the answers back to it; persisting makes the two branches share one computation
         instead of doubling the lineage at every stage.  Lost blocks are recomputed from
         lineage, so an executor loss costs time, not correctness."""
         if self.materialize == "checkpoint":
+            import time
             from spendcode.session import ensure_checkpoint_dir
             ensure_checkpoint_dir(df.sparkSession)
-            return df.checkpoint(eager=True)
+            t0 = time.perf_counter()
+            df = df.checkpoint(eager=True)
+            self.timings.append((name, time.perf_counter() - t0))
+            return df
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
         self.persisted.append(df)
         return df
@@ -99,14 +105,14 @@ def translation_table(texts: DataFrame, dialect: str, model: str, store: Respons
     tr = store.resolve(tr_req, responder, stage_name(dialect, "translate"), carry=("payload", "dk"))
     run.stages[stage_name(dialect, "translate")] = tr
     tr2 = tr.select("dk", F.col("response").alias("tr_response"), F.col("error").alias("translate_error"))
-    det2 = run.keep(det2)
+    det2 = run.keep(det2, stage_name(dialect, "detect"))
     joined = det2.join(tr2, "dk", "left")
     text_en = (F.when(F.col("detect_failed") | F.col("is_english"), F.col("t"))
                .when(F.col("tr_response").isNull(), F.col("t"))
                .otherwise(T.py_strip("tr_response")))
     asked = ~F.col("detect_failed") & ~F.col("is_english")
     return run.keep(joined.select("dk", text_en.alias("text_en"), "detect_error", "translate_error",
-                                  asked.alias("translate_asked")))
+                                  asked.alias("translate_asked")), stage_name(dialect, "translate"))
 
 
 def _attach_translation(lines: DataFrame, trans: DataFrame, key: str, out: str) -> DataFrame:
@@ -159,7 +165,7 @@ def _classify_stages(lines: DataFrame, specs: list, store: ResponseStore, respon
     for dialect, stage, model, guard, slots in specs:
         key = _key(dialect, stage, model, **slots)
         cols.append((F.when(guard, key) if guard is not None else key).alias(f"_{stage}_key"))
-    lines = run.keep(lines.select("*", *cols))
+    lines = run.keep(lines.select("*", *cols), "+".join(stage_name(d, st) for d, st, *_ in specs))
     answers = []
     for dialect, stage, model, guard, slots in specs:
         k = f"_{stage}_key"
@@ -275,3 +281,11 @@ def stage_metrics(run: EnrichRun) -> DataFrame:
     ).select("m.*")
     return per_line.join(per_request, "stage", "inner").select(
         "stage", "rows_in", "requests", "answered", "failed", "accepted")
+
+
+def stage_timings(run: EnrichRun) -> DataFrame:
+    """Seconds per eager boundary and the same as ``H:MM:SS`` text (checkpoint mode)."""
+    spark = run.lines.sparkSession
+    rows = [(i, name, float(sec)) for i, (name, sec) in enumerate(run.timings)]
+    df = spark.createDataFrame(rows, "step int, boundary string, seconds double")
+    return df.select("step", "boundary", "seconds", T.format_elapsed("seconds").alias("elapsed"))

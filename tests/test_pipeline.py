@@ -105,3 +105,11 @@ def test_checkpoint_boundaries_give_same_lines(spark):
     a = sorted(map(tuple, enrich(lines(spark)).result().collect()))
     b = sorted(map(tuple, enrich(lines(spark), materialize="checkpoint").result().collect()))
     assert a == b
+
+
+def test_stage_timings_in_checkpoint_mode(spark):
+    from spendcode.plans.enrich import stage_timings
+    run = enrich(lines(spark), materialize="checkpoint")
+    t = stage_timings(run).collect()
+    assert [r["boundary"] for r in t] == ["detect_p1", "translate_p1", "naics_p1", "unspsc_p1"]
+    assert all(r["seconds"] >= 0 and r["elapsed"].count(":") == 2 for r in t)
