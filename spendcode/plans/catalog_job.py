@@ -8,6 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spendcode.operators import catalog as C
 from spendcode.operators.vectors import VectorTable, embed, vector_records
@@ -27,7 +28,12 @@ def clean_catalogue_job(spark: SparkSession, input_path: str, output_path: str,
     cleaned_rows = C.clean_catalogue(raw.select("ordinal", "code", "description"))
     deduped = C.dedupe_first(cleaned_rows).select("ordinal", "code", "description")
     if output_format == "csv":
-        write_csv(deduped.orderBy("ordinal").drop("ordinal"), output_path)
+        # floats as Python prints them: 51142018.0, not Java's 5.1142018E7
+        c = F.col("code")
+        code_txt = (F.when(c.isNull(), F.lit(None).cast("string"))
+                    .when((c == F.floor(c)) & (F.abs(c) < F.lit(1e16)), F.format_string("%.1f", c))
+                    .otherwise(c.cast("string")))
+        write_csv(deduped.orderBy("ordinal").select(code_txt.alias("code"), "description"), output_path)
         written = spark.read.options(header=True, inferSchema=False, multiLine=True, escape='"').csv(output_path)
     else:
         deduped.write.mode("overwrite").parquet(output_path)
