@@ -199,6 +199,21 @@ def stage_metrics(spark, sf_dir):
     return m(run(_lines_p1(spark, sf_dir)))
 
 
+def describe_stage(spark, sf_dir):
+    """Product description of each line from the model (L5 prompt, U4 parse); blank text
+    or a failed request gives null."""
+    from spendcode.functions.prompts import DEFAULT_MODEL, MISSING_TEXT
+    from spendcode.operators.responses import ResponseStore
+    from spendcode.operators.replay import replay_responder
+    from spendcode.plans.enrich import EnrichRun, _classify
+    lines = _lines_p1(spark, sf_dir)
+    run = EnrichRun(lines)
+    text = F.coalesce(F.col("procurement_description"), F.lit(MISSING_TEXT))
+    df = _classify(lines, "p1", "describe", DEFAULT_MODEL, ~T.is_blank("procurement_description"),
+                   ResponseStore(spark), replay_responder, run, text=text)
+    return df.select("ordinal", P.unspsc_describe("describe_response").alias("unspsc_description"))
+
+
 def request_plan(spark, sf_dir):
     """Distinct requests of the first stages and how many line slots each one serves."""
     from spendcode.functions.prompts import DEFAULT_MODEL, MISSING_TEXT
@@ -351,6 +366,7 @@ QUERIES = {
     "confidence_histogram": confidence_histogram,
     "hierarchy_rollup": hierarchy_rollup,
     "request_plan": request_plan,
+    "describe_stage": describe_stage,
     "translate_gate": translate_gate,
     "enrich": enrich,
     "process": process,

@@ -436,6 +436,7 @@ def _init_fuzzy_queries():
             CASE WHEN NOT {blank_sql('text')} THEN {key('describe', text=txt)} END AS dk FROM documents),
         f2 AS (SELECT *, {ans('naics', 'nk')} AS nresp, {ans('describe', 'dk')} AS dresp FROM f1),
         f3 AS (SELECT ordinal, {gate_sql(n1, PR.DEFAULT_THRESHOLD, 'naics')}, {describe_sql('dresp')} AS product_text FROM f2)"""
+    ORACLE["describe_stage"] = f"""WITH {lines} SELECT ordinal, product_text AS unspsc_description FROM f3"""
     ORACLE["fuzzy_enrich"] = f"""WITH {lines},
         {best_match_sql('SELECT ordinal, product_text FROM f3', 'product_text', 'ordinal', 'token_sort', 1)}
         SELECT f3.ordinal, naics_code, naics_description, naics_confidence,
