@@ -3,7 +3,7 @@ small Python helpers for the per-partition matcher.
 
 ``ratio(a, b)`` is the indel-based similarity ``2*LCS / (len(a)+len(b))`` scaled to 0..100
 and rounded half-to-even (equal strings 100, otherwise an empty side 0).  It is *not*
-Levenshtein (which charges 1 for a substitution).  ``token_sort_ratio`` first normalises
+the unit-cost edit distance (which charges 1 for a substitution).  ``token_sort_ratio`` first normalises
 both strings (drop U+0080..U+00FF, non-word characters to spaces, lower case, split,
 sort the tokens, join with one space) and then applies ``ratio``.
 

@@ -63,7 +63,7 @@ P2_TEMPERATURE = {"detect": "0", "translate": "0", "naics": "0", "unspsc": "0"}
 P1_ENGLISH_ANSWER = "true"
 P2_ENGLISH_ANSWER = "yes"
 # Default settings of the application.
-DEFAULT_MODEL = "gpt-4o"
+DEFAULT_MODEL = "classifier"  # model name passed to the injected client (part of the request key)
 DEFAULT_THRESHOLD = 85
 # What an f-string renders for a missing value in a prompt (str(NaN) / str(None)).
 MISSING_TEXT = "nan"

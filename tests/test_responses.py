@@ -26,7 +26,7 @@ def counting_responder(spark, fail_on=None):
 
 def requests(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    return df.select(*request_columns("p1", "detect", "gpt-4o", text=F.col("t")))
+    return df.select(*request_columns("p1", "detect", "classifier", text=F.col("t")))
 
 
 def test_distinct_and_exactly_once(spark, tmp_shared):
