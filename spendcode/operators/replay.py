@@ -106,8 +106,11 @@ def failed_sql(engine: str, key: str = "request_key") -> str:
 
 
 def replay_responder(requests: DataFrame, stage: str) -> DataFrame:
-    """Answer each request row of ``stage`` with the recorded stand-in answer."""
-    answer = F.expr(answer_sql(stage, "spark"))
+    """Answer each request row of ``stage`` with the recorded stand-in answer.  The text
+    put into the prompt is ``payload`` when the request carries it, else the user prompt
+    itself (the application's detection and translation prompts are the bare text)."""
+    payload = "payload" if "payload" in requests.columns else "user"
+    answer = F.expr(answer_sql(stage, "spark", payload=payload))
     failed = F.expr(failed_sql("spark"))
     return requests.select(
         "*",

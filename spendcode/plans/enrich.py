@@ -89,20 +89,24 @@ def translation_table(texts: DataFrame, dialect: str, model: str, store: Respons
     ``dk`` is the detection request key of the text, so lines find their translation by
     recomputing it.  Any failure leaves the text unchanged.
     """
+    # In the application dialect the user prompt *is* the text, so the request rows need no
+    # second copy of it; the modular dialect frames the text and carries it alongside.
+    carry = () if dialect == "p1" else ("payload",)
+    text_of = F.col("user") if dialect == "p1" else F.col("payload")
     det_req = texts.select(*request_columns(dialect, "detect", model, text=F.col("t")),
-                           F.col("t").alias("payload"))
-    det = store.resolve(det_req, responder, stage_name(dialect, "detect"), carry=("payload",))
+                           *([F.col("t").alias("payload")] if carry else []))
+    det = store.resolve(det_req, responder, stage_name(dialect, "detect"), carry=carry)
     run.stages[stage_name(dialect, "detect")] = det
     answer = PR.P1_ENGLISH_ANSWER if dialect == "p1" else PR.P2_ENGLISH_ANSWER
     english = F.lower(T.py_strip("response")) == F.lit(answer)
-    det2 = det.select(F.col("request_key").alias("dk"), F.col("payload").alias("t"),
+    det2 = det.select(F.col("request_key").alias("dk"), text_of.alias("t"),
                       F.coalesce(english, F.lit(False)).alias("is_english"),
                       F.col("response").isNull().alias("detect_failed"),
                       F.col("error").alias("detect_error"))
     need = det2.where(~F.col("detect_failed") & ~F.col("is_english"))
     tr_req = need.select("dk", *request_columns(dialect, "translate", model, text=F.col("t")),
-                         F.col("t").alias("payload"))
-    tr = store.resolve(tr_req, responder, stage_name(dialect, "translate"), carry=("payload", "dk"))
+                         *([F.col("t").alias("payload")] if carry else []))
+    tr = store.resolve(tr_req, responder, stage_name(dialect, "translate"), carry=carry + ("dk",))
     run.stages[stage_name(dialect, "translate")] = tr
     tr2 = tr.select("dk", F.col("response").alias("tr_response"), F.col("error").alias("translate_error"))
     det2 = run.keep(det2, stage_name(dialect, "detect"))
