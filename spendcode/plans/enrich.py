@@ -155,6 +155,73 @@ def _translate_columns(lines: DataFrame, columns: dict[str, str], dialect: str,
     return lines  # the next stage persists it together with its request key
 
 
+def _translate_narrow(lines: DataFrame, columns: dict[str, str], dialect: str, settings: Settings,
+                      store: ResponseStore, responder: Responder, run: EnrichRun,
+                      key: str = "ordinal") -> DataFrame:
+    """Translations per line as a frame keyed (and hash-partitioned) by ``key``:
+    ``key, {out}, {out}_detect_error, {out}_translate_error, {out}_translate_asked``.
+
+    Only narrow ``(key, detection key)`` pairs meet the translation table; each translated
+    text then moves once, to the ``key`` partitioning.  The wide line rows are not moved."""
+    model = settings.translation_model
+    rendered = {src: F.coalesce(F.col(src), F.lit(PR.MISSING_TEXT)) for src in columns}
+    texts = lines.select(F.explode(F.array(*[rendered[src] for src in columns])).alias("t"))
+    trans = translation_table(texts, dialect, model, store, responder, run)
+    keys = lines.select(key, *[_key(dialect, "detect", model, text=rendered[src]).alias(f"_dk_{out}")
+                               for src, out in columns.items()],
+                        *[F.col(src).isNull().alias(f"_null_{out}") for src, out in columns.items()])
+    parts = []
+    for src, out in columns.items():
+        t = trans.select(F.col("dk").alias(f"_dk_{out}"), F.col("text_en").alias(out),
+                         F.col("detect_error").alias(f"{out}_detect_error"),
+                         F.col("translate_error").alias(f"{out}_translate_error"),
+                         F.col("translate_asked").alias(f"{out}_translate_asked"))
+        part = keys.select(key, f"_dk_{out}", f"_null_{out}").join(t, f"_dk_{out}", "left")
+        if dialect == "p2":
+            # the modular code returns the original value unless a translation came back,
+            # so a missing text stays missing (the application casts to text first)
+            translated = F.col(f"{out}_translate_asked") & F.col(f"{out}_translate_error").isNull()
+            part = part.withColumn(out, F.when(F.col(f"_null_{out}") & ~translated, F.lit(None))
+                                   .otherwise(F.col(out)))
+        parts.append(part.drop(f"_dk_{out}", f"_null_{out}"))
+        run.error_columns[f"detect_{dialect}:{out}"] = f"{out}_detect_error"
+        run.error_columns[f"translate_{dialect}:{out}"] = f"{out}_translate_error"
+    out_df = parts[0]
+    for part in parts[1:]:
+        out_df = out_df.join(part, key, "inner")
+    run.line_metrics[stage_name(dialect, "detect")] = (F.lit(len(columns)), None)
+    run.line_metrics[stage_name(dialect, "translate")] = (
+        sum(F.col(f"{o}_translate_asked").cast("int") for o in columns.values()), None)
+    return out_df
+
+
+def _classify_keyed(per_line: DataFrame, specs: list, store: ResponseStore, responder: Responder,
+                    run: EnrichRun, key: str = "ordinal") -> DataFrame:
+    """Like :func:`_classify_stages` for a per-line frame keyed by ``key``: answers meet
+    only narrow ``(key, request key)`` pairs and come back to the frame by ``key``, which
+    it is already partitioned by, so the per-line frame itself is not re-shuffled."""
+    cols = []
+    for dialect, stage, model, guard, slots in specs:
+        k = _key(dialect, stage, model, **slots)
+        cols.append((F.when(guard, k) if guard is not None else k).alias(f"_{stage}_key"))
+    per_line = run.keep(per_line.select("*", *cols),
+                        "+".join(stage_name(d, st) for d, st, *_ in specs))
+    for dialect, stage, model, guard, slots in specs:
+        k = f"_{stage}_key"
+        asked = per_line.where(F.col(k).isNotNull())
+        ans = store.resolve(asked.select(*request_columns(dialect, stage, model, **slots)), responder,
+                            stage_name(dialect, stage))
+        run.stages[stage_name(dialect, stage)] = ans
+        run.error_columns[stage_name(dialect, stage)] = f"{stage}_error"
+        run.line_metrics[stage_name(dialect, stage)] = (F.col(f"{stage}_asked").cast("int"), None)
+        got = asked.select(key, k).join(
+            ans.select(F.col("request_key").alias(k), F.col("response").alias(f"{stage}_response"),
+                       F.col("error").alias(f"{stage}_error")), k, "inner").drop(k)
+        per_line = (per_line.join(got, key, "left")
+                    .withColumn(f"{stage}_asked", F.col(k).isNotNull()).drop(k))
+    return per_line
+
+
 def _classify(lines: DataFrame, dialect: str, stage: str, model: str, guard: Column | None,
               store: ResponseStore, responder: Responder, run: EnrichRun, **slots: Column) -> DataFrame:
     """Attach ``{stage}_response`` / ``{stage}_error`` for the stage's request of each line."""
@@ -196,24 +263,27 @@ def enrich(lines: DataFrame, settings: Settings = Settings(), store: ResponseSto
     responder = responder or replay_responder
     run = EnrichRun(lines, materialize=materialize)
     passthrough = lines.columns
-    df = _translate_columns(lines, {"procurement_description": "procurement_description_en",
-                                    "account": "account_en"}, "p1", settings, store, responder, run)
+    key = "ordinal"
+    df = _translate_narrow(lines, {"procurement_description": "procurement_description_en",
+                                   "account": "account_en"}, "p1", settings, store, responder, run, key)
     df = df.withColumn("input_text", T.combined_text(F.col("procurement_description_en"),
                                                      T.strip_digits("account_en")))
     guard = ~T.is_blank("input_text")
-    df = _classify(df, "p1", "naics", settings.classification_model, guard, store, responder, run,
-                   text=F.col("input_text"))
+    df = _classify_keyed(df, [("p1", "naics", settings.classification_model, guard,
+                               {"text": F.col("input_text")})], store, responder, run, key)
     df = df.select("*", *gate(P.naics_p1("naics_response"), settings.confidence_threshold, "naics"))
     run.line_metrics["naics_p1"] = (F.col("naics_asked").cast("int"),
                                     (F.col("naics_confidence") >= settings.confidence_threshold).cast("int"))
     naics_context = F.coalesce(F.col("naics_description"), F.lit(PR.MISSING_OBJECT))
-    df = _classify(df, "p1", "unspsc", settings.unspsc_model, guard, store, responder, run,
-                   description=F.col("input_text"), naics=naics_context)
+    df = _classify_keyed(df, [("p1", "unspsc", settings.unspsc_model, guard,
+                               {"description": F.col("input_text"), "naics": naics_context})],
+                         store, responder, run, key)
     df = df.select("*", *gate(P.unspsc_p1("unspsc_response"), settings.unspsc_confidence_threshold,
                               "unspsc"))
     run.line_metrics["unspsc_p1"] = (F.col("unspsc_asked").cast("int"),
                                      (F.col("unspsc_confidence") >= settings.unspsc_confidence_threshold).cast("int"))
-    run.lines = df
+    # the wide line rows move once: to the per-line results, which are partitioned by key
+    run.lines = lines.join(df, key, "left")
     run.output_columns = passthrough + [
         "procurement_description_en", "account_en", "input_text",
         "naics_code", "naics_description", "naics_confidence",
@@ -231,20 +301,23 @@ def process(lines: DataFrame, settings: Settings = Settings(), store: ResponseSt
     responder = responder or replay_responder
     run = EnrichRun(lines, materialize=materialize)
     passthrough = lines.columns
-    df = _translate_columns(lines, {"description": "description_en", "account": "account_en"},
-                            "p2", settings, store, responder, run)
-    df = _classify(df, "p2", "naics", settings.classification_model, None, store, responder, run,
-                   text=F.col("description_en"))
+    key = "ordinal"
+    df = _translate_narrow(lines, {"description": "description_en", "account": "account_en"},
+                           "p2", settings, store, responder, run, key)
+    df = _classify_keyed(df, [("p2", "naics", settings.classification_model, None,
+                               {"text": F.coalesce(F.col("description_en"), F.lit(PR.MISSING_TEXT))})],
+                         store, responder, run, key)
     df = df.withColumn("_n", P.naics_p2("naics_response")).select(
         "*", F.col("_n.code").alias("naics_code"), F.col("_n.description").alias("naics_description"),
         F.col("_n.confidence").alias("naics_confidence")).drop("_n")
     naics_context = F.coalesce(F.col("naics_description"), F.lit(PR.MISSING_OBJECT))
-    df = _classify(df, "p2", "unspsc", settings.unspsc_model, None, store, responder, run,
-                   description=F.col("description_en"), naics=naics_context)
+    df = _classify_keyed(df, [("p2", "unspsc", settings.unspsc_model, None,
+                               {"description": F.coalesce(F.col("description_en"), F.lit(PR.MISSING_TEXT)),
+                                "naics": naics_context})], store, responder, run, key)
     df = df.withColumn("_u", P.unspsc_p2("unspsc_response")).select(
         "*", F.col("_u.code").alias("unspsc_code"), F.col("_u.description").alias("unspsc_description"),
         F.col("_u.confidence").alias("unspsc_confidence")).drop("_u")
-    run.lines = df
+    run.lines = lines.join(df, key, "left")
     run.output_columns = passthrough + [
         "description_en", "account_en", "naics_code", "naics_description", "naics_confidence",
         "unspsc_code", "unspsc_description", "unspsc_confidence"]

@@ -303,11 +303,11 @@ def _pipeline_sql(dialect: str) -> dict:
         out = (f"ordinal, {c1}, account, {o1}, {o2}, input_text, naics_code, naics_description, naics_confidence, "
                "unspsc_code, unspsc_description, unspsc_confidence")
     else:
-        ctes.append(f"l3 AS (SELECT *, {key('naics', text=o1)} AS nk FROM l1)")
+        ctes.append(f"l3 AS (SELECT *, {key('naics', text=f'coalesce({o1}, ' + chr(39) + 'nan' + chr(39) + ')')} AS nk FROM l1)")
         nr, ne = answer("naics", "nk")
         ctes.append(f"l4 AS (SELECT *, {nr} AS nresp, {ne} AS e5 FROM l3)")
         ctes.append(f"l5 AS (SELECT *, {cols(parse_p2_sql('nresp', 'NAICS'), 'naics_')} FROM l4)")
-        uk = key("unspsc", description=o1, naics="coalesce(naics_description, 'None')")
+        uk = key("unspsc", description=f"coalesce({o1}, 'nan')", naics="coalesce(naics_description, 'None')")
         ctes.append(f"l6 AS (SELECT *, {uk} AS uk FROM l5)")
         ur, ue = answer("unspsc", "uk")
         ctes.append(f"l7 AS (SELECT *, {ur} AS uresp, {ue} AS e6 FROM l6)")
