@@ -119,42 +119,6 @@ def translation_table(texts: DataFrame, dialect: str, model: str, store: Respons
                                   asked.alias("translate_asked")), stage_name(dialect, "translate"))
 
 
-def _attach_translation(lines: DataFrame, trans: DataFrame, key: str, out: str) -> DataFrame:
-    t = trans.select(F.col("dk").alias(key), F.col("text_en").alias(out),
-                     F.col("detect_error").alias(f"{out}_detect_error"),
-                     F.col("translate_error").alias(f"{out}_translate_error"),
-                     F.col("translate_asked").alias(f"{out}_translate_asked"))
-    return lines.join(t, key, "left")
-
-
-def _translate_columns(lines: DataFrame, columns: dict[str, str], dialect: str, settings: Settings,
-                       store: ResponseStore, responder: Responder, run: EnrichRun) -> DataFrame:
-    """Add ``{out}`` translated columns for ``{source: out}``; sources are rendered as text
-    (a missing value is sent as ``'nan'``, like ``str(NaN)``)."""
-    model = settings.translation_model
-    rendered = {src: F.coalesce(F.col(src), F.lit(PR.MISSING_TEXT)) for src in columns}
-    # one pass over the lines for all text columns
-    texts = lines.select(F.explode(F.array(*[rendered[src] for src in columns])).alias("t"))
-    trans = translation_table(texts, dialect, model, store, responder, run)
-    for src, out in columns.items():
-        k = f"_dk_{out}"
-        lines = lines.withColumn(k, _key(dialect, "detect", model, text=rendered[src]))
-        lines = _attach_translation(lines, trans, k, out).drop(k)
-        if dialect == "p2":
-            # the modular code returns the original value unless a translation came back,
-            # so a missing text stays missing (the application casts to text first)
-            translated = F.col(f"{out}_translate_asked") & F.col(f"{out}_translate_error").isNull()
-            lines = lines.withColumn(out, F.when(F.col(src).isNull() & ~translated, F.lit(None))
-                                     .otherwise(F.col(out)))
-        run.error_columns[f"detect_{dialect}:{out}"] = f"{out}_detect_error"
-        run.error_columns[f"translate_{dialect}:{out}"] = f"{out}_translate_error"
-    detect = stage_name(dialect, "detect")
-    translate = stage_name(dialect, "translate")
-    run.line_metrics[detect] = (F.lit(len(columns)), None)
-    run.line_metrics[translate] = (sum(F.col(f"{o}_translate_asked").cast("int") for o in columns.values()), None)
-    return lines  # the next stage persists it together with its request key
-
-
 def _translate_narrow(lines: DataFrame, columns: dict[str, str], dialect: str, settings: Settings,
                       store: ResponseStore, responder: Responder, run: EnrichRun,
                       key: str = "ordinal") -> DataFrame:
