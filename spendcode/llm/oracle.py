@@ -4,6 +4,19 @@ from __future__ import annotations
 
 ORACLE: dict[str, str] = {}
 
+ORACLE["op3_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+q AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS payload_digest, body,
+             max(page_id) OVER (PARTITION BY body) AS top FROM p),
+r AS (SELECT *, payload_bytes >= 1000 AND page_id <> top AS again,
+             87 + payload_bytes + 8 * (payload_bytes // 4096)
+             + CASE WHEN payload_bytes % 4096 > 0 THEN 4 + length(to_hex(payload_bytes % 4096)) ELSE 0 END + 5 AS block FROM q)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN top END AS refers_to,
+       CASE WHEN again OR block <= 16384 THEN 1 ELSE CAST(ceil(block / 16384.0) AS INT) END AS segments, 'ok' AS status
+FROM r
+"""
+
 ORACLE["op4_exact_dedup"] = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -23,6 +36,26 @@ m AS (SELECT p.page_id, p.host, p.path, max_by({'rule': h || q, 'verdict': verdi
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM m
 """
 
+ORACLE["op7_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(len(ls))) AS n, unnest(ls) AS line FROM d),
+w AS (SELECT doc_id, n, list_sort(list_distinct(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS ws FROM l),
+s AS (SELECT ws, min({'doc_id': doc_id, 'n': n}) AS first, row_number() OVER () AS id FROM w WHERE len(ws) > 0 GROUP BY ws),
+t AS (SELECT id, first, len(ws) AS size, unnest(ws) AS word FROM s),
+f AS (SELECT word, count(*) AS c FROM t GROUP BY word),
+r AS (SELECT t.*, row_number() OVER (PARTITION BY id ORDER BY c, word) AS pos FROM t JOIN f USING (word)),
+p AS (SELECT * FROM r WHERE pos <= size - ceil(0.8 * size - 1e-9) + 1),
+c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b USING (word)
+      WHERE a.first < b.first AND a.size >= 0.8 * b.size - 1e-9 AND b.size >= 0.8 * a.size - 1e-9),
+g AS (SELECT DISTINCT c.b AS id FROM c JOIN s x ON x.id = c.a JOIN s y ON y.id = c.b
+      WHERE len(list_intersect(x.ws, y.ws)) >= 0.8 * (len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws))) - 1e-9),
+k AS (SELECT w.doc_id, w.n, len(w.ws) > 0 AND (g.id IS NOT NULL OR s.first <> {'doc_id': w.doc_id, 'n': w.n}) AS gone
+      FROM w LEFT JOIN s ON s.ws = w.ws LEFT JOIN g ON g.id = s.id)
+SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.n) FILTER (WHERE NOT gone), '') AS text,
+       count(*) FILTER (WHERE gone) AS lines_removed
+FROM l JOIN k ON k.doc_id = l.doc_id AND k.n = l.n GROUP BY l.doc_id
+"""
+
 ORACLE["op8_license_scan"] = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -34,7 +34,7 @@ from spendcode.llm.common import python_tasks, stable_digest, stored
 BITS = 64
 #: Different fingerprints that one task may compare at once; larger buckets are split exactly.
 BUCKET = 4096
-_FREE_MIN = 12  # 2 ** 12 == BUCKET
+_FREE_MIN = 12  # with so few bits free a bucket has at most BUCKET members
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -128,16 +128,17 @@ def links(nodes: DataFrame, max_bits: int = 3) -> DataFrame:
         rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         counts = rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         met = stored(rows.join(counts, ["mask", "key"]), "simhash-buckets")
-        groups = met.where(F.col("n") <= BUCKET).groupBy("mask", "key").agg(
+        small = (F.col("n") <= BUCKET) | (F.bit_count("mask") >= BITS - _FREE_MIN)
+        groups = met.where(small).groupBy("mask", "key").agg(
             F.collect_list("fp").alias("members")).select("members")
         found = stored(groups.mapInArrow(_stars(max_bits), "a bigint, b bigint").distinct(), "simhash-links")
         edges = found if edges is None else edges.union(found)
-        large = met.where(F.col("n") > BUCKET).select("fp", "mask")
+        large = met.where(~small).select("fp", "mask")
         hot = {r["mask"] for r in large.select("mask").distinct().collect()}  # at most len(masks) values
         finer = []
         for m in masks:
             free = [b for b in range(BITS) if not m >> b & 1]
-            if _signed(m) in hot and len(free) > _FREE_MIN:
+            if _signed(m) in hot:
                 finer += [(_signed(m), _signed(m | part)) for part in _cut(free, max_bits + 1)]
         if not finer:
             break

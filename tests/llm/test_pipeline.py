@@ -1,0 +1,46 @@
+"""The pipeline and its stages on planted cases."""
+
+import os
+import random
+import sys
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+import corpus_pipeline  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_keep_the_columns_and_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    n = docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = corpus_pipeline.stored(stage(spark, docs, SF), f"test-{name}")
+        if name != "packing":
+            assert docs.dtypes == before.dtypes
+            ids = [r[0] for r in docs.select("doc_id").collect()]
+            assert len(ids) == len(set(ids)) and 0.5 * n < len(ids) <= before.count()
+    packed = docs.select("doc_id").distinct().count()
+    assert packed == before.count()
+    assert [s for s, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "packing"]
+
+
+def test_near_dedup_keeps_one_of_each_group(spark):
+    rng = random.Random(1)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(200))
+    base = [text() for _ in range(5)]
+    rows = [(i, base[i % 5]) for i in range(20)] + [(100, base[0].upper()), (101, text()), (101, None), (None, base[1]), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.near_dedup(spark, docs, SF).collect()
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == [0, 1, 2, 3, 4, 101]
+    assert sum(r["doc_id"] is None for r in got) == 2
+
+
+def test_empty_input(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0
+        docs = out if "text" in out.columns else docs
