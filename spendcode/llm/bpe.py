@@ -104,18 +104,36 @@ def _has(bitmap: bytes, key: tuple[int, int]) -> bool:
     return bool(bitmap[p >> 3] >> (p & 7) & 1)
 
 
-def _merged(data: bytes, held: dict[tuple[int, int], bytes], encode: Callable[[list[str]], list[bytes]]) -> bytes:
-    """Ids of a text of which some chunks are known; what lies between them is encoded in one piece each."""
-    known, rest, at = [], [], 0
-    for a, b in safe_spans(data):
-        ids = held.get(_key(data[a:b]))
-        if ids is not None:
-            rest.append(data[at:a].decode())
-            known.append(ids)
-            at = b
-    rest.append(data[at:].decode())
-    out = encode(rest)
-    return b"".join(x for pair in zip(out, [*known, b""], strict=True) for x in pair)
+def _merged(texts: list[str], held: list[dict[tuple[int, int], bytes]], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+    """Ids of texts of which some chunks are known; what lies between these is encoded again, in one piece each."""
+    known: list[list[bytes]] = []
+    rest: list[str] = []
+    for text, ids_of in zip(texts, held, strict=True):
+        data, at, ids_here = text.encode(), 0, []
+        for a, b in safe_spans(data):
+            ids = ids_of.get(_key(data[a:b]))
+            if ids is not None:
+                rest.append(data[at:a].decode())
+                ids_here.append(ids)
+                at = b
+        rest.append(data[at:].decode())
+        known.append(ids_here)
+    pieces = iter(encode(rest))
+    out = []
+    for ids_here in known:
+        parts = [next(pieces)]
+        for ids in ids_here:
+            parts += (ids, next(pieces))
+        out.append(b"".join(parts))
+    return out
+
+
+def _held_by_row(column: pa.Array) -> list[dict[tuple[int, int], bytes]]:
+    """The known ids of each row, by key, of a column of lists of (k1, k2, ids)."""
+    flat = column.values
+    k1, k2, ids = (flat.field(i).to_pylist() for i in range(3))
+    ends = column.offsets.to_pylist()
+    return [dict(zip(zip(k1[a:b], k2[a:b], strict=True), ids[a:b], strict=True)) for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, finish: Callable, schema: str, types: list[pa.DataType],
@@ -193,14 +211,14 @@ def encode_documents(docs: DataFrame, tokenizer: str, finish: Callable, schema:
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
         for batch in batches:
-            data = [_merged(text.encode(), {(h["k1"], h["k2"]): h["ids"] for h in held or ()}, encoder.encode)
-                    for text, held in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            data = _merged(batch.column(1).to_pylist(), _held_by_row(batch.column(2)), encoder.encode)
             yield pa.RecordBatch.from_arrays(columns(batch.column(0).to_pylist(), encoder, data), ["doc", *names])
 
     open_rows = first.where(F.col("text").isNotNull())
     asked = open_rows.select("row", F.explode("keys").alias("k")).select("row", "k.k1", "k.k2")
     held = asked.join(encoded, ["k1", "k2"]).groupBy("row").agg(F.collect_list(F.struct("k1", "k2", "ids")).alias("held"))
-    rest = open_rows.select("row", "doc", "text").join(held, "row", "left").select("doc", "text", "held")
+    none = F.array().cast("array<struct<k1:bigint,k2:bigint,ids:binary>>")
+    rest = open_rows.select("row", "doc", "text").join(held, "row", "left").select("doc", "text", F.coalesce("held", none).alias("held"))
     rest = rest.mapInArrow(second_pass, f"doc bigint, {schema}")
     done = first.where(F.col("text").isNull()).select("doc", *names)
     return done.unionByName(rest).withColumnRenamed("doc", id_col)
@@ -213,9 +231,8 @@ def ids_only(encoder, ids: np.ndarray) -> tuple:
 def digests(encoder, ids: np.ndarray) -> tuple:
     """Number of ids, SHA-256 of the ids as text, SHA-256 of the decoded text."""
     import hashlib
-    numbers = " ".join(map(encoder.numbers.__getitem__, ids.tolist()))
-    return (len(ids), hashlib.sha256(numbers.encode()).hexdigest(),
-            hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
+    return (len(ids), hashlib.sha256(b" ".join(encoder.number_bytes[ids].tolist())).hexdigest(),
+            hashlib.sha256(encoder.decoded_bytes(ids)).hexdigest())
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,8 +12,8 @@ from functools import cache
 
 import numpy as np
 
-#: Parts kept by one Python worker (two generations of this size): some tens of MB.
-PARTS = 250_000
+#: Parts kept by one Python worker (two generations of this size): about 200 MB at most.
+PARTS = 500_000
 #: Letters for which both libraries' character classes are known to agree; other parts go to tokenizers.
 _PLAIN = re.compile(r"[\n -~¡-¬®-ɏ]*")
 _SPACE_RUN = re.compile(r"\s ")
@@ -45,10 +45,10 @@ class Parts(dict):
         self.update(found)
 
     def missing(self, parts: set[str]) -> list[str]:
-        lacking = parts - self.keys()
-        again = lacking & self.older.keys()
-        self.update((p, self.older[p]) for p in again)
-        return list(lacking - again)
+        lacking = [p for p in parts if p not in self]
+        older = self.older
+        self.update((p, older[p]) for p in lacking if p in older)
+        return [p for p in lacking if p not in older]
 
 
 class ByteEncoder:
@@ -145,13 +145,14 @@ class WordEncoder:
         self.special = [t["content"] for t in read["added_tokens"]]
         self.model = Tokenizer.from_str(json.dumps(
             {**read, "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
-        self.words = regex.compile(_WORD_PATTERN)
-        self.chars = {b: c for c, b in _byte_of_char().items()}
+        self.words = regex.compile(r"\n|" + _WORD_PATTERN)
+        self.chars = {b: c for c, b in _byte_of_char().items()} | {32: " "}
         size = max(read["model"]["vocab"].values(), default=0)
         size = max([size, *(t["id"] for t in read["added_tokens"])]) + 1
         self.kind = "<u2" if size <= 1 << 16 else "<u4"
         self.tokens = [self.library.id_to_token(i) or "" for i in range(size)]
-        self.numbers = [str(i) for i in range(size)]
+        self.token_bytes = np.array([t.encode() for t in self.tokens], dtype=object)
+        self.number_bytes = np.array([b"%d" % i for i in range(size)], dtype=object)
         self.ends = np.array([t.endswith(_WORD_END) for t in self.tokens])
         self.parts = Parts()
 
@@ -159,15 +160,17 @@ class WordEncoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def _learn(self, lacking: list[str]) -> None:
-        plain = [p for p in lacking if _PLAIN.fullmatch(p) and not any(s in p for s in self.special)]
+        plain = [p for p in lacking if _PLAIN.fullmatch(p) and not ("<|" in p and any(s in p for s in self.special))]
         found = {p: self.slow(p) for p in set(lacking).difference(plain)}
         for at in range(0, len(plain), 20_000):
             some = plain[at:at + 20_000]
-            words = [self.words.findall(p.lower()) for p in some]
-            line = " ".join(w.encode().decode("latin-1").translate(self.chars) for ws in words for w in ws)
+            words = self.words.findall("\n".join(some).lower())  # no part holds a line feed
+            breaks = [i for i, w in enumerate(words) if w == "\n"]
+            after = np.array([0, *breaks, len(words)]) - np.arange(len(some) + 1).clip(1) + 1
+            after[0] = 0
+            line = " ".join(w for w in words if w != "\n").encode().decode("latin-1").translate(self.chars)
             ids = np.array(self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype=self.kind)
             ends = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1)) if len(ids) else np.zeros(1, dtype=int)
-            after = np.cumsum([0, *map(len, words)])
             if len(ends) != after[-1] + 1:
                 raise AssertionError("a word has no end")
             cuts = ids.itemsize * ends[after]
@@ -187,7 +190,10 @@ class WordEncoder:
 
     def decode(self, ids: np.ndarray) -> str:
         """The library's decode without skipping special tokens: the vocabulary has no decoder, so a space joins tokens."""
-        return " ".join(map(self.tokens.__getitem__, ids.tolist()))
+        return self.decoded_bytes(ids).decode()
+
+    def decoded_bytes(self, ids: np.ndarray) -> bytes:
+        return b" ".join(self.token_bytes[ids].tolist())
 
 
 @cache
