@@ -9,8 +9,9 @@ of Jaccard similarity ``threshold`` or more.  Lines without words stay.
   similarity share a word of both prefixes, ``|x| - ceil(t |x|) + 1`` words; they differ little in
   size (length filter); and behind the first shared word there must be room for the overlap that the
   similarity needs (positional filter).
-* First each line is held against the earliest line of each of its prefix words: that settles most of
-  a group of near copies in linear time.  Only lines that are not settled are joined with all earlier
+* A signature of 64 parities, carried along, proves most candidates too different before any text is read.
+* First each line is held against the earliest line of each of its ``HEADS`` rarest words: that settles
+  most of a group of near copies in linear time.  Only lines that are not settled are joined with all earlier
   lines of their words.  No pair is lost, and a group of copies never makes all its pairs.
 * Candidates are verified on the words themselves.  Their lines are read from the texts again; a
   bitmap of fixed size keeps all other lines out of that shuffle.
@@ -26,11 +27,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendcode.llm.common import stored
+from spendcode.llm.common import release, stored
 
 THRESHOLD = 0.8
 COUNTERS = 1 << 18
-BITMAP_ROWS = 2048  # of 32768 bits each
+PASSES = 2           # parts of the words that are joined one after the other
+HEADS = 3            # rarest words by which a line is held against the earliest line
+BITMAP_ROWS = 2048   # of 32768 bits each
 _HASH_BITS = 53
 _ADDRESS = ["d", "v", "n"]
 _LAST = (1 << 63) - 1
@@ -74,18 +77,26 @@ def word_counts(lines: DataFrame) -> DataFrame:
 
 
 def _sets(lines: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
-    """``d, v, n, k1, k2, size, prefix`` of every line that has words."""
-    hashed = F.array_distinct(F.transform(F.filter(words(F.col("line")), lambda w: w != ""), lambda w: F.xxhash64(w)))
-    rows = lines.select(*_ADDRESS, hashed.alias("h"), counts.scalar().alias("counts"))
-    rare = F.transform("h", lambda h: F.shiftleft(F.get("counts", _counter(h)).cast("bigint"), _HASH_BITS)
-                       + F.shiftrightunsigned(h, 64 - _HASH_BITS))
-    ranked = rows.where(F.size("h") > 0).select(*_ADDRESS, F.sort_array(rare).alias("r"))
-    size = F.size("r")
+    """``d, v, n, size, k1, k2, sig, prefix`` of every line that has words.
+
+    ``k1`` and ``k2`` name the set: a hash of all words and its rarest word.  ``sig`` has the parity of
+    the words in each of 64 classes.
+    """
+    def code(w: Column) -> Column:  # rarity above, hash below
+        h = F.xxhash64(w)
+        return (F.shiftleft(F.get("counts", _counter(h)).cast("bigint"), _HASH_BITS)
+                + F.shiftrightunsigned(h, 64 - _HASH_BITS))
+
+    codes = F.transform(F.array_remove(words(F.col("line")), ""), code)
+    rows = lines.withColumn("counts", counts.scalar()).select(*_ADDRESS, F.sort_array(F.array_distinct(codes)).alias("r"))
+    ranked = rows.select("*", F.size("r").alias("size")).where("size > 0")
+    size = F.col("size")
     keep = F.when(_needs_partner(size, threshold), size - F.ceil(threshold * size - 1e-9) + 1).otherwise(0).cast("int")
     # 31 bits of a word's hash are enough to meet
     prefix = F.transform(F.slice("r", F.lit(1), keep), lambda r: r.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    return ranked.select(*_ADDRESS, F.xxhash64("r").alias("k1"), F.xxhash64(F.lit(1), "r").alias("k2"),
-                         size.alias("size"), prefix.alias("prefix"))
+    sig = F.expr("aggregate(r, 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63 as int)))")
+    return ranked.select(*_ADDRESS, "size", F.xxhash64("r").alias("k1"), F.element_at("r", 1).alias("k2"),
+                         sig.alias("sig"), prefix.alias("prefix"))
 
 
 def _needs_partner(size: Column, threshold: float) -> Column:
@@ -111,48 +122,54 @@ def _in_bitmap(bitmap: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """Addresses ``d, v, n`` of the later lines of the ``pairs`` (``a``, ``b`` addresses) that are similar."""
+    """Addresses of the later lines (``b_``) of the ``pairs`` that are similar to the earlier ones (``a_``)."""
     pairs = stored(pairs.distinct(), "line-pairs")
-    asked = pairs.select("a.*").union(pairs.select("b.*")).distinct()
-    bitmap = address_bitmap(asked)
-    text = lines.withColumn("bitmap", bitmap.scalar()).where(_in_bitmap(F.col("bitmap"))).select(
-        F.struct(*_ADDRESS).alias("at"), "line").distinct()
-    text = text.join(asked.select(F.struct(*_ADDRESS).alias("at")), "at", "left_semi")
-    held = stored(text.select("at", F.array_distinct(F.filter(words(F.col("line")), lambda w: w != "")).alias("ws")), "line-words")
-    both = pairs.join(held.select(F.col("at").alias("a"), F.col("ws").alias("wa")), "a").join(
-        held.select(F.col("at").alias("b"), F.col("ws").alias("wb")), "b")
-    overlap = F.size(F.array_intersect("wa", "wb"))
-    alike = overlap >= threshold * (F.size("wa") + F.size("wb") - overlap) - 1e-9
-    return stored(both.where(alike).select("b.*").distinct(), "line-later")
-
-
-def _may_match(left: str, right: str, threshold: float) -> Column:
-    """Length and positional filter of two prefix rows."""
-    a, b = F.col(f"{left}.size"), F.col(f"{right}.size")
+    side = lambda x: [F.col(f"{x}_{c}").alias(c) for c in _ADDRESS]
+    asked = stored(pairs.select(*side("a")).union(pairs.select(*side("b"))).distinct(), "line-asked")
+    near = lines.withColumn("bitmap", address_bitmap(asked).scalar()).where(_in_bitmap(F.col("bitmap")))
+    text = near.select(*_ADDRESS, "line").join(asked, _ADDRESS, "left_semi").dropDuplicates(_ADDRESS)
+    held = stored(text.select(*_ADDRESS, F.array_distinct(F.array_remove(words(F.col("line")), "")).alias("w")), "line-words")
+    of = lambda x: held.select(*[F.col(c).alias(f"{x}_{c}") for c in _ADDRESS], F.col("w").alias(f"{x}_w"))
+    both = pairs.join(of("a"), [f"a_{c}" for c in _ADDRESS]).join(of("b"), [f"b_{c}" for c in _ADDRESS])
+    overlap = F.size(F.array_intersect("a_w", "b_w"))
+    alike = overlap >= threshold * (F.size("a_w") + F.size("b_w") - overlap) - 1e-9
+    return stored(both.where(alike).select(*side("b")).distinct(), "line-later")
+
+
+def _joined(earlier: DataFrame, later: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of addresses of prefix rows that share a word and pass all filters.
+
+    Length, position, and the parities: sets differ in at least as many words as ``sig`` in bits.
+    """
+    a, b = F.col("a.size"), F.col("b.size")
     need = F.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
-    return ((a >= threshold * b - 1e-9) & (b >= threshold * a - 1e-9)
-            & (F.least(a - F.col(f"{left}.at"), b - F.col(f"{right}.at")) >= need))
-
-
-def _address(side: str) -> Column:
-    return F.struct(*[F.col(f"{side}.{c}").alias(c) for c in _ADDRESS])
+    order = F.struct(*[f"a.{c}" for c in _ADDRESS]) < F.struct(*[f"b.{c}" for c in _ADDRESS])
+    may = ((a >= threshold * b - 1e-9) & (b >= threshold * a - 1e-9)
+           & (F.least(a - F.col("a.at"), b - F.col("b.at")) >= need)
+           & (F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) <= a + b - 2 * need))
+    return earlier.alias("a").join(later.alias("b"), (F.col("a.word") == F.col("b.word")) & may & order).select(
+        *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in _ADDRESS])
 
 
 def near_duplicates(sets: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """Addresses of the sets (each with its first address) that are similar to an earlier one."""
-    rows = sets.select(*_ADDRESS, "size", F.posexplode("prefix").alias("at", "word"))
-    heads = rows.groupBy("word").agg(F.min(F.struct(*_ADDRESS, "size", "at")).alias("head"), F.count(F.lit(1)).alias("c"))
-    heads = heads.where("c > 1").select("word", "head.*")
-    earlier = _address("a") < _address("b")
-    first = rows.alias("b").join(heads.alias("a"), F.col("a.word") == F.col("b.word")).where(
-        earlier & _may_match("a", "b", threshold)).select(_address("a").alias("a"), _address("b").alias("b"))
-    settled = _verified(first, lines, threshold)
-    left = sets.join(settled, _ADDRESS, "left_anti")
-    open_rows = left.select(*_ADDRESS, "size", F.posexplode("prefix").alias("at", "word"))
-    # the earliest line of a word has been tried
-    rest = rows.alias("a").join(open_rows.alias("b"), F.col("a.word") == F.col("b.word")).where(
-        earlier & _may_match("a", "b", threshold)).select(_address("a").alias("a"), _address("b").alias("b"))
-    return settled.union(_verified(rest, lines, threshold))
+    facts = [*_ADDRESS, "size", "sig"]
+    spread = lambda df, prefix: df.select(*facts, F.posexplode(prefix).alias("at", "word"))
+    rarest = spread(sets, F.slice("prefix", 1, HEADS))
+    heads = rarest.groupBy("word").agg(F.min(F.struct(*facts, "at")).alias("head"), F.count(F.lit(1)).alias("c")).where(
+        "c > 1").select("word", "head.*")
+    settled = _verified(_joined(heads, rarest, threshold), lines, threshold)
+    release(sets.sparkSession)
+    left = stored(sets.join(settled, _ADDRESS, "left_anti"), "line-open")
+    pairs = None
+    for turn in range(PASSES):  # the words are dealt to passes, so the shuffled rows of one pass at a time take disk
+        mine = F.pmod("word", F.lit(PASSES)) == turn
+        part = stored(_joined(spread(sets, "prefix").where(mine), spread(left, "prefix").where(mine), threshold).distinct(), "line-part")
+        release(sets.sparkSession)
+        pairs = part if pairs is None else pairs.union(part)
+    later = _verified(pairs, lines, threshold)
+    release(sets.sparkSession)
+    return settled.union(later)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -162,9 +179,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = _lines(addressed, text_col)
     marked = stored(_sets(lines, word_counts(lines), threshold), "line-marks")
     sets = stored(marked.groupBy("k1", "k2").agg(
-        F.min(F.struct(*_ADDRESS)).alias("first"), F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"),
-        F.count(F.lit(1)).alias("c")).select("k1", "k2", "first.*", "size", "prefix", "c"), "line-sets")
-    later = near_duplicates(sets.where(F.size("prefix") > 0).select(*_ADDRESS, "size", "prefix"), lines, threshold)
+        F.min(F.struct(*_ADDRESS)).alias("first"), F.any_value("size").alias("size"), F.any_value("sig").alias("sig"),
+        F.any_value("prefix").alias("prefix"), F.count(F.lit(1)).alias("c")).select(
+        "k1", "k2", "first.*", "size", "sig", "prefix", "c"), "line-sets")
+    later = near_duplicates(sets.where(F.size("prefix") > 0).select(*_ADDRESS, "size", "sig", "prefix"), lines, threshold)
     gone = sets.join(later.withColumn("gone", F.lit(True)), _ADDRESS, "left").where("gone or c > 1").select(
         "k1", "k2", F.struct(*_ADDRESS).alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
     removed = marked.select("k1", "k2", *_ADDRESS).join(stored(gone, "line-gone"), ["k1", "k2"]).where(
