@@ -24,14 +24,16 @@ columns are kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendcode.llm.common import release, stored
+from spendcode.llm.common import discard, release, stored
 
 THRESHOLD = 0.8
 COUNTERS = 1 << 18
-PASSES = 2           # parts of the words that are joined one after the other
+PASSES = 3           # parts of the words that are joined one after the other
 HEADS = 3            # rarest words by which a line is held against the earliest line
 BITMAP_ROWS = 2048   # of 32768 bits each
 _HASH_BITS = 53
@@ -126,14 +128,18 @@ def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame
     pairs = stored(pairs.distinct(), "line-pairs")
     side = lambda x: [F.col(f"{x}_{c}").alias(c) for c in _ADDRESS]
     asked = stored(pairs.select(*side("a")).union(pairs.select(*side("b"))).distinct(), "line-asked")
-    near = lines.withColumn("bitmap", address_bitmap(asked).scalar()).where(_in_bitmap(F.col("bitmap")))
+    bitmap = address_bitmap(asked)
+    near = lines.withColumn("bitmap", bitmap.scalar()).where(_in_bitmap(F.col("bitmap")))
     text = near.select(*_ADDRESS, "line").join(asked, _ADDRESS, "left_semi").dropDuplicates(_ADDRESS)
     held = stored(text.select(*_ADDRESS, F.array_distinct(F.array_remove(words(F.col("line")), "")).alias("w")), "line-words")
     of = lambda x: held.select(*[F.col(c).alias(f"{x}_{c}") for c in _ADDRESS], F.col("w").alias(f"{x}_w"))
     both = pairs.join(of("a"), [f"a_{c}" for c in _ADDRESS]).join(of("b"), [f"b_{c}" for c in _ADDRESS])
     overlap = F.size(F.array_intersect("a_w", "b_w"))
     alike = overlap >= threshold * (F.size("a_w") + F.size("b_w") - overlap) - 1e-9
-    return stored(both.where(alike).select(*side("b")).distinct(), "line-later")
+    out = stored(both.where(alike).select(*side("b")).distinct(), "line-later")
+    discard(pairs, asked, bitmap, held)
+    release(out.sparkSession)
+    return out
 
 
 def _joined(earlier: DataFrame, later: DataFrame, threshold: float) -> DataFrame:
@@ -159,16 +165,14 @@ def near_duplicates(sets: DataFrame, lines: DataFrame, threshold: float) -> Data
     heads = rarest.groupBy("word").agg(F.min(F.struct(*facts, "at")).alias("head"), F.count(F.lit(1)).alias("c")).where(
         "c > 1").select("word", "head.*")
     settled = _verified(_joined(heads, rarest, threshold), lines, threshold)
-    release(sets.sparkSession)
     left = stored(sets.join(settled, _ADDRESS, "left_anti"), "line-open")
-    pairs = None
+    parts = []
     for turn in range(PASSES):  # the words are dealt to passes, so the shuffled rows of one pass at a time take disk
         mine = F.pmod("word", F.lit(PASSES)) == turn
-        part = stored(_joined(spread(sets, "prefix").where(mine), spread(left, "prefix").where(mine), threshold).distinct(), "line-part")
+        parts.append(stored(_joined(spread(sets, "prefix").where(mine), spread(left, "prefix").where(mine), threshold).distinct(), "line-part"))
         release(sets.sparkSession)
-        pairs = part if pairs is None else pairs.union(part)
-    later = _verified(pairs, lines, threshold)
-    release(sets.sparkSession)
+    later = _verified(reduce(DataFrame.union, parts), lines, threshold)
+    discard(left, *parts)
     return settled.union(later)
 
 
@@ -177,7 +181,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.drop("lines_removed")
     addressed = _documents(docs, id_col, text_col)
     lines = _lines(addressed, text_col)
-    marked = stored(_sets(lines, word_counts(lines), threshold), "line-marks")
+    counts = word_counts(lines)
+    marked = stored(_sets(lines, counts, threshold), "line-marks")
+    discard(counts)
     sets = stored(marked.groupBy("k1", "k2").agg(
         F.min(F.struct(*_ADDRESS)).alias("first"), F.any_value("size").alias("size"), F.any_value("sig").alias("sig"),
         F.any_value("prefix").alias("prefix"), F.count(F.lit(1)).alias("c")).select(
@@ -185,10 +191,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     later = near_duplicates(sets.where(F.size("prefix") > 0).select(*_ADDRESS, "size", "sig", "prefix"), lines, threshold)
     gone = sets.join(later.withColumn("gone", F.lit(True)), _ADDRESS, "left").where("gone or c > 1").select(
         "k1", "k2", F.struct(*_ADDRESS).alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    removed = marked.select("k1", "k2", *_ADDRESS).join(stored(gone, "line-gone"), ["k1", "k2"]).where(
+    gone = stored(gone, "line-gone")
+    removed = marked.select("k1", "k2", *_ADDRESS).join(gone, ["k1", "k2"]).where(
         F.col("gone") | (F.struct(*_ADDRESS) != F.col("first")))
     per_doc = stored(removed.groupBy(F.col("d").alias("_d"), F.col("v").alias("_v")).agg(
         F.collect_set("n").alias("_gone")), "line-removed")
+    discard(marked, sets, gone)
+    release(docs.sparkSession)
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains(F.col("_gone"), i))
     out = addressed.join(per_doc, ["_d", "_v"], "left")
     changed = F.col("_gone").isNotNull()
