@@ -3,7 +3,7 @@ small Python helpers for the per-partition matcher.
 
 ``ratio(a, b)`` is the indel-based similarity ``2*LCS / (len(a)+len(b))`` scaled to 0..100
 and rounded half-to-even (equal strings 100, otherwise an empty side 0).  It is *not*
-the unit-cost edit distance (which charges 1 for a substitution).  ``token_sort_ratio`` first normalises
+the unit-cost edit distance (which charges 1 for a substitution).  The token-sort ratio first normalises
 both strings (drop U+0080..U+00FF, non-word characters to spaces, lower case, split,
 sort the tokens, join with one space) and then applies ``ratio``.
 
@@ -78,9 +78,9 @@ def _ratio_from_lcs(la: Column, lb: Column, lcs: Column) -> Column:
     return F.bround(F.lit(100.0) * r, 0).cast("int")
 
 
-def ratio(a, b) -> Column:
-    """0..100 similarity of two strings, fully JVM-side.  Null when *both* strings are
-    longer than ``NATIVE_MAX`` code points; :func:`with_ratio` covers those rows."""
+def _native_ratio(a, b) -> Column:
+    """0..100 similarity of two strings of which one has at most ``NATIVE_MAX`` code points;
+    :func:`with_ratio` sends all other rows elsewhere."""
     a, b = _c(a), _c(b)
     la, lb = F.length(a), F.length(b)
     short = F.when(la <= lb, a).otherwise(b)
@@ -92,10 +92,6 @@ def ratio(a, b) -> Column:
             .otherwise(F.lit(None).cast("int")))
 
 
-def token_sort_ratio(a, b) -> Column:
-    return ratio(token_sort_key(a), token_sort_key(b))
-
-
 def with_ratio(df: DataFrame, a: str, b: str, out: str, token_sort: bool = False) -> DataFrame:
     """Add ``out`` = ratio (or token-sort ratio) of columns ``a`` and ``b`` for every row.
 
@@ -107,7 +103,7 @@ def with_ratio(df: DataFrame, a: str, b: str, out: str, token_sort: bool = False
     ka, kb = (token_sort_key(a), token_sort_key(b)) if token_sort else (F.col(a), F.col(b))
     keyed = df.withColumn("_ka", ka).withColumn("_kb", kb)
     wide = (F.length("_ka") > NATIVE_MAX) & (F.length("_kb") > NATIVE_MAX)
-    native = keyed.where(~wide | wide.isNull()).withColumn(out, ratio("_ka", "_kb"))
+    native = keyed.where(~wide | wide.isNull()).withColumn(out, _native_ratio("_ka", "_kb"))
     slow = keyed.where(wide).withColumn(out, _ratio_udf()("_ka", "_kb"))
     return native.unionByName(slow).drop("_ka", "_kb")
 

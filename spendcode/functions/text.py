@@ -56,6 +56,7 @@ NON_ENGLISH_CLASS = char_class(NON_ENGLISH_LETTERS)
 WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
             + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
 WS_RUN = f"[{WS}]+"
+NUMBER = rf"\A[{WS}]*[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?|(?i:inf|infinity))[{WS}]*\z"
 STRIP_PATTERN = rf"\A[{WS}]+|[{WS}]+\z"
 
 
@@ -98,9 +99,10 @@ def clean_description(c) -> Column:
 
 
 def code_for_cleaning(c) -> Column:
-    """Catalogue code: text, every literal '.0' removed, then numeric; bad or NaN -> null."""
+    """Catalogue code: text, every literal '.0' removed, then numeric; bad or NaN -> null.
+    Java would also read type suffixes (``12D``), so the shape is tested first."""
     txt = F.replace(_c(c).cast("string"), F.lit(".0"), F.lit(""))
-    num = txt.try_cast("double")
+    num = F.when(txt.rlike(NUMBER), txt.try_cast("double"))
     return F.when(F.isnan(num), F.lit(None).cast("double")).otherwise(num)
 
 

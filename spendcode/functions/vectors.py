@@ -41,12 +41,12 @@ def cosine(a, b) -> Column:
     return F.when((F.size(a) == F.size(b)) & (d > 0), dot(a, b) / d)
 
 
-def token_bucket(token) -> Column:
+def token_bucket(token, dimension: int = DIMENSION) -> Column:
     """Bucket of a token: first 28 bits of its md5, modulo the dimension."""
-    return F.conv(F.substring(F.md5(_c(token)), 1, 7), 16, 10).cast("long") % F.lit(DIMENSION)
+    return F.conv(F.substring(F.md5(_c(token)), 1, 7), 16, 10).cast("long") % F.lit(dimension)
 
 
-def hash_embedding_sparse(text) -> Column:
+def hash_embedding_sparse(text, dimension: int = DIMENSION) -> Column:
     """Non-zero entries of the hashed vector: ``array<struct<bucket int, weight double>>``
     sorted by bucket; weights are token counts divided by the vector's L2 norm."""
     tokens = F.regexp_extract_all(F.lower(_c(text)), F.lit(TOKEN_PATTERN), 0)
@@ -63,7 +63,7 @@ def hash_embedding_sparse(text) -> Column:
         return let(n, lambda nv: F.transform(
             entries, lambda e: F.struct(e["bucket"].alias("bucket"), (e["weight"] / nv).alias("weight"))))
 
-    return let(F.transform(tokens, token_bucket), counted)
+    return let(F.transform(tokens, lambda t: token_bucket(t, dimension)), counted)
 
 
 def hash_embedding(text, dimension: int = DIMENSION) -> Column:
@@ -73,4 +73,4 @@ def hash_embedding(text, dimension: int = DIMENSION) -> Column:
         return let(m, lambda mv: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)),
                                              lambda i: F.coalesce(F.try_element_at(mv, i), F.lit(0.0))))
 
-    return let(hash_embedding_sparse(text), dense)
+    return let(hash_embedding_sparse(text, dimension), dense)

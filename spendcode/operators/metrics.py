@@ -9,17 +9,17 @@ from spendcode.functions.text import format_elapsed
 
 
 def confidence_histogram(df: DataFrame, column: str, bins: int = 20, width: int = 5) -> DataFrame:
-    """Counts per fixed-width bin over 0..bins*width; values above the top land in the last
-    bin (they are not clamped upstream).  Empty bins are present with count 0."""
+    """Counts per fixed-width bin over 0..bins*width, and one more row (``hi`` null) for values
+    from there on, which are not clamped upstream.  Empty bins are present with count 0."""
     spark = df.sparkSession
-    b = F.least(F.floor(F.col(column) / F.lit(width)), F.lit(bins - 1)).cast("int")
+    b = F.least(F.floor(F.col(column) / F.lit(width)), F.lit(bins)).cast("int")
     counts = (df.where(F.col(column).isNotNull())
               .groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n")))
-    # ``bins`` rows: the join below is a broadcast hash join on the bin number.
-    grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
+    # ``bins + 1`` rows: the join below is a broadcast hash join on the bin number.
+    grid = spark.range(bins + 1).select(F.col("id").cast("int").alias("bin"))
     return (grid.join(F.broadcast(counts), "bin", "left")
             .select("bin", (F.col("bin") * width).alias("lo"),
-                    ((F.col("bin") + 1) * width).alias("hi"),
+                    F.when(F.col("bin") < bins, (F.col("bin") + 1) * width).alias("hi"),
                     F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
 
 

@@ -112,7 +112,8 @@ class ResponseStore:
         distinct = requests.select(*REQUEST_COLUMNS, *carry).dropDuplicates(["request_key"])
         stored = self._exists()
         if stored:
-            known = self.load(stage).select("request_key")
+            # a stored failure is no answer: it is asked again
+            known = self.load(stage).where(F.col("response").isNotNull()).select("request_key").distinct()
             misses = distinct.join(known, "request_key", "left_anti")
         else:
             misses = distinct
@@ -123,8 +124,9 @@ class ResponseStore:
         # action must read stored answers instead of asking the model again.
         fresh.select(*[f.name for f in STORE_SCHEMA.fields]) \
             .write.mode("append").partitionBy("stage").parquet(self.path)
-        answers = (self.load(stage).select("request_key", "response", "error")
-                   .dropDuplicates(["request_key"]))
+        # of several stored rows of a request one with an answer wins
+        best = F.max_by(F.struct("response", "error"), F.col("response").isNotNull())
+        answers = self.load(stage).groupBy("request_key").agg(best.alias("a")).select("request_key", "a.*")
         return distinct.join(answers, "request_key", "inner")
 
 
@@ -132,8 +134,8 @@ def pandas_responder(call: Callable, partitions: int | None = None) -> Responder
     """Wrap ``call(pandas.DataFrame[request columns]) -> pandas.DataFrame[response, error]``.
 
     The batches run in Python workers via ``mapInPandas``; ``partitions`` bounds how many
-    run at once (one open client per task).  A failing batch is recorded per row in
-    ``error`` rather than failing the job.
+    run at once (one open client per task).  When a batch raises, its rows are asked one by
+    one, so only the rows that fail themselves are recorded with an ``error``.
     """
     out_schema = T.StructType(STORE_SCHEMA.fields)
 
@@ -144,11 +146,18 @@ def pandas_responder(call: Callable, partitions: int | None = None) -> Responder
             base = pdf[[f.name for f in STORE_SCHEMA.fields if f.name not in ("response", "error")]]
             try:
                 got = call(base)
-                resp, err = got["response"], got["error"]
-            except Exception as e:  # noqa: BLE001 - row-level fault isolation
-                resp = pd.Series([None] * len(base), dtype=object)
-                err = pd.Series([f"{type(e).__name__}: {e}"] * len(base), dtype=object)
-            yield base.assign(response=list(resp), error=list(err))
+                resp, err = list(got["response"]), list(got["error"])
+            except Exception:  # noqa: BLE001 - find the rows that fail
+                resp, err = [], []
+                for i in range(len(base)):
+                    try:
+                        one = call(base.iloc[i:i + 1])
+                        resp.append(one["response"].iloc[0])
+                        err.append(one["error"].iloc[0])
+                    except Exception as e:  # noqa: BLE001 - row-level fault isolation
+                        resp.append(None)
+                        err.append(f"{type(e).__name__}: {e}")
+            yield base.assign(response=resp, error=err)
 
     def responder(misses: DataFrame, stage: str) -> DataFrame:
         ship_package(misses.sparkSession)

@@ -42,7 +42,7 @@ def vector_records(df: DataFrame, id_col: str, vector_col: str, description_col:
 
 def latest_per_id(records: DataFrame) -> DataFrame:
     """The last write of each id (an upsert overwrites earlier writes of the same id)."""
-    last = F.max_by(F.struct("vector", "metadata", "seq"), F.col("seq"))
+    last = F.max_by(F.struct("vector", "metadata", "seq"), F.coalesce("seq", F.lit(-(1 << 63))))
     return records.groupBy("id").agg(last.alias("r")).select("id", "r.*")
 
 
@@ -62,28 +62,61 @@ def check_dimension(records: DataFrame, dimension: int) -> DataFrame:
 
 
 class VectorTable:
-    """A Parquet vector table with a fixed dimension (create-if-absent, upsert, read)."""
-
-    def __init__(self, spark: SparkSession, path: str, dimension: int = DIMENSION):
-        self.spark, self.path, self.dimension = spark, path, dimension
+    """A Parquet vector table: create if absent, upsert, read the last complete version.
+
+    ``path`` holds ``version-N`` folders, each a whole table, and ``meta`` with name,
+    dimension and metric.  A version counts once its ``_SUCCESS`` marker is there, so a
+    failed upsert leaves the version before it in force.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, dimension: int = DIMENSION, name: str = "catalogue",
+                 metric: str = "cosine"):
+        self.spark, self.path, self.dimension, self.name, self.metric = spark, path.rstrip("/"), dimension, name, metric
+        if self._exists(f"{self.path}/meta/_SUCCESS"):
+            stored = self.spark.read.json(f"{self.path}/meta").first()
+            if stored["dimension"] != dimension or stored["metric"] != metric:
+                raise ValueError(f"{self.path} holds {stored['metric']} vectors of dimension {stored['dimension']}")
+            self.name = stored["name"]
+
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _exists(self, path: str) -> bool:
+        p, fs = self._fs(path)
+        return fs.exists(p)
+
+    def versions(self) -> list[int]:
+        """Numbers of the complete versions, oldest first."""
+        p, fs = self._fs(self.path)
+        if not fs.exists(p):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(p)]
+        numbers = sorted(int(n[8:]) for n in names if n.startswith("version-"))
+        return [n for n in numbers if self._exists(f"{self._version(n)}/_SUCCESS")]
+
+    def _version(self, number: int) -> str:
+        return f"{self.path}/version-{number:08d}"
 
     def exists(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        return bool(self.versions())
 
     def read(self) -> DataFrame:
-        if self.exists():
-            return self.spark.read.schema(RECORD_SCHEMA).parquet(self.path)
+        done = self.versions()
+        if done:
+            return self.spark.read.schema(RECORD_SCHEMA).parquet(self._version(done[-1]))
         return self.spark.createDataFrame([], RECORD_SCHEMA)
 
     def upsert(self, batch: DataFrame) -> str:
-        """Write the merged table to a new version folder and return its path (the old
-        version stays readable until the caller switches to the new one)."""
-        import uuid
-        merged = check_dimension(upsert(self.read(), batch), self.dimension)
-        target = f"{self.path.rstrip('/')}-{uuid.uuid4().hex[:8]}"
-        merged.write.mode("error").parquet(target)
+        """Write the merged table as the next version and return its folder."""
+        if not self._exists(f"{self.path}/meta/_SUCCESS"):
+            facts = [(self.name, self.dimension, self.metric)]
+            self.spark.createDataFrame(facts, "name string, dimension int, metric string").coalesce(1).write.mode(
+                "overwrite").json(f"{self.path}/meta")
+        new = latest_per_id(batch)
+        kept = self.read().join(new.select("id"), "id", "left_anti")  # the table's ids are unique
+        target = self._version((self.versions() or [0])[-1] + 1)
+        check_dimension(kept.unionByName(new), self.dimension).write.mode("overwrite").parquet(target)
         return target
 
 
@@ -140,7 +173,7 @@ def _topk_fn(bc, k: int):
                     cand = valid[s[valid] >= kth]
                     cand = cand[np.lexsort((order_ids[cand], -s[cand]))][:kk]
                     for rank, j in enumerate(cand, 1):
-                        rows.append((pids[lo + r], rank, order_ids[j], float(s[j])))
+                        rows.append((pids[lo + r], rank, order_ids[j].item(), float(s[j])))
             yield pd.DataFrame(rows, columns=["probe_id", "rank", "id", "similarity"])
 
     return run
@@ -160,11 +193,16 @@ def nearest(probes: DataFrame, index: DataFrame, k: int = 5, max_rows: int = MAX
 
     spark = probes.sparkSession
     ship_package(spark)
-    idx = index.select(F.col("id").cast("long").alias("id"), "vector").persist()
+    idx = index.where(F.col("vector").isNotNull() & F.col("id").isNotNull()).select("id", "vector").persist()
+    id_type, probe_type = (df.schema[c].dataType.simpleString() for df, c in ((idx, "id"), (probes, "probe_id")))
+    probes = probes.where(F.col("vector").isNotNull())
     size = idx.agg(F.count(F.lit(1)).alias("n"),
                    F.coalesce(F.sum(F.size("vector") * 8 + 16), F.lit(0)).alias("b")).first()
     chunks = max(1, math.ceil(size["n"] / max_rows), math.ceil(size["b"] / max_bytes))
-    schema = "probe_id long, rank int, id long, similarity double"
+    schema = f"probe_id {probe_type}, rank int, id {id_type}, similarity double"
+    if size["n"] == 0:
+        idx.unpersist()
+        return spark.createDataFrame([], schema)
     parts = []
     for c in range(chunks):
         part = idx if chunks == 1 else idx.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == c)
@@ -173,8 +211,8 @@ def nearest(probes: DataFrame, index: DataFrame, k: int = 5, max_rows: int = MAX
             ids.append(r["id"])
             vecs.append(r["vector"])
         mat = np.asarray(vecs, dtype=np.float64) if vecs else np.zeros((0, 1))
-        bc = spark.sparkContext.broadcast((np.asarray(ids, dtype=np.int64), mat))
-        parts.append(probes.select(F.col("probe_id").cast("long"), "vector")
+        bc = spark.sparkContext.broadcast((np.asarray(ids), mat))
+        parts.append(probes.select("probe_id", "vector")
                      .mapInPandas(_topk_fn(bc, k), schema))
     idx.unpersist()
     out = parts[0]

@@ -14,6 +14,7 @@ from spendcode.functions import text as T
 from spendcode.operators import catalog as C
 from spendcode.operators import metrics as M
 from spendcode.operators.gates import gate
+from spendcode.operators.replay import replay_responder
 from spendcode.sources import fixtures as X
 from spendcode.sources.tables import table
 
@@ -175,28 +176,28 @@ def _lines_p2(spark, sf_dir):
 
 def enrich(spark, sf_dir):
     from spendcode.plans.enrich import enrich as run
-    return run(_lines_p1(spark, sf_dir)).result()
+    return run(_lines_p1(spark, sf_dir), responder=replay_responder).result()
 
 
 def process(spark, sf_dir):
     from spendcode.plans.enrich import process as run
-    return run(_lines_p2(spark, sf_dir)).result()
+    return run(_lines_p2(spark, sf_dir), responder=replay_responder).result()
 
 
 def translate_gate(spark, sf_dir):
-    from spendcode.plans.enrich import enrich as run
-    r = run(_lines_p1(spark, sf_dir))
+    from spendcode.plans.enrich import translate as run
+    r = run(_lines_p1(spark, sf_dir), responder=replay_responder)
     return r.lines.select("ordinal", "procurement_description_en", "account_en")
 
 
 def quarantine(spark, sf_dir):
     from spendcode.plans.enrich import enrich as run, quarantine as q
-    return q(run(_lines_p1(spark, sf_dir)))
+    return q(run(_lines_p1(spark, sf_dir), responder=replay_responder))
 
 
 def stage_metrics(spark, sf_dir):
     from spendcode.plans.enrich import enrich as run, stage_metrics as m
-    return m(run(_lines_p1(spark, sf_dir)))
+    return m(run(_lines_p1(spark, sf_dir), responder=replay_responder))
 
 
 def describe_stage(spark, sf_dir):
@@ -204,7 +205,6 @@ def describe_stage(spark, sf_dir):
     or a failed request gives null."""
     from spendcode.functions.prompts import DEFAULT_MODEL, MISSING_TEXT
     from spendcode.operators.responses import ResponseStore
-    from spendcode.operators.replay import replay_responder
     from spendcode.plans.enrich import EnrichRun, _classify
     lines = _lines_p1(spark, sf_dir)
     run = EnrichRun(lines)
@@ -233,11 +233,12 @@ def request_plan(spark, sf_dir):
 # --- fuzzy scores and best match (F1, F2, J1, J2, R7, T2, T3, G5) -----------------------
 
 def _pairs(spark, sf_dir):
-    """Each part name paired with the decorated name of the next part (equi-join on key)."""
+    """Each part name paired with the decorated name of the next part (equi-join on key); a
+    part without a next one is paired with null."""
     p = table(spark, sf_dir, "part")
     nxt = p.select((F.col("p_partkey") - 1).alias("p_partkey"),
                    F.expr(X.PROBE_SQL).alias("b_raw"))
-    return p.join(nxt, "p_partkey").select("p_partkey", F.lower("p_name").alias("a"),
+    return p.join(nxt, "p_partkey", "left").select("p_partkey", F.lower("p_name").alias("a"),
                                             F.lower("b_raw").alias("b"))
 
 
@@ -280,7 +281,7 @@ def fuzzy_best_documents(spark, sf_dir):
 def fuzzy_enrich(spark, sf_dir):
     from spendcode.plans.fuzzy_enrich import fuzzy_enrich as run
     from spendcode.sources.tables import catalogue_from_part
-    return run(_lines_p1(spark, sf_dir), catalogue_from_part(spark, sf_dir))
+    return run(_lines_p1(spark, sf_dir), catalogue_from_part(spark, sf_dir), responder=replay_responder)
 
 
 # --- vectors (E3, E5, E6, R4, S8, S9) ----------------------------------------------------
@@ -297,7 +298,7 @@ def cosine_similarity(spark, sf_dir):
     from spendcode.functions.vectors import cosine
     e = table(spark, sf_dir, "embeddings")
     nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next_embedding"))
-    return e.join(nxt, "vec_id").select("vec_id", F.round(cosine("embedding", "next_embedding"), 6)
+    return e.join(nxt, "vec_id", "left").select("vec_id", F.round(cosine("embedding", "next_embedding"), 6)
                                         .alias("similarity"))
 
 
@@ -312,10 +313,10 @@ def cosine_topk(spark, sf_dir):
 
 def vector_upsert(spark, sf_dir):
     """Rows with label 0 form the existing index, the others are upserted into it; ids
-    repeat (vec_id % 200) so later writes replace earlier ones."""
+    repeat (three rows an id) so later writes replace earlier ones."""
     from spendcode.operators.vectors import upsert, vector_records
     e = table(spark, sf_dir, "embeddings").select(
-        (F.col("vec_id") % 200).alias("id"), "vec_id", "embedding", "label",
+        F.floor(F.col("vec_id") / 3).alias("id"), "vec_id", "embedding", "label",
         F.concat(F.lit("label "), F.col("label").cast("string")).alias("description"))
     recs = vector_records(e, "id", "embedding", "description", "vec_id").withColumn(
         "label", F.col("metadata")["description"])

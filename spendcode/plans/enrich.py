@@ -13,6 +13,7 @@ once per distinct text even when they appear in both columns or on many lines.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -24,6 +25,9 @@ from spendcode.functions import prompts as PR
 from spendcode.functions import text as T
 from spendcode.operators.gates import gate
 from spendcode.operators.responses import ResponseStore, Responder, request_columns, stage_name
+from spendcode.session import shared_dir
+
+KEY = "_line"  # key of a line inside the job
 
 
 @dataclass(frozen=True)
@@ -78,6 +82,30 @@ class EnrichRun:
         self.persisted.clear()
 
 
+def with_line_key(lines: DataFrame, order: str = "ordinal") -> DataFrame:
+    """``lines`` plus the unique, never null key ``_line``.
+
+    A unique ``order`` column is the key itself.  Where it repeats or is null, rows are
+    numbered instead, and written once to the shared folder before the key is used, so
+    every later read sees the same numbers.
+    """
+    if order in lines.columns:
+        bad = lines.groupBy(order).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(order).isNull())
+        if bad.isEmpty():
+            return lines.withColumn(KEY, F.col(order))
+    spark = lines.sparkSession
+    path = shared_dir(spark, f"lines/{uuid.uuid4().hex}")
+    numbered = lines.withColumn(KEY, F.monotonically_increasing_id())
+    numbered.write.parquet(path)
+    return spark.read.schema(numbered.schema).parquet(path)
+
+
+def _require(responder: Responder | None) -> Responder:
+    if responder is None:
+        raise ValueError("a responder (the model client) is required")
+    return responder
+
+
 def _key(dialect: str, stage: str, model: str, **slots: Column) -> Column:
     return request_columns(dialect, stage, model, **slots)[1]
 
@@ -213,21 +241,45 @@ def _classify_stages(lines: DataFrame, specs: list, store: ResponseStore, respon
                                              F.col("response").alias(f"{stage}_response"),
                                              F.col("error").alias(f"{stage}_error"))))
     for k, stage, ans in answers:
-        lines = lines.join(ans, k, "left").withColumn(f"{stage}_asked", F.col(k).isNotNull()).drop(k)
+        # lines that ask nothing do not meet in the task of the null key
+        asked = lines.where(F.col(k).isNotNull()).join(ans, k, "left").withColumn(f"{stage}_asked", F.lit(True))
+        silent = lines.where(F.col(k).isNull()).select(
+            "*", F.lit(None).cast("string").alias(f"{stage}_response"), F.lit(None).cast("string").alias(f"{stage}_error"),
+            F.lit(False).alias(f"{stage}_asked"))
+        lines = asked.unionByName(silent).drop(k)
     return lines
 
 
+_CODES = ["naics_code", "naics_description", "naics_confidence", "unspsc_code", "unspsc_description", "unspsc_confidence"]
+ENRICHED = ["procurement_description_en", "account_en", "input_text", *_CODES]
+PROCESSED = ["description_en", "account_en", *_CODES]
+
+
+def translate(lines: DataFrame, settings: Settings = Settings(), store: ResponseStore | None = None,
+              responder: Responder | None = None, materialize: str = "persist") -> EnrichRun:
+    """The translation stages alone: both texts in English."""
+    responder = _require(responder)
+    store = store or ResponseStore(lines.sparkSession)
+    outputs = ["procurement_description_en", "account_en"]
+    lines = with_line_key(lines.drop(*outputs))
+    run = EnrichRun(lines, materialize=materialize)
+    df = _translate_narrow(lines, {"procurement_description": outputs[0], "account": outputs[1]}, "p1", settings,
+                           store, responder, run, KEY)
+    run.output_columns = [c for c in lines.columns if c != KEY] + outputs
+    run.lines = lines.join(df, KEY, "left")
+    return run
+
+
 def enrich(lines: DataFrame, settings: Settings = Settings(), store: ResponseStore | None = None,
            responder: Responder | None = None, materialize: str = "persist") -> EnrichRun:
     """Application pipeline over ``procurement_description`` and ``account`` (plus any
     pass-through columns)."""
-    from spendcode.operators.replay import replay_responder
-
+    responder = _require(responder)
     store = store or ResponseStore(lines.sparkSession)
-    responder = responder or replay_responder
+    lines = with_line_key(lines.drop(*ENRICHED))  # a column that the job makes is replaced
     run = EnrichRun(lines, materialize=materialize)
-    passthrough = lines.columns
-    key = "ordinal"
+    passthrough = [c for c in lines.columns if c != KEY]
+    key = KEY
     df = _translate_narrow(lines, {"procurement_description": "procurement_description_en",
                                    "account": "account_en"}, "p1", settings, store, responder, run, key)
     df = df.withColumn("input_text", T.combined_text(F.col("procurement_description_en"),
@@ -248,10 +300,7 @@ def enrich(lines: DataFrame, settings: Settings = Settings(), store: ResponseSto
                                      (F.col("unspsc_confidence") >= settings.unspsc_confidence_threshold).cast("int"))
     # the wide line rows move once: to the per-line results, which are partitioned by key
     run.lines = lines.join(df, key, "left")
-    run.output_columns = passthrough + [
-        "procurement_description_en", "account_en", "input_text",
-        "naics_code", "naics_description", "naics_confidence",
-        "unspsc_code", "unspsc_description", "unspsc_confidence"]
+    run.output_columns = passthrough + ENRICHED
     return run
 
 
@@ -259,13 +308,12 @@ def process(lines: DataFrame, settings: Settings = Settings(), store: ResponseSt
             responder: Responder | None = None, materialize: str = "persist") -> EnrichRun:
     """Modular pipeline over ``description`` and ``account``: no blank guard, strict
     parsers, 8-digit product codes, no gates."""
-    from spendcode.operators.replay import replay_responder
-
+    responder = _require(responder)
     store = store or ResponseStore(lines.sparkSession)
-    responder = responder or replay_responder
+    lines = with_line_key(lines.drop(*PROCESSED))
     run = EnrichRun(lines, materialize=materialize)
-    passthrough = lines.columns
-    key = "ordinal"
+    passthrough = [c for c in lines.columns if c != KEY]
+    key = KEY
     df = _translate_narrow(lines, {"description": "description_en", "account": "account_en"},
                            "p2", settings, store, responder, run, key)
     df = _classify_keyed(df, [("p2", "naics", settings.classification_model, None,
@@ -282,9 +330,7 @@ def process(lines: DataFrame, settings: Settings = Settings(), store: ResponseSt
         "*", F.col("_u.code").alias("unspsc_code"), F.col("_u.description").alias("unspsc_description"),
         F.col("_u.confidence").alias("unspsc_confidence")).drop("_u")
     run.lines = lines.join(df, key, "left")
-    run.output_columns = passthrough + [
-        "description_en", "account_en", "naics_code", "naics_description", "naics_confidence",
-        "unspsc_code", "unspsc_description", "unspsc_confidence"]
+    run.output_columns = passthrough + PROCESSED
     return run
 
 

@@ -17,15 +17,13 @@ from spendcode.functions.text import is_blank
 from spendcode.operators.gates import gate
 from spendcode.operators.match import attach_best_match
 from spendcode.operators.responses import ResponseStore, Responder
-from spendcode.plans.enrich import EnrichRun, Settings, _classify_stages
+from spendcode.plans.enrich import EnrichRun, Settings, _classify_stages, _require
 
 
 def fuzzy_enrich(lines: DataFrame, catalogue: DataFrame, settings: Settings = Settings(),
                  store: ResponseStore | None = None, responder: Responder | None = None) -> DataFrame:
-    from spendcode.operators.replay import replay_responder
-
+    responder = _require(responder)
     store = store or ResponseStore(lines.sparkSession)
-    responder = responder or replay_responder
     run = EnrichRun(lines)
     text = F.coalesce(F.col("procurement_description"), F.lit(PR.MISSING_TEXT))
     guard = ~is_blank("procurement_description")

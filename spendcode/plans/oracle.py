@@ -197,12 +197,12 @@ def _init_text_queries():
             {gate_sql(n1, 85, 'naics_t85')}, {gate_sql(u1, 85, 'unspsc_t85')} FROM answers""",
         "confidence_histogram": f"""WITH {answers},
             conf AS (SELECT {n1['confidence']} AS nc, {u1['confidence']} AS uc FROM answers),
-            bins AS (SELECT CAST(range AS INTEGER) AS bin FROM range(20)),
-            h AS (SELECT 'naics' AS column_name, least(floor(nc / 5), 19) AS bin, count(*) AS n FROM conf GROUP BY ALL
+            bins AS (SELECT CAST(range AS INTEGER) AS bin FROM range(21)),
+            h AS (SELECT 'naics' AS column_name, least(floor(nc / 5), 20) AS bin, count(*) AS n FROM conf GROUP BY ALL
                   UNION ALL
-                  SELECT 'unspsc', least(floor(uc / 5), 19), count(*) FROM conf GROUP BY ALL),
+                  SELECT 'unspsc', least(floor(uc / 5), 20), count(*) FROM conf GROUP BY ALL),
             names AS (SELECT * FROM (VALUES ('naics'), ('unspsc')) v(column_name))
-            SELECT b.bin, b.bin * 5 AS lo, (b.bin + 1) * 5 AS hi, coalesce(h.n, 0) AS n, names.column_name
+            SELECT b.bin, b.bin * 5 AS lo, CASE WHEN b.bin < 20 THEN (b.bin + 1) * 5 END AS hi, coalesce(h.n, 0) AS n, names.column_name
             FROM names JOIN bins b ON true LEFT JOIN h ON h.bin = b.bin AND h.column_name = names.column_name""",
         "hierarchy_rollup": f"""WITH {answers}, u AS (SELECT {u1['code']} AS code FROM answers)
             SELECT substr(code, 1, 2) AS segment, substr(code, 1, 4) AS family, substr(code, 1, 6) AS class_code,
@@ -406,7 +406,7 @@ def _init_fuzzy_queries():
     from spendcode.sources.fixtures import PROBE_SQL
 
     pairs = f"""pairs AS (SELECT p.p_partkey, lower(p.p_name) AS a, lower(n.b_raw) AS b FROM part p
-        JOIN (SELECT p_partkey - 1 AS p_partkey, {PROBE_SQL} AS b_raw FROM part) n ON n.p_partkey = p.p_partkey)"""
+        LEFT JOIN (SELECT p_partkey - 1 AS p_partkey, {PROBE_SQL} AS b_raw FROM part) n ON n.p_partkey = p.p_partkey)"""
     probes = f"SELECT p_partkey, {PROBE_SQL} AS probe FROM part"
     out = """SELECT mk.p_partkey, best.code AS match_code, best.description AS match_description,
         coalesce(best.score, 0) AS match_score FROM mk LEFT JOIN best ON best.k = mk.k"""
@@ -465,13 +465,13 @@ def _init_vector_queries():
                    round(c / sqrt(sum(c * c) OVER (PARTITION BY ordinal)), 6) AS weight FROM cnt""",
         "cosine_similarity": """SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]),
                 CAST(b.embedding AS DOUBLE[])), 6) AS similarity
-            FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
+            FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
         "cosine_topk": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
             s AS (SELECT a.vec_id AS probe_id, b.vec_id AS id, list_cosine_similarity(a.v, b.v) AS sim
                   FROM e a CROSS JOIN e b),
             r AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY sim DESC, id) AS rank FROM s)
             SELECT probe_id, CAST(rank AS INTEGER) AS rank, id, round(sim, 6) AS similarity FROM r WHERE rank <= 5""",
-        "vector_upsert": """WITH rec AS (SELECT CAST(vec_id % 200 AS VARCHAR) AS id, vec_id AS seq, embedding, label
+        "vector_upsert": """WITH rec AS (SELECT CAST(vec_id // 3 AS VARCHAR) AS id, vec_id AS seq, embedding, label
                 FROM embeddings),
             old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn
                     FROM rec WHERE label = 0) WHERE rn = 1),

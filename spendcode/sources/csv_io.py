@@ -8,7 +8,7 @@ task until the caller repartitions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendcode.functions.text import na_to_null
@@ -20,7 +20,7 @@ CATALOGUE_COLUMNS = ("code", "description")
 MISSPELT = {"procurment_description": "procurement_description"}
 
 READ_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"',
-                "encoding": "UTF-8", "inferSchema": "false", "mode": "FAILFAST"}
+                "encoding": "UTF-8", "inferSchema": "false", "mode": "PERMISSIVE"}
 WRITE_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "emptyValue": "", "nullValue": "",
                  "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
                  "encoding": "UTF-8"}
@@ -36,16 +36,24 @@ def require_columns(df: DataFrame, required, name_all: bool = False) -> DataFram
     missing = [c for c in required if c not in df.columns]
     if missing:
         listed = ", ".join(required if name_all else missing)
-        raise MissingColumns(f"The CSV file must contain these columns: {listed}")
+        raise MissingColumns(f"columns missing from the CSV input: {listed}")
     return df
 
 
 def read_csv(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """All columns as strings, pandas' missing-value tokens as null, plus ``ordinal``
-    (file order, taken before any repartition)."""
-    df = spark.read.options(**READ_OPTIONS).csv(path)
-    df = df.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in df.columns])
-    df = df.withColumn("ordinal", F.monotonically_increasing_id())
+    """All columns as strings, pandas' missing-value tokens as null, plus ``ordinal``.
+
+    ``ordinal`` follows the file names, then the order within a file, however Spark packs
+    the files (a multi-line file is never split).  A row shorter than the header is filled
+    with nulls.
+    """
+    raw = spark.read.options(**READ_OPTIONS).csv(path)
+    df = raw.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in raw.columns],
+                    F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    # one row a file; the window sees file names only
+    files = df.select("_file").distinct().select("_file", F.row_number().over(Window.orderBy("_file")).alias("_nr"))
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    df = df.join(files, "_file").withColumn("ordinal", (F.col("_nr") - 1) * F.lit(1 << 33) + within).drop("_file", "_at", "_nr")
     return df.repartition(partitions) if partitions else df
 
 
@@ -65,6 +73,15 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return require_columns(read_csv(spark, path), CATALOGUE_COLUMNS)
 
 
+def read_cleaned_catalogue(spark: SparkSession, path: str, input_format: str = "parquet") -> DataFrame:
+    """What the cleaning job wrote: ``ordinal`` (where kept), ``code`` as a number, ``description``
+    (an empty CSV field is the empty description)."""
+    if input_format == "parquet":
+        return require_columns(spark.read.parquet(path), CATALOGUE_COLUMNS)
+    df = require_columns(read_csv(spark, path), CATALOGUE_COLUMNS)
+    return df.select("ordinal", F.col("code").try_cast("double").alias("code"), F.coalesce("description", F.lit("")).alias("description"))
+
+
 def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "overwrite") -> None:
     """Header row, no index, quotes doubled, null and '' both written as an empty field."""
     out = df.coalesce(1) if single_file else df

@@ -20,6 +20,7 @@ RAW_CODE_SQL = """CASE p_partkey % 7
     WHEN 2 THEN CAST(p_partkey AS VARCHAR) || '.05'
     WHEN 3 THEN NULL
     WHEN 4 THEN 'abc' || CAST(p_partkey AS VARCHAR)
+    WHEN 5 THEN CAST(p_partkey AS VARCHAR) || 'D'
     ELSE CAST(p_partkey AS VARCHAR) END"""
 
 RAW_DESCRIPTION_SQL = """CASE WHEN p_partkey % 97 = 5 THEN NULL

@@ -25,6 +25,17 @@ def test_read_like_pandas(spark, tmp_path):
                     ("two\nlines", None, None), ("plain", "  padded  ", None)]
 
 
+def test_files_in_name_order_and_short_rows(spark, tmp_path):
+    d = tmp_path / "many"
+    d.mkdir()
+    big = "".join(f"b{i},x\n" for i in range(2000))
+    for name, body in (("b.csv", big), ("a.csv", "a0,y\na1\n"), ("c.csv", "c0,z\n")):
+        (d / name).write_text("procurement_description,account\n" + body, encoding="utf-8")
+    rows = read_purchase_lines(spark, str(d)).orderBy("ordinal").collect()
+    assert [r["procurement_description"] for r in rows] == ["a0", "a1"] + [f"b{i}" for i in range(2000)] + ["c0"]
+    assert rows[1]["account"] is None and len({r["ordinal"] for r in rows}) == len(rows)
+
+
 def test_missing_columns(spark, tmp_path):
     p = str(tmp_path / "bad")
     write_text(spark, p, "description,other\nx,y\n")

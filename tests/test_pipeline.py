@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from spendcode.functions.text import NON_ENGLISH_CLASS
-from spendcode.operators.replay import FAILURE_MODULUS, FAILURE_TEXT, INDUSTRIES, PRODUCTS
+from spendcode.operators.replay import FAILURE_MODULUS, FAILURE_TEXT, INDUSTRIES, PRODUCTS, replay_responder
 from spendcode.operators.responses import ResponseStore, pandas_responder
 from spendcode.plans.enrich import Settings, enrich, quarantine, stage_metrics
 
@@ -54,20 +54,20 @@ def lines(spark):
 
 
 def test_python_model_through_store_equals_stand_in(spark, tmp_shared):
-    a = enrich(lines(spark)).result()
+    a = enrich(lines(spark), responder=replay_responder).result()
     store = ResponseStore(spark, tmp_shared + "/responses")
     b = enrich(lines(spark), store=store, responder=pandas_responder(python_model, partitions=2)).result()
     ra = sorted(tuple(r) for r in a.collect())
     rb = sorted(tuple(r) for r in b.collect())
     assert ra == rb
-    # the stored answers are reused: a third run over the same lines asks nothing new
-    before = store.load().count()
+    # the stored answers are reused: a third run over the same lines asks only what failed
+    answered = store.load().where("response is not null").count()
     enrich(lines(spark), store=store, responder=pandas_responder(python_model)).result().collect()
-    assert store.load().count() == before
+    assert store.load().where("response is not null").count() == answered
 
 
 def test_enrich_semantics(spark):
-    run = enrich(lines(spark), Settings(confidence_threshold=0, unspsc_confidence_threshold=101))
+    run = enrich(lines(spark), Settings(confidence_threshold=0, unspsc_confidence_threshold=101), responder=replay_responder)
     got = {r["ordinal"]: r for r in run.result().collect()}
     # identical lines get identical answers (asked once)
     assert [got[1][c] for c in got[1].__fields__[1:]] == [got[4][c] for c in got[4].__fields__[1:]]
@@ -85,6 +85,17 @@ def test_enrich_semantics(spark):
     assert all(r["error"] == FAILURE_TEXT for r in q)
 
 
+def test_line_keys_are_made_when_needed(spark):
+    import pytest
+    rows = [(0, "Paper", "1", "old"), (0, "Lamp", "2", "old"), (None, "Kaffi ó", "3", "old")]
+    df = spark.createDataFrame(rows, "ordinal long, procurement_description string, account string, account_en string")
+    got = enrich(df, responder=replay_responder).result().collect()
+    assert len(got) == 3 and sorted(r["procurement_description"] for r in got) == ["Kaffi ó", "Lamp", "Paper"]
+    assert {r["account_en"] for r in got} <= {"1", "2", "3"}  # the job's column replaces the line's
+    with pytest.raises(ValueError, match="responder"):
+        enrich(df)
+
+
 def test_entry_smoke(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
@@ -95,21 +106,21 @@ def test_process_keeps_missing_text_missing(spark):
     from spendcode.plans.enrich import process
     df = spark.createDataFrame([(0, None, "Office"), (1, "Paper", None)],
                                "ordinal long, description string, account string")
-    got = {r["ordinal"]: r for r in process(df).result().collect()}
+    got = {r["ordinal"]: r for r in process(df, responder=replay_responder).result().collect()}
     # 'nan' is English to the stand-in detector, so nothing is translated and null stays null
     assert got[0]["description_en"] is None and got[1]["account_en"] is None
     assert got[1]["description_en"] == "Paper"
 
 
 def test_checkpoint_boundaries_give_same_lines(spark):
-    a = sorted(map(tuple, enrich(lines(spark)).result().collect()))
-    b = sorted(map(tuple, enrich(lines(spark), materialize="checkpoint").result().collect()))
+    a = sorted(map(tuple, enrich(lines(spark), responder=replay_responder).result().collect()))
+    b = sorted(map(tuple, enrich(lines(spark), responder=replay_responder, materialize="checkpoint").result().collect()))
     assert a == b
 
 
 def test_stage_timings_in_checkpoint_mode(spark):
     from spendcode.plans.enrich import stage_timings
-    run = enrich(lines(spark), materialize="checkpoint")
+    run = enrich(lines(spark), responder=replay_responder, materialize="checkpoint")
     t = stage_timings(run).collect()
     assert [r["boundary"] for r in t] == ["detect_p1", "translate_p1", "naics_p1", "unspsc_p1"]
     assert all(r["seconds"] >= 0 and r["elapsed"].count(":") == 2 for r in t)

@@ -25,7 +25,7 @@ def test_native_ratio_symmetric(spark):
     rows = [("".join(rnd.choice("abc de") for _ in range(rnd.randint(0, 40))),
              "".join(rnd.choice("abc de") for _ in range(rnd.randint(0, 40)))) for _ in range(200)]
     df = spark.createDataFrame(rows, "a string, b string")
-    got = df.select(FZ.ratio("a", "b").alias("x"), FZ.ratio("b", "a").alias("y")).collect()
+    got = FZ.with_ratio(FZ.with_ratio(df, "a", "b", "x"), "b", "a", "y").collect()
     assert all(r["x"] == r["y"] and 0 <= r["x"] <= 100 for r in got)
 
 

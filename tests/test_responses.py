@@ -47,6 +47,19 @@ def test_failures_are_rows_not_job_failures(spark, tmp_shared):
     assert got[0]["response"] is None and "model unavailable" in got[0]["error"]
 
 
+def test_failures_are_asked_again_and_isolated(spark, tmp_shared):
+    store = ResponseStore(spark, tmp_shared + "/store")
+    down, _ = counting_responder(spark, fail_on="")
+    failed = store.resolve(requests(spark, list("abcde")), down, "detect_p1").collect()
+    assert all(r["response"] is None for r in failed)
+    one_bad, _ = counting_responder(spark, fail_on="c")
+    got = {r["user"]: r["response"] for r in store.resolve(requests(spark, list("abcde")), one_bad, "detect_p1").collect()}
+    assert got == {"a": "True", "b": "True", "c": None, "d": "True", "e": "True"}
+    healthy, calls = counting_responder(spark)
+    got = store.resolve(requests(spark, list("abcde")), healthy, "detect_p1").collect()
+    assert calls.value == 1 and all(r["response"] == "True" and r["error"] is None for r in got)
+
+
 def test_request_key_depends_on_model_and_prompt(spark):
     df = spark.createDataFrame([("x",)], "t string")
     k1 = df.select(request_columns("p1", "detect", "m1", text=F.col("t"))[1]).first()[0]

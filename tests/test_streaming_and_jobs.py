@@ -6,19 +6,20 @@ from tests.conftest import SF_SMALL
 
 
 def test_incremental_enrich_matches_batch(spark, tmp_shared):
+    from spendcode.operators.replay import replay_responder
     from spendcode.plans.enrich import enrich
     from spendcode.sources.tables import lines_from_documents
     from spendcode.streaming.incremental import start_incremental_enrich
     src = tmp_shared + "/incoming"
     lines = lines_from_documents(spark, SF_SMALL)
     lines.where(F.col("ordinal") % 2 == 0).write.parquet(src + "/f1")
-    q = start_incremental_enrich(spark, src + "/*", tmp_shared + "/out", tmp_shared + "/store", name="t1")
+    q = start_incremental_enrich(spark, src + "/*", tmp_shared + "/out", tmp_shared + "/store", name="t1", responder=replay_responder)
     q.awaitTermination(300)
     lines.where(F.col("ordinal") % 2 == 1).write.parquet(src + "/f2")
-    q = start_incremental_enrich(spark, src + "/*", tmp_shared + "/out", tmp_shared + "/store", name="t1")
+    q = start_incremental_enrich(spark, src + "/*", tmp_shared + "/out", tmp_shared + "/store", name="t1", responder=replay_responder)
     q.awaitTermination(300)
     got = spark.read.parquet(tmp_shared + "/out").drop("batch_id")
-    want = enrich(lines).result()
+    want = enrich(lines, responder=replay_responder).result()
     assert got.count() == lines.count()
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
 

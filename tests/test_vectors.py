@@ -47,6 +47,28 @@ def test_vector_table_dimension_and_versions(spark, tmp_shared):
                          "id", "v", "d", "s")
     with pytest.raises(Exception):
         t.upsert(bad)
+    # the failed upsert changed nothing; later ones build on the version before
+    record = lambda i, v, s: vector_records(spark.createDataFrame([(i, v, "d", s)], "id string, v array<double>, d string, s long"),
+                                            "id", "v", "d", "s")
+    t.upsert(record("abc3", [0.0, 1.0], 3))
+    t.upsert(record("x", [1.0, 0.0], 4))
+    again = VectorTable(spark, tmp_shared + "/vectors", dimension=2)
+    assert {r["id"]: r["vector"] for r in again.read().collect()} == {"x": [1.0, 0.0], "abc3": [0.0, 1.0]}
+    from spendcode.operators.vectors import nearest
+    probes = spark.createDataFrame([(1, [0.0, 2.0]), (2, None)], "probe_id long, vector array<float>")
+    got = nearest(probes, again.read(), k=1).collect()
+    assert [(r["probe_id"], r["id"], r["similarity"]) for r in got] == [(1, "abc3", 1.0)]
+    assert nearest(probes, again.read().limit(0), k=1).count() == 0
+    with pytest.raises(ValueError):
+        VectorTable(spark, tmp_shared + "/vectors", dimension=3)
+
+
+def test_small_dimensions_keep_every_token(spark):
+    from spendcode.functions.vectors import hash_embedding
+    df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(50)),)], "t string")
+    for dimension in (8, 64, 384, 1000):
+        v = df.select(hash_embedding("t", dimension)).first()[0]
+        assert len(v) == dimension and abs(sum(x * x for x in v) - 1.0) < 1e-12
 
 
 def test_hash_embedding_is_unit_length(spark):
