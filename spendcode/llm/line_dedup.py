@@ -34,7 +34,7 @@ from spendcode.llm.common import discard, release, stored
 THRESHOLD = 0.8
 COUNTERS = 1 << 18
 PASSES = 3           # parts of the words that are joined one after the other
-HEADS = 3            # rarest words by which a line is held against the earliest line
+HEADS = 5            # rarest words by which a line is held against the earliest line
 BITMAP_ROWS = 2048   # of 32768 bits each
 _HASH_BITS = 53
 _ADDRESS = ["d", "v", "n"]
@@ -123,6 +123,22 @@ def _in_bitmap(bitmap: Column) -> Column:
     return F.coalesce(F.getbit(byte, (pos % 8).cast("int")) == 1, F.lit(False))
 
 
+def _settled(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """Addresses of the later lines of ``pairs`` that are similar to one of their earlier lines.
+
+    Each line is verified with its earliest candidate first; only lines for which that fails are
+    verified with all others, so texts move about once a line however many partners it has.
+    """
+    b = [f"b_{c}" for c in _ADDRESS]
+    pairs = stored(pairs.distinct(), "line-pairs")
+    first = pairs.groupBy(*b).agg(F.min(F.struct(*[f"a_{c}" for c in _ADDRESS])).alias("a")).select("a.*", *b)
+    done = _verified(first, lines, threshold)
+    rest = pairs.join(done.select(*[F.col(c).alias(f"b_{c}") for c in _ADDRESS]), b, "left_anti")
+    out = done.union(_verified(rest.select(*pairs.columns), lines, threshold))
+    discard(pairs)
+    return out
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """Addresses of the later lines (``b_``) of the ``pairs`` that are similar to the earlier ones (``a_``)."""
     pairs = stored(pairs.distinct(), "line-pairs")
@@ -164,14 +180,14 @@ def near_duplicates(sets: DataFrame, lines: DataFrame, threshold: float) -> Data
     rarest = spread(sets, F.slice("prefix", 1, HEADS))
     heads = rarest.groupBy("word").agg(F.min(F.struct(*facts, "at")).alias("head"), F.count(F.lit(1)).alias("c")).where(
         "c > 1").select("word", "head.*")
-    settled = _verified(_joined(heads, rarest, threshold), lines, threshold)
+    settled = _settled(_joined(heads, rarest, threshold), lines, threshold)
     left = stored(sets.join(settled, _ADDRESS, "left_anti"), "line-open")
     parts = []
     for turn in range(PASSES):  # the words are dealt to passes, so the shuffled rows of one pass at a time take disk
         mine = F.pmod("word", F.lit(PASSES)) == turn
         parts.append(stored(_joined(spread(sets, "prefix").where(mine), spread(left, "prefix").where(mine), threshold).distinct(), "line-part"))
         release(sets.sparkSession)
-    later = _verified(reduce(DataFrame.union, parts), lines, threshold)
+    later = _settled(reduce(DataFrame.union, parts), lines, threshold)
     discard(left, *parts)
     return settled.union(later)
 
