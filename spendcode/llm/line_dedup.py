@@ -33,7 +33,7 @@ from spendcode.llm.common import discard, release, stored
 
 THRESHOLD = 0.8
 COUNTERS = 1 << 18
-PASSES = 3           # parts of the words that are joined one after the other
+PASSES = 3           # parts of the words, and of the pairs, that are joined one after the other
 HEADS = 5            # rarest words by which a line is held against the earliest line
 BITMAP_ROWS = 2048   # of 32768 bits each
 _HASH_BITS = 53
@@ -134,7 +134,10 @@ def _settled(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     first = pairs.groupBy(*b).agg(F.min(F.struct(*[f"a_{c}" for c in _ADDRESS])).alias("a")).select("a.*", *b)
     done = _verified(first, lines, threshold)
     rest = pairs.join(done.select(*[F.col(c).alias(f"b_{c}") for c in _ADDRESS]), b, "left_anti")
-    out = done.union(_verified(rest.select(*pairs.columns), lines, threshold))
+    out = done
+    for turn in range(PASSES):
+        mine = rest.where(F.pmod(F.xxhash64(*b), F.lit(PASSES)) == turn).select(*pairs.columns)
+        out = out.union(_verified(mine, lines, threshold))
     discard(pairs)
     return out
 
