@@ -7,12 +7,14 @@ of Jaccard similarity ``threshold`` or more.  Lines without words stay.
 * A set's words are ordered by rarity (their count over the whole corpus, in a table of ``COUNTERS``
   counters that words share by hash, so it has a fixed size), rarest first.  Two sets of the wanted
   similarity share a word of both prefixes, ``|x| - ceil(t |x|) + 1`` words; they differ little in
-  size (length filter); and behind the first shared word there must be room for the overlap that the
-  similarity needs (positional filter).
-* A signature of 64 parities, carried along, proves most candidates too different before any text is read.
-* First each line is held against the earliest line of each of its ``HEADS`` rarest words: that settles
-  most of a group of near copies in linear time.  Only lines that are not settled are joined with all earlier
-  lines of their words.  No pair is lost, and a group of copies never makes all its pairs.
+  size (length filter); behind the first shared word there must be room for the overlap that the
+  similarity needs (positional filter); and the words that two prefixes share, with all that may follow
+  the prefix that ends first, must be enough for it too.
+* A signature of 64 parities, carried along, drops most unlike short lines inside the join.
+* First each line is held against one line only: of the earliest lines of its ``HEADS`` rarest words, the
+  one met most often.  That settles most of a group of near copies in linear time.  Only lines that are not
+  settled are joined with all earlier lines of their words.  No pair is lost, and a group of copies never
+  makes all its pairs.
 * Candidates are verified on the words themselves.  Their lines are read from the texts again; a
   bitmap of fixed size keeps all other lines out of that shuffle.
 
@@ -33,17 +35,19 @@ from spendcode.llm.common import discard, release, stored
 
 THRESHOLD = 0.8
 COUNTERS = 1 << 18
-PASSES = 3           # parts of the words, and of the pairs, that are joined one after the other
-HEADS = 5            # rarest words by which a line is held against the earliest line
+PASSES = 3           # parts of the words that are joined one after the other
+HEADS = 5            # rarest words by which a line meets the line it is held against first
 BITMAP_ROWS = 2048   # of 32768 bits each
 _HASH_BITS = 53
 _ADDRESS = ["d", "v", "n"]
+_PAIR = [f"{x}_{c}" for x in "ab" for c in _ADDRESS]
 _LAST = (1 << 63) - 1
+_BLANKS = " \t\x0b\x0c\r"
 
 
 def words(line: Column) -> Column:
     """Words of a line with repeats, possibly with empty ones: all white space separates."""
-    for c in "\t\x0b\x0c\r":
+    for c in _BLANKS[1:]:
         line = F.replace(line, F.lit(c), F.lit(" "))
     return F.split(line, " ")
 
@@ -84,14 +88,16 @@ def _sets(lines: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
     ``k1`` and ``k2`` name the set: a hash of all words and its rarest word.  ``sig`` has the parity of
     the words in each of 64 classes.
     """
-    def code(w: Column) -> Column:  # rarity above, hash below
+    def code(w: Column) -> Column:  # rarity above, hash below; never null, so that longs are sorted as such
         h = F.xxhash64(w)
-        return (F.shiftleft(F.get("counts", _counter(h)).cast("bigint"), _HASH_BITS)
-                + F.shiftrightunsigned(h, 64 - _HASH_BITS))
+        level = F.coalesce(F.get("counts", _counter(h)), F.lit(0))
+        return F.shiftleft(level.cast("bigint"), _HASH_BITS) + F.shiftrightunsigned(h, 64 - _HASH_BITS)
 
+    # the lines without words go by their text: a filter on the codes would compute them a second time
+    worded = lines.where(F.trim("line", F.lit(_BLANKS)) != "").withColumn("counts", counts.scalar())
+    # "counts" stands in one place only, or every row would carry a copy of it
     codes = F.transform(F.array_remove(words(F.col("line")), ""), code)
-    rows = lines.withColumn("counts", counts.scalar()).select(*_ADDRESS, F.sort_array(F.array_distinct(codes)).alias("r"))
-    ranked = rows.select("*", F.size("r").alias("size")).where("size > 0")
+    ranked = worded.select(*_ADDRESS, F.sort_array(F.array_distinct(codes)).alias("r")).withColumn("size", F.size("r"))
     size = F.col("size")
     keep = F.when(_needs_partner(size, threshold), size - F.ceil(threshold * size - 1e-9) + 1).otherwise(0).cast("int")
     # 31 bits of a word's hash are enough to meet
@@ -130,21 +136,19 @@ def _settled(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     verified with all others, so texts move about once a line however many partners it has.
     """
     b = [f"b_{c}" for c in _ADDRESS]
-    pairs = stored(pairs.distinct(), "line-pairs")
+    pairs = stored(pairs, "line-pairs")
     first = pairs.groupBy(*b).agg(F.min(F.struct(*[f"a_{c}" for c in _ADDRESS])).alias("a")).select("a.*", *b)
     done = _verified(first, lines, threshold)
-    rest = pairs.join(done.select(*[F.col(c).alias(f"b_{c}") for c in _ADDRESS]), b, "left_anti")
-    out = done
-    for turn in range(PASSES):
-        mine = rest.where(F.pmod(F.xxhash64(*b), F.lit(PASSES)) == turn).select(*pairs.columns)
-        out = out.union(_verified(mine, lines, threshold))
+    rest = pairs.join(done.select(*[F.col(c).alias(f"b_{c}") for c in _ADDRESS]), b, "left_anti").join(
+        first, pairs.columns, "left_anti")
+    out = done.union(_verified(rest, lines, threshold))
     discard(pairs)
     return out
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """Addresses of the later lines (``b_``) of the ``pairs`` that are similar to the earlier ones (``a_``)."""
-    pairs = stored(pairs.distinct(), "line-pairs")
+    pairs = stored(pairs, "line-pairs")
     side = lambda x: [F.col(f"{x}_{c}").alias(c) for c in _ADDRESS]
     asked = stored(pairs.select(*side("a")).union(pairs.select(*side("b"))).distinct(), "line-asked")
     bitmap = address_bitmap(asked)
@@ -161,19 +165,38 @@ def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame
     return out
 
 
-def _joined(earlier: DataFrame, later: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of addresses of prefix rows that share a word and pass all filters.
+def _met(earlier: DataFrame, later: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of addresses of prefix rows that share a word: their sizes, how many words they share
+    (``shared``) and where the first of them stands in each (``a_at``, ``b_at``).
 
-    Length, position, and the parities: sets differ in at least as many words as ``sig`` in bits.
+    Filters that hold for a pair whatever the word: length, and the parities, since sets differ in
+    at least as many words as ``sig`` in bits.
     """
     a, b = F.col("a.size"), F.col("b.size")
-    need = F.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
     order = F.struct(*[f"a.{c}" for c in _ADDRESS]) < F.struct(*[f"b.{c}" for c in _ADDRESS])
     may = ((a >= threshold * b - 1e-9) & (b >= threshold * a - 1e-9)
-           & (F.least(a - F.col("a.at"), b - F.col("b.at")) >= need)
-           & (F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) <= a + b - 2 * need))
-    return earlier.alias("a").join(later.alias("b"), (F.col("a.word") == F.col("b.word")) & may & order).select(
-        *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in _ADDRESS])
+           & (F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) <= a + b - 2 * _overlap(a, b, threshold)))
+    rows = earlier.alias("a").join(later.alias("b"), (F.col("a.word") == F.col("b.word")) & may & order).select(
+        *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in (*_ADDRESS, "size", "at")])
+    return rows.groupBy(*_PAIR, "a_size", "b_size").agg(
+        F.count(F.lit(1)).alias("shared"), F.min("a_at").alias("a_at"), F.min("b_at").alias("b_at"))
+
+
+def _overlap(a: Column, b: Column, threshold: float) -> Column:
+    """Words that sets of these sizes share at least if they are similar."""
+    return F.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
+
+
+def _room(threshold: float) -> Column:
+    """Whether a pair of ``_met``, all shared words of both prefixes counted, can still be similar.
+
+    Positional filter: what follows the first shared word, itself included.  Prefix overlap: a shared
+    word is either in both prefixes or behind the one that ends first.
+    """
+    a, b = F.col("a_size"), F.col("b_size")
+    need = _overlap(a, b, threshold)
+    behind = F.greatest(F.ceil(threshold * a - 1e-9), F.ceil(threshold * b - 1e-9)) - 1
+    return (F.least(a - F.col("a_at"), b - F.col("b_at")) >= need) & (F.col("shared") + behind >= need)
 
 
 def near_duplicates(sets: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
@@ -183,14 +206,19 @@ def near_duplicates(sets: DataFrame, lines: DataFrame, threshold: float) -> Data
     rarest = spread(sets, F.slice("prefix", 1, HEADS))
     heads = rarest.groupBy("word").agg(F.min(F.struct(*facts, "at")).alias("head"), F.count(F.lit(1)).alias("c")).where(
         "c > 1").select("word", "head.*")
-    settled = _settled(_joined(heads, rarest, threshold), lines, threshold)
+    # one shared word proves little, and what is not settled here is joined in full below
+    likely = _met(heads, rarest, threshold).where("shared > 1").groupBy(*_PAIR[3:]).agg(
+        F.min(F.struct((-F.col("shared")).alias("s"), *_PAIR[:3])).alias("a")).select(*[f"a.{c}" for c in _PAIR[:3]], *_PAIR[3:])
+    settled = _verified(likely, lines, threshold)
     left = stored(sets.join(settled, _ADDRESS, "left_anti"), "line-open")
     parts = []
     for turn in range(PASSES):  # the words are dealt to passes, so the shuffled rows of one pass at a time take disk
         mine = F.pmod("word", F.lit(PASSES)) == turn
-        parts.append(stored(_joined(spread(sets, "prefix").where(mine), spread(left, "prefix").where(mine), threshold).distinct(), "line-part"))
+        parts.append(stored(_met(spread(sets, "prefix").where(mine), spread(left, "prefix").where(mine), threshold), "line-part"))
         release(sets.sparkSession)
-    later = _settled(reduce(DataFrame.union, parts), lines, threshold)
+    pairs = reduce(DataFrame.union, parts).groupBy(*_PAIR, "a_size", "b_size").agg(
+        F.sum("shared").alias("shared"), F.min("a_at").alias("a_at"), F.min("b_at").alias("b_at"))
+    later = _settled(pairs.where(_room(threshold)).select(*_PAIR), lines, threshold)
     discard(left, *parts)
     return settled.union(later)
 
