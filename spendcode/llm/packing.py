@@ -9,7 +9,11 @@ full pieces behind a first, shorter one, and the pieces packed into as few seque
   tokens from the emptier to the fuller bin, so the sum of squared fills grows, until the bin is empty
   and is dropped, or no step is left, or the slack of the others cannot hold it.
 * Bins filled below ``LOOSE`` are opened again and their pieces packed with those of other shards, in
-  rounds that shrink by three orders of magnitude, until one shard holds what is left.
+  rounds that mostly shrink by three orders of magnitude, until one shard holds what is left.
+* Where the pieces cannot fill bins (each shard is a fair sample, so the next deal finds the same), a
+  round neither halves the loose pieces nor frees ``FREED`` of the bins.  Then all bins are final but
+  the emptiest, of at most ``ON`` of the round's pieces: a shard leaves one bin at most half full, and
+  these meet in the next round.  So every round shrinks and the rounds end.
 
 Edge cases: a null text is an empty document (one token); repeated rows are packed as often as they
 occur; a null id is a value like any other; extra columns are ignored; an empty table gives an empty
@@ -35,6 +39,8 @@ from spendcode.llm.tokens import byte_encoder
 CAPACITY = 2048
 SHARD = 20_000
 LOOSE = 0.95
+FREED = 0.01
+ON = 1 / 8
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, nr bigint"
 
 
@@ -152,7 +158,7 @@ def pack_shard(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def _shard_packer(capacity: int, turn: int):
+def _shard_packer(capacity: int, base: int):
     def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("nr", ignore_index=True)
         group["sequence_id"] = pack_shard(group["length"].to_numpy(), capacity)
@@ -160,30 +166,49 @@ def _shard_packer(capacity: int, turn: int):
         by = group.groupby("sequence_id")["length"]
         group["offset"] = by.cumsum() - group["length"]
         group["fill"] = by.transform("sum")
-        group["sequence_id"] += (turn << 58) + (int(key[0]) << 20)
+        group["sequence_id"] += (base + int(key[0])) << 20
         return group.drop(columns="shard")
     return pack
 
 
+def _open_below(levels: list[tuple[int, int, int]], n: int, opened: int, loose: float) -> float:
+    """Fill below which the bins of a round over ``n`` pieces of ``opened`` bins are opened again.
+
+    ``levels`` has, for each fill, the number of pieces in such bins and of the bins.
+    """
+    left = sum(pieces for fill, pieces, _ in levels if fill < loose)
+    freed = opened - sum(bins for _, _, bins in levels)
+    if left <= n / 2 or freed >= FREED * opened:
+        return loose
+    on = 0
+    for fill, pieces, _ in sorted(levels):
+        on += pieces
+        if on > ON * n:
+            return fill
+    return loose
+
+
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (with doc_id, piece, length and the number nr) plus sequence_id and offset."""
     spark = pieces.sparkSession
     python_tasks(spark)
-    left, done, turn = pieces, None, 0
+    left, done, turn, base = pieces, None, 0, 0
+    n = opened = left.count()
     schema = f"{_PIECES}, sequence_id bigint, offset bigint, fill bigint"
     while True:
-        n = left.count()
         shards = max(1, math.ceil(n / SHARD))
-
         dealt = left.withColumn("shard", F.pmod(F.xxhash64("nr", F.lit(turn)), F.lit(shards)))
-        packed = stored(dealt.groupBy("shard").applyInPandas(_shard_packer(capacity, turn), schema), "packed")
-        last = shards == 1
-        final = packed if last else packed.where(F.col("fill") >= LOOSE * capacity)
+        packed = stored(dealt.groupBy("shard").applyInPandas(_shard_packer(capacity, base), schema), "packed")
+        levels = [] if shards == 1 else [tuple(r) for r in packed.groupBy("fill").agg(
+            F.count(F.lit(1)), F.count_if(F.col("offset") == 0)).collect()]  # at most a row for each fill
+        below = _open_below(levels, n, opened, LOOSE * capacity)
+        n, opened = (sum(level[i] for level in levels if level[0] < below) for i in (1, 2))
+        final = packed.where(F.col("fill") >= below) if n else packed
         done = final if done is None else done.unionByName(final)
-        if last:
+        if not n:
             return done.drop("fill", "nr")
-        left = packed.where(F.col("fill") < LOOSE * capacity).select(*[f.split()[0] for f in _PIECES.split(", ")])
-        turn += 1
+        left = packed.where(F.col("fill") < below).select(*[f.split()[0] for f in _PIECES.split(", ")])
+        turn, base = turn + 1, base + shards
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",

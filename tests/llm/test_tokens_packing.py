@@ -113,6 +113,26 @@ def test_shards_and_rounds(docs_frame, monkeypatch):
     assert used <= 1.03 * least + 1
 
 
+@pytest.mark.parametrize("lengths, least", [
+    ([700] * 1500, 750),                                # two fill 68 %
+    ([1500] * 1500, 1500),                              # one a bin
+    ([1500] * 1200 + [1400, 1100, 900, 300] * 100, 1400),  # 900 + 1100 fill a bin, a 300 goes to a 1500 or 1400
+])
+def test_pieces_that_cannot_fill_a_sequence(spark, monkeypatch, lengths, least):
+    monkeypatch.setattr(packing, "SHARD", 500)
+    turns = []
+    packer = packing._shard_packer
+    monkeypatch.setattr(packing, "_shard_packer", lambda *a: turns.append(a) or (packer(*a) if len(turns) < 12 else 1 / 0))
+    rows = [(i, 0, 0, n, 0, i) for i, n in enumerate(lengths)]
+    got = packing.pack_pieces(spark.createDataFrame(rows, packing._PIECES)).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in got) == list(enumerate(lengths))
+    fills = {}
+    for r in sorted(got, key=lambda r: r["offset"]):
+        assert r["offset"] == fills.get(r["sequence_id"], 0)
+        fills[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(fills.values()) <= 2048 and len(fills) <= least + 2
+
+
 def test_local_search_empties_bins():
     for seed in range(5):
         lengths = np.random.default_rng(seed).integers(300, 1100, 400)
