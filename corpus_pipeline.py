@@ -19,7 +19,7 @@ from spendcode.llm.line_dedup import dedup_lines
 from spendcode.llm.packing import pack_documents
 from spendcode.llm.quality import score_quality, train_quality
 from spendcode.llm.queries import tokenizer_path
-from spendcode.llm.simhash import simhash_components
+from spendcode.llm.simhash import simhash_roots
 from spendcode.sources.tables import table
 
 
@@ -39,12 +39,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each group of linked fingerprints."""
-    named = docs.where("doc_id is not null")
-    found = simhash_components(named.select("doc_id", "text"), shingle=3, max_bits=3)
-    keep = stored(found.where("doc_id = component_id").select("doc_id").distinct(), "pipeline-keep")
-    kept = named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """One document, of the smallest id, of each group of linked fingerprints; of those without an id, one too.
+
+    Rows are told apart by a hash of all their values, so rows of one id with different texts are
+    judged each by its own group.
+    """
+    row = F.xxhash64(F.col("doc_id").isNull(), *[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    keyed = docs.withColumns({"_near_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "_near_row": row})
+    found = simhash_roots(keyed.select("doc_id", "text", "_near_row"), "_near_row", shingle=3, max_bits=3)
+    first = found.groupBy(F.col("id").isNull(), "root").agg(F.min(F.struct("id", "row", "fp")).alias("first"))
+    keep = stored(first.select("first.*"), "pipeline-keep")
+    # texts without words are one group, so this is one row at most
+    empty = keep.where("fp = 0 and id is not null")
+    named = keep.where("fp <> 0").join(F.broadcast(empty.select("id")), "id", "left_semi").select("id")
+    empty = empty.join(named, "id", "left_anti")
+    keep = keep.where("fp <> 0 or id is null").unionByName(empty).select(
+        F.coalesce("id", F.lit(0)).alias("_near_id"), F.col("row").alias("_near_row"))
+    key = ["_near_id", "_near_row"]
+    return keyed.join(keep, key, "left_semi").dropDuplicates(key).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

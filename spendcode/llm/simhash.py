@@ -60,17 +60,20 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(id, fp)`` for every row; fp is the fingerprint as a signed 64-bit integer."""
+def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+            row_col: str | None = None) -> DataFrame:
+    """``(id, fp)`` of every row; with ``row_col``, a bigint that tells rows of one id apart, also ``row``."""
     python_tasks(docs.sparkSession)
+    kept = {"id": id_col} | ({"row": row_col} if row_col else {})
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], ["id", "fp"])
+            fps = np.array([fingerprint(t, shingle) for t in batch.column(len(kept)).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(fps.view(np.int64))], [*kept, "fp"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        prints, "id bigint, fp bigint")
+    columns = [F.col(c).cast("bigint").alias(n) for n, c in kept.items()]
+    return docs.select(*columns, F.col(text_col).alias("text")).mapInArrow(
+        prints, ", ".join(f"{n} bigint" for n in [*kept, "fp"]))
 
 
 def _cut(bits: list[int], parts: int) -> list[int]:
@@ -169,14 +172,26 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _rooted(prints: DataFrame, max_bits: int) -> DataFrame:
+    """``(fp, least_id, root)`` of every fingerprint; the root names its component."""
+    nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("least_id")), "simhash-nodes")
+    roots = components(links(nodes.select("fp"), max_bits))
+    return stored(nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+        "fp", "least_id", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+
+
+def simhash_roots(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text",
+                  shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """``(id, row, fp, root)`` for every row of ``docs``: the root tells components apart that one id names."""
+    prints = stored(simhash(docs, id_col, text_col, shingle, row_col), "simhash")
+    return prints.join(_rooted(prints, max_bits).select("fp", "root"), "fp").select("id", "row", "fp", "root")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """``(id_col, fp, component_id)`` for every row of ``docs``."""
     prints = stored(simhash(docs, id_col, text_col, shingle), "simhash")
-    nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("least_id")), "simhash-nodes")
-    roots = components(links(nodes.select("fp"), max_bits))
-    rooted = stored(nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+    rooted = _rooted(prints, max_bits)
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     known = stored(rooted.join(named, "root").select("fp", "component_id"), "simhash-known")
     return prints.join(known, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")

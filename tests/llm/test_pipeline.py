@@ -38,6 +38,18 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert sum(r["doc_id"] is None for r in got) == 2
 
 
+def test_near_dedup_judges_each_row_of_an_id(spark):
+    rng = random.Random(2)
+    a, b, c, d = (" ".join(f"w{rng.randrange(5000)}" for _ in range(200)) for _ in range(4))
+    rows = [(1, a), (7, a.upper()), (7, b), (8, c), (8, d), (8, d), (9, b), (None, c), (None, c.upper()), (None, c), (0, d + " ")]
+    make = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows],
+                                              "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    runs = [sorted((str(r["doc_id"]), r["text"]) for r in corpus_pipeline.near_dedup(spark, make(order), SF).collect())
+            for order in (rows, rows[::-1])]
+    assert runs[0] == runs[1]
+    assert [(i, t.strip().lower()) for i, t in runs[0]] == sorted([("0", d), ("1", a), ("7", b), ("8", c), ("None", c)])
+
+
 def test_empty_input(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
