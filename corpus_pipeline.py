@@ -11,7 +11,7 @@ an empty table gives empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendcode.llm.common import stored
@@ -23,19 +23,27 @@ from spendcode.llm.simhash import simhash_roots
 from spendcode.sources.tables import table
 
 
+def _aside(docs: DataFrame, *outputs: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns named like an operator's ``outputs`` renamed, and what restores their names."""
+    names = {c: f"_input_{c}" for c in docs.columns if c.lower() in outputs}
+    return docs.withColumnsRenamed(names), [F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     model = train_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model).where("predicted = 1").select(docs.columns)
+    docs, back = _aside(docs, "score", "predicted")
+    return score_quality(docs, model).where("predicted = 1").select(back)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that an earlier line matches."""
+    docs, back = _aside(docs, "lines_removed")
     out = dedup_lines(docs)
     kind = dict(docs.dtypes).get("n_chars")
     if kind:
         out = out.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    return out.select(back)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,6 +50,16 @@ def test_near_dedup_judges_each_row_of_an_id(spark):
     assert [(i, t.strip().lower()) for i, t in runs[0]] == sorted([("0", d), ("1", a), ("7", b), ("8", c), ("None", c)])
 
 
+def test_columns_named_like_outputs_keep_their_values(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 2 = 0").selectExpr(
+        "*", "concat('s', doc_id) AS Score", "concat('p', doc_id) AS predicted", "concat('l', doc_id) AS lines_removed")
+    for stage in (corpus_pipeline.quality, corpus_pipeline.line_dedup):
+        out = stage(spark, docs, SF)
+        assert out.dtypes == docs.dtypes
+        rows = out.collect()
+        assert rows and all((r["Score"], r["predicted"], r["lines_removed"]) == tuple(f"{x}{r['doc_id']}" for x in "spl") for r in rows)
+
+
 def test_empty_input(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
