@@ -9,9 +9,10 @@ trained on the non-negative unbiased risk
 whose second part estimates the risk on negatives, and which follows the ascending direction of that
 part when it falls below zero, so that the network cannot win by memorising the positives.
 
-The model is fitted on at most ``SAMPLE`` positives and ``SAMPLE`` unlabelled documents (the parameter
-``sample``; taken in hash order, so the choice is stable and independent of the layout).  Scoring reads
-every document once, in whole.  Inputs are style statistics of the text alone; id, labels, language and
+The network is fitted on at most ``SAMPLE`` positives and ``SAMPLE`` unlabelled documents (the parameter
+``sample``; taken in hash order, so the choice is stable and independent of the layout; of an id's rows
+one).  Means, scales and the shares that the prior is read from are aggregates over all unlabelled
+rows.  Scoring reads every document once, in whole.  Inputs are style statistics of the text alone; id, labels, language and
 source are none.
 
 Edge cases: a null text counts as empty and is scored; labels that are null or of rows without a
@@ -25,15 +26,16 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendcode.llm.common import python_tasks
+from spendcode.llm.common import discard, python_tasks, stored
 
 SAMPLE = 10_000
 THRESHOLD = 0.7
@@ -128,32 +130,42 @@ def _train(p: np.ndarray, u: np.ndarray, prior: float | None, seed: int, hidden:
     return tuple(w)
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray, seed: int = 1) -> float:
+def estimate_prior(p: np.ndarray, u: np.ndarray, seed: int = 1, above: Callable | None = None) -> float:
     """Share of positives among unlabelled rows.
 
     For any set of texts, the mass of ``u`` in it over the mass of ``p`` in it is at least the prior,
     and equal where the set holds no negatives; the sets are those above a score that tells ``p`` from
-    ``u``, fitted on one half and measured on the other.  The least ratio is taken without a margin: a
+    ``u``, fitted on one half and measured on the other.  ``above(w, cuts)`` gives the shares of a larger
+    unlabelled set above each cut, or None if it is empty.  The least ratio is taken without a margin: a
     prior that is a little too small costs positives a little confidence, one that is too large hides
     negatives.
     """
     w = _train(p[::2], u[::2], None, seed, epochs=20)
-    sp, su = np.sort(_forward(w, p[1::2])[0]), np.sort(_forward(w, u[1::2])[0])
-    if not len(sp) or not len(su):
+    sp = np.sort(_forward(w, p[1::2])[0])
+    if not len(sp):
         return 0.5
     cuts = np.quantile(sp, np.linspace(0.0, 0.7, 71))
+    above_u = above(w, cuts) if above else _shares_above(_forward(w, u[1::2])[0], cuts)
+    if above_u is None:
+        return 0.5
     above_p = 1 - np.searchsorted(sp, cuts) / len(sp)
-    above_u = 1 - np.searchsorted(su, cuts) / len(su)
     return float(np.clip((above_u / above_p).min(), 0.05, 0.98))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 7) -> QualityModel:
+def _shares_above(scores: np.ndarray, cuts: np.ndarray) -> np.ndarray | None:
+    return 1 - np.searchsorted(np.sort(scores), cuts) / len(scores) if len(scores) else None
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 7, moments: tuple[np.ndarray, np.ndarray] | None = None,
+        above: Callable | None = None) -> QualityModel:
+    """Model of two samples; ``moments`` (mean and deviation) and ``above(mean, scale, w, cuts)`` may come from larger sets."""
     if not len(positive) or not len(unlabelled):
         return QualityModel(np.zeros(1), np.ones(1), (), 0.5)
     both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(0), both.std(0) + 1e-3
+    mean, deviation = moments or (both.mean(0), both.std(0))
+    scale = deviation + 1e-3
     p, u = (positive - mean) / scale, (unlabelled - mean) / scale
-    prior = estimate_prior(p, u)
+    prior = estimate_prior(p, u, above=above and partial(above, mean, scale))
     return QualityModel(mean, scale, _train(p, u, prior, seed), prior)
 
 
@@ -171,18 +183,51 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Q
         ids = ids.where(usable).select("doc_id").distinct()
         return ids.orderBy(F.xxhash64("doc_id", F.lit(kind)), "doc_id").limit(sample).select("doc_id", F.lit(kind).alias("kind"))
 
-    picks = chosen(labels.where("quality = 1"), 1).union(chosen(docs, 0))  # at most 2 * sample narrow rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(picks), "doc_id")
-
     def styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = pa.array([style(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), x], ["doc_id", "kind", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), x], ["doc_id", "x"])
 
-    got = texts.mapInArrow(styles, "doc_id bigint, kind int, x array<double>").toPandas()  # bounded by the sample
+    picks = chosen(labels.where("quality = 1"), 1).union(chosen(docs, 0))  # at most 2 * sample narrow rows
+    every = stored(docs.where(usable).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
+        styles, "doc_id bigint, x array<double>"), "quality-styles")
+    got = every.join(F.broadcast(picks), "doc_id").groupBy("kind", "doc_id").agg(F.min("x").alias("x")).toPandas()  # bounded by the sample
     got = got.sort_values(["kind", "doc_id"])
     part = lambda kind: np.array(got.loc[got["kind"] == kind, "x"].tolist(), dtype=np.float64)
-    return fit(part(1), part(0))
+    positive, unlabelled = part(1), part(0)
+    if not len(positive) or not len(unlabelled):
+        model = fit(positive, unlabelled)
+    else:
+        fitted = got.loc[got["kind"] == 0, "doc_id"].to_numpy()[::2]  # the half that ``estimate_prior`` trains on
+        model = fit(positive, unlabelled, moments=_moments(every, unlabelled.shape[1]), above=partial(_counted_above, every, fitted))
+    discard(every)
+    return model
+
+
+def _moments(every: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of each statistic over all rows; rounded, as the order of a sum may change its last bits."""
+    at = [F.col("x")[i] for i in range(width)]
+    row = every.agg(*[F.avg(x) for x in at], *[F.stddev_pop(x) for x in at]).first()
+    both = np.round(np.array(row, dtype=np.float64), 9)
+    return both[:width], both[width:]
+
+
+def _counted_above(every: DataFrame, fitted: np.ndarray, mean: np.ndarray, scale: np.ndarray,
+                   w: tuple[np.ndarray, ...], cuts: np.ndarray) -> np.ndarray | None:
+    """Shares of all rows but those of the ids ``fitted`` that score at least each cut; None without rows."""
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(cuts) + 1, dtype=np.int64)
+        for batch in batches:
+            other = ~np.isin(batch.column(0).to_numpy(), fitted)
+            if other.any():
+                x = batch.column(1).flatten().to_numpy().reshape(len(other), -1)[other]
+                g = np.sort(_forward(w, (x - mean) / scale)[0])
+                n += np.append(len(g) - np.searchsorted(g, cuts), len(g))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["at", "n"])
+
+    summed = every.mapInArrow(counts, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    n = summed.sort_values("at")["n"].to_numpy()  # one number a cut and the rows
+    return n[:-1] / n[-1] if len(n) and n[-1] else None
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

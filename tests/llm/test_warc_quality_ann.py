@@ -81,6 +81,25 @@ def test_quality_edge_cases(spark, docs_frame):
         assert quality.score_quality(docs.limit(0), model).count() == 0
 
 
+def test_statistics_come_from_all_rows(spark, docs_frame, monkeypatch):
+    rows = [(i, f"some words, number {i}. " * (1 + i % 7)) for i in range(400)] + [(i, "!!! ### " * i) for i in range(100)]
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 400, 3)], "doc_id bigint, quality int")
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda p, u, **more: seen.append((len(p), len(u))) or fit(p, u, **more))
+    model = quality.train_quality(docs_frame(rows), labels, sample=20)
+    used = {r["doc_id"] for r in docs_frame(rows).where(~quality.held_out(F.col("doc_id"))).select("doc_id").collect()}
+    x = np.array([quality.style(t) for i, t in rows if i in used])
+    assert seen == [(20, 20)]
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, x.std(0) + 1e-3)
+    w, cuts = model.weights, np.linspace(-3, 3, 9)
+    frame = spark.createDataFrame([(i, v) for (i, _), v in zip([r for r in rows if r[0] in used], x.tolist(), strict=True)],
+                                  "doc_id bigint, x array<double>")
+    fitted = np.array(sorted(used))[::2]
+    left = np.array([v for (i, _), v in zip([r for r in rows if r[0] in used], x, strict=True) if i not in fitted])
+    want = quality._shares_above(quality._forward(w, (left - model.mean) / model.scale)[0], cuts)
+    assert np.allclose(quality._counted_above(frame, fitted, model.mean, model.scale, w, cuts), want)
+
+
 def test_risk_finds_the_negatives():
     rng = np.random.default_rng(0)
     p = rng.normal(1.5, 1, (3000, 6))
