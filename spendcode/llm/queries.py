@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from spendcode.llm import bpe
 from spendcode.llm.ann import nearest
 from spendcode.llm.block_naming import exact_groups
+from spendcode.llm.common import ascii_lower
 from spendcode.llm.license_scan import license_scan
 from spendcode.llm.line_dedup import dedup_lines
+from spendcode.llm.merkle import audit
 from spendcode.llm.packing import pack_documents
 from spendcode.llm.quality import held_out, score_quality, train_quality
 from spendcode.llm.simhash import fingerprint_hex, simhash_components
@@ -85,6 +87,12 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0, k=20)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return audit(docs, ["doc_id", "source", "lang", "n_chars", "text"], key="doc_id", group="source",
+                 altered=ascii_lower(F.col("text")), altered_field="text")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_dedup, op2_bpe, op3_warc, op4_exact_dedup, op5_quality, op6_url_filter, op7_line_dedup,
-    op8_license_scan, op9_packing, op10_nearest)}
+    op8_license_scan, op9_packing, op10_nearest, op11_merkle_manifest)}
