@@ -120,6 +120,39 @@ FROM i JOIN z USING (tree) JOIN e USING (tree, idx) LEFT JOIN w USING (tree, idx
 """.replace("@FIELDS@", " || ".join(
     f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars")))
 
+ORACLE["op12_quality_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, list_filter(regexp_split_to_array(t, '[ 	-]+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM d),
+s AS (SELECT rid, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 3),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) AS c FROM s),
+r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM g WHERE c > 1) GROUP BY rid),
+m AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[ 	-]', '', 'g')) AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+             coalesce(r.n, 0) AS n_repeat_words,
+             len(list_filter(ws, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') IN (@STOP@))) AS n_stop_words,
+             len(list_filter(ws, lambda x: upper(x) <> lower(x))) AS n_letter_words,
+             len(list_filter(ws, lambda x: upper(x) <> lower(x) AND upper(x) = x AND length(x) > 1)) AS n_capital_words,
+             len(list_filter(ls, lambda x: ltrim(x)[1] IN ('-', '*', '•'))) AS n_bullet_lines,
+             len(list_filter(ls, lambda x: ends_with(rtrim(x), '...'))) AS n_cut_lines
+      FROM w LEFT JOIN r USING (rid)),
+f AS (SELECT *, concat_ws(',', CASE WHEN n_words < 50 THEN 'too_short' END, CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 'repetitive' END,
+             CASE WHEN 100 * word_chars NOT BETWEEN 300 * n_words AND 1000 * n_words THEN 'word_length' END,
+             CASE WHEN 100 * n_symbols > 10 * n_words THEN 'symbols' END, CASE WHEN 100 * n_stop_words < 4 * n_words THEN 'stop_words' END,
+             CASE WHEN 100 * n_letter_words < 80 * n_words THEN 'wordless' END, CASE WHEN 100 * n_capital_words > 30 * n_words THEN 'capitals' END,
+             CASE WHEN 100 * n_dup_lines > 40 * n_lines THEN 'same_lines' END, CASE WHEN 100 * n_bullet_lines > 90 * n_lines THEN 'bullets' END,
+             CASE WHEN 100 * n_cut_lines > 30 * n_lines THEN 'cut_lines' END) AS failed FROM m)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, failed = '' AS kept FROM f
+"""
+
+
+def _stop_words() -> str:
+    from spendcode.llm.quality_rules import STOP_WORDS
+    return ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+ORACLE["op12_quality_rules"] = ORACLE["op12_quality_rules"].replace("@STOP@", _stop_words())
+
 
 def _templates() -> str:
     from spendcode.llm.license_scan import TEMPLATES

@@ -18,6 +18,7 @@ from spendcode.llm.line_dedup import dedup_lines
 from spendcode.llm.merkle import audit
 from spendcode.llm.packing import pack_documents
 from spendcode.llm.quality import held_out, score_quality, train_quality
+from spendcode.llm.quality_rules import quality_rules
 from spendcode.llm.simhash import fingerprint_hex, simhash_components
 from spendcode.llm.url_filter import Rule, url_filter
 from spendcode.llm.warc import page_number, read_warc, write_warc
@@ -93,6 +94,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                  altered=ascii_lower(F.col("text")), altered_field="text")
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_dedup, op2_bpe, op3_warc, op4_exact_dedup, op5_quality, op6_url_filter, op7_line_dedup,
-    op8_license_scan, op9_packing, op10_nearest, op11_merkle_manifest)}
+    op8_license_scan, op9_packing, op10_nearest, op11_merkle_manifest,
+    op12_quality_rules)}
