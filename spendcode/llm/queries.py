@@ -13,6 +13,7 @@ from spendcode.llm import bpe
 from spendcode.llm.ann import nearest
 from spendcode.llm.block_naming import exact_groups
 from spendcode.llm.common import ascii_lower
+from spendcode.llm.lexical import search
 from spendcode.llm.license_scan import license_scan
 from spendcode.llm.line_dedup import dedup_lines
 from spendcode.llm.merkle import audit
@@ -98,7 +99,11 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_dedup, op2_bpe, op3_warc, op4_exact_dedup, op5_quality, op6_url_filter, op7_line_dedup,
     op8_license_scan, op9_packing, op10_nearest, op11_merkle_manifest,
-    op12_quality_rules)}
+    op12_quality_rules, op13_lexical_search)}
