@@ -6,8 +6,8 @@ trained on the non-negative unbiased risk
 
     prior * E_P[loss(+g)] + max(0, E_U[loss(-g)] - prior * E_P[loss(-g)])
 
-whose second part estimates the risk on negatives, and which follows the ascending direction of that
-part when it falls below zero, so that the network cannot win by memorising the positives.
+whose second part estimates the risk on negatives.  Where that estimate falls below zero its gradient is
+zero, so that the network cannot win by memorising the positives.
 
 The network is fitted on at most ``SAMPLE`` positives and ``SAMPLE`` unlabelled documents (the parameter
 ``sample``; taken in hash order, so the choice is stable and independent of the layout; of an id's rows
@@ -39,6 +39,8 @@ from spendcode.llm.common import discard, python_tasks, stored
 
 SAMPLE = 10_000
 THRESHOLD = 0.7
+#: Deviations of the confidence bound on the class prior (one side, 99.9 %).
+MARGIN = 3.0
 _CLASSES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "space": (32,), "line": (10, 13),
             "other white": (9, 11, 12), "sentence": b".,;:'\"()-", "mark": b"!?", "bar": b"|/\\<>{}[]=_~^`",
             "sign": b"#$%&*+@", "high": range(128, 256)}
@@ -119,8 +121,8 @@ def _train(p: np.ndarray, u: np.ndarray, prior: float | None, seed: int, hidden:
                 if negative >= 0:
                     parts = [(xp, hp, prior * (sp - 1) / len(xp) + minus_p), (xu, hu, minus_u)]
                 else:
-                    parts = [(xp, hp, -minus_p), (xu, hu, -minus_u)]
-            grads = [a + b for a, b in zip(*(_gradients(w, *part) for part in parts), strict=True)]
+                    parts = [(xp, hp, prior * (sp - 1) / len(xp))]
+            grads = [sum(g) for g in zip(*(_gradients(w, *part) for part in parts), strict=True)]
             step += 1
             for i, g in enumerate(grads):
                 g = g + decay * w[i]
@@ -136,9 +138,9 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, seed: int = 1, above: Callable
     For any set of texts, the mass of ``u`` in it over the mass of ``p`` in it is at least the prior,
     and equal where the set holds no negatives; the sets are those above a score that tells ``p`` from
     ``u``, fitted on one half and measured on the other.  ``above(w, cuts)`` gives the shares of a larger
-    unlabelled set above each cut, or None if it is empty.  The least ratio is taken without a margin: a
-    prior that is a little too small costs positives a little confidence, one that is too large hides
-    negatives.
+    unlabelled set above each cut, or None if it is empty.  Every ratio is raised to its upper confidence
+    bound (``MARGIN`` deviations of the two shares) before the least is taken: the least of many unsure
+    ratios would be far too small on small tables, and with it every score.
     """
     w = _train(p[::2], u[::2], None, seed, epochs=20)
     sp = np.sort(_forward(w, p[1::2])[0])
@@ -149,7 +151,9 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, seed: int = 1, above: Callable
     if above_u is None:
         return 0.5
     above_p = 1 - np.searchsorted(sp, cuts) / len(sp)
-    return float(np.clip((above_u / above_p).min(), 0.05, 0.98))
+    # a larger unlabelled set is surer than this says, so the bound holds
+    unsure = np.sqrt((1 - above_p) / (above_p * len(sp)) + (1 - above_u) / np.maximum(above_u * (len(u) // 2), 1))
+    return float(np.clip((above_u / above_p * (1 + MARGIN * unsure)).min(), 0.05, 0.98))
 
 
 def _shares_above(scores: np.ndarray, cuts: np.ndarray) -> np.ndarray | None:

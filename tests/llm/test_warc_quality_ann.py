@@ -72,6 +72,33 @@ def test_quality_on_held_out_labels(spark):
     assert auc > 0.97 and (good.predicted == 1).mean() > 0.98 and (bad.predicted == 0).mean() > 0.85
 
 
+@pytest.mark.parametrize(("sf", "part"), [("sf0.001", "true"), ("sf0.001", "doc_id % 2 = 0"), ("sf0.001", "doc_id % 2 = 1"), ("sf0.001", "doc_id % 3 = 0"),
+                                          ("sf0.01", "true"), ("sf0.01", "doc_id % 2 = 0")])
+def test_quality_on_small_tables(spark, sf, part):
+    """The prior of a small table has a margin, so good documents stay; held-out ones too where there are enough."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").where(part).select("doc_id", "text")
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+    model = quality.train_quality(docs, labels)
+    got = quality.score_quality(docs, model).withColumn("held", quality.held_out(F.col("doc_id"))).join(labels, "doc_id").toPandas()
+    good, bad = got[got.quality == 1], got[got.quality == 0]
+    assert (good.predicted == 1).mean() >= 0.93
+    assert (bad.predicted == 1).sum() <= max(1, 0.15 * len(bad))  # the halves of sf0.001 have five or six bad rows
+    if len(got[got.held]) > 80:
+        assert (good[good.held].predicted == 1).mean() >= 0.9 and (bad[bad.held].predicted == 0).mean() >= 0.85
+
+
+@pytest.mark.parametrize(("share", "n_positive", "n_unlabelled"), [(0.3, 2000, 4000), (0.7, 2000, 4000), (0.9, 500, 2000), (0.7, 60, 150)])
+def test_prior_of_a_known_share(share, n_positive, n_unlabelled):
+    """The estimate is an upper bound that closes in on the true share as tables grow."""
+    rng = np.random.default_rng(3)
+    cut = int(share * n_unlabelled)
+    p = rng.normal(1.5, 1, (n_positive, 6))
+    u = np.concatenate([rng.normal(1.5, 1, (cut, 6)), rng.normal(-1.5, 1, (n_unlabelled - cut, 6))])
+    rng.shuffle(u)
+    found = quality.estimate_prior(p, u)
+    assert share - 0.03 <= found <= min(0.98, share + (0.1 if n_positive >= 500 else 0.3))
+
+
 def test_quality_edge_cases(spark, docs_frame):
     docs = docs_frame([(1, None), (2, ""), (3, "word " * 20_000), (3, "word " * 20_000), (None, "x y z")])
     labels = spark.createDataFrame([(1, 1), (None, 1), (77, 1), (2, None)], "doc_id bigint, quality int")
