@@ -8,9 +8,10 @@ both strings (drop U+0080..U+00FF, non-word characters to spaces, lower case, sp
 sort the tokens, join with one space) and then applies ``ratio``.
 
 The LCS length uses the bit-parallel recurrence ``U = V & M[c]; V = (V + U) | (V - U)``
-with one bit per character of the shorter string.  As a Spark expression the state is a
-BIGINT, so the shorter side may hold at most 62 code points; longer pairs go through an
-Arrow-batched pandas UDF running the same recurrence on Python integers.
+with one bit per character of the shorter string.  As a Spark expression the state is one
+BIGINT of up to 62 bits; pairs whose sides are both longer run the recurrence over an array
+of such words, the sum's carry going from word to word (``V - U`` clears bits only, so it
+never borrows).  Strings of any length stay in the JVM.
 """
 
 from __future__ import annotations
@@ -71,6 +72,45 @@ def _lcs_native(a: Column, b: Column) -> Column:
     return let(F.regexp_extract_all(a, F.lit("(?s)."), 0), with_chars)
 
 
+def _lcs_words(a: Column, b: Column) -> Column:
+    """LCS length for any lengths: bits over ``a`` in words of ``NATIVE_MAX``, iterate over ``b``."""
+    zero, full_word = F.lit(0).cast("long"), F.lit((1 << NATIVE_MAX) - 1)
+
+    def with_chars(chars_a):
+        m = F.size(chars_a)
+        words = F.sequence(F.lit(0), F.floor((m - 1) / NATIVE_MAX).cast("int"))
+
+        def mask_of(ch):
+            """The character's positions, word by word."""
+            def word(w):
+                part = F.slice(chars_a, w * NATIVE_MAX + 1, NATIVE_MAX)
+                bits = F.transform(part, lambda x, i: F.when(x == ch, _bit(i)).otherwise(zero))
+                return F.aggregate(bits, zero, lambda acc, bit: acc.bitwiseOR(bit))
+            return F.transform(words, word)
+
+        def with_masks(masks):
+            empty = F.transform(words, lambda w: zero)
+
+            def step(v, ch):
+                def add(state, w):
+                    vw, mw = F.get(v, w), F.get(F.coalesce(F.element_at(masks, ch), empty), w)
+                    total = vw + vw.bitwiseAND(mw) + state["carry"]
+                    kept = total.bitwiseAND(full_word).bitwiseOR(vw.bitwiseAND(F.bitwise_not(mw)))
+                    return F.struct(F.shiftright(total, NATIVE_MAX).alias("carry"), F.array_append(state["out"], kept).alias("out"))
+                start = F.struct(zero.alias("carry"), F.array().cast("array<bigint>").alias("out"))
+                return F.aggregate(words, start, add, lambda state: state["out"])
+
+            v = F.aggregate(F.regexp_extract_all(b, F.lit("(?s)."), 0), F.transform(words, lambda w: full_word), step)
+            # bits past the end of ``a`` never match, so they stay set
+            left = F.aggregate(F.transform(v, lambda w: F.bit_count(w)), F.lit(0), lambda acc, n: acc + n)
+            return F.size(words) * NATIVE_MAX - left
+
+        distinct = F.array_distinct(chars_a)
+        return let(F.map_from_arrays(distinct, F.transform(distinct, mask_of)), with_masks)
+
+    return let(F.regexp_extract_all(a, F.lit("(?s)."), 0), with_chars)
+
+
 def _ratio_from_lcs(la: Column, lb: Column, lcs: Column) -> Column:
     total = la + lb
     dist = total - F.lit(2) * lcs
@@ -78,9 +118,8 @@ def _ratio_from_lcs(la: Column, lb: Column, lcs: Column) -> Column:
     return F.bround(F.lit(100.0) * r, 0).cast("int")
 
 
-def _native_ratio(a, b) -> Column:
-    """0..100 similarity of two strings of which one has at most ``NATIVE_MAX`` code points;
-    :func:`with_ratio` sends all other rows elsewhere."""
+def ratio(a, b) -> Column:
+    """0..100 similarity of two string columns of any length; null if one is null."""
     a, b = _c(a), _c(b)
     la, lb = F.length(a), F.length(b)
     short = F.when(la <= lb, a).otherwise(b)
@@ -89,23 +128,14 @@ def _native_ratio(a, b) -> Column:
             .when(a == b, F.lit(100))
             .when((la == 0) | (lb == 0), F.lit(0))
             .when(F.least(la, lb) <= NATIVE_MAX, _ratio_from_lcs(la, lb, _lcs_native(short, long_)))
-            .otherwise(F.lit(None).cast("int")))
+            .otherwise(_ratio_from_lcs(la, lb, _lcs_words(short, long_))))
 
 
 def with_ratio(df: DataFrame, a: str, b: str, out: str, token_sort: bool = False) -> DataFrame:
-    """Add ``out`` = ratio (or token-sort ratio) of columns ``a`` and ``b`` for every row.
-
-    Rows whose shorter side fits the BIGINT state are scored by the native expression; the
-    rest (both sides longer than 62 code points) by the Arrow UDF, so Python only sees the
-    rows that need it."""
-    from spendcode.session import ship_package
-    ship_package(df.sparkSession)
+    """Add ``out`` = ratio (or token-sort ratio) of columns ``a`` and ``b`` for every row."""
     ka, kb = (token_sort_key(a), token_sort_key(b)) if token_sort else (F.col(a), F.col(b))
     keyed = df.withColumn("_ka", ka).withColumn("_kb", kb)
-    wide = (F.length("_ka") > NATIVE_MAX) & (F.length("_kb") > NATIVE_MAX)
-    native = keyed.where(~wide | wide.isNull()).withColumn(out, _native_ratio("_ka", "_kb"))
-    slow = keyed.where(wide).withColumn(out, _ratio_udf()("_ka", "_kb"))
-    return native.unionByName(slow).drop("_ka", "_kb")
+    return keyed.withColumn(out, ratio("_ka", "_kb")).drop("_ka", "_kb")
 
 
 # --- Python helpers (used inside tasks) --------------------------------------------------
@@ -176,15 +206,3 @@ def upper_bound(la: int, lb: int) -> int:
     if la == 0 or lb == 0:
         return 100 if la == lb else 0
     return score_from_lcs(la, lb, min(la, lb))
-
-
-def _ratio_udf():
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("int")
-    def ratio_long(a, b):
-        import pandas as pd
-        return pd.Series([None if x is None or y is None else py_ratio(x, y) for x, y in zip(a, b)],
-                         dtype="Int32")
-
-    return ratio_long

@@ -5,21 +5,24 @@ highest integer score wins, ties go to the earliest catalogue row, a best score
 no match, and with a ``cutoff`` a best score below it is no match.  A blank text is no
 match.
 
-Plan:
-
-1. Texts and catalogue descriptions are lower-cased and, for the token-sort scorer,
-   normalised (``token_sort_key``).  Texts are de-duplicated on that key, catalogue rows
-   on it too (keeping the earliest row -- lossless for the argmax).
-2. The catalogue is a dimension table.  Its size is measured first; it is broadcast in
-   chunks that each stay under ``max_rows`` / ``max_bytes`` (chunks are hash buckets of
-   the key, so no global sort is needed).  Nothing grows with the number of texts.
-3. ``mapInPandas`` scores each partition of distinct texts against the chunk with the
-   bit-parallel LCS, visiting candidates by decreasing score upper bound (from the two
-   lengths) and stopping as soon as no remaining candidate can win -- lossless pruning,
-   no cap on candidates.  One row per text and chunk leaves the task; no pairs are
-   materialised.
-4. With several chunks the per-chunk winners are reduced with ``max_by`` (score, then
-   earliest row).  The winners are joined back to the texts by key.
+Texts and descriptions are lower-cased and, for the token-sort scorer, normalised; texts are
+de-duplicated on that key, catalogue rows too (keeping the earliest row, lossless for the
+argmax).  Both sides stay DataFrames; the catalogue is an index of blocks:
+
+1. **Blocks.**  The distance behind the score, insertions plus deletions, is a metric.  About
+   the square root of the entries, ``PIVOTS`` at most, serve as pivots (a bounded sample);
+   every entry goes to the block of its nearest pivot.  A block is known by the ranges of its
+   entries' distances to that pivot and to ``REFERENCES`` others, its lengths and its earliest row.
+2. **Bounds.**  A text's distances to the pivots bound, by the triangle inequality and the
+   lengths, the score that any entry of a block can reach.  No bound ever hides a winner.
+3. **Seeds.**  Equal keys are joined first.  All other texts meet the block with the best bound and
+   those of the nearest pivots, which gives each a score to beat.
+4. **Rest.**  A text meets every other block whose bound still beats its score (or ties with an
+   earlier row).  Pairs of (text, block) are the only rows that are formed: the number of
+   blocks a text meets follows from the bounds, with no cap.
+5. Within a block, texts and entries are co-grouped and scored by bit-parallel LCS, candidates in
+   the order of their own bounds (``best_in_chunk``).  Blocks of more than ``max_rows`` entries are
+   split into parts and a block's texts into slices, so no group grows with the data.
 """
 
 from __future__ import annotations
@@ -32,13 +35,18 @@ from pyspark.sql import types as T
 
 from spendcode.functions import fuzzy as FZ
 from spendcode.functions.text import is_blank
+from spendcode.operators.boundary import settle
 from spendcode.session import ship_package
 
-MAX_BROADCAST_ROWS = 100_000
 VECTOR_MAX_TEXT = 256
 BAG_CHARS = 63      # characters with their own column in the bag bound (+1 "other")
-MASK_CHARS = 96     # largest chunk alphabet for which uint64 position masks are built
-MAX_BROADCAST_BYTES = 32 * 1024 * 1024
+MASK_CHARS = 96     # largest block alphabet for which uint64 position masks are built
+PIVOTS = 1024       # blocks, at most
+PIVOT_CHARS = 62    # a pivot is the start of an entry: any string may be one
+REFERENCES = 32     # pivots that every block keeps its range of distances to
+PART_ROWS = 4096    # entries of one part of a block
+SEEDS = 4           # blocks that a text visits first
+SLICE_TEXTS = 50_000  # texts that one task scores against a part, on average at most
 
 _MATCH_SCHEMA = T.StructType([
     T.StructField("k", T.StringType()),
@@ -55,9 +63,9 @@ def match_key(c, scorer: str):
 
 
 class _Catalogue:
-    """A broadcast catalogue chunk prepared once per task: lengths, per-entry character
-    counts over the chunk's alphabet, and bit masks of each character's positions for
-    entries of at most 63 characters (one uint64 per entry)."""
+    """Entries of one part of a block, prepared once a task: lengths, per-entry character
+    counts over their alphabet, and bit masks of each character's positions for entries of at
+    most 63 characters (one uint64 per entry)."""
 
     def __init__(self, entries):
         import numpy as np
@@ -192,25 +200,141 @@ def best_in_chunk(cat: "_Catalogue", text: str, floor: int, eager: int = 16):
     return (best_j, best) if best_j >= 0 else None
 
 
-def _scan_fn(bc, cutoff: int):
-    """Per-partition scorer over one broadcast catalogue chunk."""
+class _Pivots:
+    """Distances of a text to all pivots, and what they say about the blocks."""
+
+    def __init__(self, pivots: list[str], blocks=None):
+        import numpy as np
+
+        self.pivots = pivots
+        self.lens = np.array([len(p) for p in pivots], dtype=np.int64)
+        self.full = (np.uint64(1) << self.lens.astype(np.uint64)) - np.uint64(1)
+        self.masks: dict[str, object] = {}
+        for i, p in enumerate(pivots):
+            for j, ch in enumerate(p):
+                if ch not in self.masks:
+                    self.masks[ch] = np.zeros(len(pivots), dtype=np.uint64)
+                self.masks[ch][i] |= np.uint64(1 << j)
+        if blocks:
+            # one row a block: pivot, shortest and longest entry, earliest row, parts, and least and largest
+            # distance to the own pivot and to each reference
+            self.block, self.short, self.long, self.first, self.parts, near, far = (
+                np.array(x, dtype=np.int64) for x in zip(*blocks))
+            self.near, self.far = near.T, far.T
+            self.to = np.vstack([self.block, *[np.full(len(blocks), r) for r in range(near.shape[1] - 1)]])
+
+    def distances(self, text: str):
+        import numpy as np
+
+        if len(text) <= VECTOR_MAX_TEXT:
+            v = self.full.copy()
+            for ch in text:
+                m = self.masks.get(ch)
+                if m is not None:
+                    u = v & m
+                    v = ((v + u) | (v - u)) & self.full
+            lcs = self.lens - np.bitwise_count(v).astype(np.int64)
+        else:  # bits over the text, one pivot after the other
+            masks = FZ.char_masks_np(text, self.masks)
+            lcs = np.array([FZ.lcs_with_masks(masks, len(text), p) for p in self.pivots], dtype=np.int64)
+        return len(text) + self.lens - 2 * lcs
+
+    def bounds(self, text: str):
+        """Best score that an unequal entry of each block can reach, and how far away it must be."""
+        import numpy as np
+
+        la = len(text)
+        d = self.distances(text)[self.to]
+        low = np.maximum(np.maximum(d - self.far, self.near - d).max(axis=0), 1)
+        # the score rises with the entry's length up to la + low and falls from there
+        lb = np.clip(la + low, self.short, self.long)
+        need = np.maximum(low, np.abs(la - lb))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ub = np.rint(100 * (la + lb - need) / (la + lb) + 1e-9)
+        return np.where((la == 0) | (lb == 0) | (need > la + lb), 0, ub).astype(np.int64), low
+
+
+def _assign_fn(pivots: list[str]):
+    """Adds each entry's block, the nearest pivot, and its distances to that one and to the references."""
+
+    def run(batches):
+        import numpy as np
+
+        index = _Pivots(pivots)
+        for pdf in batches:
+            block, distances = [], []
+            for k in pdf["k"]:
+                d = index.distances(k)
+                at = int(np.argmin(d))
+                block.append(at)
+                distances.append([int(d[at]), *d[:REFERENCES].tolist()])
+            yield pdf.assign(block=block, distances=distances)
+
+    return run
+
+
+def _seeds(index: _Pivots, text: str, ub, low) -> list[tuple[int, int]]:
+    """Places (block, part) that a text visits first: the best bounds, and the blocks around the nearest pivots."""
+    import numpy as np
+
+    d = index.distances(text)[index.block]
+    order = [*np.lexsort((low, -ub))[:1], *np.argsort(d, kind="stable")[:SEEDS - 1]]
+    return list(dict.fromkeys((int(at), len(text) % int(index.parts[at])) for at in order))
+
+
+def _seed_fn(pivots: list[str], blocks: list[tuple], floor: int):
+    """For each text the parts that it visits first."""
 
     def run(batches):
         import pandas as pd
 
-        cat = _Catalogue(bc.value)
+        index = _Pivots(pivots, blocks)
         for pdf in batches:
             out = []
             for k in pdf["k"]:
-                hit = best_in_chunk(cat, k, cutoff) if cat.entries else None
-                if hit is not None:
-                    e = cat.entries[hit[0]]
-                    out.append((k, e[1], e[2], e[3], hit[1]))
-            yield pd.DataFrame(out, columns=["k", "m_ordinal", "m_code", "m_description", "m_score"])
+                ub, low = index.bounds(k)
+                out += [(k, floor, int(index.block[at]), part) for at, part in _seeds(index, k, ub, low) if ub[at] >= floor]
+            yield pd.DataFrame(out, columns=["k", "floor", "block", "part"])
 
     return run
 
 
+def _rest_fn(pivots: list[str], blocks: list[tuple], floor: int):
+    """All parts that can still win against the score found so far, but for those that were visited."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        index = _Pivots(pivots, blocks)
+        for pdf in batches:
+            out = []
+            for k, score, ordinal, equal in zip(pdf["k"], pdf["m_score"], pdf["m_ordinal"], pdf["equal"]):
+                ub, low = index.bounds(k)
+                done = set() if equal else set(_seeds(index, k, ub, low))
+                for at in np.flatnonzero((ub > score) | ((ub == score) & (index.first < ordinal))):
+                    out += [(k, max(score, floor), int(index.block[at]), part) for part in range(int(index.parts[at])) if (at, part) not in done]
+            yield pd.DataFrame(out, columns=["k", "floor", "block", "part"])
+
+    return run
+
+
+def _score_group(left, right):
+    """The texts of a slice against the entries of a part: the best entry that reaches each text's floor."""
+    import pandas as pd
+
+    out = []
+    if len(left) and len(right):
+        right = right.sort_values("ordinal")
+        cat = _Catalogue(list(zip(right["k"], right["ordinal"], right["code"], right["description"])))
+        for k, floor in zip(left["k"], left["floor"]):
+            hit = best_in_chunk(cat, k, int(floor))
+            if hit is not None:
+                e = cat.entries[hit[0]]
+                out.append((k, int(e[1]), e[2], e[3], hit[1]))
+    return pd.DataFrame(out, columns=["k", "m_ordinal", "m_code", "m_description", "m_score"])
+
+
 def prepare_catalogue(catalogue: DataFrame, scorer: str) -> DataFrame:
     """``k, ordinal, code, description``: one row (the earliest) per match key."""
     cat = catalogue.where(F.col("description").isNotNull()).select(
@@ -220,36 +344,61 @@ def prepare_catalogue(catalogue: DataFrame, scorer: str) -> DataFrame:
     return cat.groupBy("k").agg(first.alias("f")).select("k", "f.*")
 
 
+def _scored(pairs: DataFrame, entries: DataFrame, slices: int) -> DataFrame:
+    """``pairs`` (``k, floor, block, part``) scored: one row each where the floor is reached."""
+    key = ["block", "part", "slice"]
+    pairs = settle(pairs.withColumn("slice", F.pmod(F.xxhash64("k"), F.lit(slices)).cast("int")), "match-pairs")
+    # a part is copied once for each slice that asks for it
+    asked = entries.join(pairs.select(*key).distinct().toDF(*key), ["block", "part"])
+    return pairs.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_score_group, _MATCH_SCHEMA)
+
+
+def _winners(found: DataFrame) -> DataFrame:
+    best = F.max_by(F.struct("m_ordinal", "m_code", "m_description", "m_score"), F.struct(F.col("m_score"), -F.col("m_ordinal")))
+    return found.groupBy("k").agg(best.alias("w")).select("k", "w.*")
+
+
 def best_matches(keys: DataFrame, catalogue: DataFrame, scorer: str = "token_sort",
-                 cutoff: int | None = None, max_rows: int = MAX_BROADCAST_ROWS,
-                 max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+                 cutoff: int | None = None, max_rows: int = PART_ROWS, pivots: int | None = None) -> DataFrame:
     """For distinct match keys ``k``: ``k, m_ordinal, m_code, m_description, m_score``
     (keys without a match are absent)."""
     spark = keys.sparkSession
     ship_package(spark)
-    cat = prepare_catalogue(catalogue, scorer).persist()
-    size = cat.agg(F.count(F.lit(1)).alias("n"),
-                   F.coalesce(F.sum(F.length("k") * 2 + F.length("description") + 32), F.lit(0))
-                   .alias("bytes")).first()
-    n, nbytes = size["n"], size["bytes"]
-    chunks = max(1, math.ceil(n / max_rows), math.ceil(nbytes / max_bytes))
-    floor_score = 1 if cutoff is None else max(1, cutoff)
-    parts = []
-    for c in range(chunks):
-        chunk = cat if chunks == 1 else cat.where(F.pmod(F.xxhash64("k"), F.lit(chunks)) == c)
-        rows = sorted(((r["k"], r["ordinal"], r["code"], r["description"])
-                       for r in chunk.toLocalIterator()), key=lambda e: e[1])
-        bc = spark.sparkContext.broadcast(rows)
-        parts.append(keys.mapInPandas(_scan_fn(bc, floor_score), _MATCH_SCHEMA))
-    cat.unpersist()
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if chunks > 1:
-        win = F.max_by(F.struct("m_ordinal", "m_code", "m_description", "m_score"),
-                       F.struct(F.col("m_score"), -F.col("m_ordinal")))
-        out = out.groupBy("k").agg(win.alias("w")).select("k", "w.*")
-    return out
+    floor = 1 if cutoff is None else max(1, cutoff)
+    keys = settle(keys, "match-texts")
+    entries = settle(prepare_catalogue(catalogue, scorer), "match-entries")
+    n = entries.count()
+    if not n:
+        return spark.createDataFrame([], _MATCH_SCHEMA)
+    # a bounded sample: at most PIVOTS strings of at most PIVOT_CHARS characters
+    wanted = pivots or min(PIVOTS, math.ceil(math.sqrt(n)))
+    starts = entries.select(F.substring("k", 1, PIVOT_CHARS).alias("p")).distinct()
+    chosen = [r["p"] for r in starts.orderBy(F.xxhash64("p"), "p").limit(wanted).collect()]
+    fields = "k string, ordinal bigint, code string, description string, block int, distances array<bigint>"
+    placed = entries.select("k", F.col("ordinal").cast("bigint"), "code", "description").mapInPandas(_assign_fn(chosen), fields)
+    placed = settle(placed, "match-placed")
+    known = [F.get("distances", F.lit(i)) for i in range(min(REFERENCES, len(chosen)) + 1)]
+    summary = placed.groupBy("block").agg(
+        F.min(F.length("k")), F.max(F.length("k")), F.min("ordinal"), F.ceil(F.count(F.lit(1)) / max_rows).cast("int"),
+        F.array(*[F.min(d) for d in known]), F.array(*[F.max(d) for d in known]))
+    blocks = sorted(tuple(r) for r in summary.collect())  # a row a block
+    parts = spark.createDataFrame([(b[0], b[4]) for b in blocks], "block int, parts int")
+    entries = placed.join(F.broadcast(parts), "block").select(
+        "k", "ordinal", "code", "description", "block", F.pmod(F.xxhash64("k", F.lit("part")), F.col("parts")).cast("int").alias("part"))
+    slices = max(1, math.ceil(keys.count() / SLICE_TEXTS))
+
+    placed = placed.drop("distances")
+    equal = keys.join(placed, "k").select("k", F.col("ordinal").alias("m_ordinal"), F.col("code").alias("m_code"),
+                                          F.col("description").alias("m_description"), F.lit(100).alias("m_score"))
+    equal = settle(equal, "match-equal")
+    pair = "k string, floor int, block int, part int"
+    seeds = keys.join(equal.select("k"), "k", "left_anti").mapInPandas(_seed_fn(chosen, blocks, floor), pair)
+    first = settle(_winners(equal.unionByName(_scored(seeds, entries, slices))), "match-first")
+    # a text without a score so far has everything that reaches the floor to beat
+    state = keys.join(first.select("k", "m_score", "m_ordinal"), "k", "left").fillna({"m_score": floor - 1, "m_ordinal": 0})
+    state = state.join(equal.select("k", F.lit(True).alias("equal")), "k", "left").fillna({"equal": False})
+    rest = _scored(state.mapInPandas(_rest_fn(chosen, blocks, floor), pair), entries, slices)
+    return _winners(first.unionByName(rest))
 
 
 def attach_best_match(df: DataFrame, text: str, catalogue: DataFrame, scorer: str = "token_sort",
@@ -259,7 +408,10 @@ def attach_best_match(df: DataFrame, text: str, catalogue: DataFrame, scorer: st
     keyed = df.withColumn("_k", F.when(~is_blank(text), match_key(text, scorer)))
     keys = keyed.where(F.col("_k").isNotNull()).select(F.col("_k").alias("k")).distinct()
     best = best_matches(keys, catalogue, scorer, cutoff, **kw)
-    joined = keyed.join(best.withColumnRenamed("k", "_k"), "_k", "left")
+    # rows without a key match nothing: the second column deals them to many tasks
+    keyed = keyed.withColumn("_deal", F.when(F.col("_k").isNull(), F.spark_partition_id()).otherwise(0))
+    best = best.withColumnRenamed("k", "_k").withColumn("_deal", F.lit(0))
+    joined = keyed.join(best, ["_k", "_deal"], "left")
     return joined.select(
         *df.columns,
         F.col("m_code").alias(f"{prefix}_code"),

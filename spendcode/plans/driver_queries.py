@@ -278,6 +278,27 @@ def fuzzy_best_documents(spark, sf_dir):
     return attach_best_match(d, "text", catalogue_from_part(spark, sf_dir)).drop("text")
 
 
+def fuzzy_ratio_long(spark, sf_dir):
+    """Both sides longer than one word of bits: plain and token-sort score, near and far pairs."""
+    from spendcode.functions.fuzzy import with_ratio
+    df = X.long_pairs(spark, sf_dir)
+    for a, b, sort in (("a", "b", False), ("a", "b", True), ("a", "c", False), ("a", "c", True)):
+        df = with_ratio(df, a, b, f"{'sorted' if sort else 'plain'}_{a}{b}", token_sort=sort)
+    return df.drop("a", "b", "c")
+
+
+def fuzzy_best_wide(spark, sf_dir):
+    """Purchase texts against a catalogue that grows with the scale factor (J1)."""
+    from spendcode.operators.match import attach_best_match
+    return attach_best_match(X.purchase_texts(spark, sf_dir), "purchase", X.wide_catalogue(spark, sf_dir), scorer="token_sort").drop("purchase")
+
+
+def fuzzy_best_wide_cutoff(spark, sf_dir):
+    """The same with the plain scorer and a cut-off (J2)."""
+    from spendcode.operators.match import attach_best_match
+    return attach_best_match(X.purchase_texts(spark, sf_dir), "purchase", X.wide_catalogue(spark, sf_dir), scorer="ratio", cutoff=70).drop("purchase")
+
+
 def fuzzy_enrich(spark, sf_dir):
     from spendcode.plans.fuzzy_enrich import fuzzy_enrich as run
     from spendcode.sources.tables import catalogue_from_part
@@ -378,6 +399,9 @@ QUERIES = {
     "fuzzy_best": fuzzy_best,
     "fuzzy_best_cutoff": fuzzy_best_cutoff,
     "fuzzy_best_documents": fuzzy_best_documents,
+    "fuzzy_ratio_long": fuzzy_ratio_long,
+    "fuzzy_best_wide": fuzzy_best_wide,
+    "fuzzy_best_wide_cutoff": fuzzy_best_wide_cutoff,
     "fuzzy_enrich": fuzzy_enrich,
     "hash_embed": hash_embed,
     "cosine_similarity": cosine_similarity,

@@ -373,8 +373,25 @@ def _dp_lcs(a: str, b: str) -> str:
             f"list_transform(range(0, length({a}) + 1), lambda lcs_z: 0))[length({a}) + 1]")
 
 
-def ratio_sql(a: str, b: str) -> str:
-    lcs = f"(CASE WHEN length({a}) <= length({b}) THEN {_dp_lcs(a, b)} ELSE {_dp_lcs(b, a)} END)"
+def _ends_lcs(a: str, b: str) -> str:
+    """LCS length from the least ends: after each character of ``b``, entry ``l`` is the first place of
+    ``a`` by which a common subsequence of ``l`` characters is complete.  Suits a long ``a``."""
+    rest, ch = f"substr({a}, lcs_t[lcs_l] + 1)", f"{b}[lcs_j[1]]"
+    return (f"(len(list_reduce(list_concat([[0]], list_transform(range(1, length({b}) + 1), lambda lcs_j: [lcs_j])), "
+            f"lambda lcs_t, lcs_j: list_filter(list_concat([0], list_transform(range(1, len(lcs_t) + 1), lambda lcs_l: "
+            f"least(coalesce(lcs_t[lcs_l + 1], 2147483647), CASE WHEN contains({rest}, {ch}) "
+            f"THEN lcs_t[lcs_l] + instr({rest}, {ch}) ELSE 2147483647 END))), lambda lcs_x: lcs_x < 2147483647))) - 1)")
+
+
+def _bits_lcs(a: str, b: str, masks: str) -> str:
+    """LCS length over bits of ``a`` (62 characters at most), whose characters' places are in the map ``masks``."""
+    full = f"((1::BIGINT << length({a})) - 1)"
+    return (f"(length({a}) - bit_count(list_reduce(list_prepend({full}, list_transform(str_split({b}, ''), lambda lcs_c: "
+            f"coalesce({masks}[lcs_c], 0))), lambda lcs_v, lcs_m: ((lcs_v + (lcs_v & lcs_m)) | (lcs_v & ~lcs_m)) & {full})))")
+
+
+def ratio_sql(a: str, b: str, lcs: str | None = None) -> str:
+    lcs = lcs or f"(CASE WHEN length({a}) <= length({b}) THEN {_dp_lcs(a, b)} ELSE {_dp_lcs(b, a)} END)"
     tot = f"(length({a}) + length({b}))"
     r = f"(CAST({tot} - ({tot} - 2 * {lcs}) AS DOUBLE) / {tot})"
     return (f"(CASE WHEN {a} = {b} THEN 100 WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 "
@@ -389,14 +406,15 @@ def token_key_sql(e: str) -> str:
 
 def best_match_sql(texts: str, text_col: str, id_col: str, scorer: str, floor: int,
                    catalogue: str = "SELECT p_partkey AS ordinal, CAST(p_partkey AS VARCHAR) AS code, "
-                                    "p_name AS description FROM part") -> str:
+                                    "p_name AS description FROM part", lcs: str | None = None, extra: str = "") -> str:
     """CTEs ``mk`` (id, k) and ``best`` (k, code, description, score) for a text table."""
     key = (lambda e: token_key_sql(f"lower({e})")) if scorer == "token_sort" else (lambda e: f"lower({e})")
     return f"""mk AS (SELECT {id_col}, CASE WHEN NOT {blank_sql(text_col)} THEN {key(text_col)} END AS k FROM ({texts})),
     mkeys AS (SELECT DISTINCT k FROM mk WHERE k IS NOT NULL),
     cat0 AS (SELECT {key('description')} AS ck, ordinal, code, description FROM ({catalogue}) WHERE description IS NOT NULL),
     cat1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ck ORDER BY ordinal) AS rn FROM cat0) WHERE rn = 1),
-    scored AS (SELECT k, ordinal, code, description, {ratio_sql('k', 'ck')} AS score FROM mkeys CROSS JOIN cat1),
+    cat2 AS (SELECT *{extra} FROM cat1),
+    scored AS (SELECT k, ordinal, code, description, {ratio_sql('k', 'ck', lcs)} AS score FROM mkeys CROSS JOIN cat2),
     best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, ordinal) AS rn
              FROM scored WHERE score >= {floor}) WHERE rn = 1)"""
 
@@ -418,6 +436,24 @@ def _init_fuzzy_queries():
         "fuzzy_best_cutoff": f"WITH {best_match_sql(probes, 'probe', 'p_partkey', 'ratio', 70)} {out}",
     })
 
+    from spendcode.sources.fixtures import LONG_COPY_SQL, PURCHASE_SQL, WIDE_DESCRIPTION_SQL
+    ORACLE["fuzzy_best_documents"] = f"""WITH {best_match_sql('SELECT doc_id, text FROM documents', 'text', 'doc_id', 'token_sort', 1, lcs=_ends_lcs('k', 'ck'))}
+        SELECT mk.doc_id, best.code AS match_code, best.description AS match_description,
+        coalesce(best.score, 0) AS match_score FROM mk LEFT JOIN best ON best.k = mk.k"""
+    scores = ", ".join(f"CASE WHEN {y} IS NOT NULL THEN {ratio_sql(x, y, _ends_lcs(x, y))} END AS {n}" for x, y, n in (
+        ("a", "b", "plain_ab"), ("ka", "kb", "sorted_ab"), ("a", "c", "plain_ac"), ("ka", "kc", "sorted_ac")))
+    ORACLE["fuzzy_ratio_long"] = f"""WITH p AS (SELECT t.item_id, lower(t.text) AS a, lower(t.copy) AS b, lower(n.text) AS c
+        FROM (SELECT *, {LONG_COPY_SQL} AS copy FROM benchmark) t LEFT JOIN benchmark n ON n.item_id = t.item_id + 1),
+        q AS (SELECT *, {token_key_sql('a')} AS ka, {token_key_sql('b')} AS kb, {token_key_sql('c')} AS kc FROM p)
+        SELECT item_id, {scores} FROM q"""
+    wide = f"SELECT p_partkey AS ordinal, 'c' || CAST(p_partkey AS VARCHAR) AS code, {WIDE_DESCRIPTION_SQL} AS description FROM part"
+    texts = f"SELECT s_suppkey, {PURCHASE_SQL} AS purchase FROM supplier LEFT JOIN part ON p_partkey = s_suppkey"
+    places = ", map_from_entries(list_transform(list_distinct(str_split(ck, '')), lambda c: {'key': c, 'value': " \
+             "CAST(list_sum(list_transform(range(1, length(ck) + 1), lambda i: CASE WHEN ck[i] = c THEN 1::BIGINT << (i - 1) ELSE 0 END)) AS BIGINT)})) AS places"
+    for name, scorer, least in (("fuzzy_best_wide", "token_sort", 1), ("fuzzy_best_wide_cutoff", "ratio", 70)):
+        best = best_match_sql(texts, "purchase", "s_suppkey", scorer, least, catalogue=wide, lcs=_bits_lcs("ck", "k", "places"), extra=places)
+        ORACLE[name] = f"WITH {best} {out.replace('p_partkey', 's_suppkey')}"
+
     # Catalogue-matching enrich: industry from the model (gated), product = best catalogue
     # match of the model's product description, filled only when the industry passes.
     p1 = _pipeline_sql("p1")

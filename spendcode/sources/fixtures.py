@@ -117,3 +117,47 @@ PROBE_SQL = """CASE WHEN p_partkey % 101 = 3 THEN '?!'
     WHEN 2 THEN upper(p_name) || '!'
     WHEN 3 THEN 'the ' || p_name || 's'
     ELSE substr(p_name, 2) END END"""
+
+
+# A catalogue that grows with the scale factor: nearly every part has its own description, some have none.
+WIDE_DESCRIPTION_SQL = """CASE WHEN p_partkey % 211 = 17 THEN NULL
+    ELSE p_name || ' ' || lower(p_type) || ' size ' || CAST(p_size AS VARCHAR) || ' ' || p_brand END"""
+
+# One purchase text for each supplier: a part's description, more or less distorted, or none.
+PURCHASE_SQL = """CASE s_suppkey % 8
+    WHEN 0 THEN p_brand || ', ' || p_name || ' size ' || CAST(p_size AS VARCHAR) || ' ' || p_type
+    WHEN 1 THEN replace(replace(p_name, 'e', 'a'), 'l', '') || ' ' || lower(p_type) || ' sz ' || CAST(p_size AS VARCHAR) || ' ' || p_brand
+    WHEN 2 THEN upper(p_name) || ' ' || p_type || ' SIZE ' || CAST(p_size AS VARCHAR) || ' ' || p_brand
+    WHEN 3 THEN s_name
+    WHEN 4 THEN p_name || ' (' || p_brand || ')'
+    WHEN 5 THEN 'ten ' || p_name || 's of ' || lower(p_type) || ' size, ' || s_name
+    WHEN 6 THEN CASE WHEN s_suppkey % 16 = 6 THEN NULL ELSE '  ' END
+    ELSE p_name || ' ' || lower(p_type) || ' size ' || CAST(p_size + 1 AS VARCHAR) || ' ' || p_brand END"""
+
+
+def wide_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ordinal, code, description with about as many descriptions as parts."""
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("ordinal"), F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("code"),
+        F.expr(spark_sql(WIDE_DESCRIPTION_SQL)).alias("description"))
+
+
+def purchase_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """s_suppkey, purchase: the text of the part that has the supplier's number, distorted."""
+    s, p = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
+    return s.join(p, s["s_suppkey"] == p["p_partkey"], "left").select("s_suppkey", F.expr(spark_sql(PURCHASE_SQL)).alias("purchase"))
+
+
+# Benchmark texts of 60 to 400 characters, each with a distorted copy of itself and with the next one.
+LONG_COPY_SQL = """CASE item_id % 4
+    WHEN 0 THEN replace(text, 'e', 'ea')
+    WHEN 1 THEN upper(text)
+    WHEN 2 THEN replace(replace(text, 'th', ''), 'n', 'mm')
+    ELSE text || ' ' || text END"""
+
+
+def long_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, a, b (the distorted text), c (the next item's text or null), all in lower case."""
+    t = table(spark, sf_dir, "benchmark")
+    nxt = t.select((F.col("item_id") - 1).alias("item_id"), F.lower("text").alias("c"))
+    return t.select("item_id", F.lower("text").alias("a"), F.lower(F.expr(spark_sql(LONG_COPY_SQL))).alias("b")).join(nxt, "item_id", "left")

@@ -46,6 +46,20 @@ def test_native_and_udf_ratio_match_dp(spark):
     assert got == {i: ref_ratio(a, b) for i, (a, b) in enumerate(pairs)}
 
 
+def test_expression_over_several_words_matches_dp(spark):
+    rnd = random.Random(9)
+    pairs = []
+    for n in (61, 62, 63, 64, 123, 124, 125, 186, 187, 260, 500):
+        for _ in range(4):
+            a = "".join(rnd.choice("abcdé f中\n") for _ in range(n))
+            near = "".join(rnd.choice((ch, ch, ch, "", "x" + ch)) for ch in a)
+            pairs += [(a, near), (near, a), (a, a[::-1]), (a, "a" * rnd.choice((63, 124, 400))), (a, a), (a, "q" * 200)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    scored = FZ.with_ratio(df, "a", "b", "s")
+    assert "Python" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert {r["i"]: r["s"] for r in scored.collect()} == {i: ref_ratio(a, b) for i, (a, b) in enumerate(pairs)}
+
+
 def test_token_sort(spark):
     df = spark.createDataFrame([(0, "small ring", "ring small"), (1, "blue bolt!", "Bolt, BLUE"),
                                 (2, "café", "caf"), (3, "!!!", "???"), (4, "abc", "xyz")],
@@ -64,22 +78,11 @@ def test_token_sort_key_python_equivalence(spark):
     assert got == [FZ.py_token_sort_key(t.lower()) for t in texts]
 
 
-def brute_best(text, catalogue, scorer, cutoff):
-    if text is None or not text.strip():
-        return (None, None, 0)
-    best, best_row = 0, None
-    for ordinal, code, desc in sorted(catalogue):
-        if desc is None:
-            continue
-        if scorer == "token_sort":
-            s = FZ.py_ratio(FZ.py_token_sort_key(text.lower()), FZ.py_token_sort_key(desc.lower()))
-        else:
-            s = FZ.py_ratio(text.lower(), desc.lower())
-        if s > best:
-            best, best_row = s, (code, desc)
-    if best_row is None or (cutoff is not None and best < cutoff):
-        return (None, None, 0)
-    return (best_row[0], best_row[1], best)
+def brute_best(text, catalogue, scorer, cutoff, score=ref_ratio):
+    key = (lambda t: FZ.py_token_sort_key(t.lower())) if scorer == "token_sort" else str.lower
+    scored = [(score(key(text or ""), key(d)), -o, c, d) for o, c, d in catalogue if d is not None] if (text or "").strip() else []
+    best = max(scored, key=lambda x: x[:2], default=(0, 0, None, None))
+    return (best[2], best[3], best[0]) if best[0] >= max(1, cutoff or 0) else (None, None, 0)
 
 
 def test_best_match_equals_brute_force(spark):
@@ -99,6 +102,65 @@ def test_best_match_equals_brute_force(spark):
             assert got == want, (scorer, cutoff, rows)
 
 
+def test_blocks_parts_and_slices_equal_brute_force(spark, monkeypatch):
+    """Many pivots, split blocks, several slices and long texts against all pairs."""
+    import spendcode.operators.match as M
+    monkeypatch.setattr(M, "SLICE_TEXTS", 40)
+    monkeypatch.setattr(M, "REFERENCES", 3)
+    rnd = random.Random(31)
+    nouns = ["bolt", "gear", "ring", "widget", "plate", "gizmo", "nut"]
+    name = lambda: " ".join(rnd.choice(nouns) + rnd.choice(("", "s", " m4", " 10mm")) for _ in range(rnd.randint(1, 5)))
+    catalogue = [(i * 8 % 301, f"c{i}", rnd.choice((name(), name(), None, "", "?!", name() * 12))) for i in range(301)]
+    texts = [name() if rnd.random() < 0.7 else "".join(rnd.choice("abc xyz0") for _ in range(rnd.randint(0, 400))) for _ in range(90)]
+    texts += [catalogue[5][2], None, " ", "!!", "BOLT  gear"] + ["hot text"] * 40
+    cat = spark.createDataFrame(catalogue, "ordinal long, code string, description string")
+    lines = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for scorer, cutoff in (("token_sort", None), ("ratio", 70)):
+        want = {i: brute_best(t, catalogue, scorer, cutoff, score=FZ.py_ratio) for i, t in enumerate(texts)}
+        for rows, pivots in ((M.PART_ROWS, None), (5, 9), (50, 1)):
+            got = {r["i"]: tuple(r)[-3:] for r in M.attach_best_match(lines, "t", cat, scorer=scorer, cutoff=cutoff, max_rows=rows, pivots=pivots).collect()}
+            assert got == want, (scorer, cutoff, rows, pivots)
+
+
+def test_bounds_never_hide_an_entry():
+    import numpy as np
+    from spendcode.operators.match import _Pivots
+    rnd = random.Random(8)
+    text = lambda n: "".join(rnd.choice("abcde ") for _ in range(rnd.randint(0, n)))
+    entries = list(dict.fromkeys(text(70) for _ in range(300)))
+    pivots = [e[:62] for e in entries[:12]]
+    index = _Pivots(pivots)
+    d = np.array([index.distances(e) for e in entries])
+    assert all(d[i][j] == len(e) + len(p) - 2 * dp_lcs(e, p) for i, e in enumerate(entries[:40]) for j, p in enumerate(pivots))
+    blocks = []
+    for b in sorted(set(d.argmin(1).tolist())):
+        own = d[d.argmin(1) == b][:, [b, 0, 1, 2]]
+        lens = [len(e) for e, x in zip(entries, d) if x.argmin() == b]
+        blocks.append((b, min(lens), max(lens), 0, 1, own.min(0).tolist(), own.max(0).tolist()))
+    index = _Pivots(pivots, blocks)
+    place = {b[0]: i for i, b in enumerate(blocks)}
+    for t in [text(70) for _ in range(60)] + [text(600) for _ in range(5)] + [rnd.choice(entries) + "a" for _ in range(40)]:
+        ub, _ = index.bounds(t)
+        for e, x in zip(entries, d):
+            assert t == e or ref_ratio(t, e) <= ub[place[int(x.argmin())]]
+
+
+def test_a_near_text_meets_few_blocks(spark, monkeypatch):
+    """Work for a text that has a near entry does not grow with the catalogue: most blocks are ruled out."""
+    import spendcode.operators.match as M
+    rnd = random.Random(12)
+    # families of entries: a stem of words each, with small changes
+    stems = [" ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(4)) for _ in range(40)]
+    catalogue = [(i, f"c{i}", f"{stems[i % 40]} {i // 40}") for i in range(1600)]
+    texts = [(i, f"{stems[i % 40]} x") for i in range(40)]
+    seen, scored = [], M._scored
+    monkeypatch.setattr(M, "_scored", lambda pairs, entries, slices: seen.append(pairs) or scored(pairs, entries, slices))
+    cat = spark.createDataFrame(catalogue, "ordinal long, code string, description string")
+    M.attach_best_match(spark.createDataFrame(texts, "i int, t string"), "t", cat, scorer="ratio").collect()
+    visits = sum(p.count() for p in seen)
+    assert visits <= 0.25 * 40 * 40, visits
+
+
 def test_ties_go_to_earliest_row(spark):
     from spendcode.operators.match import attach_best_match
     cat = spark.createDataFrame([(9, "late", "abcd"), (2, "early", "abce")], "ordinal long, code string, description string")
@@ -124,7 +186,8 @@ def test_documents_against_brute_force(spark):
             cat.append((o, c, d))
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()
     for doc_id, text in docs:
-        assert got[doc_id] == brute_best(text, cat, "token_sort", None), doc_id
+        # whole texts of thousands of characters: the bit-parallel helper, which is held against the table above
+        assert got[doc_id] == brute_best(text, cat, "token_sort", None, score=FZ.py_ratio), doc_id
 
 
 def test_numpy_masks_equal_python_masks():
