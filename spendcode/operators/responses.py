@@ -9,8 +9,8 @@ relational plan instead of a per-row call:
    partial dedupe collapses a hot text before the shuffle),
 3. ``LEFT ANTI`` join against the stored answers, so nothing already answered is asked
    again,
-4. answer the misses with an injected *responder*, append them to the store (Parquet,
-   partitioned by stage) and read them back, so a retried task or a second action does
+4. answer the misses with an injected *responder*, append them to the store (a bucketed
+   Parquet table a stage) and read them back, so a retried task or a second action does
    not call the model again,
 5. equi-join the answers back to the lines by request key.
 
@@ -22,6 +22,8 @@ queries use the recorded stand-in in ``spendcode.operators.replay``.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,28 +81,95 @@ def request_columns(dialect: str, stage: str, model: str, **slots: Column) -> li
 class ResponseStore:
     """Answers already obtained, keyed by request key.
 
-    ``path`` is a Parquet folder partitioned by ``stage`` on shared storage (for example
-    under ``spark.checkpoint.dir``); without a path the store starts empty and answers
-    live only in the plan.
+    ``path`` is a folder on shared storage (for example under ``spark.checkpoint.dir``); without a
+    path the store starts empty and answers live only in the plan.
+
+    Each stage is a Parquet table clustered by request key into ``buckets`` (a number that the
+    folder remembers from its first use).  An append adds one file a bucket; joins and aggregates by
+    request key read the buckets where they lie, so stored answers are never shuffled, however many
+    there are: only a run's own distinct requests move, to the buckets that they fall into.
+    ``compact`` rewrites a stage as a new version, one file a bucket and one row a request.  A version
+    counts once its ``_SUCCESS`` file is there, so a job that dies in between leaves the old one.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
-        self.path = path
-
-    def _exists(self) -> bool:
-        if not self.path:
-            return False
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(conf).exists(p)
+        self.path = path.rstrip("/") if path else None
+        self.buckets = buckets
+
+    # --- files -------------------------------------------------------------------------
+
+    def _at(self, path: str):
+        sc = self.spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
+
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._at(path)
+        return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _n_buckets(self) -> int:
+        """The folder's bucket number; set by whoever uses the folder first."""
+        for name in self._names(self.path):
+            if m := re.fullmatch(r"_buckets-(\d+)", name):
+                self.buckets = int(m[1])
+                return self.buckets
+        self.buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        fs, p = self._at(f"{self.path}/_buckets-{self.buckets}")
+        fs.mkdirs(p)
+        return self.buckets
+
+    def _version(self, stage: str) -> int | None:
+        done = [int(v[1:]) for v in self._names(f"{self.path}/{stage}")
+                if re.fullmatch(r"v\d+", v) and "_SUCCESS" in self._names(f"{self.path}/{stage}/{v}")]
+        return max(done, default=None)
+
+    # --- tables ------------------------------------------------------------------------
+
+    def _table(self, stage: str, version: int) -> str:
+        """Name of the table over a version's folder, declared in this session if it is not yet."""
+        folder = f"{self.path}/{stage}/v{version:06d}"
+        name = f"responses_{hashlib.sha256(folder.encode()).hexdigest()[:16]}"
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in STORE_SCHEMA.fields)
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (request_key) "
+                       f"SORTED BY (request_key) INTO {self._n_buckets()} BUCKETS LOCATION '{folder}'")
+        self.spark.catalog.refreshTable(name)
+        return name
+
+    def _write(self, answers: DataFrame, stage: str, version: int) -> None:
+        name = self._table(stage, version)
+        # dealt like the buckets, so each task writes one file
+        answers.select(*[f.name for f in STORE_SCHEMA.fields]).repartition(self._n_buckets(), "request_key").write.insertInto(name)
+        self.spark.catalog.refreshTable(name)
+
+    def _stages(self) -> list[str]:
+        return [n for n in self._names(self.path) if not n.startswith("_")] if self.path else []
 
     def load(self, stage: str | None = None) -> DataFrame:
-        if self._exists():
-            df = self.spark.read.schema(STORE_SCHEMA).parquet(self.path)
-            return df.where(F.col("stage") == stage) if stage else df
-        return self.spark.createDataFrame([], STORE_SCHEMA)
+        out = None
+        for s in [stage] if stage else self._stages():
+            version = self._version(s) if self.path else None
+            if version is not None:
+                df = self.spark.table(self._table(s, version))
+                out = df if out is None else out.unionByName(df)
+        return out if out is not None else self.spark.createDataFrame([], STORE_SCHEMA)
+
+    def answers(self, stage: str) -> DataFrame:
+        """``request_key, response, error``: of several stored rows of a request one with an answer wins."""
+        best = F.max_by(F.struct("response", "error"), F.col("response").isNotNull())
+        return self.load(stage).groupBy("request_key").agg(best.alias("a")).select("request_key", "a.*")
+
+    def compact(self, stage: str) -> None:
+        """Rewrite a stage as one row a request and one file a bucket; the old version is deleted."""
+        old = self._version(stage)
+        if old is None:
+            return
+        best = F.max_by(F.struct(*[f.name for f in STORE_SCHEMA.fields if f.name != "request_key"]), F.col("response").isNotNull())
+        rows = self.load(stage).groupBy("request_key").agg(best.alias("a")).select("request_key", "a.*")
+        self._write(rows, stage, old + 1)
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._table(stage, old)}")
+        fs, p = self._at(f"{self.path}/{stage}/v{old:06d}")
+        fs.delete(p, True)
 
     def resolve(self, requests: DataFrame, responder: Responder, stage: str,
                 carry: tuple[str, ...] = ()) -> DataFrame:
@@ -110,24 +179,20 @@ class ResponseStore:
             raise ValueError("a model client needs a ResponseStore with a path: answers must be "
                              "stored before they are joined back, or retries would ask again")
         distinct = requests.select(*REQUEST_COLUMNS, *carry).dropDuplicates(["request_key"])
-        stored = self._exists()
-        if stored:
+        if not self.path:
+            return responder(distinct, stage).select(*REQUEST_COLUMNS, *carry, "response", "error")
+        # dealt like the buckets: joins with the store then move nothing else
+        distinct = distinct.repartition(self._n_buckets(), "request_key")
+        version = self._version(stage)
+        misses = distinct
+        if version is not None:
             # a stored failure is no answer: it is asked again
             known = self.load(stage).where(F.col("response").isNotNull()).select("request_key").distinct()
             misses = distinct.join(known, "request_key", "left_anti")
-        else:
-            misses = distinct
-        fresh = responder(misses, stage)
-        if not self.path:
-            return fresh.select(*REQUEST_COLUMNS, *carry, "response", "error")
         # Materialise before anything joins the answers back: a retried task or a second
         # action must read stored answers instead of asking the model again.
-        fresh.select(*[f.name for f in STORE_SCHEMA.fields]) \
-            .write.mode("append").partitionBy("stage").parquet(self.path)
-        # of several stored rows of a request one with an answer wins
-        best = F.max_by(F.struct("response", "error"), F.col("response").isNotNull())
-        answers = self.load(stage).groupBy("request_key").agg(best.alias("a")).select("request_key", "a.*")
-        return distinct.join(answers, "request_key", "inner")
+        self._write(responder(misses, stage), stage, version or 0)
+        return distinct.join(self.answers(stage), "request_key", "inner")
 
 
 def pandas_responder(call: Callable, partitions: int | None = None) -> Responder:

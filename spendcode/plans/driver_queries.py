@@ -197,7 +197,27 @@ def quarantine(spark, sf_dir):
 
 def stage_metrics(spark, sf_dir):
     from spendcode.plans.enrich import enrich as run, stage_metrics as m
-    return m(run(_lines_p1(spark, sf_dir), responder=replay_responder))
+    return m(run(_lines_p1(spark, sf_dir), responder=replay_responder)).drop("seconds")
+
+
+def stored_responses(spark, sf_dir):
+    """The lines enriched twice over one response store: rows that each run left in it, by stage.
+
+    The second run asks for nothing that was answered, only for what had failed."""
+    import uuid
+    from spendcode.operators.responses import ResponseStore
+    from spendcode.plans.enrich import enrich as run
+    from spendcode.session import shared_dir
+    store = ResponseStore(spark, shared_dir(spark, f"responses/{uuid.uuid4().hex}"))
+    counts = []
+    for _ in range(2):
+        run(_lines_p1(spark, sf_dir), store=store, responder=replay_responder).release()
+        rows = store.load().groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("request_key").alias("requests"),
+                                                 F.count_if(F.col("response").isNotNull()).alias("answered"))
+        counts.append({r["stage"]: (r["n"], r["requests"], r["answered"]) for r in rows.collect()})  # a row a stage
+    out = [(stage, *counts[0][stage], counts[1][stage][0] - counts[0][stage][0], *counts[1][stage][1:]) for stage in counts[0]]
+    return spark.createDataFrame(out, "stage string, first_asked bigint, requests bigint, answered bigint, again_asked bigint, "
+                                      "again_requests bigint, again_answered bigint")
 
 
 def describe_stage(spark, sf_dir):
@@ -305,6 +325,13 @@ def fuzzy_enrich(spark, sf_dir):
     return run(_lines_p1(spark, sf_dir), catalogue_from_part(spark, sf_dir), responder=replay_responder)
 
 
+def fuzzy_enrich_translated(spark, sf_dir):
+    """The same on texts put into English first, with the English columns."""
+    from spendcode.plans.fuzzy_enrich import fuzzy_enrich as run
+    from spendcode.sources.tables import catalogue_from_part
+    return run(_lines_p1(spark, sf_dir), catalogue_from_part(spark, sf_dir), responder=replay_responder, translated=True)
+
+
 # --- vectors (E3, E5, E6, R4, S8, S9) ----------------------------------------------------
 
 def hash_embed(spark, sf_dir):
@@ -394,6 +421,7 @@ QUERIES = {
     "process": process,
     "quarantine": quarantine,
     "stage_metrics": stage_metrics,
+    "stored_responses": stored_responses,
     "fuzzy_ratio": fuzzy_ratio,
     "fuzzy_token_sort": fuzzy_token_sort,
     "fuzzy_best": fuzzy_best,
@@ -403,6 +431,7 @@ QUERIES = {
     "fuzzy_best_wide": fuzzy_best_wide,
     "fuzzy_best_wide_cutoff": fuzzy_best_wide_cutoff,
     "fuzzy_enrich": fuzzy_enrich,
+    "fuzzy_enrich_translated": fuzzy_enrich_translated,
     "hash_embed": hash_embed,
     "cosine_similarity": cosine_similarity,
     "cosine_topk": cosine_topk,

@@ -13,16 +13,18 @@ once per distinct text even when they appear in both columns or on many lines.
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spendcode.functions import parsers as P
 from spendcode.functions import prompts as PR
 from spendcode.functions import text as T
+from spendcode.operators.boundary import forget, settle
 from spendcode.operators.gates import gate
 from spendcode.operators.responses import ResponseStore, Responder, request_columns, stage_name
 from spendcode.session import shared_dir
@@ -48,40 +50,66 @@ class EnrichRun:
     # stage -> (line slots that asked the stage, line slots whose answer passed the gate)
     line_metrics: dict[str, tuple] = field(default_factory=dict)
     output_columns: list[str] = field(default_factory=list)
+    results: DataFrame | None = None  # per-line results, keyed by KEY
     persisted: list[DataFrame] = field(default_factory=list)
-    # "persist": cache at stage boundaries (executor memory and local disk; lost blocks are
-    # recomputed from lineage).  "checkpoint": write each boundary to the shared
-    # spark.checkpoint.dir, cutting lineage -- the choice for very large runs.
-    materialize: str = "persist"
-    # (boundary, seconds) of each eager boundary ("checkpoint" mode): the phase stopwatch
-    timings: list = field(default_factory=list)
+    # "tables": write each stage boundary to the shared folder and observe its counts while it is
+    # written.  "persist": cache boundaries (executor memory and local disk; lost blocks are
+    # recomputed from lineage).  "checkpoint": Spark's reliable checkpoint of each boundary.
+    materialize: str = "tables"
+    # seconds spent on the eager boundaries ("tables" and "checkpoint") of each stage: the stopwatch
+    timings: dict = field(default_factory=dict)
+    # what the boundaries counted while they were written ("tables")
+    observed: dict = field(default_factory=dict)
 
     def result(self) -> DataFrame:
         return self.lines.select(*self.output_columns)
 
-    def keep(self, df: DataFrame, name: str = "boundary") -> DataFrame:
-        """Stage boundary.  The next stage both derives its requests from ``df`` and joins
-        the answers back to it; persisting makes the two branches share one computation
-        instead of doubling the lineage at every stage.  Lost blocks are recomputed from
-        lineage, so an executor loss costs time, not correctness."""
-        if self.materialize == "checkpoint":
-            import time
+    def keep(self, df: DataFrame, name: str = "boundary", counts: dict[str, Column] | None = None) -> DataFrame:
+        """Stage boundary.  The next stage both derives its requests from ``df`` and joins the
+        answers back to it; a boundary makes the two branches share one computation instead of
+        doubling the lineage at every stage.  ``counts`` are aggregates that a written boundary
+        collects on the way, so no metric runs a stage again."""
+        t0 = time.perf_counter()
+        if self.materialize == "tables":
+            seen = Observation()
+            if counts:
+                df = df.observe(seen, *[c.alias(k) for k, c in counts.items()])
+            df = settle(df, "enrich")
+            self.observed.update(seen.get if counts else {})
+            self.persisted.append(df)
+        elif self.materialize == "checkpoint":
             from spendcode.session import ensure_checkpoint_dir
             ensure_checkpoint_dir(df.sparkSession)
-            t0 = time.perf_counter()
             df = df.checkpoint(eager=True)
-            self.timings.append((name, time.perf_counter() - t0))
+        else:
+            df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            self.persisted.append(df)
             return df
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        self.persisted.append(df)
+        self.timings[name] = self.timings.get(name, 0.0) + time.perf_counter() - t0
         return df
 
     def release(self) -> None:
+        """Give up the boundaries; afterwards only a result that was written before can be read."""
         for df in self.persisted:
-            df.unpersist()
+            forget(df) if self.materialize == "tables" else df.unpersist()
         self.persisted.clear()
 
 
+def _asked_counts(stage: str) -> dict[str, Column]:
+    """Requests of a stage: how many, how many answered, how many failed."""
+    return {f"{stage}__requests": F.count(F.lit(1)), f"{stage}__answered": F.count("response"), f"{stage}__failed": F.count("error")}
+
+
+def _line_counts(run: EnrichRun, *stages: str) -> dict[str, Column]:
+    """Line slots that asked these stages, and those whose answer passed the gate."""
+    out = {}
+    for s in stages:
+        rows_in, accepted = run.line_metrics[s]
+        out[f"{s}__in"] = F.coalesce(F.sum(rows_in), F.lit(0)).cast("long")
+        out[f"{s}__accepted"] = F.coalesce(F.sum(accepted), F.lit(0)).cast("long") if accepted is not None else F.max(F.lit(None).cast("long"))
+    return out
+
+
 def with_line_key(lines: DataFrame, order: str = "ordinal") -> DataFrame:
     """``lines`` plus the unique, never null key ``_line``.
 
@@ -130,14 +158,16 @@ def translation_table(texts: DataFrame, dialect: str, model: str, store: Respons
     det2 = det.select(F.col("request_key").alias("dk"), text_of.alias("t"),
                       F.coalesce(english, F.lit(False)).alias("is_english"),
                       F.col("response").isNull().alias("detect_failed"),
-                      F.col("error").alias("detect_error"))
+                      F.col("error").alias("detect_error"), "response", "error")
+    det2 = run.keep(det2, stage_name(dialect, "detect"), _asked_counts(stage_name(dialect, "detect"))).drop("response", "error")
     need = det2.where(~F.col("detect_failed") & ~F.col("is_english"))
     tr_req = need.select("dk", *request_columns(dialect, "translate", model, text=F.col("t")),
                          *([F.col("t").alias("payload")] if carry else []))
     tr = store.resolve(tr_req, responder, stage_name(dialect, "translate"), carry=carry + ("dk",))
     run.stages[stage_name(dialect, "translate")] = tr
+    # the translations are joined twice (two columns), their counts observed once
+    tr = run.keep(tr.select("dk", "response", "error"), stage_name(dialect, "translate"), _asked_counts(stage_name(dialect, "translate")))
     tr2 = tr.select("dk", F.col("response").alias("tr_response"), F.col("error").alias("translate_error"))
-    det2 = run.keep(det2, stage_name(dialect, "detect"))
     joined = det2.join(tr2, "dk", "left")
     text_en = (F.when(F.col("detect_failed") | F.col("is_english"), F.col("t"))
                .when(F.col("tr_response").isNull(), F.col("t"))
@@ -196,14 +226,15 @@ def _classify_keyed(per_line: DataFrame, specs: list, store: ResponseStore, resp
     for dialect, stage, model, guard, slots in specs:
         k = _key(dialect, stage, model, **slots)
         cols.append((F.when(guard, k) if guard is not None else k).alias(f"_{stage}_key"))
-    per_line = run.keep(per_line.select("*", *cols),
-                        "+".join(stage_name(d, st) for d, st, *_ in specs))
+    counted = [m for m in run.line_metrics if f"{m}__in" not in run.observed]
+    per_line = run.keep(per_line.select("*", *cols), "+".join(stage_name(d, st) for d, st, *_ in specs), _line_counts(run, *counted))
     for dialect, stage, model, guard, slots in specs:
         k = f"_{stage}_key"
         asked = per_line.where(F.col(k).isNotNull())
         ans = store.resolve(asked.select(*request_columns(dialect, stage, model, **slots)), responder,
                             stage_name(dialect, stage))
         run.stages[stage_name(dialect, stage)] = ans
+        ans = run.keep(ans.select("request_key", "response", "error"), stage_name(dialect, stage), _asked_counts(stage_name(dialect, stage)))
         run.error_columns[stage_name(dialect, stage)] = f"{stage}_error"
         run.line_metrics[stage_name(dialect, stage)] = (F.col(f"{stage}_asked").cast("int"), None)
         got = asked.select(key, k).join(
@@ -256,7 +287,7 @@ PROCESSED = ["description_en", "account_en", *_CODES]
 
 
 def translate(lines: DataFrame, settings: Settings = Settings(), store: ResponseStore | None = None,
-              responder: Responder | None = None, materialize: str = "persist") -> EnrichRun:
+              responder: Responder | None = None, materialize: str = "tables") -> EnrichRun:
     """The translation stages alone: both texts in English."""
     responder = _require(responder)
     store = store or ResponseStore(lines.sparkSession)
@@ -271,7 +302,7 @@ def translate(lines: DataFrame, settings: Settings = Settings(), store: Response
 
 
 def enrich(lines: DataFrame, settings: Settings = Settings(), store: ResponseStore | None = None,
-           responder: Responder | None = None, materialize: str = "persist") -> EnrichRun:
+           responder: Responder | None = None, materialize: str = "tables") -> EnrichRun:
     """Application pipeline over ``procurement_description`` and ``account`` (plus any
     pass-through columns)."""
     responder = _require(responder)
@@ -298,14 +329,14 @@ def enrich(lines: DataFrame, settings: Settings = Settings(), store: ResponseSto
                               "unspsc"))
     run.line_metrics["unspsc_p1"] = (F.col("unspsc_asked").cast("int"),
                                      (F.col("unspsc_confidence") >= settings.unspsc_confidence_threshold).cast("int"))
-    # the wide line rows move once: to the per-line results, which are partitioned by key
-    run.lines = lines.join(df, key, "left")
+    # the wide line rows move once: to the per-line results
+    run.lines = lines.join(_finished(df, run), key, "left")
     run.output_columns = passthrough + ENRICHED
     return run
 
 
 def process(lines: DataFrame, settings: Settings = Settings(), store: ResponseStore | None = None,
-            responder: Responder | None = None, materialize: str = "persist") -> EnrichRun:
+            responder: Responder | None = None, materialize: str = "tables") -> EnrichRun:
     """Modular pipeline over ``description`` and ``account``: no blank guard, strict
     parsers, 8-digit product codes, no gates."""
     responder = _require(responder)
@@ -329,11 +360,18 @@ def process(lines: DataFrame, settings: Settings = Settings(), store: ResponseSt
     df = df.withColumn("_u", P.unspsc_p2("unspsc_response")).select(
         "*", F.col("_u.code").alias("unspsc_code"), F.col("_u.description").alias("unspsc_description"),
         F.col("_u.confidence").alias("unspsc_confidence")).drop("_u")
-    run.lines = lines.join(df, key, "left")
+    run.lines = lines.join(_finished(df, run), key, "left")
     run.output_columns = passthrough + PROCESSED
     return run
 
 
+def _finished(df: DataFrame, run: EnrichRun) -> DataFrame:
+    """The per-line results as the last boundary: assembly, quarantine and metrics only read it."""
+    run.results = run.keep(df.drop(*[c for c in df.columns if c.endswith("_response")]), list(run.stages)[-1],
+                           _line_counts(run, *[m for m in run.line_metrics if f"{m}__in" not in run.observed]))
+    return run.results
+
+
 def quarantine(run: EnrichRun, key: str = "ordinal") -> DataFrame:
     """One row per line and failed request: ``ordinal, stage, error``."""
     pairs = [F.struct(F.lit(stage).alias("stage"), F.col(col).alias("error"))
@@ -344,8 +382,17 @@ def quarantine(run: EnrichRun, key: str = "ordinal") -> DataFrame:
 
 
 def stage_metrics(run: EnrichRun) -> DataFrame:
-    """Per stage: line slots that asked it, distinct requests, answered, failed, and line
-    slots whose answer passed the gate (gated stages only)."""
+    """Per stage: line slots that asked it, distinct requests, answered, failed, line slots whose
+    answer passed the gate (gated stages only), and the seconds of its boundary.
+
+    A run over written boundaries has counted all this on the way; otherwise the stages are
+    aggregated here, and the seconds are those of eager boundaries or null."""
+    seconds = run.timings
+    spark = run.lines.sparkSession
+    if all(f"{s}__requests" in run.observed and f"{s}__in" in run.observed for s in run.stages):
+        rows = [(s, *[run.observed[f"{s}__{c}"] for c in ("in", "requests", "answered", "failed", "accepted")], seconds.get(s)) for s in run.stages]
+        return spark.createDataFrame(rows, "stage string, rows_in bigint, requests bigint, answered bigint, failed bigint, "
+                                           "accepted bigint, seconds double")
     frames = []
     for stage, df in run.stages.items():
         frames.append(df.agg(F.count(F.lit(1)).alias("requests"),
@@ -366,13 +413,14 @@ def stage_metrics(run: EnrichRun) -> DataFrame:
         F.struct(F.lit(stage).alias("stage"), F.col(f"{stage}__in").alias("rows_in"),
                  F.col(f"{stage}__acc").alias("accepted")) for stage in run.line_metrics])).alias("m")
     ).select("m.*")
+    timed = F.create_map(*[F.lit(x) for item in seconds.items() for x in item]) if seconds else F.lit(None).cast("map<string,double>")
     return per_line.join(per_request, "stage", "inner").select(
-        "stage", "rows_in", "requests", "answered", "failed", "accepted")
+        "stage", "rows_in", "requests", "answered", "failed", "accepted", F.try_element_at(timed, F.col("stage")).alias("seconds"))
 
 
 def stage_timings(run: EnrichRun) -> DataFrame:
-    """Seconds per eager boundary and the same as ``H:MM:SS`` text (checkpoint mode)."""
+    """Seconds per eager boundary and the same as ``H:MM:SS`` text."""
     spark = run.lines.sparkSession
-    rows = [(i, name, float(sec)) for i, (name, sec) in enumerate(run.timings)]
+    rows = [(i, name, float(sec)) for i, (name, sec) in enumerate(run.timings.items())]
     df = spark.createDataFrame(rows, "step int, boundary string, seconds double")
     return df.select("step", "boundary", "seconds", T.format_elapsed("seconds").alias("elapsed"))

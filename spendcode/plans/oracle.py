@@ -353,6 +353,9 @@ def _init_pipeline_queries():
         "translate_gate": f"{p1['ctes']}\nSELECT ordinal, {o1}, {o2} FROM l1",
         "quarantine": f"{p1['ctes']}\n{quarantine}",
         "stage_metrics": f"{p1['ctes']}\n{metrics}",
+        "stored_responses": f"""{p1['ctes']}
+            SELECT stage, requests AS first_asked, requests, answered, failed AS again_asked, requests AS again_requests,
+            answered AS again_answered FROM ({metrics}) m""",
         "request_plan": plan,
     })
     del PR
@@ -467,19 +470,29 @@ def _init_fuzzy_queries():
 
     txt = "coalesce(text, 'nan')"
     n1 = parse_p1_sql("nresp", "NAICS", True)
-    lines = f"""f1 AS (SELECT doc_id AS ordinal, text,
+
+    def lines_sql(source):
+        return f"""f1 AS (SELECT *,
             CASE WHEN NOT {blank_sql('text')} THEN {key('naics', text=txt)} END AS nk,
-            CASE WHEN NOT {blank_sql('text')} THEN {key('describe', text=txt)} END AS dk FROM documents),
+            CASE WHEN NOT {blank_sql('text')} THEN {key('describe', text=txt)} END AS dk FROM ({source})),
         f2 AS (SELECT *, {ans('naics', 'nk')} AS nresp, {ans('describe', 'dk')} AS dresp FROM f1),
-        f3 AS (SELECT ordinal, {gate_sql(n1, PR.DEFAULT_THRESHOLD, 'naics')}, {describe_sql('dresp')} AS product_text FROM f2)"""
-    ORACLE["describe_stage"] = f"""WITH {lines} SELECT ordinal, product_text AS unspsc_description FROM f3"""
-    ORACLE["fuzzy_enrich"] = f"""WITH {lines},
+        f3 AS (SELECT * EXCLUDE (text, nk, dk, nresp, dresp), {gate_sql(n1, PR.DEFAULT_THRESHOLD, 'naics')}, {describe_sql('dresp')} AS product_text FROM f2)"""
+
+    def coded_sql(lines, english=""):
+        return f"""{lines},
         {best_match_sql('SELECT ordinal, product_text FROM f3', 'product_text', 'ordinal', 'token_sort', 1)}
-        SELECT f3.ordinal, naics_code, naics_description, naics_confidence,
+        SELECT f3.ordinal, {english} naics_code, naics_description, naics_confidence,
             CASE WHEN naics_confidence >= {PR.DEFAULT_THRESHOLD} THEN best.code ELSE '' END AS unspsc_code,
             CASE WHEN naics_confidence >= {PR.DEFAULT_THRESHOLD} THEN best.description ELSE '' END AS unspsc_description,
             CASE WHEN naics_confidence >= {PR.DEFAULT_THRESHOLD} THEN coalesce(best.score, 0) ELSE 0 END AS unspsc_confidence
         FROM f3 JOIN mk ON mk.ordinal = f3.ordinal LEFT JOIN best ON best.k = mk.k"""
+
+    plain = lines_sql("SELECT doc_id AS ordinal, text FROM documents")
+    o1, o2 = p1["o1"], p1["o2"]
+    both = lines_sql(f"SELECT ordinal, {o1} AS text, {o1}, {o2} FROM l1")
+    ORACLE["describe_stage"] = f"""WITH {plain} SELECT ordinal, product_text AS unspsc_description FROM f3"""
+    ORACLE["fuzzy_enrich"] = f"WITH {coded_sql(plain)}"
+    ORACLE["fuzzy_enrich_translated"] = f"{p1['ctes']},\n{coded_sql(both, f'{o1}, {o2},')}"
     del FAILURE_TEXT
 
 

@@ -124,3 +124,38 @@ def test_stage_timings_in_checkpoint_mode(spark):
     t = stage_timings(run).collect()
     assert [r["boundary"] for r in t] == ["detect_p1", "translate_p1", "naics_p1", "unspsc_p1"]
     assert all(r["seconds"] >= 0 and r["elapsed"].count(":") == 2 for r in t)
+
+
+def test_metrics_of_one_run_equal_those_of_recomputed_stages(spark):
+    tables = enrich(lines(spark), responder=replay_responder)
+    cached = enrich(lines(spark), responder=replay_responder, materialize="persist")
+    a, b = (sorted(tuple(r)[:-1] for r in stage_metrics(run).collect()) for run in (tables, cached))
+    assert a == b and len(a) == 4
+    assert all(r["seconds"] > 0 for r in stage_metrics(tables).collect())
+    assert all(r["seconds"] is None for r in stage_metrics(cached).collect())
+    empty = enrich(lines(spark).limit(0), responder=replay_responder)
+    assert {tuple(r)[1:5] for r in stage_metrics(empty).collect()} == {(0, 0, 0, 0)}
+
+
+def test_written_boundaries_are_deleted_on_release(spark):
+    import os
+    run = enrich(lines(spark), responder=replay_responder)
+    paths = [df.settled_at for df in run.persisted]
+    assert len(paths) >= 5 and all(os.path.isdir(p) for p in paths)
+    # the assembly reads the input and the results, nothing else
+    plan = run.result()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ") == 2 and "InMemoryTableScan" not in plan
+    run.release()
+    assert not any(os.path.isdir(p) for p in paths)
+
+
+def test_fuzzy_enrich_hands_its_run_to_the_caller(spark):
+    from spendcode.plans.enrich import EnrichRun
+    from spendcode.plans.fuzzy_enrich import fuzzy_enrich
+    cat = spark.createDataFrame([(0, "c0", "Paper clips")], "ordinal long, code string, description string")
+    for translated in (False, True):
+        run = EnrichRun(lines(spark))
+        out = fuzzy_enrich(lines(spark), cat, responder=replay_responder, run=run, translated=translated)
+        assert out.count() == len(LINES) and run.persisted and ("account_en" in out.columns) is translated
+        run.release()
+        assert not run.persisted

@@ -80,3 +80,46 @@ def test_model_client_requires_a_store_path(spark):
     responder, _ = counting_responder(spark)
     with pytest.raises(ValueError, match="ResponseStore with a path"):
         ResponseStore(spark).resolve(requests(spark, ["a"]), responder, "detect_p1")
+
+
+def test_stored_answers_are_not_shuffled_and_compaction_keeps_them(spark, tmp_shared):
+    store = ResponseStore(spark, tmp_shared + "/store", buckets=4)
+    down, _ = counting_responder(spark, fail_on="c")
+    for texts in ("abc", "bcdef", "cgh"):
+        store.resolve(requests(spark, texts), down, "detect_p1").collect()
+    assert store.load("detect_p1").count() == 10  # the failed one three times
+    again = ResponseStore(spark, tmp_shared + "/store")  # the folder knows its buckets
+    healthy, calls = counting_responder(spark)
+    again.resolve(requests(spark, "abcdefghi"), healthy, "detect_p1").collect()
+    assert calls.value == 2 and again.buckets == 4
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        known = again.load("detect_p1").where("response is not null").select("request_key").distinct()
+        asked = requests(spark, "xyz").repartition(4, "request_key")
+        for plan in (asked.join(known, "request_key", "left_anti"), asked.join(again.answers("detect_p1"), "request_key")):
+            text = plan._jdf.queryExecution().executedPlan().toString()
+            # one exchange, that of the requests: the store is read where it lies
+            assert text.count("Exchange hashpartitioning(request_key") == 1 and "Bucketed: true" in text, text
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    before = sorted(map(tuple, again.answers("detect_p1").collect()))
+    again.compact("detect_p1")
+    assert sorted(map(tuple, again.answers("detect_p1").collect())) == before
+    assert again.load("detect_p1").count() == 9
+    import os
+    files = [f for f in os.listdir(tmp_shared + "/store/detect_p1/v000001") if f.startswith("part-")]
+    assert 0 < len(files) <= 4 and not os.path.isdir(tmp_shared + "/store/detect_p1/v000000")
+    fresh, calls = counting_responder(spark)
+    assert ResponseStore(spark, tmp_shared + "/store").resolve(requests(spark, "ai"), fresh, "detect_p1").count() == 2 and calls.value == 0
+
+
+def test_a_version_without_its_mark_does_not_count(spark, tmp_shared):
+    import os
+    store = ResponseStore(spark, tmp_shared + "/store", buckets=2)
+    responder, calls = counting_responder(spark)
+    store.resolve(requests(spark, "ab"), responder, "detect_p1").collect()
+    os.makedirs(tmp_shared + "/store/detect_p1/v000001")  # a compaction that died
+    store.resolve(requests(spark, "abc"), responder, "detect_p1").collect()
+    assert calls.value == 3 and store.load().count() == 3
