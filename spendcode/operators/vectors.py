@@ -1,14 +1,16 @@
 """Vector table: records, latest-wins upsert, exact top-k cosine search.
 
 The reference pushes ``(code, vector, {"description": ...})`` records to a hosted index
-(cosine metric) in batches of 100 and never queries it.  Here the index is a Parquet
-*vector table*; an upsert is a relational merge and the read side is an exact top-k
-search.
+(cosine metric) in batches of 100 and never queries it.  Here the index is a *vector
+table*: Parquet files in buckets by id under a manifest.  An upsert merges and rewrites only
+the buckets that its batch falls into.  The read side is an exact top-k search over blocks.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendcode.functions.vectors import DIMENSION, hash_embedding
+from spendcode.operators.boundary import settle
 from spendcode.session import ship_package
 
-MAX_BROADCAST_ROWS = 200_000
-MAX_BROADCAST_BYTES = 128 * 1024 * 1024
-BLOCK_CELLS = 4_000_000  # similarity cells per block inside a task (32 MB of doubles)
+PIVOTS = 1024        # blocks of the search, at most
+PART_ROWS = 4096     # vectors of one part of a block
+SLICE_PROBES = 4096  # probes that one task scores against a part, on average at most
+BLOCK_CELLS = 4_000_000  # similarity cells at a time inside a task (32 MB of doubles)
+SLACK = 1e-9         # bounds and products are floating point
 
 RECORD_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
@@ -62,21 +67,24 @@ def check_dimension(records: DataFrame, dimension: int) -> DataFrame:
 
 
 class VectorTable:
-    """A Parquet vector table: create if absent, upsert, read the last complete version.
+    """A vector table: create if absent, upsert, read the last committed state.
 
-    ``path`` holds ``version-N`` folders, each a whole table, and ``meta`` with name,
-    dimension and metric.  A version counts once its ``_SUCCESS`` marker is there, so a
-    failed upsert leaves the version before it in force.
+    ``path`` holds ``meta`` (name, dimension, metric, buckets), ``data`` with a folder for each upsert
+    and ``manifest`` with a file for each committed state, which says for every bucket of ids in which
+    folder its rows lie.  An upsert reads and writes the buckets of its batch only and commits by
+    creating the next manifest, one file, under a name that must not exist yet: a job that fails before
+    leaves the state as it was, and of two that commit at once one raises.
     """
 
     def __init__(self, spark: SparkSession, path: str, dimension: int = DIMENSION, name: str = "catalogue",
-                 metric: str = "cosine"):
+                 metric: str = "cosine", buckets: int = 16):
         self.spark, self.path, self.dimension, self.name, self.metric = spark, path.rstrip("/"), dimension, name, metric
+        self.buckets = buckets
         if self._exists(f"{self.path}/meta/_SUCCESS"):
             stored = self.spark.read.json(f"{self.path}/meta").first()
             if stored["dimension"] != dimension or stored["metric"] != metric:
                 raise ValueError(f"{self.path} holds {stored['metric']} vectors of dimension {stored['dimension']}")
-            self.name = stored["name"]
+            self.name, self.buckets = stored["name"], stored["buckets"]
 
     def _fs(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -87,138 +95,259 @@ class VectorTable:
         return fs.exists(p)
 
     def versions(self) -> list[int]:
-        """Numbers of the complete versions, oldest first."""
-        p, fs = self._fs(self.path)
+        """Numbers of the committed states, oldest first."""
+        p, fs = self._fs(f"{self.path}/manifest")
         if not fs.exists(p):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(p)]
-        numbers = sorted(int(n[8:]) for n in names if n.startswith("version-"))
-        return [n for n in numbers if self._exists(f"{self._version(n)}/_SUCCESS")]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json"))
 
-    def _version(self, number: int) -> str:
-        return f"{self.path}/version-{number:08d}"
+    def manifest(self, version: int | None = None) -> dict[int, str]:
+        """Bucket -> folder of its rows, relative to ``path``; the last state unless ``version`` is given."""
+        done = self.versions()
+        if not done:
+            return {}
+        p, fs = self._fs(f"{self.path}/manifest/{version or done[-1]:08d}.json")
+        stream = fs.open(p)
+        try:
+            text = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        return {int(b): folder for b, folder in json.loads(text).items()}
+
+    def _commit(self, manifest: dict[int, str], version: int) -> None:
+        p, fs = self._fs(f"{self.path}/manifest/{version:08d}.json")
+        draft, _ = self._fs(f"{self.path}/manifest/.{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
+        try:
+            out.write(bytearray(json.dumps(manifest).encode()))
+        finally:
+            out.close()
+        if fs.exists(p) or not fs.rename(draft, p):
+            fs.delete(draft, False)
+            raise RuntimeError(f"{self.path}: state {version} was committed by another upsert")
 
     def exists(self) -> bool:
         return bool(self.versions())
 
-    def read(self) -> DataFrame:
-        done = self.versions()
-        if done:
-            return self.spark.read.schema(RECORD_SCHEMA).parquet(self._version(done[-1]))
-        return self.spark.createDataFrame([], RECORD_SCHEMA)
+    def _rows(self, manifest: dict[int, str]) -> DataFrame:
+        if not manifest:
+            return self.spark.createDataFrame([], RECORD_SCHEMA)
+        return self.spark.read.schema(RECORD_SCHEMA).parquet(*[f"{self.path}/{f}" for f in manifest.values()])
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """All rows of the last state, or of an earlier one that was not vacuumed."""
+        return self._rows(self.manifest(version))
 
     def upsert(self, batch: DataFrame) -> str:
-        """Write the merged table as the next version and return its folder."""
+        """Merge ``batch``, commit, and return the folder with the rewritten buckets."""
         if not self._exists(f"{self.path}/meta/_SUCCESS"):
-            facts = [(self.name, self.dimension, self.metric)]
-            self.spark.createDataFrame(facts, "name string, dimension int, metric string").coalesce(1).write.mode(
+            facts = [(self.name, self.dimension, self.metric, self.buckets)]
+            self.spark.createDataFrame(facts, "name string, dimension int, metric string, buckets int").coalesce(1).write.mode(
                 "overwrite").json(f"{self.path}/meta")
-        new = latest_per_id(batch)
-        kept = self.read().join(new.select("id"), "id", "left_anti")  # the table's ids are unique
-        target = self._version((self.versions() or [0])[-1] + 1)
-        check_dimension(kept.unionByName(new), self.dimension).write.mode("overwrite").parquet(target)
-        return target
-
-
-def embed(df: DataFrame, text_col: str, out: str = "vector",
-          encoder: Callable | None = None, dimension: int = DIMENSION) -> DataFrame:
-    """Add an embedding column.  Without ``encoder`` the native hashing encoder runs
-    JVM-side; an injected ``encoder(list[str]) -> 2-D array`` runs per Arrow batch in
-    ``mapInPandas`` and is built once per task."""
-    if encoder is None:
+        version = (self.versions() or [0])[-1]
+        manifest = self.manifest()
+        bucket = F.pmod(F.crc32("id"), F.lit(self.buckets)).cast("int")
+        new = settle(check_dimension(latest_per_id(batch), self.dimension).withColumn("bucket", F.coalesce(bucket, F.lit(0))), "vectors")
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # a number a bucket
+        old = self._rows({b: f for b, f in manifest.items() if b in touched})
+        # the table's ids are unique; rows of other buckets are not read
+        kept = old.join(new.select("id"), "id", "left_anti").withColumn("bucket", F.coalesce(bucket, F.lit(0)))
+        folder = f"data/{version + 1:08d}-{uuid.uuid4().hex}"
+        rows = kept.unionByName(new).repartition(max(1, len(touched)), "bucket")
+        rows.write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        self._commit({**manifest, **{b: f"{folder}/bucket={b}" for b in touched}}, version + 1)
+        return f"{self.path}/{folder}"
+
+    def vacuum(self) -> None:
+        """Delete the data of earlier states that the last one does not use, and their manifests."""
+        done = self.versions()
+        used = {f.split("/bucket=")[0] for f in self.manifest().values()}
+        p, fs = self._fs(f"{self.path}/data")
+        for s in fs.listStatus(p) if fs.exists(p) else []:
+            if f"data/{s.getPath().getName()}" not in used:
+                fs.delete(s.getPath(), True)
+        for v in done[:-1]:
+            fs.delete(self._fs(f"{self.path}/manifest/{v:08d}.json")[0], False)
+
+
+#: Encoders of this Python worker, by the run that asked for them.
+_ENCODERS: dict[str, Callable] = {}
+
+
+def embed(df: DataFrame, text_col: str, out: str = "vector", encoder: Callable | None = None,
+          dimension: int = DIMENSION, factory: Callable[[], Callable] | None = None) -> DataFrame:
+    """Add an embedding column.
+
+    Without ``encoder`` and ``factory`` the native hashing encoder runs JVM-side.  A ``factory`` makes an
+    ``encoder(list[str]) -> 2-D array``; it travels to the Python workers, is called once in each, and its
+    encoder is kept there for all their tasks, so a model is loaded once a worker.  A ready
+    ``encoder`` is sent along with each task; it suits small ones.  Texts come and vectors go as Arrow
+    batches; a null text is encoded as an empty one."""
+    if encoder is None and factory is None:
         return df.withColumn(out, hash_embedding(text_col, dimension).cast("array<float>"))
     ship_package(df.sparkSession)
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.FloatType()))])
+    names, run_id = df.columns, uuid.uuid4().hex
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from spendcode.operators import vectors
+
+        if factory is None:
+            encode = encoder
+        else:
+            if run_id not in vectors._ENCODERS:
+                vectors._ENCODERS.clear()
+                vectors._ENCODERS[run_id] = factory()
+            encode = vectors._ENCODERS[run_id]
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch.column(names.index(text_col)).to_pylist()]
+            made = np.asarray(encode(texts), dtype=np.float32).reshape(len(texts), -1)
+            if made.shape[1] != dimension and len(texts):
+                raise ValueError(f"the encoder gave vectors of dimension {made.shape[1]}, not {dimension}")
+            ends = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * made.shape[1] if len(texts) else [0], pa.int32())
+            column = pa.ListArray.from_arrays(ends, pa.array(made.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*names, out])
+
+    return df.mapInArrow(run, schema)
+
+
+# --- exact search ------------------------------------------------------------------------
+
+def _unit(vectors):
+    import numpy as np
+
+    m = np.asarray(vectors, dtype=np.float64)
+    return m / np.linalg.norm(m, axis=1)[:, None]
+
+
+def _angles(unit, pivots):
+    import numpy as np
+
+    return np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0))
+
+
+def _place_fn(pivots):
+    """Block of each vector, the nearest pivot, and the angle to it."""
 
     def run(batches):
+        import numpy as np
+        import pandas as pd
+
         for pdf in batches:
-            vecs = encoder(pdf[text_col].fillna("").tolist())
-            yield pdf.assign(**{out: [list(map(float, v)) for v in vecs]})
+            if len(pdf):
+                angles = _angles(_unit(np.vstack(pdf["vector"].to_numpy())), pivots)
+                at = angles.argmin(axis=1)
+                yield pd.DataFrame({"id": pdf["id"], "vector": pdf["vector"], "block": at, "angle": angles[np.arange(len(at)), at]})
+
+    return run
+
 
-    return df.mapInPandas(run, schema)
+def _visit_fn(pivots, blocks, k: int, first: bool):
+    """The blocks that a probe visits: those of the best bounds that hold ``k`` vectors, then all others that may win.
 
+    ``blocks``: block, least and largest angle to its pivot, vectors, parts.  Vectors within these angles
+    can come as near to a probe as the difference of the angles, not nearer."""
 
-def _topk_fn(bc, k: int):
     def run(batches):
         import numpy as np
         import pandas as pd
 
-        ids, mat = bc.value
-        norms = np.linalg.norm(mat, axis=1)
-        ok = norms > 0
-        unit = np.zeros_like(mat)
-        unit[ok] = mat[ok] / norms[ok, None]
-        order_ids = np.asarray(ids)
-        # probes are scored in blocks so the similarity block stays near BLOCK_CELLS doubles
-        block = max(1, BLOCK_CELLS // max(1, len(order_ids)))
+        block, near, far, count, parts = (np.array(x) for x in zip(*blocks))
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            q_all = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["vector"]])
-            pids = pdf["probe_id"].to_numpy()
-            rows = []
-            for lo in range(0, len(pdf), block):
-                q = q_all[lo:lo + block]
-                qn = np.linalg.norm(q, axis=1)
-                sims = (q @ unit.T) / np.where(qn > 0, qn, 1.0)[:, None]
-                sims[:, ~ok] = np.nan
-                sims[qn == 0, :] = np.nan
-                for r in range(len(q)):
-                    s = sims[r]
-                    valid = np.flatnonzero(~np.isnan(s))
-                    if valid.size == 0:
-                        continue
-                    kk = min(k, valid.size)
-                    kth = np.partition(s[valid], valid.size - kk)[valid.size - kk]
-                    cand = valid[s[valid] >= kth]
-                    cand = cand[np.lexsort((order_ids[cand], -s[cand]))][:kk]
-                    for rank, j in enumerate(cand, 1):
-                        rows.append((pids[lo + r], rank, order_ids[j].item(), float(s[j])))
-            yield pd.DataFrame(rows, columns=["probe_id", "rank", "id", "similarity"])
+            out = []
+            if len(pdf):
+                angles = _angles(_unit(np.vstack(pdf["vector"].to_numpy())), pivots)[:, block.astype(int)]
+                bound = np.cos(np.maximum(np.maximum(angles - far, near - angles), 0.0))
+                for i, probe in enumerate(pdf["probe"]):
+                    order = np.argsort(-bound[i], kind="stable")
+                    seeds = order[:int(np.searchsorted(np.cumsum(count[order]), k)) + 1]
+                    if first:
+                        go = seeds
+                    else:
+                        floor = pdf["floor"].iloc[i]  # similarity of the k-th so far; none if there are fewer
+                        go = np.setdiff1d(order if np.isnan(floor) else np.flatnonzero(bound[i] >= floor - SLACK), seeds)
+                    out += [(probe, int(block[at]), part) for at in go for part in range(int(parts[at]))]
+            yield pd.DataFrame(out, columns=["probe", "block", "part"])
+
+    return run
+
+
+def _best_fn(k: int):
+    """The ``k`` best vectors of a part for each probe of a slice."""
+
+    def run(left, right):
+        import numpy as np
+        import pandas as pd
+
+        rows = []
+        if len(left) and len(right):
+            ids, who, name = right["id"].to_numpy(), left["probe"].to_numpy(), left["probe_id"].to_numpy()
+            unit, probes = _unit(np.vstack(right["vector"].to_numpy())), _unit(np.vstack(left["vector"].to_numpy()))
+            step = max(1, BLOCK_CELLS // len(ids))
+            for lo in range(0, len(left), step):
+                sims = probes[lo:lo + step] @ unit.T
+                kth = np.partition(sims, len(ids) - min(k, len(ids)), axis=1)[:, len(ids) - min(k, len(ids))]
+                for r in range(len(sims)):
+                    near = np.flatnonzero(sims[r] >= kth[r] - SLACK)
+                    # summed in one fixed way, so equal vectors have equal similarities in every block
+                    exact = (unit[near] * probes[lo + r]).sum(axis=1)
+                    rows += [(who[lo + r], name[lo + r], ids[near[j]], exact[j]) for j in np.lexsort((ids[near], -exact))[:k]]
+        return pd.DataFrame(rows, columns=["probe", "probe_id", "id", "similarity"])
 
     return run
 
 
-def nearest(probes: DataFrame, index: DataFrame, k: int = 5, max_rows: int = MAX_BROADCAST_ROWS,
-            max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Exact top-``k`` cosine neighbours: ``probe_id, rank, id, similarity``.
+def nearest(probes: DataFrame, index: DataFrame, k: int = 5, max_rows: int = PART_ROWS, pivots: int | None = None) -> DataFrame:
+    """Exact top-``k`` cosine neighbours: ``probe_id, rank, id, similarity`` (ties by id).
 
-    ``probes(probe_id, vector)`` stay distributed; ``index(id, vector)`` is measured and
-    broadcast in chunks under the size bounds, each task scores its probe batches against
-    a chunk with one matrix product and keeps ``k`` rows per probe (ties by id).  With
-    several chunks the per-chunk top-k lists are merged with a window over the probe
-    (at most ``k * chunks`` rows each)."""
+    The index is dealt to blocks: a quarter of the square root of its vectors, ``PIVOTS`` at most, are pivots
+    (a bounded sample), and each vector goes to the nearest one by angle.  A probe first visits the blocks of
+    the best bounds that hold ``k`` vectors; its k-th similarity there rules out every block whose
+    least angle is larger, and it visits the rest.  Probes and vectors meet in groups of a part of a block
+    and a slice of its probes.  Null ids and vectors that are null or zero take no part; repeated
+    probes are answered each for itself."""
     from pyspark.sql.window import Window
     import numpy as np
 
     spark = probes.sparkSession
     ship_package(spark)
-    idx = index.where(F.col("vector").isNotNull() & F.col("id").isNotNull()).select("id", "vector").persist()
-    id_type, probe_type = (df.schema[c].dataType.simpleString() for df, c in ((idx, "id"), (probes, "probe_id")))
-    probes = probes.where(F.col("vector").isNotNull())
-    size = idx.agg(F.count(F.lit(1)).alias("n"),
-                   F.coalesce(F.sum(F.size("vector") * 8 + 16), F.lit(0)).alias("b")).first()
-    chunks = max(1, math.ceil(size["n"] / max_rows), math.ceil(size["b"] / max_bytes))
-    schema = f"probe_id {probe_type}, rank int, id {id_type}, similarity double"
-    if size["n"] == 0:
-        idx.unpersist()
-        return spark.createDataFrame([], schema)
-    parts = []
-    for c in range(chunks):
-        part = idx if chunks == 1 else idx.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == c)
-        ids, vecs = [], []
-        for r in part.toLocalIterator():
-            ids.append(r["id"])
-            vecs.append(r["vector"])
-        mat = np.asarray(vecs, dtype=np.float64) if vecs else np.zeros((0, 1))
-        bc = spark.sparkContext.broadcast((np.asarray(ids), mat))
-        parts.append(probes.select("probe_id", "vector")
-                     .mapInPandas(_topk_fn(bc, k), schema))
-    idx.unpersist()
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if chunks > 1:
-        w = Window.partitionBy("probe_id").orderBy(F.desc("similarity"), F.asc("id"))
-        out = (out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
-    return out
+    id_type, probe_type = index.schema["id"].dataType.simpleString(), probes.schema["probe_id"].dataType.simpleString()
+    real = F.exists("vector", lambda x: x != 0)
+    index = settle(index.where(F.col("id").isNotNull() & real).select("id", F.col("vector").cast("array<double>")), "nearest-index")
+    probes = settle(probes.where(real).select("probe_id", F.col("vector").cast("array<double>")).withColumn(
+        "probe", F.monotonically_increasing_id()), "nearest-probes")
+    n = index.count()
+    if not n:
+        return spark.createDataFrame([], f"probe_id {probe_type}, rank int, id {id_type}, similarity double")
+    wanted = pivots or min(PIVOTS, math.ceil(math.sqrt(n) / 4))
+    sample = index.orderBy(F.xxhash64("id"), "id").select("vector").limit(wanted).collect()  # at most PIVOTS vectors
+    pivot = _unit(np.array([r["vector"] for r in sample]))
+    placed = settle(index.mapInPandas(_place_fn(pivot), f"id {id_type}, vector array<double>, block int, angle double"), "nearest-placed")
+    summary = placed.groupBy("block").agg(F.min("angle") - SLACK, F.max("angle") + SLACK, F.count(F.lit(1)), F.ceil(F.count(F.lit(1)) / max_rows))
+    blocks = sorted(tuple(r) for r in summary.collect())  # a row a block
+    parts = spark.createDataFrame([(b[0], b[4]) for b in blocks], "block int, parts bigint")
+    entries = placed.join(F.broadcast(parts), "block").select(
+        "id", "vector", "block", F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int").alias("part"))
+    slices = max(1, math.ceil(probes.count() / SLICE_PROBES))
+    key = ["block", "part", "slice"]
+
+    def scored(asking: DataFrame, first: bool) -> DataFrame:
+        pairs = settle(asking.mapInPandas(_visit_fn(pivot, blocks, k, first), "probe bigint, block int, part int").withColumn(
+            "slice", F.pmod(F.xxhash64("probe"), F.lit(slices)).cast("int")), "nearest-pairs")
+        asked = entries.join(pairs.select(*key).distinct().toDF(*key), ["block", "part"])
+        return pairs.join(probes, "probe").groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(
+            _best_fn(k), f"probe bigint, probe_id {probe_type}, id {id_type}, similarity double")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("probe").orderBy(F.desc("similarity"), F.asc("id"))
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    start = settle(ranked(scored(probes, True)).drop("rank"), "nearest-start")
+    floors = start.groupBy("probe").agg(F.min("similarity").alias("floor"), F.count(F.lit(1)).alias("c"))
+    floors = floors.select("probe", F.when(F.col("c") >= k, F.col("floor")).alias("floor"))
+    rest = scored(probes.join(floors, "probe", "left"), False)
+    return ranked(start.unionByName(rest)).select("probe_id", "rank", "id", "similarity")

@@ -42,9 +42,9 @@ def clean_catalogue_job(spark: SparkSession, input_path: str, output_path: str,
 
 
 def embed_catalogue_job(spark: SparkSession, input_path: str, table: VectorTable,
-                        encoder: Callable | None = None) -> str:
-    """Returns the path of the new vector-table version."""
+                        encoder: Callable | None = None, factory: Callable[[], Callable] | None = None) -> str:
+    """Embed the catalogue into ``table``; returns the folder with the rewritten buckets."""
     raw = read_catalogue(spark, input_path)
     recs = C.embedding_records(raw)
-    vectors = embed(recs, "text", encoder=encoder, dimension=table.dimension)
+    vectors = embed(recs, "text", encoder=encoder, dimension=table.dimension, factory=factory)
     return table.upsert(vector_records(vectors, "code", "vector", "description", "ordinal"))

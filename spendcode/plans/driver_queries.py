@@ -376,6 +376,65 @@ def vector_upsert(spark, sf_dir):
                          F.round(vsum, 6).alias("vsum"), F.col("metadata")["description"].alias("description"))
 
 
+def vector_table(spark, sf_dir):
+    """Two upserts into one stored vector table, and a read: all vectors, then those of label 1 again under
+    another description, with new ids besides (S8, S9)."""
+    import uuid
+    from spendcode.operators.vectors import VectorTable, vector_records
+    from spendcode.session import shared_dir
+    e = table(spark, sf_dir, "embeddings")
+    stored = VectorTable(spark, shared_dir(spark, f"vectors/{uuid.uuid4().hex}"), dimension=64)
+    first = e.select(F.col("vec_id").alias("id"), "embedding", F.lit("first").alias("d"), "vec_id")
+    again = e.where("label = 1").select(F.explode(F.array("vec_id", -F.col("vec_id") - 1)).alias("id"), "embedding", F.lit("second").alias("d"), "vec_id")
+    for batch in (first, again):
+        stored.upsert(vector_records(batch, "id", "embedding", "d", "vec_id"))
+    vsum = F.aggregate(F.transform("vector", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return stored.read().select("id", "seq", F.size("vector").alias("dim"), F.round(vsum, 6).alias("vsum"), F.col("metadata")["description"].alias("description"))
+
+
+def _catalogue_file(spark, sf_dir):
+    """The raw catalogue written as CSV files whose names follow the rows' order; the folder."""
+    import uuid
+    from spendcode.session import shared_dir
+    from spendcode.sources.csv_io import write_csv
+    path = shared_dir(spark, f"catalogue/{uuid.uuid4().hex}")
+    raw = X.raw_catalogue(spark, sf_dir)
+    write_csv(raw.repartitionByRange(4, "ordinal").sortWithinPartitions("ordinal").select("code", "description"), path)
+    return path
+
+
+def embed_job(spark, sf_dir):
+    """The embedding job from a CSV catalogue into a vector table, and a read (S3, S5, E4)."""
+    import uuid
+    from spendcode.operators.vectors import VectorTable
+    from spendcode.plans.catalog_job import embed_catalogue_job
+    from spendcode.session import shared_dir
+    stored = VectorTable(spark, shared_dir(spark, f"vectors/{uuid.uuid4().hex}"))
+    embed_catalogue_job(spark, _catalogue_file(spark, sf_dir), stored)
+    vsum = F.aggregate(F.transform("vector", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return stored.read().select("id", F.size("vector").alias("dim"), F.round(vsum, 5).alias("vsum"), F.col("metadata")["description"].alias("description"))
+
+
+def _clean_job(spark, sf_dir, kind):
+    import uuid
+    from spendcode.plans.catalog_job import clean_catalogue_job
+    from spendcode.session import shared_dir
+    from spendcode.sources.csv_io import read_cleaned_catalogue
+    out = shared_dir(spark, f"cleaned/{uuid.uuid4().hex}")
+    clean_catalogue_job(spark, _catalogue_file(spark, sf_dir), out, output_format=kind)
+    return read_cleaned_catalogue(spark, out, input_format=kind).select("code", "description")
+
+
+def clean_job(spark, sf_dir):
+    """The cleaning job from a CSV catalogue to Parquet, and what its reader finds there (S3, C3, S4)."""
+    return _clean_job(spark, sf_dir, "parquet")
+
+
+def clean_job_csv(spark, sf_dir):
+    """The same to CSV, as the reference writes it (S7)."""
+    return _clean_job(spark, sf_dir, "csv")
+
+
 # --- CSV sink and source (S6, S7, S1, S2, R1) -------------------------------------------
 
 def csv_roundtrip(spark, sf_dir):
@@ -436,5 +495,9 @@ QUERIES = {
     "cosine_similarity": cosine_similarity,
     "cosine_topk": cosine_topk,
     "vector_upsert": vector_upsert,
+    "vector_table": vector_table,
+    "embed_job": embed_job,
+    "clean_job": clean_job,
+    "clean_job_csv": clean_job_csv,
     "csv_roundtrip": csv_roundtrip,
 }

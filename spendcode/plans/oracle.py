@@ -512,6 +512,19 @@ def _init_vector_queries():
                     CAST(count(*) AS DOUBLE) AS c FROM tok GROUP BY ALL)
             SELECT ordinal, CAST(bucket AS INTEGER) AS bucket,
                    round(c / sqrt(sum(c * c) OVER (PARTITION BY ordinal)), 6) AS weight FROM cnt""",
+        "embed_job": f"""WITH {RAW_CATALOGUE},
+            rec AS (SELECT replace(code, '.0', '') AS id, max_by(replace(code, '.0', '') || ' - ' || description, ordinal) AS text,
+                    max_by(description, ordinal) AS description FROM raw WHERE code IS NOT NULL AND description IS NOT NULL GROUP BY ALL),
+            tok AS (SELECT id, unnest(regexp_extract_all(lower(text), '{TOKEN_PATTERN}')) AS t FROM rec),
+            cnt AS (SELECT id, CAST(('0x' || substr(md5(t), 1, 7)) AS BIGINT) % {DIMENSION} AS bucket, CAST(count(*) AS DOUBLE) AS c FROM tok GROUP BY ALL),
+            wgt AS (SELECT id, CAST(CAST(c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS FLOAT) AS DOUBLE) AS w FROM cnt)
+            SELECT id, {DIMENSION} AS dim, round(sum(w), 5) AS vsum, any_value(description) AS description FROM rec JOIN wgt USING (id) GROUP BY id""",
+        "clean_job": f"WITH {DEDUPED} SELECT code, description FROM deduped",
+        "clean_job_csv": f"WITH {DEDUPED} SELECT code, description FROM deduped",
+        "vector_table": """SELECT CAST(vec_id AS VARCHAR) AS id, vec_id AS seq, CAST(len(embedding) AS INTEGER) AS dim,
+                round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS vsum, CASE WHEN label = 1 THEN 'second' ELSE 'first' END AS description FROM embeddings
+            UNION ALL SELECT CAST(-vec_id - 1 AS VARCHAR), vec_id, CAST(len(embedding) AS INTEGER),
+                round(list_sum(CAST(embedding AS DOUBLE[])), 6), 'second' FROM embeddings WHERE label = 1""",
         "cosine_similarity": """SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]),
                 CAST(b.embedding AS DOUBLE[])), 6) AS similarity
             FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1""",

@@ -77,3 +77,99 @@ def test_hash_embedding_is_unit_length(spark):
     v = [r[0] for r in df.select(hash_embedding("t")).collect()]
     assert abs(sum(x * x for x in v[0]) - 1.0) < 1e-12 and sum(v[1]) == 0
     assert sorted(x for x in v[0] if x)[-1] > sorted(x for x in v[0] if x)[0]  # beta counted twice
+
+
+def records(spark, rows):
+    from spendcode.operators.vectors import vector_records
+    return vector_records(spark.createDataFrame(rows, "id string, v array<double>, d string, s long"), "id", "v", "d", "s")
+
+
+def test_upsert_rewrites_touched_buckets_only(spark, tmp_shared):
+    import os
+    import pytest
+    from spendcode.operators.vectors import VectorTable
+    t = VectorTable(spark, tmp_shared + "/vectors", dimension=1, buckets=8)
+    t.upsert(records(spark, [(f"i{n}", [float(n)], "old", n) for n in range(200)] + [(None, [7.0], "none", 1)]))
+    before = t.manifest()
+    assert len(before) == 8
+    t.upsert(records(spark, [("i5", [500.0], "new", 1), ("fresh", [1.0], "new", 2)]))
+    after = t.manifest()
+    assert 0 < sum(before[b] != after[b] for b in before) <= 2
+    got = {r["id"]: r["vector"][0] for r in t.read().collect()}
+    assert len(got) == 202 and got["i5"] == 500.0 and got["i6"] == 6.0 and got["fresh"] == 1.0
+    assert t.read(1).count() == 201 and t.versions() == [1, 2]
+    # a second writer that saw the first state cannot commit over the second
+    with pytest.raises(RuntimeError, match="another upsert"):
+        t._commit(before, 2)
+    assert t.manifest() == after
+    # upserts that died leave files that no manifest names
+    os.makedirs(tmp_shared + "/vectors/data/00000003-dead")
+    t.vacuum()
+    assert t.versions() == [2] and t.read().count() == 202 and not os.path.exists(tmp_shared + "/vectors/data/00000003-dead")
+    t.upsert(records(spark, []))
+    assert t.versions() == [2, 3] and t.read().count() == 202
+
+
+def test_encoder_is_built_once_a_worker(spark, tmp_path):
+    import os
+    import sys
+    from pyspark import cloudpickle
+    from spendcode.operators.vectors import embed
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    log = str(tmp_path)
+
+    def factory():
+        with open(f"{log}/{os.getpid()}", "a") as f:
+            f.write("x")
+        return lambda texts: [[float(len(t)), 1.0, 2.0] for t in texts]
+
+    df = spark.range(4000).selectExpr("id", "IF(id % 7 = 0, NULL, repeat('a', int(id % 5))) AS t").repartition(40)
+    got = embed(df, "t", factory=factory, dimension=3).collect()
+    assert len(got) == 4000 and all(r["vector"] == [float(len(r["t"] or "")), 1.0, 2.0] for r in got)
+    builds = [open(f"{log}/{f}").read() for f in os.listdir(log)]
+    assert builds and all(b == "x" for b in builds)  # 40 tasks, one build in each worker process
+    import pytest
+    with pytest.raises(Exception, match="dimension"):
+        embed(df, "t", factory=factory, dimension=4).collect()
+
+
+def brute_nearest(probes, index, k):
+    """All similarities, unrounded: vectors of one direction but other lengths may differ in the last bits."""
+    unit = lambda rows: (lambda m: m / np.linalg.norm(m, axis=1)[:, None])(np.array(rows, dtype=np.float64))
+    index = [(i, v) for i, v in index if i is not None and v is not None and any(v)]
+    probes = [(i, v) for i, v in probes if v is not None and any(v)]
+    ids, vectors = np.array([i for i, _ in index]), unit([v for _, v in index])
+    out = []
+    for (pid, _), p in zip(probes, unit([v for _, v in probes])):
+        s = (vectors * p).sum(axis=1)
+        out += [(pid, r + 1, int(ids[j]), round(float(s[j]), 9)) for r, j in enumerate(np.lexsort((ids, -s))[:k])]
+    return sorted(out)
+
+
+def test_search_over_blocks_equals_brute_force(spark, monkeypatch):
+    import spendcode.operators.vectors as V
+    monkeypatch.setattr(V, "SLICE_PROBES", 7)
+    rng = np.random.default_rng(3)
+    index = [(i, rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(150)] + [(None, [1.0, 0.0, 0.0]), (900, None), (901, [0.0, 0.0, 0.0])]
+    index += [(500 + i, [1.0, 1.0, 0.0]) for i in range(30)]  # many equal vectors: ties by id
+    probes = [(i % 20, rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(25)] + [(77, None), (78, [0.0] * 3), (79, [2.0, 2.0, 0.0])]
+    a = spark.createDataFrame(probes, "probe_id long, vector array<float>")
+    b = spark.createDataFrame(index, "id long, vector array<float>")
+    for rows, pivots, k in ((V.PART_ROWS, None, 4), (3, 9, 4), (20, 1, 1), (5, 40, 400)):
+        got = sorted((r["probe_id"], r["rank"], r["id"], round(r["similarity"], 9)) for r in V.nearest(a, b, k=k, max_rows=rows, pivots=pivots).collect())
+        assert got == brute_nearest(probes, index, k), (rows, pivots, k)
+
+
+def test_search_in_clusters_visits_few_blocks(spark, monkeypatch):
+    import spendcode.operators.vectors as V
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 16))
+    points = [(i, (centres[i % 20] + rng.normal(scale=0.05, size=16)).tolist()) for i in range(2000)]
+    seen, settle = [], V.settle
+    monkeypatch.setattr(V, "settle", lambda df, name: (seen.append(settle(df, name)) or seen[-1]) if name == "nearest-pairs" else settle(df, name))
+    index = spark.createDataFrame(points, "id long, vector array<double>")
+    probes = spark.createDataFrame(points[:200], "probe_id long, vector array<double>")
+    got = V.nearest(probes, index, k=5, pivots=40).collect()
+    assert sorted((r["probe_id"], r["rank"], r["id"], round(r["similarity"], 9)) for r in got) == brute_nearest(points[:200], points, 5)
+    visits = sum(p.count() for p in seen)
+    assert visits <= 0.2 * 200 * 40, visits
