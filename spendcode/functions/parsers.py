@@ -34,6 +34,7 @@ P2_NAICS_CODE = r"NAICS Code: ([0-9]{2,6})"
 P2_UNSPSC_CODE = r"UNSPSC Code: ([0-9]{8})"
 P2_DESCRIPTION = r"(?d)Description: (.*?)(?:\n|\z)"
 P2_CONFIDENCE = r"Confidence: ([0-9]+)"
+CODE_GIVEN = r"{L} Code:[ \t]*[^" + WS + r"]"
 DESCRIBE_ONLY = r"(?d)UNSPSC Description: (.+?)(?:\n|\z)"
 
 
@@ -129,6 +130,27 @@ def parse_status(response, parsed: Column) -> Column:
             .otherwise(F.lit("ok")))
 
 
+def parse_outcome(response, parser: str) -> Column:
+    """What became of an answer, in finer steps than ``parse_status``: ``no_answer``; ``no_code`` (no code
+    was given); ``bad_code`` (one was, but the parser takes none of that shape); ``incomplete`` (no
+    description or no confidence, where a stated 0 % is one); ``confidence_out_of_range`` (accepted, but
+    above 100); ``ok``."""
+    t = py_strip(F.col(response) if isinstance(response, str) else response)
+    label, p1 = ("NAICS" if parser.startswith("naics") else "UNSPSC"), parser.endswith("p1")
+    pattern = {"naics_p1": _label(P1_CODE_ANY, label), "unspsc_p1": _label(P1_CODE_6, label), "naics_p2": P2_NAICS_CODE, "unspsc_p2": P2_UNSPSC_CODE}[parser]
+    code = extract(t, pattern)
+    taken = (valid_naics_code(code) if label == "NAICS" else code.isNotNull())
+    description = extract(t, _label(P1_DESCRIPTION, label) if p1 else P2_DESCRIPTION)
+    confidence = extract(t, P1_CONFIDENCE if p1 else P2_CONFIDENCE)
+    return (F.when(t.isNull(), F.lit("no_answer"))
+            .when(~t.rlike(_label(CODE_GIVEN, label)), F.lit("no_code"))
+            .when(~F.coalesce(taken, F.lit(False)), F.lit("bad_code"))
+            .when(description.isNull() | confidence.isNull(), F.lit("incomplete"))
+            .when(F.length(F.ltrim(confidence, F.lit("0"))) > 2, F.when(F.ltrim(confidence, F.lit("0")) == "100", F.lit("ok"))
+                  .otherwise(F.lit("confidence_out_of_range")))
+            .otherwise(F.lit("ok")))
+
+
 PARSERS = {"naics_p1": naics_p1, "naics_p2": naics_p2, "unspsc_p1": unspsc_p1, "unspsc_p2": unspsc_p2}
 
 

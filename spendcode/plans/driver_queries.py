@@ -138,6 +138,13 @@ def parse_report(spark, sf_dir):
     return out
 
 
+def parse_outcomes(spark, sf_dir):
+    """Answers per parser and finer outcome: malformed codes, stated 0 % and confidences above 100 apart."""
+    a = X.answers(spark, sf_dir)
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("parser"), P.parse_outcome(f"{p.split('_')[0]}_answer", p).alias("outcome")) for p in P.PARSERS]))
+    return a.select(each.alias("o")).groupBy("o.parser", "o.outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 def threshold_gate(spark, sf_dir):
     a = X.answers(spark, sf_dir)
     parsed = a.select("p_partkey", P.naics_p1("naics_answer").alias("n"),
@@ -471,6 +478,7 @@ QUERIES = {
     "unspsc_describe_parse": unspsc_describe_parse,
     "threshold_gate": threshold_gate,
     "parse_report": parse_report,
+    "parse_outcomes": parse_outcomes,
     "confidence_histogram": confidence_histogram,
     "hierarchy_rollup": hierarchy_rollup,
     "request_plan": request_plan,

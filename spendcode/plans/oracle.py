@@ -226,6 +226,19 @@ def _init_parse_report():
                   f"WHEN ({d['description']}) IS NULL OR ({d['confidence']}) = 0 THEN 'incomplete' ELSE 'ok' END")
         parts.append(f"SELECT '{parser}' AS parser, {status} AS parse_status, count(*) AS n FROM answers GROUP BY ALL")
     ORACLE["parse_report"] = f"WITH {answers} " + " UNION ALL ".join(parts)
+    from spendcode.functions import parsers as P
+    outcomes = []
+    for parser, col, label, code in (("naics_p1", "na", "NAICS", P.P1_CODE_ANY), ("naics_p2", "na", "NAICS", P.P2_NAICS_CODE),
+                                     ("unspsc_p1", "ua", "UNSPSC", P.P1_CODE_6), ("unspsc_p2", "ua", "UNSPSC", P.P2_UNSPSC_CODE)):
+        p1, t = parser.endswith("p1"), strip_sql(col)
+        get = lambda pattern: extract_sql(t, pattern.replace("{L}", label))  # noqa: E731, B023
+        taken = f"coalesce({valid_code_sql(get(code))}, false)" if label == "NAICS" else f"({get(code)}) IS NOT NULL"
+        conf = get(P.P1_CONFIDENCE if p1 else P.P2_CONFIDENCE)
+        given = f"regexp_matches({t}, {q(P.CODE_GIVEN.replace('{L}', label))})"
+        outcomes.append(f"""SELECT '{parser}' AS parser, CASE WHEN {col} IS NULL THEN 'no_answer' WHEN NOT {given} THEN 'no_code'
+            WHEN NOT {taken} THEN 'bad_code' WHEN ({get(P.P1_DESCRIPTION if p1 else P.P2_DESCRIPTION)}) IS NULL OR ({conf}) IS NULL THEN 'incomplete'
+            WHEN CAST(({conf}) AS HUGEINT) > 100 THEN 'confidence_out_of_range' ELSE 'ok' END AS outcome, count(*) AS n FROM answers GROUP BY ALL""")
+    ORACLE["parse_outcomes"] = f"WITH {answers} " + " UNION ALL ".join(outcomes)
 
 
 _init_parse_report()

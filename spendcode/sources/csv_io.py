@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendcode.functions.text import na_to_null
 
@@ -21,6 +22,7 @@ MISSPELT = {"procurment_description": "procurement_description"}
 
 READ_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"',
                 "encoding": "UTF-8", "inferSchema": "false", "mode": "PERMISSIVE"}
+_RECORD = "_csv_record"
 WRITE_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "emptyValue": "", "nullValue": "",
                  "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
                  "encoding": "UTF-8"}
@@ -40,16 +42,48 @@ def require_columns(df: DataFrame, required, name_all: bool = False) -> DataFram
     return df
 
 
-def read_csv(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+def _fields(record):
+    """Number of fields of a CSV record: commas outside quotes, and one."""
+    bare = F.regexp_replace(record, r'"(?:[^"]|"")*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+
+
+def _parsed(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """All columns as strings and the record as written where its fields are not as many as the header's."""
+    names = spark.read.options(**READ_OPTIONS).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _RECORD]])
+    # every field is split, also of columns nobody reads, or surplus ones would go unseen
+    raw = spark.read.options(**READ_OPTIONS, columnNameOfCorruptRecord=_RECORD, columnPruning="false").schema(schema).csv(path)
+    # Spark refuses to read the record alone, so it comes with (nothing of) the first column
+    record = F.concat(F.col(_RECORD), F.substring(F.coalesce(F.col(f"`{names[0]}`"), F.lit("")), 1, 0))
+    return raw.select(*[F.col(f"`{c}`") for c in names], record.alias(_RECORD), F.col("_metadata.file_path").alias("_file")), names
+
+
+def surplus_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``file, record, fields`` of the records with more fields than the header."""
+    raw, names = _parsed(spark, path)
+    return raw.select(F.col("_file").alias("file"), F.col(_RECORD).alias("record"), _fields(F.col(_RECORD)).alias("fields")).where(
+        F.col("fields") > len(names))
+
+
+def read_csv(spark: SparkSession, path: str, partitions: int | None = None, on_surplus: str = "raise") -> DataFrame:
     """All columns as strings, pandas' missing-value tokens as null, plus ``ordinal``.
 
     ``ordinal`` follows the file names, then the order within a file, however Spark packs
     the files (a multi-line file is never split).  A row shorter than the header is filled
-    with nulls.
+    with nulls.  A row with more fields fails the job and is named in the error, as pandas does;
+    ``on_surplus="skip"`` leaves such rows out (``surplus_rows`` lists them), which keeps the others' ordinals.
     """
-    raw = spark.read.options(**READ_OPTIONS).csv(path)
-    df = raw.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in raw.columns],
-                    F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    raw, names = _parsed(spark, path)
+    surplus = F.coalesce(_fields(F.col(_RECORD)) > len(names), F.lit(False))
+    if on_surplus == "raise":
+        told = F.concat(F.lit(f"expected {len(names)} fields, saw "), _fields(F.col(_RECORD)).cast("string"), F.lit(": "), F.col(_RECORD),
+                        F.lit(" in "), F.col("_file"))
+        keep = F.when(surplus, F.raise_error(told).cast("boolean")).otherwise(F.lit(True))
+    else:
+        keep = ~surplus
+    df = raw.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in names],
+                    "_file", F.monotonically_increasing_id().alias("_at"), keep.alias("_keep")).where("_keep").drop("_keep")
     # one row a file; the window sees file names only
     files = df.select("_file").distinct().select("_file", F.row_number().over(Window.orderBy("_file")).alias("_nr"))
     within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))

@@ -57,3 +57,31 @@ def test_write_read_roundtrip(spark, tmp_path):
     import glob
     text = open(glob.glob(p + "/*.csv")[0], encoding="utf-8").read()
     assert text == 'n,a,b,c\n1,"a ""q"", b","line1\nline2",\n2,, sp ,z\n'
+
+
+def test_surplus_fields_are_told(spark, tmp_path):
+    from spendcode.sources.csv_io import read_csv, surplus_rows
+    p = str(tmp_path / "surplus")
+    write_text(spark, p, 'a,b\n"1,\n""x""",2\nc,d,EXTRA\nshort\n"e,f",g\n"h,i",j,k,"l,""\nm"\n')
+    with pytest.raises(Exception, match="expected 2 fields, saw 3: c,d,EXTRA"):
+        read_csv(spark, p).collect()
+    with pytest.raises(Exception, match="expected 2 fields"):
+        read_csv(spark, p).select("a").collect()  # columns that are not read do not hide it
+    rows = read_csv(spark, p, on_surplus="skip").orderBy("ordinal").collect()
+    assert [(r["a"], r["b"]) for r in rows] == [('1,\n"x"', "2"), ("short", None), ("e,f", "g")]
+    assert rows[2]["ordinal"] - rows[0]["ordinal"] == 3
+    assert sorted((r["fields"], r["record"].strip()) for r in surplus_rows(spark, p).collect()) == [(3, "c,d,EXTRA"), (4, '"h,i",j,k,"l,""\nm"')]
+
+
+def test_cleaned_catalogue_is_read_back(spark, tmp_path):
+    from spendcode.plans.catalog_job import clean_catalogue_job
+    from spendcode.sources.csv_io import read_cleaned_catalogue
+    p = str(tmp_path / "cat")
+    write_text(spark, p, 'code,description\n51142018.0,"Foo, ""Bar"" Inc."\n6,foo  bar\nx,Zed\n,\n')
+    for kind in ("parquet", "csv"):
+        clean_catalogue_job(spark, p, str(tmp_path / f"out_{kind}"), output_format=kind)
+        got = read_cleaned_catalogue(spark, str(tmp_path / f"out_{kind}"), input_format=kind)
+        assert sorted((r["description"], r["code"]) for r in got.collect()) == [("", None), ("foo bar", 51142018.0), ("zed", None)]
+        assert got.schema["code"].dataType.simpleString() == "double"
+    with pytest.raises(MissingColumns):
+        read_cleaned_catalogue(spark, p.replace("/cat", "/lines2"), input_format="csv") if not write_text(spark, p.replace("/cat", "/lines2"), "a,b\n1,2\n") else None

@@ -71,3 +71,20 @@ def test_describe(spark):
                                 (2, "nothing"), (3, " UNSPSC Description:  padded ")], "i int, t string")
     got = [r[0] for r in df.orderBy("i").select(P.unspsc_describe("t")).collect()]
     assert got == ["Tea bags", None, None, " padded"]
+
+
+def test_outcomes(spark):
+    from pyspark.sql import functions as F
+    from spendcode.functions import parsers as P
+    body = lambda code, conf="Confidence: 90%", desc="{L} Description: Bolts": "\n".join(x for x in (code, desc, conf) if x)
+    cases = [(None, "no_answer"), ("I cannot classify this.", "no_code"), (body("{L} Code: "), "no_code"), (body("{L} Code: n/a"), "bad_code"),
+             (body("{L} Code: 7"), "bad_code"), (body("{L} Code: 123456", desc=None), "incomplete"), (body("{L} Code: 123456", conf=None), "incomplete"),
+             (body("{L} Code: 123456", conf="Confidence: 0%"), "ok"), (body("{L} Code: 123456", conf="Confidence: 100%"), "ok"),
+             (body("{L} Code: 123456", conf="Confidence: 101%"), "confidence_out_of_range"),
+             (body("{L} Code: 123456", conf="Confidence: 99999999999999999999%"), "confidence_out_of_range"), (body("{L} Code: 123456"), "ok")]
+    for parser, label in (("naics_p1", "NAICS"), ("unspsc_p1", "UNSPSC")):
+        df = spark.createDataFrame([(i, t and t.replace("{L}", label)) for i, (t, _) in enumerate(cases)], "i int, t string")
+        got = {r["i"]: r["o"] for r in df.select("i", P.parse_outcome("t", parser).alias("o")).collect()}
+        assert got == {i: want for i, (_, want) in enumerate(cases)}, parser
+    strict = spark.createDataFrame([("UNSPSC Code: 123456\nDescription: x\nConfidence: 5",), ("UNSPSC Code: 12345678\nDescription: x\nConfidence: 5",)], "t string")
+    assert [r[0] for r in strict.select(P.parse_outcome(F.col("t"), "unspsc_p2")).collect()] == ["bad_code", "ok"]
