@@ -27,6 +27,7 @@ from spendcode.functions import text as T
 from spendcode.operators.boundary import forget, settle
 from spendcode.operators.gates import gate
 from spendcode.operators.responses import ResponseStore, Responder, request_columns, stage_name
+from spendcode.operators.skew import spread_join
 from spendcode.session import shared_dir
 
 KEY = "_line"  # key of a line inside the job
@@ -192,13 +193,15 @@ def _translate_narrow(lines: DataFrame, columns: dict[str, str], dialect: str, s
     keys = lines.select(key, *[_key(dialect, "detect", model, text=rendered[src]).alias(f"_dk_{out}")
                                for src, out in columns.items()],
                         *[F.col(src).isNull().alias(f"_null_{out}") for src, out in columns.items()])
+    # hot keys are counted, and every column is joined, over this narrow table
+    keys = run.keep(keys, stage_name(dialect, "detect"))
     parts = []
     for src, out in columns.items():
         t = trans.select(F.col("dk").alias(f"_dk_{out}"), F.col("text_en").alias(out),
                          F.col("detect_error").alias(f"{out}_detect_error"),
                          F.col("translate_error").alias(f"{out}_translate_error"),
                          F.col("translate_asked").alias(f"{out}_translate_asked"))
-        part = keys.select(key, f"_dk_{out}", f"_null_{out}").join(t, f"_dk_{out}", "left")
+        part = spread_join(keys.select(key, f"_dk_{out}", f"_null_{out}"), t, f"_dk_{out}", key, "left")
         if dialect == "p2":
             # the modular code returns the original value unless a translation came back,
             # so a missing text stays missing (the application casts to text first)
@@ -237,9 +240,8 @@ def _classify_keyed(per_line: DataFrame, specs: list, store: ResponseStore, resp
         ans = run.keep(ans.select("request_key", "response", "error"), stage_name(dialect, stage), _asked_counts(stage_name(dialect, stage)))
         run.error_columns[stage_name(dialect, stage)] = f"{stage}_error"
         run.line_metrics[stage_name(dialect, stage)] = (F.col(f"{stage}_asked").cast("int"), None)
-        got = asked.select(key, k).join(
-            ans.select(F.col("request_key").alias(k), F.col("response").alias(f"{stage}_response"),
-                       F.col("error").alias(f"{stage}_error")), k, "inner").drop(k)
+        got = spread_join(asked.select(key, k), ans.select(F.col("request_key").alias(k), F.col("response").alias(f"{stage}_response"),
+                                                           F.col("error").alias(f"{stage}_error")), k, key).drop(k)
         per_line = (per_line.join(got, key, "left")
                     .withColumn(f"{stage}_asked", F.col(k).isNotNull()).drop(k))
     return per_line
