@@ -85,3 +85,49 @@ def test_cleaned_catalogue_is_read_back(spark, tmp_path):
         assert got.schema["code"].dataType.simpleString() == "double"
     with pytest.raises(MissingColumns):
         read_cleaned_catalogue(spark, p.replace("/cat", "/lines2"), input_format="csv") if not write_text(spark, p.replace("/cat", "/lines2"), "a,b\n1,2\n") else None
+
+
+def random_csv(rnd, rows, end):
+    def cell():
+        return rnd.choice(("plain", "", "a,b", 'say ""hi""', "two\nlines", "x" * rnd.randrange(60), "é\n\n中", " pad "))
+    quoted = lambda t: f'"{t}"' if any(c in t for c in ',"\n') or rnd.random() < 0.2 else t
+    lines = [",".join(quoted(cell()) for _ in range(rnd.choice((3, 3, 3, 2, 1)))) for _ in range(rows)]
+    return "a,b,c" + end + "".join((x or '""') + end + (end if rnd.random() < 0.1 else "") for x in lines)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_split_reading_equals_reading_by_one_task(spark, tmp_path, end):
+    import random
+    from spendcode.sources.csv_io import read_csv
+    rnd = random.Random(17)
+    d = tmp_path / "split"
+    d.mkdir()
+    for name in ("b.csv", "a.csv"):
+        (d / name).write_text(random_csv(rnd, 600, end), encoding="utf-8", newline="")
+    (d / "c.csv").write_text("a,b,c" + end + '"' + ("long\n" * 3000) + '",1,2' + end + "last,3,4", encoding="utf-8", newline="")  # a record over many blocks
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    want = [tuple(r)[:-1] for r in read_csv(spark, str(d)).orderBy("ordinal").collect()]
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = read_csv(spark, str(d), split=True).orderBy("ordinal").collect()
+        assert spark.read.text(str(d)).rdd.getNumPartitions() > 30
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [tuple(r)[:-1] for r in got] == want and len(want) == 1202
+    ordinals = [r["ordinal"] for r in got]
+    assert ordinals[:600] == list(range(600)) and ordinals[600:1200] == [(1 << 33) + i for i in range(600)] and ordinals[1200:] == [1 << 34, (1 << 34) + 1]
+
+
+def test_split_reading_tells_surplus_fields_and_reads_lines(spark, tmp_path):
+    from spendcode.sources.csv_io import read_csv, read_purchase_lines
+    p = str(tmp_path / "lines3")
+    write_text(spark, p, CSV)
+    plain, split = (read_purchase_lines(spark, p, split=s).orderBy("ordinal").collect() for s in (False, True))
+    assert plain == split
+    q = str(tmp_path / "surplus3")
+    write_text(spark, q, 'a,b\nc,d,EXTRA\nshort\n')
+    with pytest.raises(Exception, match="expected 2 fields, saw 3: c,d,EXTRA"):
+        read_csv(spark, q, split=True).collect()
+    assert [tuple(r) for r in read_csv(spark, q, split=True, on_surplus="skip").collect()] == [("short", None, 1)]
