@@ -57,26 +57,26 @@ FROM l JOIN k ON k.doc_id = l.doc_id AND k.n = l.n GROUP BY l.doc_id
 """
 
 ORACLE["op8_license_scan"] = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM d),
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
 p AS (SELECT *, list_filter(range(1, len(ws) + 1), lambda i: ws[i] = 'cc' AND ws[i + 1] = 'by') AS a,
              list_filter(range(1, len(ws) + 1), lambda i: ws[i] = 'general' AND ws[i + 1] = 'public' AND ws[i + 2] = 'license') AS b,
              list_filter(range(1, len(ws) + 1), lambda i: ws[i] = 'all' AND ws[i + 1] = 'rights' AND ws[i + 2] = 'reserved') AS c FROM w),
-t AS (SELECT label, list_distinct(string_split(words, ' ')) AS ts FROM (VALUES @TEMPLATES@) AS v(label, words)),
-l AS (SELECT DISTINCT line, list_distinct(list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS ls FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM d)),
-h AS (SELECT line, label, len(list_intersect(ls, ts)) / len(ts) AS share FROM l, t
-      WHERE len(list_intersect(ls, ts)) >= ceil(0.8 * len(ts) - 1e-9)),
-m AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share
-      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) JOIN h USING (line) GROUP BY doc_id),
-o AS (SELECT doc_id, len(ws) AS n_words, list_concat(list_concat(a, b), c) AS places,
+t AS (SELECT label, list_distinct(string_split(words, ' ')) AS ts, CAST(ceil(least * len(list_distinct(string_split(words, ' '))) - 1e-9) AS INT) AS need,
+             CASE WHEN least = 1 THEN 1 ELSE len(string_split(words, ' ')) END AS stride,
+             CASE WHEN least = 1 THEN len(string_split(words, ' ')) + 2 ELSE 2 * len(string_split(words, ' ')) END AS span, without
+      FROM (VALUES @TEMPLATES@) AS v(label, words, least, without)),
+k AS (SELECT rid, ws, t.*, unnest(range(0, len(ws), stride)) AS start FROM w JOIN t ON len(list_intersect(ws, ts)) >= need),
+g AS (SELECT rid, label, ts, need, without, ws[start + 1:start + span] AS block FROM k),
+m AS (SELECT rid, list(DISTINCT label) AS labels, max(len(list_intersect(block, ts)) / len(ts)) AS share
+      FROM g WHERE len(list_intersect(block, ts)) >= need AND NOT list_has_any(block, without) GROUP BY rid),
+o AS (SELECT rid, doc_id, len(ws) AS n_words, list_concat(list_concat(a, b), c) AS places,
              list_filter(['cc-by', 'gpl', 'reserved'], lambda x: (x = 'cc-by' AND len(a) > 0) OR (x = 'gpl' AND len(b) > 0) OR (x = 'reserved' AND len(c) > 0)) AS base FROM p)
 SELECT doc_id, n_words, len(places) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word,
        array_to_string(list_sort(base), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(base, coalesce(m.labels, [])))), ',') AS labels,
        CASE WHEN len(places) > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS score
-FROM o LEFT JOIN m USING (doc_id)
+FROM o LEFT JOIN m USING (rid)
 """
 
 ORACLE["op11_merkle_manifest"] = r"""
@@ -173,7 +173,7 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 
 def _templates() -> str:
     from spendcode.llm.license_scan import TEMPLATES
-    return ", ".join(f"('{label}', '{words}')" for label, words in TEMPLATES)
+    return ", ".join(f"('{t.label}', '{t.text}', {t.threshold}, [{', '.join(repr(w) for w in t.without) or 'CAST(NULL AS VARCHAR)'}])" for t in TEMPLATES)
 
 
 ORACLE["op8_license_scan"] = ORACLE["op8_license_scan"].replace("@TEMPLATES@", _templates())

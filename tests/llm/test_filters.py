@@ -42,42 +42,81 @@ def test_cascade_is_exact(spark):
 
 
 def brute_license(text, phrases, templates):
+    """The rule as stated: windows of words, whole notices with two words to spare, texts by four fifths."""
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
-    words, places, base = find(low), [], set()
+    words, places, base = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low), [], set()
     for phrase, label in phrases.items():
         p = phrase.split()
         at = [i for i in range(len(words)) if words[i:i + len(p)] == p]
         places += at
         base |= {label} if at else set()
     labels, score = set(base), 1.0 if places else 0.0
-    for line in low.split("\n"):
-        held = set(find(line))
-        for label, t in templates:
-            t = set(t.split())
-            if len(t & held) >= 0.8 * len(t) - 1e-9:
+    for label, notice, least, without in templates:
+        n, wanted = len(notice.split()), set(notice.split())
+        size, step = (n + 2, 1) if least == 1 else (2 * n, n)
+        for start in range(0, len(words), step):
+            block = set(words[start:start + size])
+            if len(wanted & block) >= least * len(wanted) - 1e-9 and not block & set(without):
                 labels.add(label)
-                score = max(score, len(t & held) / len(t))
+                score = max(score, len(wanted & block) / len(wanted))
     return (len(words), len(places), min(places, default=None), max(places, default=None),
             ",".join(sorted(base)), ",".join(sorted(labels)), score)
 
 
+def labels_of(docs_frame, texts):
+    got = license_scan.license_scan(docs_frame(list(enumerate(texts)))).collect()
+    return {r["doc_id"]: set(filter(None, r["labels"].split(","))) for r in got}
+
+
 def test_licenses_match_brute_force(docs_frame):
     rng = random.Random(6)
     vocab = ["cc", "by", "general", "public", "license", "all", "rights", "reserved", "the", "mit", "released", "under", "é", "4",
              "licensed", "apache", "version", "2", "0", "domain", "nc", "Work", "x"]
     rows = [(i, "".join(rng.choice(vocab) + rng.choice([" ", "-", "\n", ", ", "  "]) for _ in range(rng.randint(0, 60)))) for i in range(150)]
+    pieces = [t.text.split() for t in license_scan.TEMPLATES]
+    for i in range(150):  # parts of licence texts, with words lost and added, among others
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            words += [rng.choice(vocab) for _ in range(rng.randint(0, 30))]
+            words += [w for w in rng.choice(pieces) if rng.random() < 0.93]
+        rows.append((1000 + i, rng.choice([" ", "\n", " - "]).join(words)))
     rows += [(900, None), (901, ""), (902, "CC BY CC-BY cc by"), (903, "Released under the MIT License."), (903, "nothing"),
-             (None, "All rights reserved."), (905, "ccby éall rights reserved"), (906, "Released under the\nMIT License.")]
+             (None, "All rights reserved."), (905, "ccby éall rights reserved"), (906, "Released under the\nMIT License."),
+             (907, "x " * 20_000 + "released under the mit license " + "y " * 20_000)]
     phrases = {**license_scan.PHRASES, "by cc by": "odd"}
     got = license_scan.license_scan(docs_frame(rows), phrases=phrases).collect()
     cols = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     key = lambda x: tuple(map(str, x))
     assert sorted(((r["doc_id"], *(r[c] for c in cols)) for r in got), key=key) == sorted(
         ((i, *brute_license(t, phrases, license_scan.TEMPLATES)) for i, t in rows), key=key)
+    assert sum(bool(r["labels"]) for r in got) > 60
     assert license_scan.license_scan(docs_frame([])).count() == 0
 
 
+def test_each_notice_has_its_own_label_and_no_other(docs_frame):
+    cases = {
+        "Released under the MIT License.": {"mit"}, "Released under the\nMIT License.": {"mit"}, "Licensed under CC BY 4.0": {"cc-by"},
+        "Licensed under CC BY-NC 4.0.": {"cc-by", "cc-by-nc"}, "Licensed under CC BY-SA 4.0": {"cc-by", "cc-by-sa"},  # cc-by: the base phrase
+        "Licensed under CC BY-NC-SA 4.0": {"cc-by", "cc-by-nc-sa"}, "Released under the Apache License.": set(), "... the MPL license": set(),
+        "under the license released, and we used the mit lab": set(), "Licensed under the Apache License, Version 2.0.": {"apache"},
+        "This work is licensed under the GNU General Public License, version 3.": {"gpl"}, "the GNU Lesser General Public License": {"lgpl"},
+        "GNU Affero\nGeneral Public License": {"agpl"}, "This work has been released into the public domain": {"public-domain"},
+        "Subject to the terms of the Mozilla Public License": {"mpl"}, "All rights reserved.": {"reserved"}, "some other text of no license": set(),
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the"
+        ' "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish,'
+        " distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so": {"mit"},
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:": {"bsd"},
+        "Creative Commons Attribution-ShareAlike 4.0 International License": {"cc-by-sa"}, "Creative Commons Attribution 4.0 International": {"cc-by"},
+        "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published"
+        " by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.": {"agpl"},
+    }
+    got = labels_of(docs_frame, list(cases))
+    for i, (text, want) in enumerate(cases.items()):
+        # a base label, as the phrase stands in them
+        extra = {"gpl"} if "general public license" in " ".join(text.lower().split()) else set()
+        assert got[i] == want | extra, (text, got[i])
+
+
 def brute_lines_in_order(rows, t=0.8):
     texts = sorted({(i is None, i or 0, x) for i, x in rows if x is not None})
     seen, out = [], {}
