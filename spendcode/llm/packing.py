@@ -4,10 +4,12 @@ Documents are tokenised (byte-level BPE, id 0 at the end), longer ones than a se
 full pieces behind a first, shorter one, and the pieces packed into as few sequences as possible.
 
 * Pieces are dealt at random to shards of about ``SHARD`` pieces; a task packs one shard.
-* In a shard best-fit decreasing gives a start; then the emptiest bin gives away content by moving a
-  piece, or exchanging one or two of its pieces for a smaller piece of a fuller bin.  Each step moves
-  tokens from the emptier to the fuller bin, so the sum of squared fills grows, until the bin is empty
-  and is dropped, or no step is left, or the slack of the others cannot hold it.
+* In a shard best-fit decreasing gives a start.  Then any two underfull bins exchange: the fuller one takes
+  a piece, or one or two pieces for one or two smaller ones, from the other, as many tokens as its gap
+  allows.  Each step adds to the sum of squared fills, so gaps gather in few bins until these are empty
+  and are dropped.  The search ends when no such step is left or a lower bound is reached.
+  Pieces, and pairs within a bin, are found by length, so a step looks at lengths and not at bins; no
+  piece, pair or bin is left out.
 * Bins filled below ``LOOSE`` are opened again and their pieces packed with those of other shards, in
   rounds that mostly shrink by three orders of magnitude, until one shard holds what is left.
 * Where the pieces cannot fill bins (each shard is a fair sample, so the next deal finds the same), a
@@ -102,54 +104,124 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]
     return bins, fills
 
 
-def local_search(lengths: np.ndarray, bins: np.ndarray, fills: np.ndarray, capacity: int) -> None:
-    """Empty bins, emptiest first, in place; an emptied bin has fill 0."""
-    gaps = capacity - fills
-    while True:
-        open_bins = np.flatnonzero((fills > 0) & (gaps > 0))
-        if len(open_bins) < 2:
-            return
-        giver = int(open_bins[np.argmin(fills[open_bins])])
-        if gaps[open_bins].sum() - gaps[giver] < fills[giver]:
-            return
-        while fills[giver]:
-            step = _best_step(lengths, bins, fills, gaps, giver)
-            if step is None:
-                return
-            out, back, taker = step
-            d = int(lengths[out].sum()) - (int(lengths[back]) if back is not None else 0)
-            bins[out] = taker
-            if back is not None:
-                bins[back] = giver
-            fills[taker] += d
-            gaps[taker] -= d
-            fills[giver] -= d
-            gaps[giver] += d
-
-
-def _best_step(lengths, bins, fills, gaps, giver):
-    """The step that moves most tokens out of ``giver``: pieces going out, piece coming back, taker."""
-    own = np.flatnonzero(bins == giver)
-    takers = np.flatnonzero((gaps > 0) & (fills > 0) & (np.arange(len(fills)) != giver))
-    if not len(takers):
-        return None
-    best, found = 0, None
-    roomiest = int(takers[np.argmax(gaps[takers])])
-    fits = own[lengths[own] <= gaps[roomiest]]
-    if len(fits):  # a plain move
-        i = int(fits[np.argmax(lengths[fits])])
-        room = takers[gaps[takers] >= lengths[i]]
-        best, found = int(lengths[i]), (np.array([i]), None, int(room[np.argmin(gaps[room])]))
-    others = np.flatnonzero((gaps[bins] > 0) & (bins != giver))
-    room, size, fill = gaps[bins[others]], lengths[others], fills[bins[others]]
-    ones = {int(lengths[i]): np.array([i]) for i in own}
-    pairs = {int(lengths[i] + lengths[j]): np.array([i, j]) for a, i in enumerate(own[:64]) for j in own[a + 1:64]}
-    for total, out in {**pairs, **ones}.items():  # one for one, two for one
-        d = total - size
-        good = np.where((d > best) & (d <= room) & (fill + d > fills[giver]), d, 0)
-        if len(good) and (k := int(good.argmax())) >= 0 and good[k] > best:
-            best, found = int(good[k]), (out, int(others[k]), int(bins[others[k]]))
-    return found
+def least_bins(lengths: np.ndarray, capacity: int) -> int:
+    """A lower bound on bins: for each size ``a``, pieces over half a bin stand alone, what they leave may
+    take pieces of ``a`` at least, and those over ``capacity - a`` leave nothing for them."""
+    if not len(lengths):
+        return 0
+    count = np.bincount(lengths, minlength=capacity + 1)
+    many = np.concatenate([[0], np.cumsum(count)])                       # pieces shorter than i
+    total = np.concatenate([[0], np.cumsum(count * np.arange(capacity + 1))])
+    half, a = capacity // 2, np.arange(capacity // 2 + 1)
+    big = many[-1] - many[capacity - a + 1]
+    middle, middle_sum = many[capacity - a + 1] - many[half + 1], total[capacity - a + 1] - total[half + 1]
+    small_sum = total[half + 1] - total[a]
+    rest = np.maximum(0, small_sum - (middle * capacity - middle_sum))
+    return int((big + middle - (-rest // capacity)).max())
+
+
+class _Pool:
+    """Underfull bins, and which of them hold a piece, or two pieces together, of a length."""
+
+    def __init__(self, lengths: np.ndarray, bins: np.ndarray, fills: np.ndarray, capacity: int):
+        self.lengths, self.fills, self.capacity = lengths, fills, capacity
+        self.held: list[dict[int, list[int]]] = [{} for _ in fills]   # bin -> length -> pieces
+        for i, (b, n) in enumerate(zip(bins.tolist(), lengths.tolist())):
+            self.held[b].setdefault(n, []).append(i)
+        self.one: list[set[int]] = [set() for _ in range(capacity + 1)]
+        self.two: list[set[int]] = [set() for _ in range(capacity + 1)]
+        self.has = np.zeros((2, capacity + 1), dtype=np.int64)
+        for b in range(len(fills)):
+            self.show(b)
+
+    def sums(self, b: int) -> tuple[list[int], list[int]]:
+        """Lengths of a bin's pieces, and of its pairs of pieces."""
+        own = sorted(self.held[b])
+        pairs = {x + y for k, x in enumerate(own) for y in own[k + 1:]} | {2 * x for x in own if len(self.held[b][x]) > 1}
+        return own, list(pairs)
+
+    def show(self, b: int) -> None:
+        if 0 < self.fills[b] < self.capacity:
+            for kind, (index, found) in enumerate(zip((self.one, self.two), self.sums(b))):
+                for n in found:
+                    index[n].add(b)
+                self.has[kind, found] += 1
+
+    def hide(self, b: int) -> None:
+        if 0 < self.fills[b] < self.capacity:
+            for kind, (index, found) in enumerate(zip((self.one, self.two), self.sums(b))):
+                for n in found:
+                    index[n].discard(b)
+                self.has[kind, found] -= 1
+
+    def parts(self, b: int, kind: int, n: int) -> list[int]:
+        """Lengths of one piece, or of the two pieces, that make ``n`` in a bin."""
+        if n == 0:
+            return []
+        if kind == 0:
+            return [n]
+        return next([x, n - x] for x in self.held[b] if n - x in self.held[b] and (2 * x != n or len(self.held[b][x]) > 1))
+
+    def carry(self, a: int, b: int, sizes: list[int]) -> None:
+        """Pieces of these lengths go from bin ``a`` to ``b``."""
+        for n in sizes:
+            piece = self.held[a][n].pop()
+            if not self.held[a][n]:
+                del self.held[a][n]
+            self.held[b].setdefault(n, []).append(piece)
+            self.fills[a] -= n
+            self.fills[b] += n
+
+
+def _step(pool: _Pool, a: int) -> bool:
+    """The exchange that brings most tokens into bin ``a``, which must be hidden from the pool; whether there was one."""
+    gap, fill = pool.capacity - int(pool.fills[a]), int(pool.fills[a])
+    own, pairs = pool.sums(a)
+    back = np.array([0, *own, *pairs])
+    back_kind = [0] * (1 + len(own)) + [1] * len(pairs)
+    room = np.minimum(back + gap, pool.capacity)
+    places = np.arange(pool.capacity + 1)
+    options = []
+    for kind in (0, 1):
+        largest = np.maximum.accumulate(np.where(pool.has[kind] > 0, places, 0))  # largest at hand up to each length
+        gain = largest[room] - back
+        options += [(int(g), kind, k) for k, g in enumerate(gain.tolist()) if g > 0]
+    for d, kind, k in sorted(options, reverse=True):
+        # the sum of squares grows if tokens go to the fuller bin, or more than what it is fuller by
+        others = (pool.one, pool.two)[kind][int(back[k]) + d]
+        b = min(others, key=lambda x: (pool.fills[x], x))
+        if d > pool.fills[b] - fill:
+            pool.hide(b)
+            out, returned = pool.parts(b, kind, int(back[k]) + d), pool.parts(a, back_kind[k], int(back[k]))
+            pool.carry(b, a, out)
+            pool.carry(a, b, returned)
+            pool.show(b)
+            return True
+    return False
+
+
+def local_search(lengths: np.ndarray, bins: np.ndarray, fills: np.ndarray, capacity: int) -> int:
+    """Exchange between underfull bins, in place, until none is left that helps; an emptied bin has fill 0.
+
+    Returns the number of steps."""
+    least, steps = least_bins(lengths, capacity), 0
+    if np.count_nonzero(fills) <= least:
+        return 0
+    pool = _Pool(lengths, bins, fills, capacity)
+    moved = True
+    while moved and np.count_nonzero(fills) > least:
+        moved = False
+        for a in np.lexsort((np.arange(len(fills)), -fills)).tolist():  # fullest first
+            if not 0 < fills[a] < capacity:
+                continue
+            pool.hide(a)
+            while fills[a] < capacity and _step(pool, a):
+                moved, steps = True, steps + 1
+            pool.show(a)
+    for b, held in enumerate(pool.held):
+        for pieces in held.values():
+            bins[pieces] = b
+    return steps
 
 
 def pack_shard(lengths: np.ndarray, capacity: int) -> np.ndarray:
