@@ -10,7 +10,7 @@ of Jaccard similarity ``threshold`` or more.  Lines without words stay.
   size (length filter); behind the first shared word there must be room for the overlap that the
   similarity needs (positional filter); and the words that two prefixes share, with all that may follow
   the prefix that ends first, must be enough for it too.
-* A signature of 64 parities, carried along, drops most unlike short lines inside the join.
+* A signature of 64 parities, 128 or 256 for long lines, carried along, drops most unlike lines inside the join.
 * First each line is held against one line only: of the earliest lines of its ``HEADS`` rarest words, the
   one met most often.  That settles most of a group of near copies in linear time.  Only lines that are not
   settled are joined with all earlier lines of their words.  No pair is lost, and a group of copies never
@@ -34,22 +34,22 @@ from pyspark.sql import functions as F
 from spendcode.llm.common import discard, release, stored
 
 THRESHOLD = 0.8
-COUNTERS = 1 << 18
-PASSES = 3           # parts of the words that are joined one after the other
+COUNTERS = 1 << 20
+PASSES = 2           # parts of the words that are joined one after the other
+LONG, VERY_LONG = 64, 160  # sizes above which a set's signature is 128, then 256 bits
 HEADS = 5            # rarest words by which a line meets the line it is held against first
 BITMAP_ROWS = 2048   # of 32768 bits each
 _HASH_BITS = 53
 _ADDRESS = ["d", "v", "n"]
+_SIGNATURE = ["sig", "s2", "s3", "s4"]
 _PAIR = [f"{x}_{c}" for x in "ab" for c in _ADDRESS]
 _LAST = (1 << 63) - 1
 _BLANKS = " \t\x0b\x0c\r"
 
 
 def words(line: Column) -> Column:
-    """Words of a line with repeats, possibly with empty ones: all white space separates."""
-    for c in _BLANKS[1:]:
-        line = F.replace(line, F.lit(c), F.lit(" "))
-    return F.split(line, " ")
+    """Words of a text with repeats, possibly with empty ones: all white space separates."""
+    return F.split(F.translate(line, _BLANKS[1:] + "\n", " " * len(_BLANKS)), " ")
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -69,11 +69,11 @@ def _counter(h: Column) -> Column:
     return F.pmod(h, F.lit(COUNTERS)).cast("int")
 
 
-def word_counts(lines: DataFrame) -> DataFrame:
-    """One row with ``COUNTERS`` numbers: how often the words of each counter occur in all texts."""
-    counted = lines.select(F.explode(words(F.col("line"))).alias("w")).groupBy(
+def word_counts(texts: DataFrame) -> DataFrame:
+    """One row with ``COUNTERS`` numbers: how often the words of each counter occur in all ``text``."""
+    counted = texts.select(F.explode(words(F.col("text"))).alias("w")).groupBy(
         _counter(F.xxhash64("w")).alias("i")).agg(F.count(F.lit(1)).alias("c"))
-    every = lines.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("i"))
+    every = texts.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("i"))
     # a class of 16 steps for each doubling: equal enough, and small
     level = F.coalesce(F.floor(F.log2("c") * 16), F.lit(0)).cast("int")
     full = every.join(counted, "i", "left").select("i", level.alias("level"))
@@ -83,10 +83,12 @@ def word_counts(lines: DataFrame) -> DataFrame:
 
 
 def _sets(lines: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
-    """``d, v, n, size, k1, k2, sig, prefix`` of every line that has words.
+    """``d, v, n, size, k1, k2, sig, s2, s3, s4, prefix`` of every line that has words.
 
     ``k1`` and ``k2`` name the set: a hash of all words and its rarest word.  ``sig`` has the parity of
-    the words in each of 64 classes.
+    the words in each of 64 classes.  In a long set most classes of any two sets differ, so it has
+    ``s2``, the parities of the words of every other class of a second kind, and a very long one
+    ``s3`` and ``s4``, by which 256 classes are told apart.
     """
     def code(w: Column) -> Column:  # rarity above, hash below; never null, so that longs are sorted as such
         h = F.xxhash64(w)
@@ -102,9 +104,11 @@ def _sets(lines: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
     keep = F.when(_needs_partner(size, threshold), size - F.ceil(threshold * size - 1e-9) + 1).otherwise(0).cast("int")
     # 31 bits of a word's hash are enough to meet
     prefix = F.transform(F.slice("r", F.lit(1), keep), lambda r: r.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    sig = F.expr("aggregate(r, 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63 as int)))")
-    return ranked.select(*_ADDRESS, "size", F.xxhash64("r").alias("k1"), F.element_at("r", 1).alias("k2"),
-                         sig.alias("sig"), prefix.alias("prefix"))
+    sig = "aggregate({0}, 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63 as int)))"
+    some = lambda bits: F.expr(sig.format(f"filter(r, x -> x & {bits} = {bits})"))
+    return ranked.select(*_ADDRESS, "size", F.xxhash64("r").alias("k1"), F.element_at("r", 1).alias("k2"), F.expr(sig.format("r")).alias("sig"),
+                         F.when(size > LONG, some(64)).alias("s2"), F.when(size > VERY_LONG, some(128)).alias("s3"),
+                         F.when(size > VERY_LONG, some(192)).alias("s4"), prefix.alias("prefix"))
 
 
 def _needs_partner(size: Column, threshold: float) -> Column:
@@ -169,13 +173,22 @@ def _met(earlier: DataFrame, later: DataFrame, threshold: float) -> DataFrame:
     """Pairs of addresses of prefix rows that share a word: their sizes, how many words they share
     (``shared``) and where the first of them stands in each (``a_at``, ``b_at``).
 
-    Filters that hold for a pair whatever the word: length, and the parities, since sets differ in
-    at least as many words as ``sig`` in bits.
+    Filters that hold for a pair whatever the word: length, the parities, since sets differ in at least as
+    many words as their signatures in bits, and the places of the shared word.
     """
     a, b = F.col("a.size"), F.col("b.size")
     order = F.struct(*[f"a.{c}" for c in _ADDRESS]) < F.struct(*[f"b.{c}" for c in _ADDRESS])
-    may = ((a >= threshold * b - 1e-9) & (b >= threshold * a - 1e-9)
-           & (F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) <= a + b - 2 * _overlap(a, b, threshold)))
+    x = {s: F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}")) for s in _SIGNATURE}
+    differ = a + b - 2 * _overlap(a, b, threshold)
+    # classes of the second kind: words with bit 64 and without; then with bits 128 and 64 in all four ways
+    two = F.bit_count(x["s2"]) + F.bit_count(x["sig"].bitwiseXOR(x["s2"]))
+    low = x["s2"].bitwiseXOR(x["s4"])  # 64 without 128
+    none = x["sig"].bitwiseXOR(x["s3"]).bitwiseXOR(low)
+    four = F.bit_count(x["s4"]) + F.bit_count(x["s3"].bitwiseXOR(x["s4"])) + F.bit_count(low) + F.bit_count(none)
+    may = ((a >= threshold * b - 1e-9) & (b >= threshold * a - 1e-9) & (F.bit_count(x["sig"]) <= differ)
+           & (F.coalesce(two, F.lit(0)) <= differ) & (F.coalesce(four, F.lit(0)) <= differ)
+           # what may be shared before, at and behind this word, wherever the others stand
+           & (F.least("a.at", "b.at") + F.least(a - F.col("a.at"), b - F.col("b.at")) >= _overlap(a, b, threshold)))
     rows = earlier.alias("a").join(later.alias("b"), (F.col("a.word") == F.col("b.word")) & may & order).select(
         *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in (*_ADDRESS, "size", "at")])
     return rows.groupBy(*_PAIR, "a_size", "b_size").agg(
@@ -201,7 +214,7 @@ def _room(threshold: float) -> Column:
 
 def near_duplicates(sets: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """Addresses of the sets (each with its first address) that are similar to an earlier one."""
-    facts = [*_ADDRESS, "size", "sig"]
+    facts = [*_ADDRESS, "size", *_SIGNATURE]
     spread = lambda df, prefix: df.select(*facts, F.posexplode(prefix).alias("at", "word"))
     rarest = spread(sets, F.slice("prefix", 1, HEADS))
     heads = rarest.groupBy("word").agg(F.min(F.struct(*facts, "at")).alias("head"), F.count(F.lit(1)).alias("c")).where(
@@ -228,14 +241,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.drop("lines_removed")
     addressed = _documents(docs, id_col, text_col)
     lines = _lines(addressed, text_col)
-    counts = word_counts(lines)
+    counts = word_counts(addressed.select(F.col(text_col).alias("text")))
     marked = stored(_sets(lines, counts, threshold), "line-marks")
     discard(counts)
     sets = stored(marked.groupBy("k1", "k2").agg(
-        F.min(F.struct(*_ADDRESS)).alias("first"), F.any_value("size").alias("size"), F.any_value("sig").alias("sig"),
+        F.min(F.struct(*_ADDRESS)).alias("first"), F.any_value("size").alias("size"), *[F.any_value(s).alias(s) for s in _SIGNATURE],
         F.any_value("prefix").alias("prefix"), F.count(F.lit(1)).alias("c")).select(
-        "k1", "k2", "first.*", "size", "sig", "prefix", "c"), "line-sets")
-    later = near_duplicates(sets.where(F.size("prefix") > 0).select(*_ADDRESS, "size", "sig", "prefix"), lines, threshold)
+        "k1", "k2", "first.*", "size", *_SIGNATURE, "prefix", "c"), "line-sets")
+    later = near_duplicates(sets.where(F.size("prefix") > 0).select(*_ADDRESS, "size", *_SIGNATURE, "prefix"), lines, threshold)
     gone = sets.join(later.withColumn("gone", F.lit(True)), _ADDRESS, "left").where("gone or c > 1").select(
         "k1", "k2", F.struct(*_ADDRESS).alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
     gone = stored(gone, "line-gone")
