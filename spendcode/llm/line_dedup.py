@@ -35,7 +35,7 @@ from spendcode.llm.common import discard, release, stored
 
 THRESHOLD = 0.8
 COUNTERS = 1 << 20
-PASSES = 2           # parts of the words that are joined one after the other
+PASSES = 3           # parts of the words that are joined one after the other
 LONG, VERY_LONG = 64, 160  # sizes above which a set's signature is 128, then 256 bits
 HEADS = 5            # rarest words by which a line meets the line it is held against first
 BITMAP_ROWS = 2048   # of 32768 bits each
@@ -169,7 +169,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame
     return out
 
 
-def _met(earlier: DataFrame, later: DataFrame, threshold: float) -> DataFrame:
+def _met(earlier: DataFrame, later: DataFrame, threshold: float, *more: Column) -> DataFrame:
     """Pairs of addresses of prefix rows that share a word: their sizes, how many words they share
     (``shared``) and where the first of them stands in each (``a_at``, ``b_at``).
 
@@ -177,7 +177,10 @@ def _met(earlier: DataFrame, later: DataFrame, threshold: float) -> DataFrame:
     many words as their signatures in bits, and the places of the shared word.
     """
     a, b = F.col("a.size"), F.col("b.size")
-    order = F.struct(*[f"a.{c}" for c in _ADDRESS]) < F.struct(*[f"b.{c}" for c in _ADDRESS])
+    both_till = "till" in earlier.columns
+    # both sides of a join with itself use the same columns, so Spark shuffles their rows once
+    till = ["till"] if both_till else []
+    order = F.struct(*[f"a.{c}" for c in _ADDRESS]) < F.struct("b.till" if both_till else "b.d", "b.v", "b.n")
     x = {s: F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}")) for s in _SIGNATURE}
     differ = a + b - 2 * _overlap(a, b, threshold)
     # classes of the second kind: words with bit 64 and without; then with bits 128 and 64 in all four ways
@@ -190,9 +193,9 @@ def _met(earlier: DataFrame, later: DataFrame, threshold: float) -> DataFrame:
            # what may be shared before, at and behind this word, wherever the others stand
            & (F.least("a.at", "b.at") + F.least(a - F.col("a.at"), b - F.col("b.at")) >= _overlap(a, b, threshold)))
     rows = earlier.alias("a").join(later.alias("b"), (F.col("a.word") == F.col("b.word")) & may & order).select(
-        *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in (*_ADDRESS, "size", "at")])
+        *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in (*_ADDRESS, "size", "at", *till)])
     return rows.groupBy(*_PAIR, "a_size", "b_size").agg(
-        F.count(F.lit(1)).alias("shared"), F.min("a_at").alias("a_at"), F.min("b_at").alias("b_at"))
+        F.count(F.lit(1)).alias("shared"), F.min("a_at").alias("a_at"), F.min("b_at").alias("b_at"), *more)
 
 
 def _overlap(a: Column, b: Column, threshold: float) -> Column:
@@ -223,11 +226,14 @@ def near_duplicates(sets: DataFrame, lines: DataFrame, threshold: float) -> Data
     likely = _met(heads, rarest, threshold).where("shared > 1").groupBy(*_PAIR[3:]).agg(
         F.min(F.struct((-F.col("shared")).alias("s"), *_PAIR[:3])).alias("a")).select(*[f"a.{c}" for c in _PAIR[:3]], *_PAIR[3:])
     settled = _verified(likely, lines, threshold)
-    left = stored(sets.join(settled, _ADDRESS, "left_anti"), "line-open")
+    # ``till``: a settled set is the earlier one of a pair only, as no address is below its own
+    open_ = sets.join(settled.withColumn("done", F.lit(True)), _ADDRESS, "left")
+    left = stored(open_.withColumn("till", F.when(F.col("done"), F.lit(-(1 << 63))).otherwise(F.col("d"))).drop("done"), "line-open")
+    facts.append("till")
     parts = []
     for turn in range(PASSES):  # the words are dealt to passes, so the shuffled rows of one pass at a time take disk
-        mine = F.pmod("word", F.lit(PASSES)) == turn
-        parts.append(stored(_met(spread(sets, "prefix").where(mine), spread(left, "prefix").where(mine), threshold), "line-part"))
+        rows = spread(left, "prefix").where(F.pmod("word", F.lit(PASSES)) == turn)
+        parts.append(stored(_met(rows, rows, threshold, F.min("a_till").alias("a_till")), "line-part"))
         release(sets.sparkSession)
     pairs = reduce(DataFrame.union, parts).groupBy(*_PAIR, "a_size", "b_size").agg(
         F.sum("shared").alias("shared"), F.min("a_at").alias("a_at"), F.min("b_at").alias("b_at"))
