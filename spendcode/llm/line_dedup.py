@@ -11,8 +11,8 @@ of Jaccard similarity ``threshold`` or more.  Lines without words stay.
   similarity needs (positional filter); and the words that two prefixes share, with all that may follow
   the prefix that ends first, must be enough for it too.
 * A signature of 64 parities, 128 or 256 for long lines, carried along, drops most unlike lines inside the join.
-* First each line is held against one line only: of the earliest lines of its ``HEADS`` rarest words, the
-  one met most often.  That settles most of a group of near copies in linear time.  Only lines that are not
+* First each line is held against one line only: of the earliest lines (of each of some classes) of its
+  ``HEADS`` rarest words, the one whose signature is nearest.  That settles most of a group of near copies in linear time.  Only lines that are not
   settled are joined with all earlier lines of their words.  No pair is lost, and a group of copies never
   makes all its pairs.
 * Candidates are verified on the words themselves.  Their lines are read from the texts again; a
@@ -37,7 +37,8 @@ THRESHOLD = 0.8
 COUNTERS = 1 << 20
 PASSES = 3           # parts of the words that are joined one after the other
 LONG, VERY_LONG = 64, 160  # sizes above which a set's signature is 128, then 256 bits
-HEADS = 5            # rarest words by which a line meets the line it is held against first
+CLASSES = 4          # classes of lines, the earliest of each of which stands for a word
+HEADS = 5            # rarest words (of those that occur again) by which a line meets the line it is held against first
 BITMAP_ROWS = 2048   # of 32768 bits each
 _HASH_BITS = 53
 _ADDRESS = ["d", "v", "n"]
@@ -102,8 +103,10 @@ def _sets(lines: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
     ranked = worded.select(*_ADDRESS, F.sort_array(F.array_distinct(codes)).alias("r")).withColumn("size", F.size("r"))
     size = F.col("size")
     keep = F.when(_needs_partner(size, threshold), size - F.ceil(threshold * size - 1e-9) + 1).otherwise(0).cast("int")
-    # 31 bits of a word's hash are enough to meet
-    prefix = F.transform(F.slice("r", F.lit(1), keep), lambda r: r.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    # place and hash of each word of the prefix, 31 bits of which are enough to meet; a word that occurs once
+    # in all texts (its counter says so, or more) meets none
+    prefix = F.array_compact(F.transform(F.slice("r", F.lit(1), keep), lambda r, i: F.when(
+        F.shiftright(r, _HASH_BITS) > 0, F.shiftleft(i.cast("bigint"), 31).bitwiseOR(r.bitwiseAND(F.lit(0x7FFFFFFF))))))
     sig = "aggregate({0}, 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63 as int)))"
     some = lambda bits: F.expr(sig.format(f"filter(r, x -> x & {bits} = {bits})"))
     return ranked.select(*_ADDRESS, "size", F.xxhash64("r").alias("k1"), F.element_at("r", 1).alias("k2"), F.expr(sig.format("r")).alias("sig"),
@@ -150,21 +153,36 @@ def _settled(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     return out
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """Addresses of the later lines (``b_``) of the ``pairs`` that are similar to the earlier ones (``a_``)."""
-    pairs = stored(pairs, "line-pairs")
-    side = lambda x: [F.col(f"{x}_{c}").alias(c) for c in _ADDRESS]
-    asked = stored(pairs.select(*side("a")).union(pairs.select(*side("b"))).distinct(), "line-asked")
+def _side(x: str) -> list[Column]:
+    return [F.col(f"{x}_{c}").alias(c) for c in _ADDRESS]
+
+
+def _words_of(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The words ``w`` of all lines in ``pairs``, read from the texts once."""
+    asked = stored(pairs.select(*_side("a")).union(pairs.select(*_side("b"))).distinct(), "line-asked")
     bitmap = address_bitmap(asked)
     near = lines.withColumn("bitmap", bitmap.scalar()).where(_in_bitmap(F.col("bitmap")))
     text = near.select(*_ADDRESS, "line").join(asked, _ADDRESS, "left_semi").dropDuplicates(_ADDRESS)
     held = stored(text.select(*_ADDRESS, F.array_distinct(F.array_remove(words(F.col("line")), "")).alias("w")), "line-words")
+    discard(asked, bitmap)
+    return held
+
+
+def _alike(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """Addresses of the later lines (``b_``) of the ``pairs`` that are similar to the earlier ones (``a_``)."""
     of = lambda x: held.select(*[F.col(c).alias(f"{x}_{c}") for c in _ADDRESS], F.col("w").alias(f"{x}_w"))
     both = pairs.join(of("a"), [f"a_{c}" for c in _ADDRESS]).join(of("b"), [f"b_{c}" for c in _ADDRESS])
     overlap = F.size(F.array_intersect("a_w", "b_w"))
     alike = overlap >= threshold * (F.size("a_w") + F.size("b_w") - overlap) - 1e-9
-    out = stored(both.where(alike).select(*side("b")).distinct(), "line-later")
-    discard(pairs, asked, bitmap, held)
+    return stored(both.where(alike).select(*_side("b")).distinct(), "line-later")
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """``_alike`` of pairs whose words are not at hand."""
+    pairs = stored(pairs, "line-pairs")
+    held = _words_of(pairs, lines)
+    out = _alike(pairs, held, threshold)
+    discard(pairs, held)
     release(out.sparkSession)
     return out
 
@@ -193,7 +211,8 @@ def _met(earlier: DataFrame, later: DataFrame, threshold: float, *more: Column)
            # what may be shared before, at and behind this word, wherever the others stand
            & (F.least("a.at", "b.at") + F.least(a - F.col("a.at"), b - F.col("b.at")) >= _overlap(a, b, threshold)))
     rows = earlier.alias("a").join(later.alias("b"), (F.col("a.word") == F.col("b.word")) & may & order).select(
-        *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in (*_ADDRESS, "size", "at", *till)])
+        *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in (*_ADDRESS, "size", "at", *till)],
+        F.coalesce(four, two, F.bit_count(x["sig"])).alias("far"))
     return rows.groupBy(*_PAIR, "a_size", "b_size").agg(
         F.count(F.lit(1)).alias("shared"), F.min("a_at").alias("a_at"), F.min("b_at").alias("b_at"), *more)
 
@@ -218,14 +237,21 @@ def _room(threshold: float) -> Column:
 def near_duplicates(sets: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """Addresses of the sets (each with its first address) that are similar to an earlier one."""
     facts = [*_ADDRESS, "size", *_SIGNATURE]
-    spread = lambda df, prefix: df.select(*facts, F.posexplode(prefix).alias("at", "word"))
+    def spread(df: DataFrame, prefix) -> DataFrame:
+        return df.select(*facts, F.explode(prefix).alias("p")).select(
+            *facts, F.shiftright("p", 31).cast("int").alias("at"), F.col("p").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("word"))
+
     rarest = spread(sets, F.slice("prefix", 1, HEADS))
-    heads = rarest.groupBy("word").agg(F.min(F.struct(*facts, "at")).alias("head"), F.count(F.lit(1)).alias("c")).where(
-        "c > 1").select("word", "head.*")
-    # one shared word proves little, and what is not settled here is joined in full below
-    likely = _met(heads, rarest, threshold).where("shared > 1").groupBy(*_PAIR[3:]).agg(
-        F.min(F.struct((-F.col("shared")).alias("s"), *_PAIR[:3])).alias("a")).select(*[f"a.{c}" for c in _PAIR[:3]], *_PAIR[3:])
-    settled = _verified(likely, lines, threshold)
+    heads = rarest.groupBy("word", F.pmod(F.xxhash64(*_ADDRESS), F.lit(CLASSES)).alias("class")).agg(
+        F.min(F.struct(*facts, "at")).alias("head")).select("word", "head.*")
+    best = _met(heads, rarest, threshold, F.min("far").alias("far")).groupBy(*_PAIR[3:]).agg(
+        F.min(F.struct("far", (-F.col("shared")).alias("s"), *_PAIR[:3])).alias("a"))
+    pairs = stored(best.select(*[f"a.{c}" for c in _PAIR[:3]], *_PAIR[3:]), "line-pairs")
+    # what is not settled here is joined in full below
+    held = _words_of(pairs, lines)
+    settled = _alike(pairs, held, threshold)
+    discard(pairs, held)
+    release(sets.sparkSession)
     # ``till``: a settled set is the earlier one of a pair only, as no address is below its own
     open_ = sets.join(settled.withColumn("done", F.lit(True)), _ADDRESS, "left")
     left = stored(open_.withColumn("till", F.when(F.col("done"), F.lit(-(1 << 63))).otherwise(F.col("d"))).drop("done"), "line-open")
