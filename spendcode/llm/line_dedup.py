@@ -36,8 +36,9 @@ from spendcode.llm.common import discard, release, stored
 THRESHOLD = 0.8
 COUNTERS = 1 << 20
 PASSES = 3           # parts of the words that are joined one after the other
-LONG, VERY_LONG = 64, 160  # sizes above which a set's signature is 128, then 256 bits
+LONG, VERY_LONG = 24, 48  # sizes above which a set's signature is 128, then 256 bits
 CLASSES = 4          # classes of lines, the earliest of each of which stands for a word
+SLACK = 2            # words by which a pair's prefixes are longer than it needs, so that it must share more than one
 HEADS = 5            # rarest words (of those that occur again) by which a line meets the line it is held against first
 BITMAP_ROWS = 2048   # of 32768 bits each
 _HASH_BITS = 53
@@ -210,6 +211,9 @@ def _met(earlier: DataFrame, later: DataFrame, threshold: float, *more: Column)
            & (F.coalesce(two, F.lit(0)) <= differ) & (F.coalesce(four, F.lit(0)) <= differ)
            # what may be shared before, at and behind this word, wherever the others stand
            & (F.least("a.at", "b.at") + F.least(a - F.col("a.at"), b - F.col("b.at")) >= _overlap(a, b, threshold)))
+    if both_till:  # the prefixes that sets of these sizes need, and SLACK words more
+        need = _overlap(a, b, threshold)
+        may = may & (F.col("a.at") <= a - need + SLACK) & (F.col("b.at") <= b - need + SLACK)
     rows = earlier.alias("a").join(later.alias("b"), (F.col("a.word") == F.col("b.word")) & may & order).select(
         *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in (*_ADDRESS, "size", "at", *till)],
         F.coalesce(four, two, F.bit_count(x["sig"])).alias("far"))
@@ -226,11 +230,12 @@ def _room(threshold: float) -> Column:
     """Whether a pair of ``_met``, all shared words of both prefixes counted, can still be similar.
 
     Positional filter: what follows the first shared word, itself included.  Prefix overlap: a shared
-    word is either in both prefixes or behind the one that ends first.
+    word is either in both prefixes (as long as the pair needs, ``SLACK`` more, the sets' own at most) or behind
+    the one that ends first.
     """
     a, b = F.col("a_size"), F.col("b_size")
     need = _overlap(a, b, threshold)
-    behind = F.greatest(F.ceil(threshold * a - 1e-9), F.ceil(threshold * b - 1e-9)) - 1
+    behind = F.greatest(F.ceil(threshold * a - 1e-9), F.ceil(threshold * b - 1e-9), need - SLACK) - 1
     return (F.least(a - F.col("a_at"), b - F.col("b_at")) >= need) & (F.col("shared") + behind >= need)
 
 
