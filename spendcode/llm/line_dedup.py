@@ -35,8 +35,8 @@ from spendcode.llm.common import discard, release, stored
 
 THRESHOLD = 0.8
 COUNTERS = 1 << 20
-PASSES = 3           # parts of the words that are joined one after the other
-LONG, VERY_LONG = 24, 48  # sizes above which a set's signature is 128, then 256 bits
+PASSES = 4           # parts of the words that are joined one after the other
+LONG, VERY_LONG = 48, 64  # sizes above which a set's signature is 128, then 256 bits
 CLASSES = 4          # classes of lines, the earliest of each of which stands for a word
 SLACK = 2            # words by which a pair's prefixes are longer than it needs, so that it must share more than one
 HEADS = 5            # rarest words (of those that occur again) by which a line meets the line it is held against first
