@@ -338,8 +338,10 @@ def nearest(probes: DataFrame, index: DataFrame, k: int = 5, max_rows: int = PAR
     def scored(asking: DataFrame, first: bool) -> DataFrame:
         pairs = settle(asking.mapInPandas(_visit_fn(pivot, blocks, k, first), "probe bigint, block int, part int").withColumn(
             "slice", F.pmod(F.xxhash64("probe"), F.lit(slices)).cast("int")), "nearest-pairs")
-        asked = entries.join(pairs.select(*key).distinct().toDF(*key), ["block", "part"])
-        return pairs.join(probes, "probe").groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(
+        # merge joins: pairs and repeated vectors take few bytes on disk, so by their files' size they would be sent whole
+        # through the driver to every task, where they take many times that
+        asked = entries.join(pairs.select(*key).distinct().toDF(*key).hint("merge"), ["block", "part"])
+        return pairs.join(probes.hint("merge"), "probe").groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(
             _best_fn(k), f"probe bigint, probe_id {probe_type}, id {id_type}, similarity double")
 
     def ranked(found: DataFrame) -> DataFrame:
@@ -349,5 +351,5 @@ def nearest(probes: DataFrame, index: DataFrame, k: int = 5, max_rows: int = PAR
     start = settle(ranked(scored(probes, True)).drop("rank"), "nearest-start")
     floors = start.groupBy("probe").agg(F.min("similarity").alias("floor"), F.count(F.lit(1)).alias("c"))
     floors = floors.select("probe", F.when(F.col("c") >= k, F.col("floor")).alias("floor"))
-    rest = scored(probes.join(floors, "probe", "left"), False)
+    rest = scored(probes.join(floors.hint("merge"), "probe", "left"), False)
     return ranked(start.unionByName(rest)).select("probe_id", "rank", "id", "similarity")

@@ -173,3 +173,14 @@ def test_search_in_clusters_visits_few_blocks(spark, monkeypatch):
     assert sorted((r["probe_id"], r["rank"], r["id"], round(r["similarity"], 9)) for r in got) == brute_nearest(points[:200], points, 5)
     visits = sum(p.count() for p in seen)
     assert visits <= 0.2 * 200 * 40, visits
+
+
+def test_the_search_sends_no_probes_or_pairs_through_the_driver(spark):
+    from spendcode.operators.vectors import nearest
+    rows = [(i, [float(i % 7 + 1), float(i % 3), 1.0]) for i in range(400)]
+    found = nearest(spark.createDataFrame(rows, "probe_id long, vector array<double>"),
+                    spark.createDataFrame(rows, "id long, vector array<double>"), k=3, max_rows=50)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # small files are no reason: what they hold may be large in memory; only the table of blocks and parts is sent
+    assert plan.count("BroadcastHashJoin") == plan.count("BroadcastHashJoin [block#") and "SortMergeJoin [probe#" in plan, plan
+    assert found.count() == 3 * 400
