@@ -14,7 +14,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
     Branches that use it share one computation, and a lost executor costs a re-read."""
     path = shared_dir(df.sparkSession, f"tables/{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # whole texts: a third less to write and read than by default
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.settled_at = path
     return out

@@ -78,6 +78,20 @@ def request_columns(dialect: str, stage: str, model: str, **slots: Column) -> li
             system.alias("system"), user.alias("user")]
 
 
+def request_constants(dialect: str, stage: str, model: str) -> dict[str, Column]:
+    """The request columns that are the same in every request of a stage."""
+    return {"stage": F.lit(stage_name(dialect, stage)), "model": F.lit(model), "temperature": F.lit(TEMPERATURE[(dialect, stage)]),
+            "system": F.lit(SYSTEM[(dialect, stage)])}
+
+
+def slot_text(dialect: str, stage: str, user: Column) -> Column:
+    """The text that stands in the one slot of a stage's user prompt."""
+    parts = split_frame(USER[(dialect, stage)])
+    at = parts.index("{text}")
+    before, after = len("".join(parts[:at])), len("".join(parts[at + 1:]))
+    return F.substring(user, F.lit(before + 1), F.length(user) - F.lit(before + after)) if before + after else user
+
+
 class ResponseStore:
     """Answers already obtained, keyed by request key.
 
@@ -154,9 +168,9 @@ class ResponseStore:
                 out = df if out is None else out.unionByName(df)
         return out if out is not None else self.spark.createDataFrame([], STORE_SCHEMA)
 
-    def answers(self, stage: str) -> DataFrame:
-        """``request_key, response, error``: of several stored rows of a request one with an answer wins."""
-        best = F.max_by(F.struct("response", "error"), F.col("response").isNotNull())
+    def answers(self, stage: str, *columns: str) -> DataFrame:
+        """``request_key, columns, response, error``: of several stored rows of a request one with an answer wins."""
+        best = F.max_by(F.struct(*columns, "response", "error"), F.col("response").isNotNull())
         return self.load(stage).groupBy("request_key").agg(best.alias("a")).select("request_key", "a.*")
 
     def compact(self, stage: str) -> None:
@@ -171,28 +185,45 @@ class ResponseStore:
         fs, p = self._at(f"{self.path}/{stage}/v{old:06d}")
         fs.delete(p, True)
 
-    def resolve(self, requests: DataFrame, responder: Responder, stage: str,
-                carry: tuple[str, ...] = ()) -> DataFrame:
+    def resolve(self, requests: DataFrame, responder: Responder, stage: str, carry: tuple[str, ...] = (),
+                constants: dict[str, Column] | None = None, derived: dict[str, Column] | None = None,
+                unique: bool = False) -> DataFrame:
         """One row per distinct request: request columns, ``carry`` columns, ``response``,
-        ``error``.  Only requests missing from the store reach the responder."""
+        ``error``.  Only requests missing from the store reach the responder.
+
+        Request columns in ``constants`` need not be in ``requests``: they are the same in every row and join
+        the distinct requests, so no prompt text of a whole stage is sorted or shuffled.  ``derived`` are
+        further carry columns that follow from ``user``, made there too.  ``unique`` says that no request key comes twice."""
         if getattr(responder, "needs_store", False) and not self.path:
             raise ValueError("a model client needs a ResponseStore with a path: answers must be "
                              "stored before they are joined back, or retries would ask again")
-        distinct = requests.select(*REQUEST_COLUMNS, *carry).dropDuplicates(["request_key"])
+        constants, derived = constants or {}, derived or {}
+        moved = [c for c in REQUEST_COLUMNS if c not in constants]
+
+        def told(names: list[str]) -> DataFrame:
+            """One row per distinct request; the store deals them like its buckets, so joins with it move nothing else."""
+            df = requests.select(*names, *carry)
+            df = df if unique else df.dropDuplicates(["request_key"])
+            return df.repartition(self._n_buckets(), "request_key") if self.path else df
+
+        def filled(df: DataFrame, *more: str) -> DataFrame:
+            return df.select(*[constants.get(c, F.col(c)).alias(c) for c in REQUEST_COLUMNS], *carry,
+                             *[d.alias(c) for c, d in derived.items()], *more)
+
         if not self.path:
-            return responder(distinct, stage).select(*REQUEST_COLUMNS, *carry, "response", "error")
-        # dealt like the buckets: joins with the store then move nothing else
-        distinct = distinct.repartition(self._n_buckets(), "request_key")
+            return responder(filled(told(moved)), stage).select(*REQUEST_COLUMNS, *carry, *derived, "response", "error")
         version = self._version(stage)
-        misses = distinct
+        misses = told(moved)
         if version is not None:
             # a stored failure is no answer: it is asked again
             known = self.load(stage).where(F.col("response").isNotNull()).select("request_key").distinct()
-            misses = distinct.join(known, "request_key", "left_anti")
+            misses = misses.join(known, "request_key", "left_anti")
         # Materialise before anything joins the answers back: a retried task or a second
         # action must read stored answers instead of asking the model again.
-        self._write(responder(misses, stage), stage, version or 0)
-        return distinct.join(self.answers(stage), "request_key", "inner")
+        self._write(responder(filled(misses), stage), stage, version or 0)
+        # the store has the requests too: only their keys move once more
+        asked = [c for c in moved if c != "request_key"]
+        return filled(told(["request_key"]).join(self.answers(stage, *asked), "request_key", "inner"), "response", "error")
 
 
 def pandas_responder(call: Callable, partitions: int | None = None) -> Responder:

@@ -26,7 +26,8 @@ from spendcode.functions import prompts as PR
 from spendcode.functions import text as T
 from spendcode.operators.boundary import forget, settle
 from spendcode.operators.gates import gate
-from spendcode.operators.responses import ResponseStore, Responder, request_columns, stage_name
+from spendcode.operators.responses import (
+    ResponseStore, Responder, request_columns, request_constants, slot_text, stage_name)
 from spendcode.operators.skew import spread_join
 from spendcode.session import shared_dir
 
@@ -139,76 +140,71 @@ def _key(dialect: str, stage: str, model: str, **slots: Column) -> Column:
     return request_columns(dialect, stage, model, **slots)[1]
 
 
+def _ask(df: DataFrame, dialect: str, stage: str, model: str, slots: dict[str, Column], store: ResponseStore,
+         responder: Responder, run: EnrichRun, carry: tuple[str, ...] = (), unique: bool = False, **derived: Column) -> DataFrame:
+    """The distinct requests of a stage, resolved; of the request columns only key and user prompt move."""
+    columns = request_columns(dialect, stage, model, **slots)
+    out = store.resolve(df.select(columns[1], columns[-1], *carry), responder, stage_name(dialect, stage), carry,
+                        request_constants(dialect, stage, model), derived, unique)
+    run.stages[stage_name(dialect, stage)] = out
+    return out
+
+
 def translation_table(texts: DataFrame, dialect: str, model: str, store: ResponseStore,
                       responder: Responder, run: EnrichRun) -> DataFrame:
-    """``dk, text_en, detect_error, translate_error`` per distinct text column ``t``.
-
-    ``dk`` is the detection request key of the text, so lines find their translation by
-    recomputing it.  Any failure leaves the text unchanged.
-    """
-    # In the application dialect the user prompt *is* the text, so the request rows need no
-    # second copy of it; the modular dialect frames the text and carries it alongside.
-    carry = () if dialect == "p1" else ("payload",)
-    text_of = F.col("user") if dialect == "p1" else F.col("payload")
-    det_req = texts.select(*request_columns(dialect, "detect", model, text=F.col("t")),
-                           *([F.col("t").alias("payload")] if carry else []))
-    det = store.resolve(det_req, responder, stage_name(dialect, "detect"), carry=carry)
-    run.stages[stage_name(dialect, "detect")] = det
+    """``dk, translated, detect_error, translate_error, translate_asked`` per distinct text column ``t``.
+
+    ``dk`` is the detection request key of the text, so lines find their translation by recomputing it.
+    ``translated`` is null where the text stays as it is: it is English, or a request failed.  Only texts
+    that are translated are written and moved."""
+    # In the application dialect the user prompt *is* the text; the modular dialect frames the text, and its
+    # responder gets it as ``payload`` beside the prompt.
+    text = {s: slot_text(dialect, s, F.col("user")) for s in ("detect", "translate")}
+    payload = {s: {} if dialect == "p1" else {"payload": t} for s, t in text.items()}
+    det = _ask(texts, dialect, "detect", model, {"text": F.col("t")}, store, responder, run, **payload["detect"])
     answer = PR.P1_ENGLISH_ANSWER if dialect == "p1" else PR.P2_ENGLISH_ANSWER
-    english = F.lower(T.py_strip("response")) == F.lit(answer)
-    det2 = det.select(F.col("request_key").alias("dk"), text_of.alias("t"),
-                      F.coalesce(english, F.lit(False)).alias("is_english"),
-                      F.col("response").isNull().alias("detect_failed"),
+    english = F.coalesce(F.lower(T.py_strip("response")) == F.lit(answer), F.lit(False))
+    asked = F.col("response").isNotNull() & ~english
+    det2 = det.select(F.col("request_key").alias("dk"), F.when(asked, text["detect"]).alias("t"), asked.alias("translate_asked"),
                       F.col("error").alias("detect_error"), "response", "error")
     det2 = run.keep(det2, stage_name(dialect, "detect"), _asked_counts(stage_name(dialect, "detect"))).drop("response", "error")
-    need = det2.where(~F.col("detect_failed") & ~F.col("is_english"))
-    tr_req = need.select("dk", *request_columns(dialect, "translate", model, text=F.col("t")),
-                         *([F.col("t").alias("payload")] if carry else []))
-    tr = store.resolve(tr_req, responder, stage_name(dialect, "translate"), carry=carry + ("dk",))
-    run.stages[stage_name(dialect, "translate")] = tr
+    # a text and its two requests are one to one, so each row has one detection
+    dk = _key(dialect, "detect", model, text=text["translate"])
+    tr = _ask(det2.where("translate_asked"), dialect, "translate", model, {"text": F.col("t")}, store, responder, run,
+              ("detect_error",), dk=dk, **payload["translate"])
     # the translations are joined twice (two columns), their counts observed once
-    tr = run.keep(tr.select("dk", "response", "error"), stage_name(dialect, "translate"), _asked_counts(stage_name(dialect, "translate")))
-    tr2 = tr.select("dk", F.col("response").alias("tr_response"), F.col("error").alias("translate_error"))
-    joined = det2.join(tr2, "dk", "left")
-    text_en = (F.when(F.col("detect_failed") | F.col("is_english"), F.col("t"))
-               .when(F.col("tr_response").isNull(), F.col("t"))
-               .otherwise(T.py_strip("tr_response")))
-    asked = ~F.col("detect_failed") & ~F.col("is_english")
-    return run.keep(joined.select("dk", text_en.alias("text_en"), "detect_error", "translate_error",
-                                  asked.alias("translate_asked")), stage_name(dialect, "translate"))
+    tr = run.keep(tr.select("dk", "detect_error", "response", "error"), stage_name(dialect, "translate"),
+                  _asked_counts(stage_name(dialect, "translate")))
+    none = F.lit(None).cast("string")
+    return tr.select("dk", T.py_strip("response").alias("translated"), "detect_error", F.col("error").alias("translate_error"),
+                     F.lit(True).alias("translate_asked")).unionByName(
+        det2.where(~F.col("translate_asked")).select("dk", none.alias("translated"), "detect_error", none.alias("translate_error"),
+                                                     "translate_asked"))
 
 
 def _translate_narrow(lines: DataFrame, columns: dict[str, str], dialect: str, settings: Settings,
                       store: ResponseStore, responder: Responder, run: EnrichRun,
                       key: str = "ordinal") -> DataFrame:
-    """Translations per line as a frame keyed (and hash-partitioned) by ``key``:
-    ``key, {out}, {out}_detect_error, {out}_translate_error, {out}_translate_asked``.
+    """Translations per line as a frame keyed (and hash-partitioned) by ``key``: ``key, {out}_translated,
+    {out}_detect_error, {out}_translate_error, {out}_translate_asked``; :func:`_in_english` puts them into the lines.
 
-    Only narrow ``(key, detection key)`` pairs meet the translation table; each translated
-    text then moves once, to the ``key`` partitioning.  The wide line rows are not moved."""
+    Only narrow ``(key, detection key)`` pairs meet the translation table, and of the texts only the
+    translated ones move.  The wide line rows are not moved."""
     model = settings.translation_model
     rendered = {src: F.coalesce(F.col(src), F.lit(PR.MISSING_TEXT)) for src in columns}
     texts = lines.select(F.explode(F.array(*[rendered[src] for src in columns])).alias("t"))
     trans = translation_table(texts, dialect, model, store, responder, run)
     keys = lines.select(key, *[_key(dialect, "detect", model, text=rendered[src]).alias(f"_dk_{out}")
-                               for src, out in columns.items()],
-                        *[F.col(src).isNull().alias(f"_null_{out}") for src, out in columns.items()])
+                               for src, out in columns.items()])
     # hot keys are counted, and every column is joined, over this narrow table
     keys = run.keep(keys, stage_name(dialect, "detect"))
     parts = []
-    for src, out in columns.items():
-        t = trans.select(F.col("dk").alias(f"_dk_{out}"), F.col("text_en").alias(out),
+    for out in columns.values():
+        t = trans.select(F.col("dk").alias(f"_dk_{out}"), F.col("translated").alias(f"{out}_translated"),
                          F.col("detect_error").alias(f"{out}_detect_error"),
                          F.col("translate_error").alias(f"{out}_translate_error"),
                          F.col("translate_asked").alias(f"{out}_translate_asked"))
-        part = spread_join(keys.select(key, f"_dk_{out}", f"_null_{out}"), t, f"_dk_{out}", key, "left")
-        if dialect == "p2":
-            # the modular code returns the original value unless a translation came back,
-            # so a missing text stays missing (the application casts to text first)
-            translated = F.col(f"{out}_translate_asked") & F.col(f"{out}_translate_error").isNull()
-            part = part.withColumn(out, F.when(F.col(f"_null_{out}") & ~translated, F.lit(None))
-                                   .otherwise(F.col(out)))
-        parts.append(part.drop(f"_dk_{out}", f"_null_{out}"))
+        parts.append(spread_join(keys.select(key, f"_dk_{out}"), t, f"_dk_{out}", key, "left").drop(f"_dk_{out}"))
         run.error_columns[f"detect_{dialect}:{out}"] = f"{out}_detect_error"
         run.error_columns[f"translate_{dialect}:{out}"] = f"{out}_translate_error"
     out_df = parts[0]
@@ -220,31 +216,56 @@ def _translate_narrow(lines: DataFrame, columns: dict[str, str], dialect: str, s
     return out_df
 
 
-def _classify_keyed(per_line: DataFrame, specs: list, store: ResponseStore, responder: Responder,
-                    run: EnrichRun, key: str = "ordinal") -> DataFrame:
-    """Like :func:`_classify_stages` for a per-line frame keyed by ``key``: answers meet
-    only narrow ``(key, request key)`` pairs and come back to the frame by ``key``, which
-    it is already partitioned by, so the per-line frame itself is not re-shuffled."""
-    cols = []
-    for dialect, stage, model, guard, slots in specs:
-        k = _key(dialect, stage, model, **slots)
-        cols.append((F.when(guard, k) if guard is not None else k).alias(f"_{stage}_key"))
-    counted = [m for m in run.line_metrics if f"{m}__in" not in run.observed]
-    per_line = run.keep(per_line.select("*", *cols), "+".join(stage_name(d, st) for d, st, *_ in specs), _line_counts(run, *counted))
-    for dialect, stage, model, guard, slots in specs:
-        k = f"_{stage}_key"
-        asked = per_line.where(F.col(k).isNotNull())
-        ans = store.resolve(asked.select(*request_columns(dialect, stage, model, **slots)), responder,
-                            stage_name(dialect, stage))
-        run.stages[stage_name(dialect, stage)] = ans
-        ans = run.keep(ans.select("request_key", "response", "error"), stage_name(dialect, stage), _asked_counts(stage_name(dialect, stage)))
+def _in_english(df: DataFrame, columns: dict[str, str], dialect: str) -> DataFrame:
+    """Lines that have met their translations: adds the texts in English."""
+    for src, out in columns.items():
+        english = F.coalesce(F.col(f"{out}_translated"), F.col(src), F.lit(PR.MISSING_TEXT))
+        if dialect == "p2":
+            # the modular code returns the original value unless a translation came back,
+            # so a missing text stays missing (the application casts to text first)
+            came = F.col(f"{out}_translate_asked") & F.col(f"{out}_translate_error").isNull()
+            english = F.when(F.col(src).isNull() & ~came, F.lit(None)).otherwise(english)
+        df = df.withColumn(out, english)
+    return df
+
+
+def _classify_lines(per_line: DataFrame, dialect: str, settings: Settings, text: Column, guard: Column | None, context: Column,
+                    store: ResponseStore, responder: Responder, run: EnrichRun, key: str = "ordinal") -> DataFrame:
+    """Industry and product answers of each line, ``per_line`` without its texts: ``{stage}_response``,
+    ``{stage}_error``, ``{stage}_asked``.
+
+    A line's product request follows from its industry request and that one's answer (``context`` is the
+    industry text from ``naics_response``).  So it is made on the distinct industry requests: their texts move
+    once, for the industry stage, and lines meet both answers as narrow ``(key, request key)`` pairs."""
+    k = _key(dialect, "naics", settings.classification_model, text=text)
+    texts = [f.name for f in per_line.schema.fields if f.name.endswith(("_translated", "_error", "_asked"))]
+    per_line = per_line.select(key, *texts, F.when(guard, text).otherwise(F.lit(None)).alias("_text") if guard is not None else text.alias("_text"),
+                               (F.when(guard, k) if guard is not None else k).alias("_naics_key"))
+    per_line = run.keep(per_line, stage_name(dialect, "naics"), _line_counts(run, *[m for m in run.line_metrics if f"{m}__in" not in run.observed]))
+    asked = per_line.where(F.col("_naics_key").isNotNull())
+    ans = _ask(asked, dialect, "naics", settings.classification_model, {"text": F.col("_text")}, store, responder, run)
+    ans = ans.select("request_key", "response", "error", slot_text(dialect, "naics", F.col("user")).alias("_text"),
+                     F.col("response").alias("naics_response"))
+    slots = {"description": F.col("_text"), "naics": F.col("_context")}
+    ans = ans.select("request_key", "response", "error", "_text", context.alias("_context")).withColumn(
+        "_unspsc_key", _key(dialect, "unspsc", settings.unspsc_model, **slots))
+    ans = run.keep(ans, stage_name(dialect, "naics"), _asked_counts(stage_name(dialect, "naics")))
+    # distinct industry requests hardly ever give one product request; if none does, their texts stay where they are
+    repeated = ans.groupBy("_unspsc_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    product = _ask(ans, dialect, "unspsc", settings.unspsc_model, slots, store, responder, run, unique=repeated.isEmpty())
+    product = run.keep(product.select("request_key", "response", "error"), stage_name(dialect, "unspsc"),
+                       _asked_counts(stage_name(dialect, "unspsc")))
+    both = ans.select(F.col("request_key").alias("_naics_key"), F.col("response").alias("naics_response"), F.col("error").alias("naics_error"),
+                      "_unspsc_key").join(
+        product.select(F.col("request_key").alias("_unspsc_key"), F.col("response").alias("unspsc_response"),
+                       F.col("error").alias("unspsc_error")), "_unspsc_key", "left").drop("_unspsc_key")
+    got = spread_join(asked.select(key, "_naics_key"), both, "_naics_key", key).drop("_naics_key")
+    for stage in ("naics", "unspsc"):
         run.error_columns[stage_name(dialect, stage)] = f"{stage}_error"
         run.line_metrics[stage_name(dialect, stage)] = (F.col(f"{stage}_asked").cast("int"), None)
-        got = spread_join(asked.select(key, k), ans.select(F.col("request_key").alias(k), F.col("response").alias(f"{stage}_response"),
-                                                           F.col("error").alias(f"{stage}_error")), k, key).drop(k)
-        per_line = (per_line.join(got, key, "left")
-                    .withColumn(f"{stage}_asked", F.col(k).isNotNull()).drop(k))
-    return per_line
+    answered = F.col("_naics_key").isNotNull()
+    return per_line.drop("_text").join(got, key, "left").select(
+        "*", answered.alias("naics_asked"), answered.alias("unspsc_asked")).drop("_naics_key")
 
 
 def _classify(lines: DataFrame, dialect: str, stage: str, model: str, guard: Column | None,
@@ -293,13 +314,12 @@ def translate(lines: DataFrame, settings: Settings = Settings(), store: Response
     """The translation stages alone: both texts in English."""
     responder = _require(responder)
     store = store or ResponseStore(lines.sparkSession)
-    outputs = ["procurement_description_en", "account_en"]
-    lines = with_line_key(lines.drop(*outputs))
+    columns = {"procurement_description": "procurement_description_en", "account": "account_en"}
+    lines = with_line_key(lines.drop(*columns.values()))
     run = EnrichRun(lines, materialize=materialize)
-    df = _translate_narrow(lines, {"procurement_description": outputs[0], "account": outputs[1]}, "p1", settings,
-                           store, responder, run, KEY)
-    run.output_columns = [c for c in lines.columns if c != KEY] + outputs
-    run.lines = lines.join(df, KEY, "left")
+    df = _translate_narrow(lines, columns, "p1", settings, store, responder, run, KEY)
+    run.output_columns = [c for c in lines.columns if c != KEY] + [*columns.values()]
+    run.lines = _in_english(lines.join(df, KEY, "left"), columns, "p1")
     return run
 
 
@@ -313,26 +333,27 @@ def enrich(lines: DataFrame, settings: Settings = Settings(), store: ResponseSto
     run = EnrichRun(lines, materialize=materialize)
     passthrough = [c for c in lines.columns if c != KEY]
     key = KEY
-    df = _translate_narrow(lines, {"procurement_description": "procurement_description_en",
-                                   "account": "account_en"}, "p1", settings, store, responder, run, key)
-    df = df.withColumn("input_text", T.combined_text(F.col("procurement_description_en"),
-                                                     T.strip_digits("account_en")))
-    guard = ~T.is_blank("input_text")
-    df = _classify_keyed(df, [("p1", "naics", settings.classification_model, guard,
-                               {"text": F.col("input_text")})], store, responder, run, key)
+    columns = {"procurement_description": "procurement_description_en", "account": "account_en"}
+    df = _translate_narrow(lines, columns, "p1", settings, store, responder, run, key)
+
+    def with_texts(df: DataFrame) -> DataFrame:
+        return _in_english(df, columns, "p1").withColumn("input_text", T.combined_text(
+            F.col("procurement_description_en"), T.strip_digits("account_en")))
+
+    # the two texts of a line and their translations meet by the line's key, once here and once in the assembly
+    df = with_texts(lines.select(key, *columns).join(df, key, "left"))
+    df = _classify_lines(df, "p1", settings, F.col("input_text"), ~T.is_blank("input_text"),
+                         F.coalesce(gate(P.naics_p1("naics_response"), settings.confidence_threshold, "naics")[1],
+                                    F.lit(PR.MISSING_OBJECT)), store, responder, run, key)
     df = df.select("*", *gate(P.naics_p1("naics_response"), settings.confidence_threshold, "naics"))
     run.line_metrics["naics_p1"] = (F.col("naics_asked").cast("int"),
                                     (F.col("naics_confidence") >= settings.confidence_threshold).cast("int"))
-    naics_context = F.coalesce(F.col("naics_description"), F.lit(PR.MISSING_OBJECT))
-    df = _classify_keyed(df, [("p1", "unspsc", settings.unspsc_model, guard,
-                               {"description": F.col("input_text"), "naics": naics_context})],
-                         store, responder, run, key)
     df = df.select("*", *gate(P.unspsc_p1("unspsc_response"), settings.unspsc_confidence_threshold,
                               "unspsc"))
     run.line_metrics["unspsc_p1"] = (F.col("unspsc_asked").cast("int"),
                                      (F.col("unspsc_confidence") >= settings.unspsc_confidence_threshold).cast("int"))
-    # the wide line rows move once: to the per-line results
-    run.lines = lines.join(_finished(df, run), key, "left")
+    # the results hold the translated texts only; all others are the lines' own
+    run.lines = with_texts(lines.join(_finished(df, run), key, "left"))
     run.output_columns = passthrough + ENRICHED
     return run
 
@@ -347,22 +368,19 @@ def process(lines: DataFrame, settings: Settings = Settings(), store: ResponseSt
     run = EnrichRun(lines, materialize=materialize)
     passthrough = [c for c in lines.columns if c != KEY]
     key = KEY
-    df = _translate_narrow(lines, {"description": "description_en", "account": "account_en"},
-                           "p2", settings, store, responder, run, key)
-    df = _classify_keyed(df, [("p2", "naics", settings.classification_model, None,
-                               {"text": F.coalesce(F.col("description_en"), F.lit(PR.MISSING_TEXT))})],
+    columns = {"description": "description_en", "account": "account_en"}
+    df = _translate_narrow(lines, columns, "p2", settings, store, responder, run, key)
+    df = _in_english(lines.select(key, *columns).join(df, key, "left"), columns, "p2")
+    df = _classify_lines(df, "p2", settings, F.coalesce(F.col("description_en"), F.lit(PR.MISSING_TEXT)), None,
+                         F.coalesce(P.naics_p2("naics_response")["description"], F.lit(PR.MISSING_OBJECT)),
                          store, responder, run, key)
     df = df.withColumn("_n", P.naics_p2("naics_response")).select(
         "*", F.col("_n.code").alias("naics_code"), F.col("_n.description").alias("naics_description"),
         F.col("_n.confidence").alias("naics_confidence")).drop("_n")
-    naics_context = F.coalesce(F.col("naics_description"), F.lit(PR.MISSING_OBJECT))
-    df = _classify_keyed(df, [("p2", "unspsc", settings.unspsc_model, None,
-                               {"description": F.coalesce(F.col("description_en"), F.lit(PR.MISSING_TEXT)),
-                                "naics": naics_context})], store, responder, run, key)
     df = df.withColumn("_u", P.unspsc_p2("unspsc_response")).select(
         "*", F.col("_u.code").alias("unspsc_code"), F.col("_u.description").alias("unspsc_description"),
         F.col("_u.confidence").alias("unspsc_confidence")).drop("_u")
-    run.lines = lines.join(_finished(df, run), key, "left")
+    run.lines = _in_english(lines.join(_finished(df, run), key, "left"), columns, "p2")
     run.output_columns = passthrough + PROCESSED
     return run
 

@@ -149,6 +149,36 @@ def test_written_boundaries_are_deleted_on_release(spark):
     assert not any(os.path.isdir(p) for p in paths)
 
 
+def test_boundaries_hold_each_text_of_a_line_twice_at_most(spark):
+    import os
+    import random
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20_000)), "Paper") for i in range(40)]
+    df = spark.createDataFrame(rows, "ordinal long, procurement_description string, account string")
+    run = enrich(df, responder=replay_responder)
+    written = sum(os.path.getsize(os.path.join(p.settled_at, f)) for p in run.persisted for f in os.listdir(p.settled_at) if f.endswith(".parquet"))
+    # English texts: the requests' boundary and the industry answers' hold them, nothing else does
+    assert written < 2.5 * sum(len(t) for _, t, _ in rows)
+    got = {r["ordinal"]: r for r in run.result().collect()}
+    assert all(got[i]["procurement_description_en"] == t and got[i]["input_text"] == f"{t} Paper" for i, t, _ in rows)
+
+
+def test_product_requests_that_two_industry_requests_share_are_asked_once(spark, tmp_shared):
+    frame = "\n        NAICS Classification: X"
+    df = spark.createDataFrame([(0, "Lamp", ""), (1, f"Lamp{frame}", "")], "ordinal long, procurement_description string, account string")
+
+    def fixed(requests, stage):
+        # the shorter text's industry is such that both product prompts are the same
+        answer = {"detect_p1": F.lit("True"), "naics_p1": F.when(F.col("user").contains("NAICS Classification"), F.lit("NAICS Code: 111111\nNAICS Description: Y\nConfidence: 99%"))
+                  .otherwise(F.lit("NAICS Code: 111111\nNAICS Description: X \n        NAICS Classification: Y\nConfidence: 99%"))}
+        return requests.select("*", answer.get(stage, F.lit("none")).alias("response"), F.lit(None).cast("string").alias("error"))
+
+    for store in (None, ResponseStore(spark, tmp_shared + "/shared")):
+        run = enrich(df, responder=fixed, store=store)
+        keys = [r["request_key"] for r in run.stages["unspsc_p1"].select("request_key").collect()]
+        assert len(keys) == len(set(keys)) and run.result().count() == 2
+
+
 def test_fuzzy_enrich_hands_its_run_to_the_caller(spark):
     from spendcode.plans.enrich import EnrichRun
     from spendcode.plans.fuzzy_enrich import fuzzy_enrich

@@ -123,3 +123,16 @@ def test_a_version_without_its_mark_does_not_count(spark, tmp_shared):
     os.makedirs(tmp_shared + "/store/detect_p1/v000001")  # a compaction that died
     store.resolve(requests(spark, "abc"), responder, "detect_p1").collect()
     assert calls.value == 3 and store.load().count() == 3
+
+
+def test_constants_and_derived_columns_join_the_distinct_requests(spark, tmp_shared):
+    from spendcode.operators.replay import replay_responder
+    from spendcode.operators.responses import request_constants, slot_text
+    df = spark.createDataFrame([("a",), ("b",), ("a",), ("c d",)], "t string")
+    columns = request_columns("p2", "detect", "m", text=F.col("t"))
+    whole = sorted(map(tuple, ResponseStore(spark).resolve(df.select(*columns, F.col("t").alias("payload")), replay_responder, "detect_p2", ("payload",)).collect()))
+    for store in (ResponseStore(spark), ResponseStore(spark, tmp_shared + "/store")):
+        for _ in range(2):
+            got = store.resolve(df.select(columns[1], columns[-1]), replay_responder, "detect_p2", constants=request_constants("p2", "detect", "m"),
+                                derived={"payload": slot_text("p2", "detect", F.col("user"))})
+            assert sorted(map(tuple, got.collect())) == whole and len(whole) == 3
