@@ -182,6 +182,16 @@ def lcs_with_masks(masks: dict[str, int], m: int, other: str) -> int:
     return m - v.bit_count()
 
 
+def is_subsequence(short: str, text: str) -> bool:
+    """Whether ``text`` holds all characters of ``short`` in their order, so that their LCS is ``short``."""
+    find, at = text.find, 0
+    for ch in short:
+        at = find(ch, at) + 1
+        if not at:
+            return False
+    return True
+
+
 def lcs_length(a: str, b: str) -> int:
     if len(a) > len(b):
         a, b = b, a

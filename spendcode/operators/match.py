@@ -41,12 +41,17 @@ from spendcode.session import ship_package
 VECTOR_MAX_TEXT = 256
 BAG_CHARS = 63      # characters with their own column in the bag bound (+1 "other")
 MASK_CHARS = 96     # largest block alphabet for which uint64 position masks are built
+WORD_BITS = 63      # positions in one word of a mask, whose last bit takes the carry
+MASK_WORDS = 4      # words of the longest entry that has masks
+PAIRS_AT_ONCE = 8192  # pairs of (text, entry) whose LCS is run side by side: their state stays in the cache
+BOUNDS_AT_ONCE = 1 << 19  # pairs whose bounds are held at once
+ROUNDS = (8, 64)    # best bounds of a text that are scored before all the others that are left
 PIVOTS = 1024       # blocks, at most
 PIVOT_CHARS = 62    # a pivot is the start of an entry: any string may be one
 REFERENCES = 32     # pivots that every block keeps its range of distances to
 PART_ROWS = 4096    # entries of one part of a block
 SEEDS = 4           # blocks that a text visits first
-SLICE_TEXTS = 50_000  # texts that one task scores against a part, on average at most
+SLICE_TEXTS = 10_000  # texts that one task scores against a part, on average at most
 
 _MATCH_SCHEMA = T.StructType([
     T.StructField("k", T.StringType()),
@@ -63,9 +68,9 @@ def match_key(c, scorer: str):
 
 
 class _Catalogue:
-    """Entries of one part of a block, prepared once a task: lengths, per-entry character
-    counts over their alphabet, and bit masks of each character's positions for entries of at
-    most 63 characters (one uint64 per entry)."""
+    """Entries of one part of a block, earliest first, prepared once a task: lengths, per-entry
+    character counts over their alphabet, and bit masks of each character's positions for entries of
+    at most ``MASK_WORDS * WORD_BITS`` characters (some uint64 words per entry)."""
 
     def __init__(self, entries):
         import numpy as np
@@ -84,28 +89,25 @@ class _Catalogue:
         # Character-bag bound over the most frequent characters plus one "other" bucket:
         # merging characters only loosens the bound, so it stays an upper bound.
         top = np.argsort(-freq, kind="stable")[:BAG_CHARS]
-        bucket = np.full(max(len(codes), 1), len(top), dtype=np.int64)
-        bucket[top] = np.arange(len(top))
-        self.bag_index = {chr(int(codes[i])): int(bucket[i]) for i in range(len(codes))}
+        # one place more than there are characters, for those of a text that no entry has
+        self.codes, self.bucket = codes, np.full(len(codes) + 1, len(top), dtype=np.int64)
+        self.bucket[top] = np.arange(len(top))
+        self.bag_index = {chr(int(codes[i])): int(self.bucket[i]) for i in range(len(codes))}
         count_type = np.uint16 if (self.lens.max(initial=0) < 65536) else np.int32
         self.counts = np.zeros((n, len(top) + 1), dtype=count_type)
-        np.add.at(self.counts, (owner, bucket[ci] if len(codes) else ci), 1)
+        np.add.at(self.counts, (owner, self.bucket[ci]), 1)
         # Bit masks for the vectorised LCS need every character; built for small alphabets.
-        self.short = self.lens <= 63
         self.vector_ok = len(codes) <= MASK_CHARS
-        self.alpha = {chr(int(c)): i for i, c in enumerate(codes.tolist())}
-        if self.vector_ok:
-            self.masks = np.zeros((max(len(codes), 1), n), dtype=np.uint64)
-            sel = self.short[owner]
-            np.bitwise_or.at(self.masks, (ci[sel], owner[sel]),
-                             np.left_shift(np.uint64(1), pos[sel].astype(np.uint64)))
-        else:
-            self.short = np.zeros(n, dtype=bool)  # every candidate takes the exact scalar path
-        self.full = np.where(self.short, (np.uint64(1) << self.lens.clip(0, 63).astype(np.uint64)) - np.uint64(1),
-                             np.uint64(0)).astype(np.uint64)
+        self.short = self.lens <= (MASK_WORDS * WORD_BITS if self.vector_ok else -1)  # all others take the exact scalar path
+        words = -(-int(self.lens[self.short].max(initial=0)) // WORD_BITS)
+        self.masks = np.zeros((words, len(codes) + 1, n), dtype=np.uint64)
+        sel = self.short[owner]
+        np.bitwise_or.at(self.masks, (pos[sel] // WORD_BITS, ci[sel], owner[sel]),
+                         np.left_shift(np.uint64(1), (pos[sel] % WORD_BITS).astype(np.uint64)))
+        self.full = np.bitwise_or.reduce(self.masks, axis=1)
         self._masks_py: dict[int, dict] = {}
 
-    def score(self, lp: int, lcs, idx=None):
+    def score(self, lp, lcs, idx=None):
         """Vectorised ratio from LCS lengths (same float steps as the scalar helper)."""
         import numpy as np
         total = (self.lens if idx is None else self.lens[idx]) + lp
@@ -113,30 +115,58 @@ class _Catalogue:
             r = (total - (total - 2 * lcs)) / total
         return np.round(100 * r)
 
-    def lcs_vector(self, text: str, idx):
-        """Exact LCS of ``text`` with the (short) entries ``idx``, all at once."""
+    def places(self, text: str):
+        """Place of each character of ``text`` in the alphabet, ``len(codes)`` for those that no entry has."""
         import numpy as np
-        v = self.full[idx].copy()
-        full = self.full[idx]
-        for ch in text:
-            i = self.alpha.get(ch)
-            if i is None:
-                continue
-            u = v & self.masks[i, idx]
-            v = ((v + u) | (v - u)) & full
-        return self.lens[idx] - np.bitwise_count(v).astype(np.int64)
+        chars = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        at = np.searchsorted(self.codes, chars)
+        at[at == len(self.codes)] = 0
+        return np.where(self.codes[at] == chars, at, len(self.codes)) if len(self.codes) else np.zeros(len(chars), dtype=np.int64)
+
+    def lcs_pairs(self, texts, rows, idx):
+        """Exact LCS of the texts ``rows`` (places of their characters, filled up behind the end with
+        ``len(codes)``) with the short entries ``idx``, pair by pair and all pairs side by side."""
+        import numpy as np
+        out = np.empty(len(rows), dtype=np.int64)
+        n = len(self.keys)
+        for start in range(0, len(rows), PAIRS_AT_ONCE):
+            r, j = rows[start:start + PAIRS_AT_ONCE], idx[start:start + PAIRS_AT_ONCE]
+            words = max(1, -(-int(self.lens[j].max()) // WORD_BITS))
+            full = [f[j] for f in self.full[:words]]
+            masks = [m.ravel() for m in self.masks[:words]]
+            v = [f.copy() for f in full]
+            some = texts[r]
+            some = some[:, (some != len(self.codes)).any(axis=0)]
+            for at in np.ascontiguousarray(some.T):
+                at = at * n + j
+                carry = None
+                for w in range(words):
+                    u = masks[w].take(at)
+                    u &= v[w]
+                    total = v[w] + u
+                    if carry is not None:
+                        total += carry
+                    if w + 1 < words:
+                        carry = total >> np.uint64(WORD_BITS)
+                    v[w] -= u
+                    v[w] |= total
+                    v[w] &= full[w]
+            left = sum(np.bitwise_count(x).astype(np.int64) for x in v)
+            out[start:start + PAIRS_AT_ONCE] = self.lens[j] - left
+        return out
 
     def lcs_one(self, text: str, j: int, text_masks) -> int:
         key = self.keys[j]
         if len(text) >= len(key):
-            return FZ.lcs_with_masks(text_masks(), len(text), key)
+            # a long text often holds all characters of a short entry in their order
+            return len(key) if FZ.is_subsequence(key, text) else FZ.lcs_with_masks(text_masks(), len(text), key)
         m = self._masks_py.get(j)
         if m is None:
             m = self._masks_py[j] = FZ.char_masks(key)
         return FZ.lcs_with_masks(m, len(key), text)
 
 
-def best_in_chunk(cat: "_Catalogue", text: str, floor: int, eager: int = 16):
+def best_in_chunk(cat: "_Catalogue", text: str, floor: int):
     """(index, score) of the best entry scoring at least ``floor`` (ties: earliest row),
     or None.  Exact: candidates are visited by decreasing upper bound (length and
     character-bag bounds) and skipped only when the bound proves they cannot win."""
@@ -146,13 +176,7 @@ def best_in_chunk(cat: "_Catalogue", text: str, floor: int, eager: int = 16):
     if lp == 0:  # only an empty entry can score (100); others score 0
         hits = np.flatnonzero(cat.lens == 0)
         return (int(hits[np.argmin(cat.ordinals[hits])]), 100) if hits.size and floor <= 100 else None
-    from collections import Counter
-
-    tc = np.zeros(cat.counts.shape[1], dtype=np.int64)
-    for ch, c in Counter(text).items():
-        i = cat.bag_index.get(ch)
-        if i is not None:
-            tc[i] += c
+    tc = np.bincount(cat.bucket[cat.places(text)], minlength=cat.counts.shape[1])
     bag = np.minimum(cat.counts, tc).sum(axis=1)
     ub = cat.score(lp, np.minimum(bag, np.minimum(cat.lens, lp)))
     ub = np.where(cat.lens == 0, 0, ub)
@@ -165,41 +189,74 @@ def best_in_chunk(cat: "_Catalogue", text: str, floor: int, eager: int = 16):
 
     def text_masks():
         if not masks_box:
-            masks_box.append(FZ.char_masks(text) if lp <= 64 else FZ.char_masks_np(text, cat.alpha))
+            masks_box.append(FZ.char_masks(text) if lp <= 64 else FZ.char_masks_np(text, cat.bag_index))
         return masks_box[0]
 
-    def better(sc, j):
-        return sc > best or (sc == best and best_j >= 0 and cat.ordinals[j] < cat.ordinals[best_j])
-
-    for step, j in enumerate(cand):
+    for j in cand:
+        # by falling bounds, then by row: what follows cannot win either
         if ub[j] < best or (ub[j] == best and best_j >= 0 and cat.ordinals[j] > cat.ordinals[best_j]):
-            if ub[j] < best:
-                break
-            continue
-        if step >= eager and lp <= VECTOR_MAX_TEXT and cat.vector_ok:
-            # many live candidates and a short text: score the rest exactly in one
-            # vectorised pass (its cost grows with the text, not with the candidates)
-            rest = cand[step:]
-            rest = rest[(ub[rest] > best) | ((ub[rest] == best) & (cat.ordinals[rest] < (
-                cat.ordinals[best_j] if best_j >= 0 else np.iinfo(np.int64).max)))]
-            short = rest[cat.short[rest]]
-            if short.size:
-                sc = cat.score(lp, cat.lcs_vector(text, short), short)
-                sc = np.where(np.array([cat.keys[x] == text for x in short]), 100, sc)
-                for x, s_ in zip(short, sc):
-                    if better(int(s_), x):
-                        best, best_j = int(s_), int(x)
-            for x in rest[~cat.short[rest]]:
-                s_ = 100 if cat.keys[x] == text else FZ.score_from_lcs(lp, int(cat.lens[x]), cat.lcs_one(text, x, text_masks))
-                if better(s_, x):
-                    best, best_j = s_, int(x)
             break
-        s_ = 100 if cat.keys[j] == text else FZ.score_from_lcs(lp, int(cat.lens[j]), cat.lcs_one(text, j, text_masks))
-        if better(s_, j):
-            best, best_j = s_, int(j)
+        sc = 100 if cat.keys[j] == text else FZ.score_from_lcs(lp, int(cat.lens[j]), cat.lcs_one(text, j, text_masks))
+        if sc > best or (sc == best and best_j >= 0 and cat.ordinals[j] < cat.ordinals[best_j]):
+            best, best_j = sc, int(j)
     return (best_j, best) if best_j >= 0 else None
 
 
+def best_in_slice(cat: "_Catalogue", texts: list[str], floors: list[int]) -> list:
+    """``best_in_chunk`` for each text.  Short texts go side by side: the bounds of all their pairs first, then the
+    exact scores of the pairs with the best bounds, then of all others that can still win."""
+    hits = [None] * len(texts)
+    together = [i for i, t in enumerate(texts) if cat.vector_ok and 0 < len(t) <= VECTOR_MAX_TEXT]
+    together.sort(key=lambda i: len(texts[i]))
+    size = max(1, BOUNDS_AT_ONCE // len(cat.keys))
+    for start in range(0, len(together), size):
+        some = together[start:start + size]
+        for i, hit in zip(some, _best_of_short(cat, [texts[i] for i in some], [floors[i] for i in some])):
+            hits[i] = hit
+    for i in set(range(len(texts))).difference(together):
+        hits[i] = best_in_chunk(cat, texts[i], floors[i])
+    return hits
+
+
+def _best_of_short(cat: "_Catalogue", texts: list[str], floors: list[int]) -> list:
+    import numpy as np
+
+    n, lp = len(cat.keys), np.array([len(t) for t in texts], dtype=np.int64)
+    places = np.full((len(texts), int(lp.max())), len(cat.codes), dtype=np.int64)
+    for i, t in enumerate(texts):
+        places[i, :len(t)] = cat.places(t)
+    # the bound of every pair: shared characters, "other" ones merged
+    known, bags = places < len(cat.codes), cat.counts.shape[1]
+    tc = np.bincount((cat.bucket[places] + np.arange(len(texts))[:, None] * bags)[known], minlength=len(texts) * bags)
+    tc = tc.reshape(len(texts), bags).astype(cat.counts.dtype)
+    bag = np.zeros((len(texts), n), dtype=cat.counts.dtype)
+    for c in np.flatnonzero(tc.any(axis=0)):
+        bag += np.minimum(tc[:, c, None], cat.counts[:, c])
+    ub = np.where(cat.lens == 0, 0, cat.score(lp[:, None], bag.astype(np.int64)))
+    # one number for score and row: a higher one wins
+    rank = n - 1 - np.arange(n)
+    bound = ub.astype(np.int64) * n + rank
+    best = np.array(floors, dtype=np.int64) * n - 1
+
+    def score(rows, idx):
+        lcs = np.empty(len(rows), dtype=np.int64)
+        short = cat.short[idx]
+        lcs[short] = cat.lcs_pairs(places, rows[short], idx[short])
+        for x in np.flatnonzero(~short):
+            text = texts[rows[x]]
+            lcs[x] = cat.lcs_one(text, int(idx[x]), lambda: FZ.char_masks(text))
+        np.maximum.at(best, rows, cat.score(lp[rows], lcs, idx).astype(np.int64) * n + rank[idx])
+        bound[rows, idx] = -1
+
+    for k in ROUNDS:
+        if k < n:
+            idx = np.argpartition(bound, n - k, axis=1)[:, n - k:]
+            rows, at = np.nonzero(np.take_along_axis(bound, idx, axis=1) > best[:, None])
+            score(rows, idx[rows, at])
+    score(*np.nonzero(bound > best[:, None]))
+    return [(int(n - 1 - b % n), int(b // n)) if b >= f * n else None for b, f in zip(best.tolist(), floors)]
+
+
 class _Pivots:
     """Distances of a text to all pivots, and what they say about the blocks."""
 
@@ -234,17 +291,20 @@ class _Pivots:
                     u = v & m
                     v = ((v + u) | (v - u)) & self.full
             lcs = self.lens - np.bitwise_count(v).astype(np.int64)
-        else:  # bits over the text, one pivot after the other
-            masks = FZ.char_masks_np(text, self.masks)
-            lcs = np.array([FZ.lcs_with_masks(masks, len(text), p) for p in self.pivots], dtype=np.int64)
+        else:  # bits over the text, one pivot after the other, but for those whose characters it holds in order
+            lcs = self.lens.copy()
+            apart = [i for i, p in enumerate(self.pivots) if not FZ.is_subsequence(p, text)]
+            masks = FZ.char_masks_np(text, self.masks) if apart else {}
+            for i in apart:
+                lcs[i] = FZ.lcs_with_masks(masks, len(text), self.pivots[i])
         return len(text) + self.lens - 2 * lcs
 
-    def bounds(self, text: str):
+    def bounds(self, text: str, distances=None):
         """Best score that an unequal entry of each block can reach, and how far away it must be."""
         import numpy as np
 
         la = len(text)
-        d = self.distances(text)[self.to]
+        d = (self.distances(text) if distances is None else distances)[self.to]
         low = np.maximum(np.maximum(d - self.far, self.near - d).max(axis=0), 1)
         # the score rises with the entry's length up to la + low and falls from there
         lb = np.clip(la + low, self.short, self.long)
@@ -273,12 +333,13 @@ def _assign_fn(pivots: list[str]):
     return run
 
 
-def _seeds(index: _Pivots, text: str, ub, low) -> list[tuple[int, int]]:
-    """Places (block, part) that a text visits first: the best bounds, and the blocks around the nearest pivots."""
+def _seeds(index: _Pivots, text: str, distances, ub, low) -> list[tuple[int, int]]:
+    """Places (block, part) that a text visits first: the best bounds, by distance and by row, and the blocks
+    around the nearest pivots."""
     import numpy as np
 
-    d = index.distances(text)[index.block]
-    order = [*np.lexsort((low, -ub))[:1], *np.argsort(d, kind="stable")[:SEEDS - 1]]
+    d = distances[index.block]
+    order = [np.lexsort((low, -ub))[0], np.lexsort((index.first, -ub))[0], *np.argsort(d, kind="stable")[:SEEDS - 2]]
     return list(dict.fromkeys((int(at), len(text) % int(index.parts[at])) for at in order))
 
 
@@ -292,8 +353,9 @@ def _seed_fn(pivots: list[str], blocks: list[tuple], floor: int):
         for pdf in batches:
             out = []
             for k in pdf["k"]:
-                ub, low = index.bounds(k)
-                out += [(k, floor, int(index.block[at]), part) for at, part in _seeds(index, k, ub, low) if ub[at] >= floor]
+                d = index.distances(k)
+                ub, low = index.bounds(k, d)
+                out += [(k, floor, int(index.block[at]), part) for at, part in _seeds(index, k, d, ub, low) if ub[at] >= floor]
             yield pd.DataFrame(out, columns=["k", "floor", "block", "part"])
 
     return run
@@ -310,8 +372,9 @@ def _rest_fn(pivots: list[str], blocks: list[tuple], floor: int):
         for pdf in batches:
             out = []
             for k, score, ordinal, equal in zip(pdf["k"], pdf["m_score"], pdf["m_ordinal"], pdf["equal"]):
-                ub, low = index.bounds(k)
-                done = set() if equal else set(_seeds(index, k, ub, low))
+                d = index.distances(k)
+                ub, low = index.bounds(k, d)
+                done = set() if equal else set(_seeds(index, k, d, ub, low))
                 for at in np.flatnonzero((ub > score) | ((ub == score) & (index.first < ordinal))):
                     out += [(k, max(score, floor), int(index.block[at]), part) for part in range(int(index.parts[at])) if (at, part) not in done]
             yield pd.DataFrame(out, columns=["k", "floor", "block", "part"])
@@ -327,8 +390,8 @@ def _score_group(left, right):
     if len(left) and len(right):
         right = right.sort_values("ordinal")
         cat = _Catalogue(list(zip(right["k"], right["ordinal"], right["code"], right["description"])))
-        for k, floor in zip(left["k"], left["floor"]):
-            hit = best_in_chunk(cat, k, int(floor))
+        texts, floors = left["k"].tolist(), left["floor"].astype(int).tolist()
+        for k, hit in zip(texts, best_in_slice(cat, texts, floors)):
             if hit is not None:
                 e = cat.entries[hit[0]]
                 out.append((k, int(e[1]), e[2], e[3], hit[1]))

@@ -246,3 +246,28 @@ def test_chunk_scan_large_alphabet(monkeypatch):
                 best, best_o = s, o
         got = M.best_in_chunk(cat, t, 1)
         assert (None if got is None else (entries[got[0]][1], got[1])) == (None if best_o is None else (best_o, best))
+
+
+def test_slice_scan_scores_long_entries_side_by_side(monkeypatch):
+    """Texts of a slice at once, entries of one to four mask words and more, against brute force; none of up to
+    four words is scored alone."""
+    import spendcode.operators.match as M
+    rnd = random.Random(3)
+    alphabet = "abcdeé f"
+    alone, one = [], M._Catalogue.lcs_one
+    monkeypatch.setattr(M._Catalogue, "lcs_one", lambda self, text, j, masks: alone.append((len(text), len(self.keys[j]))) or one(self, text, j, masks))
+    word = lambda n, more="": "".join(rnd.choice(alphabet + more) for _ in range(n))
+    for n in (1, 2, 8, 9, 64, 65, 200):
+        lengths = (0, 5, 30, 63, 64, 70, 126, 127, 200, 252, 253, 300)
+        entries = [(word(rnd.choice(lengths)), i * 3, f"c{i}", "d") for i in range(n)]
+        cat = M._Catalogue(entries)
+        texts = [word(rnd.choice((0, 3, 10, 35, 70, 200, 256, 257, 600)), "xyz") for _ in range(20)] + [entries[0][0]]
+        floors = [rnd.choice((1, 55, 70)) for _ in texts]
+        for text, floor, got in zip(texts, floors, M.best_in_slice(cat, texts, floors)):
+            best, at = floor - 1, None
+            for j, e in enumerate(entries):
+                s = FZ.py_ratio(text, e[0])
+                if s > best:
+                    best, at = s, j
+            assert got == (None if at is None else (at, best)), (n, text, floor)
+    assert all(text > M.VECTOR_MAX_TEXT or entry > 252 for text, entry in alone)
