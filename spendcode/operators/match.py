@@ -53,13 +53,15 @@ PART_ROWS = 4096    # entries of one part of a block
 SEEDS = 4           # blocks that a text visits first
 SLICE_TEXTS = 10_000  # texts that one task scores against a part, on average at most
 
-_MATCH_SCHEMA = T.StructType([
-    T.StructField("k", T.StringType()),
+_FOUND_SCHEMA = T.StructType([
+    T.StructField("id", T.LongType()),
     T.StructField("m_ordinal", T.LongType()),
     T.StructField("m_code", T.StringType()),
     T.StructField("m_description", T.StringType()),
     T.StructField("m_score", T.IntegerType()),
 ])
+_MATCH_SCHEMA = T.StructType([T.StructField("k", T.StringType()), *_FOUND_SCHEMA.fields[1:]])
+_PAIR = "id bigint, k string, floor int, block int, part int"
 
 
 def match_key(c, scorer: str):
@@ -352,11 +354,11 @@ def _seed_fn(pivots: list[str], blocks: list[tuple], floor: int):
         index = _Pivots(pivots, blocks)
         for pdf in batches:
             out = []
-            for k in pdf["k"]:
+            for i, k in zip(pdf["id"], pdf["k"]):
                 d = index.distances(k)
                 ub, low = index.bounds(k, d)
-                out += [(k, floor, int(index.block[at]), part) for at, part in _seeds(index, k, d, ub, low) if ub[at] >= floor]
-            yield pd.DataFrame(out, columns=["k", "floor", "block", "part"])
+                out += [(i, k, floor, int(index.block[at]), part) for at, part in _seeds(index, k, d, ub, low) if ub[at] >= floor]
+            yield pd.DataFrame(out, columns=["id", "k", "floor", "block", "part"])
 
     return run
 
@@ -371,13 +373,13 @@ def _rest_fn(pivots: list[str], blocks: list[tuple], floor: int):
         index = _Pivots(pivots, blocks)
         for pdf in batches:
             out = []
-            for k, score, ordinal, equal in zip(pdf["k"], pdf["m_score"], pdf["m_ordinal"], pdf["equal"]):
+            for i, k, score, ordinal, equal in zip(pdf["id"], pdf["k"], pdf["m_score"], pdf["m_ordinal"], pdf["equal"]):
                 d = index.distances(k)
                 ub, low = index.bounds(k, d)
                 done = set() if equal else set(_seeds(index, k, d, ub, low))
                 for at in np.flatnonzero((ub > score) | ((ub == score) & (index.first < ordinal))):
-                    out += [(k, max(score, floor), int(index.block[at]), part) for part in range(int(index.parts[at])) if (at, part) not in done]
-            yield pd.DataFrame(out, columns=["k", "floor", "block", "part"])
+                    out += [(i, k, max(score, floor), int(index.block[at]), part) for part in range(int(index.parts[at])) if (at, part) not in done]
+            yield pd.DataFrame(out, columns=["id", "k", "floor", "block", "part"])
 
     return run
 
@@ -391,11 +393,11 @@ def _score_group(left, right):
         right = right.sort_values("ordinal")
         cat = _Catalogue(list(zip(right["k"], right["ordinal"], right["code"], right["description"])))
         texts, floors = left["k"].tolist(), left["floor"].astype(int).tolist()
-        for k, hit in zip(texts, best_in_slice(cat, texts, floors)):
+        for i, hit in zip(left["id"], best_in_slice(cat, texts, floors)):
             if hit is not None:
                 e = cat.entries[hit[0]]
-                out.append((k, int(e[1]), e[2], e[3], hit[1]))
-    return pd.DataFrame(out, columns=["k", "m_ordinal", "m_code", "m_description", "m_score"])
+                out.append((i, int(e[1]), e[2], e[3], hit[1]))
+    return pd.DataFrame(out, columns=_FOUND_SCHEMA.names)
 
 
 def prepare_catalogue(catalogue: DataFrame, scorer: str) -> DataFrame:
@@ -408,17 +410,17 @@ def prepare_catalogue(catalogue: DataFrame, scorer: str) -> DataFrame:
 
 
 def _scored(pairs: DataFrame, entries: DataFrame, slices: int) -> DataFrame:
-    """``pairs`` (``k, floor, block, part``) scored: one row each where the floor is reached."""
+    """``pairs`` (``id, k, floor, block, part``) scored: one row each where the floor is reached."""
     key = ["block", "part", "slice"]
-    pairs = settle(pairs.withColumn("slice", F.pmod(F.xxhash64("k"), F.lit(slices)).cast("int")), "match-pairs")
+    pairs = settle(pairs.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")), "match-pairs")
     # a part is copied once for each slice that asks for it
     asked = entries.join(pairs.select(*key).distinct().toDF(*key), ["block", "part"])
-    return pairs.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_score_group, _MATCH_SCHEMA)
+    return pairs.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_score_group, _FOUND_SCHEMA)
 
 
 def _winners(found: DataFrame) -> DataFrame:
     best = F.max_by(F.struct("m_ordinal", "m_code", "m_description", "m_score"), F.struct(F.col("m_score"), -F.col("m_ordinal")))
-    return found.groupBy("k").agg(best.alias("w")).select("k", "w.*")
+    return found.groupBy("id").agg(best.alias("w")).select("id", "w.*")
 
 
 def best_matches(keys: DataFrame, catalogue: DataFrame, scorer: str = "token_sort",
@@ -428,7 +430,8 @@ def best_matches(keys: DataFrame, catalogue: DataFrame, scorer: str = "token_sor
     spark = keys.sparkSession
     ship_package(spark)
     floor = 1 if cutoff is None else max(1, cutoff)
-    keys = settle(keys, "match-texts")
+    # numbers stand for the texts from here on, so that texts move only to where they are scored
+    keys = settle(keys.select("k", F.monotonically_increasing_id().alias("id")), "match-texts")
     entries = settle(prepare_catalogue(catalogue, scorer), "match-entries")
     n = entries.count()
     if not n:
@@ -451,17 +454,16 @@ def best_matches(keys: DataFrame, catalogue: DataFrame, scorer: str = "token_sor
     slices = max(1, math.ceil(keys.count() / SLICE_TEXTS))
 
     placed = placed.drop("distances")
-    equal = keys.join(placed, "k").select("k", F.col("ordinal").alias("m_ordinal"), F.col("code").alias("m_code"),
+    equal = keys.join(placed, "k").select("id", F.col("ordinal").alias("m_ordinal"), F.col("code").alias("m_code"),
                                           F.col("description").alias("m_description"), F.lit(100).alias("m_score"))
     equal = settle(equal, "match-equal")
-    pair = "k string, floor int, block int, part int"
-    seeds = keys.join(equal.select("k"), "k", "left_anti").mapInPandas(_seed_fn(chosen, blocks, floor), pair)
+    seeds = keys.join(equal.select("id"), "id", "left_anti").mapInPandas(_seed_fn(chosen, blocks, floor), _PAIR)
     first = settle(_winners(equal.unionByName(_scored(seeds, entries, slices))), "match-first")
     # a text without a score so far has everything that reaches the floor to beat
-    state = keys.join(first.select("k", "m_score", "m_ordinal"), "k", "left").fillna({"m_score": floor - 1, "m_ordinal": 0})
-    state = state.join(equal.select("k", F.lit(True).alias("equal")), "k", "left").fillna({"equal": False})
-    rest = _scored(state.mapInPandas(_rest_fn(chosen, blocks, floor), pair), entries, slices)
-    return _winners(first.unionByName(rest))
+    state = keys.join(first.select("id", "m_score", "m_ordinal"), "id", "left").fillna({"m_score": floor - 1, "m_ordinal": 0})
+    state = state.join(equal.select("id", F.lit(True).alias("equal")), "id", "left").fillna({"equal": False})
+    rest = _scored(state.mapInPandas(_rest_fn(chosen, blocks, floor), _PAIR), entries, slices)
+    return keys.join(_winners(first.unionByName(rest)), "id").drop("id")
 
 
 def attach_best_match(df: DataFrame, text: str, catalogue: DataFrame, scorer: str = "token_sort",
@@ -469,7 +471,8 @@ def attach_best_match(df: DataFrame, text: str, catalogue: DataFrame, scorer: st
     """Add ``{prefix}_code``, ``{prefix}_description``, ``{prefix}_score`` (null, null, 0
     when there is no match) to every row of ``df``."""
     keyed = df.withColumn("_k", F.when(~is_blank(text), match_key(text, scorer)))
-    keys = keyed.where(F.col("_k").isNotNull()).select(F.col("_k").alias("k")).distinct()
+    # not by the key, which the filter would compute a second time
+    keys = df.where(~is_blank(text)).select(match_key(text, scorer).alias("k")).distinct()
     best = best_matches(keys, catalogue, scorer, cutoff, **kw)
     # rows without a key match nothing: the second column deals them to many tasks
     keyed = keyed.withColumn("_deal", F.when(F.col("_k").isNull(), F.spark_partition_id()).otherwise(0))

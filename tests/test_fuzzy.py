@@ -271,3 +271,27 @@ def test_slice_scan_scores_long_entries_side_by_side(monkeypatch):
                     best, at = s, j
             assert got == (None if at is None else (at, best)), (n, text, floor)
     assert all(text > M.VECTOR_MAX_TEXT or entry > 252 for text, entry in alone)
+
+
+def test_texts_move_only_to_where_they_are_scored(spark, monkeypatch):
+    """Candidates and winners carry numbers for the texts, and a filter on blank texts computes no key."""
+    import spendcode.operators.match as M
+    moved, winners, read, settle = [], M._winners, [], M.settle
+    monkeypatch.setattr(M, "_winners", lambda found: moved.append(found.columns) or winners(found))
+    monkeypatch.setattr(M, "settle", lambda df, name: read.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or settle(df, name))
+    catalogue = [(i, f"c{i}", f"{w} bolt") for i, w in enumerate(("red", "blue", "long", "red"))]
+    texts = ["Red bolt!", "red bolt", None, " ", "bolt", "a long text of blue bolts " * 40, "?!"] * 2
+    cat = spark.createDataFrame(catalogue, "ordinal long, code string, description string")
+    lines = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: tuple(r)[-3:] for r in M.attach_best_match(lines, "t", cat).collect()}
+    assert got == {i: brute_best(t, catalogue, "token_sort", None, score=FZ.py_ratio) for i, t in enumerate(texts)}
+    assert moved and not any("k" in columns for columns in moved)
+    plan = next(p for name, p in read if name == "match-texts")
+    assert plan.count("sort_array(") == 1, plan  # the key is made once, and its words are sorted without a comparator
+
+
+def test_token_sort_key_equals_python_helper(spark):
+    rnd = random.Random(41)
+    texts = ["".join(rnd.choice("abZ é\u00a0\u0141_-  \t\n9\U0001F600") for _ in range(rnd.randint(0, 40))) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", FZ.token_sort_key(F.lower("t")).alias("k")).collect()
+    assert all(r["k"] == FZ.py_token_sort_key(r["t"].lower()) for r in rows)
