@@ -457,13 +457,14 @@ def best_matches(keys: DataFrame, catalogue: DataFrame, scorer: str = "token_sor
     equal = keys.join(placed, "k").select("id", F.col("ordinal").alias("m_ordinal"), F.col("code").alias("m_code"),
                                           F.col("description").alias("m_description"), F.lit(100).alias("m_score"))
     equal = settle(equal, "match-equal")
-    seeds = keys.join(equal.select("id"), "id", "left_anti").mapInPandas(_seed_fn(chosen, blocks, floor), _PAIR)
+    # by merge joins: few bytes on disk may be many texts in memory
+    seeds = keys.join(equal.select("id").hint("merge"), "id", "left_anti").mapInPandas(_seed_fn(chosen, blocks, floor), _PAIR)
     first = settle(_winners(equal.unionByName(_scored(seeds, entries, slices))), "match-first")
     # a text without a score so far has everything that reaches the floor to beat
-    state = keys.join(first.select("id", "m_score", "m_ordinal"), "id", "left").fillna({"m_score": floor - 1, "m_ordinal": 0})
-    state = state.join(equal.select("id", F.lit(True).alias("equal")), "id", "left").fillna({"equal": False})
+    state = keys.join(first.select("id", "m_score", "m_ordinal").hint("merge"), "id", "left").fillna({"m_score": floor - 1, "m_ordinal": 0})
+    state = state.join(equal.select("id", F.lit(True).alias("equal")).hint("merge"), "id", "left").fillna({"equal": False})
     rest = _scored(state.mapInPandas(_rest_fn(chosen, blocks, floor), _PAIR), entries, slices)
-    return keys.join(_winners(first.unionByName(rest)), "id").drop("id")
+    return keys.join(_winners(first.unionByName(rest)).hint("merge"), "id").drop("id")
 
 
 def attach_best_match(df: DataFrame, text: str, catalogue: DataFrame, scorer: str = "token_sort",

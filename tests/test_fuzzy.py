@@ -286,6 +286,9 @@ def test_texts_move_only_to_where_they_are_scored(spark, monkeypatch):
     got = {r["i"]: tuple(r)[-3:] for r in M.attach_best_match(lines, "t", cat).collect()}
     assert got == {i: brute_best(t, catalogue, "token_sort", None, score=FZ.py_ratio) for i, t in enumerate(texts)}
     assert moved and not any("k" in columns for columns in moved)
+    result = M.best_matches(lines.select(F.lower("t").alias("k")).where("k is not null").distinct(), cat)._jdf.queryExecution().optimizedPlan().toString()
+    by_id = [x for x in result.splitlines() if "Join" in x and "(id#" in x]
+    assert by_id and all("strategy=merge" in x for x in by_id), result  # what grows with the texts is not broadcast
     plan = next(p for name, p in read if name == "match-texts")
     assert plan.count("sort_array(") == 1, plan  # the key is made once, and its words are sorted without a comparator
 
