@@ -11,8 +11,8 @@ of Jaccard similarity ``threshold`` or more.  Lines without words stay.
   similarity needs (positional filter); and the words that two prefixes share, with all that may follow
   the prefix that ends first, must be enough for it too.
 * A signature of 64 parities, 128 or 256 for long lines, carried along, drops most unlike lines inside the join.
-* First each line is held against one line only: of the earliest lines (of each of some classes) of its
-  ``HEADS`` rarest words, the one whose signature is nearest.  That settles most of a group of near copies in linear time.  Only lines that are not
+* First each line is held against ``TRIES`` lines only: of the earliest lines (of each of some classes) of its
+  ``HEADS`` rarest words, those whose signatures are nearest.  That settles most of a group of near copies in linear time.  Only lines that are not
   settled are joined with all earlier lines of their words.  No pair is lost, and a group of copies never
   makes all its pairs.
 * Candidates are verified on the words themselves.  Their lines are read from the texts again; a
@@ -36,9 +36,10 @@ from spendcode.llm.common import discard, release, stored
 THRESHOLD = 0.8
 COUNTERS = 1 << 20
 PASSES = 4           # parts of the words that are joined one after the other
-LONG, VERY_LONG = 48, 64  # sizes above which a set's signature is 128, then 256 bits
+LONG, VERY_LONG = 32, 48  # sizes above which a set's signature is 128, then 256 bits
 CLASSES = 4          # classes of lines, the earliest of each of which stands for a word
 SLACK = 2            # words by which a pair's prefixes are longer than it needs, so that it must share more than one
+TRIES = 2            # of the lines met in that way, the nearest that are verified
 HEADS = 5            # rarest words (of those that occur again) by which a line meets the line it is held against first
 BITMAP_ROWS = 2048   # of 32768 bits each
 _HASH_BITS = 53
@@ -49,9 +50,15 @@ _LAST = (1 << 63) - 1
 _BLANKS = " \t\x0b\x0c\r"
 
 
+def _plain(text: Column) -> Column:
+    """``text`` with a space for each other white space within a line; few texts have any to replace."""
+    odd = reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in _BLANKS[1:]])
+    return F.when(odd, F.translate(text, _BLANKS[1:], " " * len(_BLANKS[1:]))).otherwise(text)
+
+
 def words(line: Column) -> Column:
-    """Words of a text with repeats, possibly with empty ones: all white space separates."""
-    return F.split(F.translate(line, _BLANKS[1:] + "\n", " " * len(_BLANKS)), " ")
+    """Words of a ``_plain`` line with repeats, possibly with empty ones."""
+    return F.split(line, " ")
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -64,18 +71,18 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _lines(addressed: DataFrame, text_col: str) -> DataFrame:
     return addressed.select(F.col("_d").alias("d"), F.col("_v").alias("v"),
-                            F.posexplode(F.split(F.col(text_col), "\n")).alias("n", "line"))
+                            F.posexplode(F.split(_plain(F.col(text_col)), "\n")).alias("n", "line"))
 
 
 def _counter(h: Column) -> Column:
-    return F.pmod(h, F.lit(COUNTERS)).cast("int")
+    return h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """One row with ``COUNTERS`` numbers: how often the words of each counter occur in all ``text``."""
-    counted = texts.select(F.explode(words(F.col("text"))).alias("w")).groupBy(
+def word_counts(lines: DataFrame) -> DataFrame:
+    """One row with ``COUNTERS`` numbers: how often the words of each counter occur in all lines."""
+    counted = lines.select(F.explode(words(F.col("line"))).alias("w")).groupBy(
         _counter(F.xxhash64("w")).alias("i")).agg(F.count(F.lit(1)).alias("c"))
-    every = texts.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("i"))
+    every = lines.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("i"))
     # a class of 16 steps for each doubling: equal enough, and small
     level = F.coalesce(F.floor(F.log2("c") * 16), F.lit(0)).cast("int")
     full = every.join(counted, "i", "left").select("i", level.alias("level"))
@@ -92,16 +99,16 @@ def _sets(lines: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
     ``s2``, the parities of the words of every other class of a second kind, and a very long one
     ``s3`` and ``s4``, by which 256 classes are told apart.
     """
-    def code(w: Column) -> Column:  # rarity above, hash below; never null, so that longs are sorted as such
-        h = F.xxhash64(w)
+    def code(h: Column) -> Column:  # rarity above, hash below; never null, so that longs are sorted as such
         level = F.coalesce(F.get("counts", _counter(h)), F.lit(0))
         return F.shiftleft(level.cast("bigint"), _HASH_BITS) + F.shiftrightunsigned(h, 64 - _HASH_BITS)
 
     # the lines without words go by their text: a filter on the codes would compute them a second time
-    worded = lines.where(F.trim("line", F.lit(_BLANKS)) != "").withColumn("counts", counts.scalar())
+    worded = lines.where(F.trim("line") != "").withColumn("counts", counts.scalar())
     # "counts" stands in one place only, or every row would carry a copy of it
-    codes = F.transform(F.array_remove(words(F.col("line")), ""), code)
-    ranked = worded.select(*_ADDRESS, F.sort_array(F.array_distinct(codes)).alias("r")).withColumn("size", F.size("r"))
+    # lambdas are the dear part: each word is hashed once, and a word that repeats gets one code
+    hashes = F.array_distinct(F.transform(F.array_remove(words(F.col("line")), ""), lambda w: F.xxhash64(w)))
+    ranked = worded.select(*_ADDRESS, F.sort_array(F.transform(hashes, code)).alias("r")).withColumn("size", F.size("r"))
     size = F.col("size")
     keep = F.when(_needs_partner(size, threshold), size - F.ceil(threshold * size - 1e-9) + 1).otherwise(0).cast("int")
     # place and hash of each word of the prefix, 31 bits of which are enough to meet; a word that occurs once
@@ -141,16 +148,19 @@ def _settled(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """Addresses of the later lines of ``pairs`` that are similar to one of their earlier lines.
 
     Each line is verified with its earliest candidate first; only lines for which that fails are
-    verified with all others, so texts move about once a line however many partners it has.
+    verified with all others, so words move about once a line however many partners it has.  The
+    texts are read once for both.
     """
     b = [f"b_{c}" for c in _ADDRESS]
     pairs = stored(pairs, "line-pairs")
+    held = _words_of(pairs, lines)
     first = pairs.groupBy(*b).agg(F.min(F.struct(*[f"a_{c}" for c in _ADDRESS])).alias("a")).select("a.*", *b)
-    done = _verified(first, lines, threshold)
+    done = _alike(first, held, threshold)
     rest = pairs.join(done.select(*[F.col(c).alias(f"b_{c}") for c in _ADDRESS]), b, "left_anti").join(
         first, pairs.columns, "left_anti")
-    out = done.union(_verified(rest, lines, threshold))
-    discard(pairs)
+    out = done.union(_alike(rest, held, threshold))
+    discard(pairs, held)
+    release(out.sparkSession)
     return out
 
 
@@ -178,16 +188,6 @@ def _alike(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     return stored(both.where(alike).select(*_side("b")).distinct(), "line-later")
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """``_alike`` of pairs whose words are not at hand."""
-    pairs = stored(pairs, "line-pairs")
-    held = _words_of(pairs, lines)
-    out = _alike(pairs, held, threshold)
-    discard(pairs, held)
-    release(out.sparkSession)
-    return out
-
-
 def _met(earlier: DataFrame, later: DataFrame, threshold: float, *more: Column) -> DataFrame:
     """Pairs of addresses of prefix rows that share a word: their sizes, how many words they share
     (``shared``) and where the first of them stands in each (``a_at``, ``b_at``).
@@ -199,7 +199,9 @@ def _met(earlier: DataFrame, later: DataFrame, threshold: float, *more: Column)
     both_till = "till" in earlier.columns
     # both sides of a join with itself use the same columns, so Spark shuffles their rows once
     till = ["till"] if both_till else []
-    order = F.struct(*[f"a.{c}" for c in _ADDRESS]) < F.struct("b.till" if both_till else "b.d", "b.v", "b.n")
+    below = F.col("b.till" if both_till else "b.d")
+    order = (F.col("a.d") < below) | ((F.col("a.d") == below) & (
+        (F.col("a.v") < F.col("b.v")) | ((F.col("a.v") == F.col("b.v")) & (F.col("a.n") < F.col("b.n")))))
     x = {s: F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}")) for s in _SIGNATURE}
     differ = a + b - 2 * _overlap(a, b, threshold)
     # classes of the second kind: words with bit 64 and without; then with bits 128 and 64 in all four ways
@@ -214,7 +216,7 @@ def _met(earlier: DataFrame, later: DataFrame, threshold: float, *more: Column)
     if both_till:  # the prefixes that sets of these sizes need, and SLACK words more
         need = _overlap(a, b, threshold)
         may = may & (F.col("a.at") <= a - need + SLACK) & (F.col("b.at") <= b - need + SLACK)
-    rows = earlier.alias("a").join(later.alias("b"), (F.col("a.word") == F.col("b.word")) & may & order).select(
+    rows = earlier.alias("a").join(later.alias("b"), (F.col("a.word") == F.col("b.word")) & order & may).select(
         *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in (*_ADDRESS, "size", "at", *till)],
         F.coalesce(four, two, F.bit_count(x["sig"])).alias("far"))
     return rows.groupBy(*_PAIR, "a_size", "b_size").agg(
@@ -246,11 +248,13 @@ def near_duplicates(sets: DataFrame, lines: DataFrame, threshold: float) -> Data
         return df.select(*facts, F.explode(prefix).alias("p")).select(
             *facts, F.shiftright("p", 31).cast("int").alias("at"), F.col("p").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("word"))
 
-    rarest = spread(sets, F.slice("prefix", 1, HEADS))
+    # dealt by word once, for the heads and for the join with them
+    rarest = spread(sets, F.slice("prefix", 1, HEADS)).repartition("word")
     heads = rarest.groupBy("word", F.pmod(F.xxhash64(*_ADDRESS), F.lit(CLASSES)).alias("class")).agg(
         F.min(F.struct(*facts, "at")).alias("head")).select("word", "head.*")
-    best = _met(heads, rarest, threshold, F.min("far").alias("far")).groupBy(*_PAIR[3:]).agg(
-        F.min(F.struct("far", (-F.col("shared")).alias("s"), *_PAIR[:3])).alias("a"))
+    # at most HEADS * CLASSES heads a line, the TRIES nearest of which are verified
+    best = _met(heads, rarest, threshold, F.min("far").alias("far")).groupBy(*_PAIR[3:]).agg(F.explode(F.slice(F.sort_array(
+        F.collect_list(F.struct("far", (-F.col("shared")).alias("s"), *_PAIR[:3]))), 1, TRIES)).alias("a"))
     pairs = stored(best.select(*[f"a.{c}" for c in _PAIR[:3]], *_PAIR[3:]), "line-pairs")
     # what is not settled here is joined in full below
     held = _words_of(pairs, lines)
@@ -278,13 +282,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.drop("lines_removed")
     addressed = _documents(docs, id_col, text_col)
     lines = _lines(addressed, text_col)
-    counts = word_counts(addressed.select(F.col(text_col).alias("text")))
+    counts = word_counts(lines)
     marked = stored(_sets(lines, counts, threshold), "line-marks")
     discard(counts)
     sets = stored(marked.groupBy("k1", "k2").agg(
         F.min(F.struct(*_ADDRESS)).alias("first"), F.any_value("size").alias("size"), *[F.any_value(s).alias(s) for s in _SIGNATURE],
         F.any_value("prefix").alias("prefix"), F.count(F.lit(1)).alias("c")).select(
         "k1", "k2", "first.*", "size", *_SIGNATURE, "prefix", "c"), "line-sets")
+    release(docs.sparkSession)
     later = near_duplicates(sets.where(F.size("prefix") > 0).select(*_ADDRESS, "size", *_SIGNATURE, "prefix"), lines, threshold)
     gone = sets.join(later.withColumn("gone", F.lit(True)), _ADDRESS, "left").where("gone or c > 1").select(
         "k1", "k2", F.struct(*_ADDRESS).alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))

@@ -163,3 +163,20 @@ def test_one_id_with_different_texts(docs_frame):
     got = line_dedup.dedup_lines(docs_frame(rows)).collect()
     assert sum(r["text"].count("a b c d e") for r in got) == 1
     assert sum(r["text"].count("x y z w q") for r in got) == 1
+
+
+def test_texts_are_read_once_for_the_heads_and_once_for_the_rest(docs_frame, monkeypatch):
+    rng = random.Random(10)
+    base = [[f"{a}{i}" for i in range(60)] for a in "xy"]
+    rows = []
+    for i in range(24):
+        line = list(base[i % 2])
+        for _ in range(rng.randint(0, 9)):
+            line[rng.randrange(60)] = f"z{rng.randrange(400)}"
+        rows.append((i, rng.choice([" ", "\t", "\r", "\x0b\x0c", " \t "]).join(line) + rng.choice(["", "\r", "\n \t\r"])))
+    calls, read = [], line_dedup._words_of
+    monkeypatch.setattr(line_dedup, "_words_of", lambda *a: calls.append(1) or read(*a))
+    got = line_dedup.dedup_lines(docs_frame(rows)).collect()
+    want = brute_lines_in_order(rows)
+    assert sorted((r["doc_id"], r["text"], r["lines_removed"]) for r in got) == sorted((i, *want[(i, t)]) for i, t in rows)
+    assert len(calls) == 2
