@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from spendcode.session import shared_dir
 
@@ -26,3 +28,21 @@ def forget(*tables: DataFrame) -> None:
         sc = t.sparkSession.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(t.settled_at)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now: its cleaner follows the driver's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextlib.contextmanager
+def few_a_batch(spark: SparkSession, rows: int):
+    """Hand Python tasks that run meanwhile ``rows`` rows at a time, for rows of some MB each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -18,14 +18,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendcode.functions.vectors import DIMENSION, hash_embedding
-from spendcode.operators.boundary import settle
+from spendcode.operators.boundary import few_a_batch, forget, release, settle
 from spendcode.session import ship_package
 
 PIVOTS = 1024        # blocks of the search, at most
-PART_ROWS = 4096     # vectors of one part of a block
-SLICE_PROBES = 4096  # probes that one task scores against a part, on average at most
-BLOCK_CELLS = 4_000_000  # similarity cells at a time inside a task (32 MB of doubles)
+PART_ROWS = 4096     # vectors of one part of a block, on average at most
+SLICE_PROBES = 4096  # probes of one slice of a block, on average at most
+RANGE_BYTES = 128 * 1024 * 1024  # parts that one task reads, about
+PAIRS_A_BATCH = 8    # pairs of a slice and a part that go to Python at a time, some MB each
+TILE_CELLS = 1_000_000   # similarities at a time inside a task (4 MB, single precision)
+PLACE_ROWS = 2048    # vectors held against all pivots at a time
+BLOCK_CELLS = 4_000_000  # vector components at a time inside a task (32 MB of doubles)
 SLACK = 1e-9         # bounds and products are floating point
+ANGLE_SLACK = 1e-7   # near 0 an angle is known to half the digits of its cosine
 
 RECORD_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
@@ -230,73 +235,197 @@ def _angles(unit, pivots):
     return np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0))
 
 
-def _place_fn(pivots):
-    """Block of each vector, the nearest pivot, and the angle to it."""
+def _bounds(angles, near, far):
+    """How similar vectors with angles to a pivot from ``near`` to ``far`` can be to probes at ``angles`` to it."""
+    import numpy as np
+
+    return np.cos(np.maximum(np.maximum(angles - far, near - angles), 0.0))
+
+
+def _loose(dimension: int) -> float:
+    """More than a product of unit vectors errs in single precision."""
+    return (dimension + 8) * 2.0 ** -23
+
+
+def _stacked(column, kind: str, dimension: int):
+    """The vectors that a column holds as bytes, a row each."""
+    import numpy as np
+
+    held = b"".join(column.to_pylist())
+    return (np.frombuffer(held, dtype=kind) if held else np.empty(0, kind)).reshape(-1, dimension)
+
+
+def _place_fn(pivots, kind: str):
+    """Each vector as bytes, its block, the nearest pivot, and the angle to it.
+
+    Vectors of another dimension raise; those with a null or not finite component have no direction and take no part."""
 
     def run(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        for pdf in batches:
-            if len(pdf):
-                angles = _angles(_unit(np.vstack(pdf["vector"].to_numpy())), pivots)
-                at = angles.argmin(axis=1)
-                yield pd.DataFrame({"id": pdf["id"], "vector": pdf["vector"], "block": at, "angle": angles[np.arange(len(at)), at]})
+        d = pivots.shape[1]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, PLACE_ROWS):
+                some = batch.slice(lo, PLACE_ROWS)
+                column = some.column("vector")
+                if pc.any(pc.not_equal(pc.list_value_length(column), d)).as_py():
+                    raise ValueError(f"not all vectors are of dimension {d}")
+                raw = np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False).astype(kind)).reshape(-1, d)
+                with np.errstate(all="ignore"):
+                    unit = _unit(raw)
+                    near = unit @ pivots.T
+                at = near.argmax(axis=1)
+                angle = np.arccos(np.clip(near[np.arange(len(at)), at], -1.0, 1.0))
+                ends = np.arange(len(raw) + 1, dtype=np.int32) * np.int32(raw.itemsize * d)
+                held = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+                others = [n for n in some.schema.names if n != "vector"]
+                made = pa.RecordBatch.from_arrays([*(some.column(n) for n in others), held, pa.array(at, pa.int32()), pa.array(angle)],
+                                                  names=[*others, "vector", "block", "angle"])
+                yield made.filter(pa.array(np.isfinite(unit).all(axis=1)))
 
     return run
 
 
-def _visit_fn(pivots, blocks, k: int, first: bool):
-    """The blocks that a probe visits: those of the best bounds that hold ``k`` vectors, then all others that may win.
+def _pack_fn(k: int, kind: str, dimension: int):
+    """A part of a block as one row.
 
-    ``blocks``: block, least and largest angle to its pivot, vectors, parts.  Vectors within these angles
-    can come as near to a probe as the difference of the angles, not nearer."""
+    Of equal vectors only those of the ``k`` smallest ids can be among the ``k`` nearest of any probe; a part keeps these."""
 
-    def run(batches):
+    def run(table):
         import numpy as np
-        import pandas as pd
-
-        block, near, far, count, parts = (np.array(x) for x in zip(*blocks))
-        for pdf in batches:
-            out = []
-            if len(pdf):
-                angles = _angles(_unit(np.vstack(pdf["vector"].to_numpy())), pivots)[:, block.astype(int)]
-                bound = np.cos(np.maximum(np.maximum(angles - far, near - angles), 0.0))
-                for i, probe in enumerate(pdf["probe"]):
-                    order = np.argsort(-bound[i], kind="stable")
-                    seeds = order[:int(np.searchsorted(np.cumsum(count[order]), k)) + 1]
-                    if first:
-                        go = seeds
-                    else:
-                        floor = pdf["floor"].iloc[i]  # similarity of the k-th so far; none if there are fewer
-                        go = np.setdiff1d(order if np.isnan(floor) else np.flatnonzero(bound[i] >= floor - SLACK), seeds)
-                    out += [(probe, int(block[at]), part) for at in go for part in range(int(parts[at]))]
-            yield pd.DataFrame(out, columns=["probe", "block", "part"])
+        import pyarrow as pa
+
+        raw = _stacked(table["vector"], kind, dimension)
+        _, same = np.unique(raw.view(np.dtype((np.void, raw.itemsize * dimension))).ravel(), return_inverse=True)
+        order = np.lexsort((table["id"].to_numpy(), same))
+        first = np.searchsorted(same[order], same[order])
+        keep = np.sort(order[np.arange(len(order)) - first < k])
+        angles = table["angle"].to_numpy()[keep]
+        ids = table["id"].combine_chunks().take(pa.array(keep))
+        return pa.table({
+            "block": table["block"].slice(0, 1), "part": table["part"].slice(0, 1), "near": [angles.min() - ANGLE_SLACK], "far": [angles.max() + ANGLE_SLACK],
+            "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "vectors": pa.array([raw[keep].tobytes()], pa.binary())})
 
     return run
 
 
-def _best_fn(k: int):
-    """The ``k`` best vectors of a part for each probe of a slice."""
+def _ask_fn(pivots, blocks, k: int, kind: str, seed_kind: str):
+    """A slice of probes as one row, with floors of their k-th similarities and the blocks that any of them visits.
+
+    A floor is the k-th similarity to the slice's seeds, vectors near the same pivot; there is none if these are fewer.
+    ``blocks``: block, least and largest angle to its pivot.  Vectors within these angles can come as near to
+    a probe as the difference of the angles, not nearer."""
 
     def run(left, right):
         import numpy as np
-        import pandas as pd
-
-        rows = []
-        if len(left) and len(right):
-            ids, who, name = right["id"].to_numpy(), left["probe"].to_numpy(), left["probe_id"].to_numpy()
-            unit, probes = _unit(np.vstack(right["vector"].to_numpy())), _unit(np.vstack(left["vector"].to_numpy()))
-            step = max(1, BLOCK_CELLS // len(ids))
-            for lo in range(0, len(left), step):
-                sims = probes[lo:lo + step] @ unit.T
-                kth = np.partition(sims, len(ids) - min(k, len(ids)), axis=1)[:, len(ids) - min(k, len(ids))]
-                for r in range(len(sims)):
-                    near = np.flatnonzero(sims[r] >= kth[r] - SLACK)
-                    # summed in one fixed way, so equal vectors have equal similarities in every block
-                    exact = (unit[near] * probes[lo + r]).sum(axis=1)
-                    rows += [(who[lo + r], name[lo + r], ids[near[j]], exact[j]) for j in np.lexsort((ids[near], -exact))[:k]]
-        return pd.DataFrame(rows, columns=["probe", "probe_id", "id", "similarity"])
+        import pyarrow as pa
+
+        d = pivots.shape[1]
+        unit, seeds = _unit(_stacked(left["vector"], kind, d)), _unit(_stacked(right["vectors"], seed_kind, d))
+        floors = np.full(len(unit), -np.inf)
+        if len(seeds) >= k:
+            single, to = unit.astype(np.float32), seeds.astype(np.float32).T
+            step = max(1, TILE_CELLS // len(seeds))
+            for lo in range(0, len(unit), step):
+                floors[lo:lo + step] = np.partition(single[lo:lo + step] @ to, len(seeds) - k, axis=1)[:, len(seeds) - k]
+            floors -= _loose(d)
+        block, near, far = (np.array(x) for x in zip(*blocks))
+        go = np.zeros(len(block), dtype=bool)
+        for lo in range(0, len(unit), PLACE_ROWS):
+            go |= (_bounds(_angles(unit[lo:lo + PLACE_ROWS], pivots[block]), near, far) >= floors[lo:lo + PLACE_ROWS, None] - SLACK).any(axis=0)
+        whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        number = (left["ask"][0].as_py() << 24 | left["slice"][0].as_py()) if len(unit) else 0
+        return pa.table({
+            "number": pa.array([number], pa.int64()), "probe_ids": whole(left["probe_id"].combine_chunks()), "vectors": pa.array([b"".join(left["vector"].to_pylist())], pa.binary()),
+            "floors": pa.array([floors.tobytes()], pa.binary()), "visits": whole(pa.array(block[go], pa.int32()))}).slice(0, min(1, len(unit)))
+
+    return run
+
+
+class _Best:
+    """The ``k`` nearest vectors so far of each probe of a slice, without those below its floor."""
+
+    def __init__(self, unit, floors, k: int, ids):
+        import numpy as np
+
+        self.unit, self.single, self.floors = unit, unit.astype(np.float32), np.array(floors)
+        self.k, self.sims = k, np.full((len(unit), k), -np.inf)
+        self.ids = np.full((len(unit), k), ids[0], dtype=ids.dtype)
+        self.room = np.empty(0, dtype=np.float32)
+
+    def meet(self, who, unit, ids) -> None:
+        """Hold the probes ``who`` against vectors: all in single precision, those that may win in double."""
+        import numpy as np
+
+        n, loose = len(unit), 2 * _loose(unit.shape[1])
+        to, step, piece = unit.astype(np.float32).T, max(1, TILE_CELLS // n), max(1, BLOCK_CELLS // unit.shape[1])
+        if len(self.room) < step * n:
+            self.room = np.empty(step * n, dtype=np.float32)
+        for lo in range(0, len(who), step):
+            some = who[lo:lo + step]
+            sims = np.matmul(self.single[some], to, out=self.room[:len(some) * n].reshape(-1, n))
+            least = self.floors[some] - loose
+            bare = np.flatnonzero(np.isneginf(least))
+            if len(bare) and n > self.k:
+                least[bare] = np.partition(sims[bare], n - self.k, axis=1)[:, n - self.k] - loose
+            least = least.astype(np.float32)
+            hit = np.flatnonzero(sims.max(axis=1) >= least)
+            at, col = np.divmod(np.flatnonzero(sims[hit] >= least[hit, None]), n)
+            for a in range(0, len(at), piece):
+                self._take(some[hit[at[a:a + piece]]], unit, ids, col[a:a + piece])
+
+    def _take(self, who, unit, ids, col) -> None:
+        import numpy as np
+
+        # summed in one fixed way, so equal vectors have equal similarities in every part
+        exact = (unit[col] * self.unit[who]).sum(axis=1)
+        good = exact >= self.floors[who]
+        who, exact, new = who[good], exact[good], ids[col[good]]
+        some = np.unique(who)
+        who = np.concatenate([who, np.repeat(some, self.k)])
+        exact, new = np.concatenate([exact, self.sims[some].ravel()]), np.concatenate([new, self.ids[some].ravel()])
+        order = np.lexsort((new, -exact, who))
+        who = who[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        keep = rank < self.k
+        who, rank, order = who[keep], rank[keep], order[keep]
+        self.sims[who, rank], self.ids[who, rank] = exact[order], new[order]
+        self.floors[some] = np.maximum(self.floors[some], self.sims[some, self.k - 1])
+
+
+def _score_fn(pivots, k: int, kind: str, part_kind: str):
+    """The ``k`` nearest of each probe among the parts that its slice meets in this task, slice after slice."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        d, number, best, id_type = pivots.shape[1], None, None, None
+
+        def found():
+            at, rank = np.nonzero(best.sims > -np.inf)
+            return pa.RecordBatch.from_arrays([pa.array((number << 20) + at), pa.array(best.ids[at, rank], type=id_type), pa.array(best.sims[at, rank])],
+                                              names=["probe", "id", "similarity"])
+
+        for batch in batches:
+            id_type = batch.schema.field("ids").type.value_type
+            for row in range(batch.num_rows):
+                held = {name: batch.column(name)[row] for name in batch.schema.names}
+                vectors = lambda name, as_kind: _unit(np.frombuffer(held[name].as_buffer(), dtype=as_kind).reshape(-1, d))  # noqa: E731, B023
+                ids = held["ids"].values.to_numpy(zero_copy_only=False)
+                if held["number"].as_py() != number:
+                    if best is not None:
+                        yield found()
+                    number = held["number"].as_py()
+                    best = _Best(vectors("vectors", kind), np.frombuffer(held["floors"].as_buffer()), k, ids)
+                angles = _angles(best.unit, pivots[[held["block"].as_py()]])[:, 0]
+                may = _bounds(angles, held["near"].as_py(), held["far"].as_py()) >= best.floors - SLACK
+                if may.any():
+                    best.meet(np.flatnonzero(may), vectors("part", part_kind), ids)
+        if best is not None:
+            yield found()
 
     return run
 
@@ -305,11 +434,13 @@ def nearest(probes: DataFrame, index: DataFrame, k: int = 5, max_rows: int = PAR
     """Exact top-``k`` cosine neighbours: ``probe_id, rank, id, similarity`` (ties by id).
 
     The index is dealt to blocks: a quarter of the square root of its vectors, ``PIVOTS`` at most, are pivots
-    (a bounded sample), and each vector goes to the nearest one by angle.  A probe first visits the blocks of
-    the best bounds that hold ``k`` vectors; its k-th similarity there rules out every block whose
-    least angle is larger, and it visits the rest.  Probes and vectors meet in groups of a part of a block
-    and a slice of its probes.  Null ids and vectors that are null or zero take no part; repeated
-    probes are answered each for itself."""
+    (a bounded sample), and each vector goes to the nearest one by angle.  Parts of blocks are rows of bytes, and so
+    are slices of probes near the same pivot.  The k-th similarity of a probe to a part near that pivot rules out
+    every block whose least angle is larger; a slice visits the blocks that remain for any of its probes.
+    A task reads some slices and a bounded range of the parts, without a copy of either on disk, and holds each
+    slice against the parts that it visits; a probe's nearest of all ranges are ranked in the end.  So the work may
+    grow with probes times vectors, but what is written grows with the input (and ``k`` rows a probe and range).
+    Null ids and vectors that are null, zero or not finite take no part; repeated probes are answered each for itself."""
     from pyspark.sql.window import Window
     import numpy as np
 
@@ -317,39 +448,70 @@ def nearest(probes: DataFrame, index: DataFrame, k: int = 5, max_rows: int = PAR
     ship_package(spark)
     id_type, probe_type = index.schema["id"].dataType.simpleString(), probes.schema["probe_id"].dataType.simpleString()
     real = F.exists("vector", lambda x: x != 0)
-    index = settle(index.where(F.col("id").isNotNull() & real).select("id", F.col("vector").cast("array<double>")), "nearest-index")
-    probes = settle(probes.where(real).select("probe_id", F.col("vector").cast("array<double>")).withColumn(
-        "probe", F.monotonically_increasing_id()), "nearest-probes")
+
+    def numbered(df: DataFrame, name: str, at: str) -> tuple[DataFrame, str]:
+        """Vectors in single precision if they come so, and else in double, with a number for each row."""
+        single = df.schema["vector"].dataType.elementType == T.FloatType()
+        rows = df.where(real).select(name, F.col("vector").cast("array<float>" if single else "array<double>"))
+        return settle(rows.withColumn("row", F.monotonically_increasing_id()), at), "<f4" if single else "<f8"
+
+    index, kind = numbered(index.where(F.col("id").isNotNull()), "id", "nearest-index")
     n = index.count()
+    empty = spark.createDataFrame([], f"probe_id {probe_type}, rank int, id {id_type}, similarity double")
     if not n:
-        return spark.createDataFrame([], f"probe_id {probe_type}, rank int, id {id_type}, similarity double")
+        return empty
     wanted = pivots or min(PIVOTS, math.ceil(math.sqrt(n) / 4))
-    sample = index.orderBy(F.xxhash64("id"), "id").select("vector").limit(wanted).collect()  # at most PIVOTS vectors
+    finite = F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))  # false for not a number too
+    sample = index.where(finite).orderBy(F.xxhash64("id"), "id").select("vector").limit(wanted).collect()  # at most PIVOTS vectors
+    if not sample:
+        return empty
     pivot = _unit(np.array([r["vector"] for r in sample]))
-    placed = settle(index.mapInPandas(_place_fn(pivot), f"id {id_type}, vector array<double>, block int, angle double"), "nearest-placed")
-    summary = placed.groupBy("block").agg(F.min("angle") - SLACK, F.max("angle") + SLACK, F.count(F.lit(1)), F.ceil(F.count(F.lit(1)) / max_rows))
+    dimension = pivot.shape[1]
+
+    def placed(df: DataFrame, name: str, kind: str) -> DataFrame:
+        return df.mapInArrow(_place_fn(pivot, kind), f"{name} {dict(df.dtypes)[name]}, row bigint, vector binary, block int, angle double")
+
+    def dealt(df: DataFrame, sizes: list[tuple], name: str) -> DataFrame:
+        """Rows of each block dealt to so many, by their numbers: equal ids and vectors need not go together."""
+        table = spark.createDataFrame(sizes, "block int, pieces bigint")
+        return df.join(F.broadcast(table), "block").withColumn(name, F.pmod(F.xxhash64("row"), "pieces").cast("int"))
+
+    entries = placed(index, "id", kind)
+    summary = entries.groupBy("block").agg(F.min("angle") - ANGLE_SLACK, F.max("angle") + ANGLE_SLACK, F.count(F.lit(1)))
     blocks = sorted(tuple(r) for r in summary.collect())  # a row a block
-    parts = spark.createDataFrame([(b[0], b[4]) for b in blocks], "block int, parts bigint")
-    entries = placed.join(F.broadcast(parts), "block").select(
-        "id", "vector", "block", F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int").alias("part"))
-    slices = max(1, math.ceil(probes.count() / SLICE_PROBES))
-    key = ["block", "part", "slice"]
-
-    def scored(asking: DataFrame, first: bool) -> DataFrame:
-        pairs = settle(asking.mapInPandas(_visit_fn(pivot, blocks, k, first), "probe bigint, block int, part int").withColumn(
-            "slice", F.pmod(F.xxhash64("probe"), F.lit(slices)).cast("int")), "nearest-pairs")
-        # merge joins: pairs and repeated vectors take few bytes on disk, so by their files' size they would be sent whole
-        # through the driver to every task, where they take many times that
-        asked = entries.join(pairs.select(*key).distinct().toDF(*key).hint("merge"), ["block", "part"])
-        return pairs.join(probes.hint("merge"), "probe").groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(
-            _best_fn(k), f"probe bigint, probe_id {probe_type}, id {id_type}, similarity double")
-
-    def ranked(found: DataFrame) -> DataFrame:
-        order = Window.partitionBy("probe").orderBy(F.desc("similarity"), F.asc("id"))
-        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-    start = settle(ranked(scored(probes, True)).drop("rank"), "nearest-start")
-    floors = start.groupBy("probe").agg(F.min("similarity").alias("floor"), F.count(F.lit(1)).alias("c"))
-    floors = floors.select("probe", F.when(F.col("c") >= k, F.col("floor")).alias("floor"))
-    rest = scored(probes.join(floors.hint("merge"), "probe", "left"), False)
-    return ranked(start.unionByName(rest)).select("probe_id", "rank", "id", "similarity")
+    sizes = [(b[0], math.ceil(b[3] / max_rows)) for b in blocks]
+    parts = settle(dealt(entries, sizes, "part").groupBy("block", "part").applyInArrow(
+        _pack_fn(k, kind, dimension), f"block int, part int, near double, far double, ids array<{id_type}>, vectors binary"), "nearest-parts")
+    forget(index)
+
+    probes, probe_kind = numbered(probes, "probe_id", "nearest-probes")
+    asking = placed(probes, "probe_id", probe_kind)
+    slices = [(r["block"], math.ceil(r["count"] / SLICE_PROBES)) for r in asking.groupBy("block").count().collect()]  # a row a block
+    release(spark)  # a job's shuffle files can go some time after it has ended
+    counts, pieces = np.array([b[3] for b in blocks]), np.array([s[1] for s in sizes])
+    sure = np.where(pieces > 1, counts // (2 * pieces), counts)  # vectors of a block's first part, at least, as a rule
+    order = np.argsort(-(pivot[[s[0] for s in slices]] @ pivot[[b[0] for b in blocks]].T), axis=1, kind="stable")
+    seeds = [(blocks[b][0], ask, many) for (ask, many), near in zip(slices, order) for b in near[:np.searchsorted(np.cumsum(sure[near]), k) + 1].tolist()]
+    seeds = spark.createDataFrame(seeds, "block int, ask int, many bigint").select("block", "ask", F.explode(F.sequence(F.lit(0), F.col("many").cast("int") - 1)).alias("slice"))
+    seeds = parts.where("part = 0").join(F.broadcast(seeds), "block").select("ask", "slice", "vectors")
+    asking = dealt(asking, slices, "slice").select(F.col("block").alias("ask"), "slice", "probe_id", "vector")
+    asking = settle(asking.groupBy("ask", "slice").cogroup(seeds.groupBy("ask", "slice")).applyInArrow(
+        _ask_fn(pivot, [b[:3] for b in blocks], k, probe_kind, kind),
+        f"number bigint, probe_ids array<{probe_type}>, vectors binary, floors binary, visits array<int>"), "nearest-slices")
+    forget(probes)
+    pairs = settle(asking.select("number", "probe_ids", "visits"), "nearest-pairs")  # a row a slice, without vectors
+    release(spark)
+
+    # every slice with every part that it visits: tasks read both as they are, nothing is copied for the pairs
+    tasks = max(1, min(sum(s[1] for s in slices), 4 * spark.sparkContext.defaultParallelism))
+    ranges = math.ceil(n * (dimension * int(kind[-1]) + 16) / RANGE_BYTES)
+    left = asking.select("number", "vectors", "floors", "visits").repartition(tasks)
+    right = parts.select("block", "near", "far", "ids", F.col("vectors").alias("part")).coalesce(ranges)
+    met = left.join(right.hint("shuffle_replicate_nl"), F.array_contains("visits", F.col("block"))).drop("visits")
+    with few_a_batch(spark, PAIRS_A_BATCH):
+        found = settle(met.mapInArrow(_score_fn(pivot, k, probe_kind, kind), f"probe bigint, id {id_type}, similarity double"), "nearest-found")
+    forget(parts, asking)
+    names = pairs.select("number", F.posexplode("probe_ids").alias("at", "probe_id")).select((F.shiftleft("number", 20) + F.col("at")).alias("probe"), "probe_id")
+    best = Window.partitionBy("probe").orderBy(F.desc("similarity"), F.asc("id"))
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.join(names.hint("merge"), "probe").select("probe_id", "rank", "id", "similarity")

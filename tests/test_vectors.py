@@ -184,3 +184,67 @@ def test_the_search_sends_no_probes_or_pairs_through_the_driver(spark):
     # small files are no reason: what they hold may be large in memory; only the table of blocks and parts is sent
     assert plan.count("BroadcastHashJoin") == plan.count("BroadcastHashJoin [block#") and "SortMergeJoin [probe#" in plan, plan
     assert found.count() == 3 * 400
+
+
+def settled_by(V, monkeypatch):
+    """The tables that a search writes, by name; they stay, so that a test can count them."""
+    seen, settle = {}, V.settle
+
+    def kept(df, name):
+        seen[name] = settle(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(V, "settle", kept)
+    monkeypatch.setattr(V, "forget", lambda *tables: None, raising=False)
+    return seen
+
+
+def test_what_the_search_writes_grows_with_the_input_not_with_its_pairs(spark, monkeypatch):
+    import spendcode.operators.vectors as V
+    rng = np.random.default_rng(5)
+    points = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1500, 16)).astype(np.float32))]
+    seen = settled_by(V, monkeypatch)
+    index = spark.createDataFrame(points, "id long, vector array<float>")
+    probes = spark.createDataFrame(points, "probe_id long, vector array<float>")
+    got = V.nearest(probes, index, k=5, pivots=30)
+    assert sorted((r["probe_id"], r["rank"], r["id"], round(r["similarity"], 9)) for r in got.collect()) == brute_nearest(points, points, 5)
+    # vectors without clusters: a row for each probe and block would be 45,000
+    rows = {name: table.count() for name, table in seen.items()}
+    assert sum(rows.values()) <= 2 * 1500 + 5 * 1500 + 3 * 100, rows
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "FlatMapCoGroups" not in plan, plan  # the scores are made once, before
+
+
+def test_search_over_ranges_and_tiles_equals_brute_force(spark, monkeypatch):
+    import spendcode.operators.vectors as V
+    for name, value in (("RANGE_BYTES", 2000), ("TILE_CELLS", 50), ("BLOCK_CELLS", 64), ("PLACE_ROWS", 16), ("SLICE_PROBES", 20), ("PAIRS_A_BATCH", 2)):
+        monkeypatch.setattr(V, name, value, raising=False)
+    rng = np.random.default_rng(6)
+    vectors = rng.integers(-3, 4, (400, 8)).astype(float)
+    index = [(i % 390, v.tolist()) for i, v in enumerate(vectors)]  # ten ids come twice
+    index += [(1000 - i, [1.0, 2.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]) for i in range(60)] + [(7, [3.0] * 8)] * 6
+    odd = [(2000, [float("nan")] + [1.0] * 7), (2001, [None] + [1.0] * 7), (2002, [float("inf")] + [1.0] * 7)]
+    probes = [(i, v.tolist()) for i, v in enumerate(vectors[:60])] + [(900, [1.0, 2.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]), (901, [1.0] * 8)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for kind in ("float", "double"):
+        found = V.nearest(spark.createDataFrame(probes + odd, f"probe_id long, vector array<{kind}>"),
+                          spark.createDataFrame(index + odd, "id long, vector array<float>"), k=4, max_rows=25, pivots=12)
+        assert sorted((r["probe_id"], r["rank"], r["id"], round(r["similarity"], 9)) for r in found.collect()) == brute_nearest(probes, index, 4)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    named = V.nearest(spark.createDataFrame([(None, [1.0, 2.0] + [0.0] * 5 + [1.0])], "probe_id int, vector array<double>"),
+                      spark.createDataFrame([(str(i), v) for i, v in index], "id string, vector array<double>"), k=3, pivots=12)
+    assert [(r["probe_id"], r["rank"], r["id"]) for r in named.orderBy("rank").collect()] == [(None, 1, "1000"), (None, 2, "941"), (None, 3, "942")]
+
+
+def test_slices_in_clusters_visit_few_blocks(spark, monkeypatch):
+    import spendcode.operators.vectors as V
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 16))
+    points = [(i, (centres[i % 20] + rng.normal(scale=0.05, size=16)).tolist()) for i in range(2000)]
+    seen = settled_by(V, monkeypatch)
+    index = spark.createDataFrame(points, "id long, vector array<double>")
+    probes = spark.createDataFrame(points[:200], "probe_id long, vector array<double>")
+    got = V.nearest(probes, index, k=5, pivots=40).collect()
+    assert sorted((r["probe_id"], r["rank"], r["id"], round(r["similarity"], 9)) for r in got) == brute_nearest(points[:200], points, 5)
+    visits = seen["nearest-pairs"].agg(F.count(F.lit(1)), F.sum(F.size("visits")), F.max(F.size("visits"))).first()
+    assert 10 <= visits[0] <= 40 and visits[1] <= 0.2 * visits[0] * 40, visits
